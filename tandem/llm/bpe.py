@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries a worker remembers before it starts afresh; results never depend on it.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 NEVER = 1 << 60
+#: Texts that a worker returns at once.
+SLICE = 256
 #: Longer pieces are encoded each time they occur.
 MEMO_BYTES = 64
 #: Fixed value: the characters of Unicode's White_Space property, for a character class.
@@ -149,24 +151,29 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
     return BytePairEncoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep`` columns, ``n_tokens`` and ``token_ids`` (packed little-endian uint32).
 
     Whole texts, split by ``pattern``; a null text counts as empty and has no
-    ids. No shuffle; memory is one Arrow batch and the bounded memo.
+    ids. With ``decoded``, the same workers also turn the ids back into bytes.
+    No shuffle; memory is one Arrow batch and the bounded memo.
     """
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    names = [*keep, "n_tokens", "token_ids", *["decoded"] * decoded]
 
     def run(batches):
         enc = encoder(path, pattern)
         for batch in batches:
-            ids = [enc.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*kept, counts, pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "token_ids"])
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                ids = [enc.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                columns = [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([enc.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, token_ids binary")
+    return rows.mapInArrow(run, f"{schema}, n_tokens long, token_ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
@@ -186,5 +193,5 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids")
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = encode(docs, path, pattern, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
