@@ -29,42 +29,41 @@ def _chunk_codes(hashes: str, window: int, divisor: int) -> Column:
     )
 
 
+START, COUNT = "cast(c div 4294967296 as int)", "cast(c % 4294967296 as int)"
+
+
 def _chunked(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    rows = docs.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    rows = rows.withColumn("__hashes", F.transform("__lines", lambda line: F.xxhash64(line)))
+    rows = docs.withColumn("__hashes", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: F.xxhash64(line)))
     return rows.withColumn("__codes", _chunk_codes("__hashes", window, divisor)).withColumn("__key", F.xxhash64("text"))
 
 
 def _occurrences(docs: DataFrame, window: int, divisor: int, min_lines: int) -> DataFrame:
-    """One row for each multi-line chunk: its document, code and hash, and its lines' text."""
-    rows = _chunked(docs.select("doc_id", "text"), window, divisor).where("text is not null and doc_id is not null")
-    rows = rows.select("doc_id", "__key", "__lines", "__hashes", F.explode("__codes").alias("code"))
-    start, n = "cast(code div 4294967296 as int)", "cast(code % 4294967296 as int)"
-    rows = rows.where(f"{n} >= {min_lines}")
-    return rows.select(
-        "doc_id", F.col("__key").alias("key"), "code",
-        F.expr(f"xxhash64(slice(__hashes, {start} + 1, {n}))").alias("hash"), F.expr(f"{n}").alias("n"),
-        F.expr(f"array_join(slice(__lines, {start} + 1, {n}), '\n')").alias("chunk"),
-    )
+    """``doc_id, key, code, hash, n`` of each multi-line chunk; no text."""
+    rows = _chunked(docs.select("doc_id", "text").where("text is not null and doc_id is not null"), window, divisor)
+    # Hashes are taken inside the array, so that exploding copies one chunk a row and not its whole document.
+    chunks = F.expr(f"transform(filter(__codes, c -> {COUNT} >= {min_lines}), c -> struct(c as code, xxhash64(slice(__hashes, {START} + 1, {COUNT})) as hash, {COUNT} as n))")
+    return rows.select("doc_id", F.col("__key").alias("key"), F.inline(chunks))
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """``doc_id, key, code`` of every chunk to remove.
 
     Counting moves hashes only, added up before the shuffle, so a passage in a
-    third of all documents is one row a task. Texts of repeated chunks then meet
-    the one kept occurrence, and only equal bytes are marked.
+    third of all documents is one row a task. Then the texts of repeated chunks,
+    and only those, meet the one kept occurrence, and equal bytes are marked.
     """
-    found = _occurrences(docs, window, divisor, min_lines)
+    found = materialise(_occurrences(docs, window, divisor, min_lines), "line-chunks")
     counted = found.groupBy("hash", "n").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "code")).alias("first"))
-    repeated = materialise(counted.where("times > 1").select("hash", "n", "first"), "line-repeats")
-    texts = materialise(
-        found.join(repeated, ["hash", "n"]).select("hash", "n", "doc_id", "key", "code", "chunk", (F.struct("doc_id", "key", "code") == F.col("first")).alias("kept")),
-        "line-texts",
-    )
+    marked = found.join(counted.where("times > 1").drop("times").hint("merge"), ["hash", "n"])
+    marks = marked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "hash", "n", (F.struct("doc_id", "key", "code") == F.col("first")).alias("kept"))).alias("marks"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(marks.hint("merge"), ["doc_id", "key"])
+    rows = rows.select("doc_id", "key", "marks", F.split("text", "\n", -1).alias("lines"))
+    start, n = START.replace("c ", "m.code "), COUNT.replace("c ", "m.code ")
+    texts = F.expr(f"transform(marks, m -> struct(m.code, m.hash, m.n, m.kept, array_join(slice(lines, {start} + 1, {n}), '\n') as chunk))")
+    texts = materialise(rows.select("doc_id", "key", F.inline(texts)), "line-texts")
     kept = texts.where("kept").select("hash", "n", F.col("chunk").alias("kept_chunk")).dropDuplicates(["hash", "n"])
     others = texts.where("not kept")
-    return others.join(kept, ["hash", "n"]).where(F.col("chunk") == F.col("kept_chunk")).select("doc_id", "key", "code").distinct()
+    return others.join(kept.hint("merge"), ["hash", "n"]).where(F.col("chunk") == F.col("kept_chunk")).select("doc_id", "key", "code").distinct()
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
@@ -77,7 +76,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, m
     """
     gone = repeated_chunks(docs, window, divisor, min_lines).groupBy("doc_id", "key").agg(F.collect_set("code").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__doc_key"), "__gone")
-    rows = docs.withColumn("__key", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__doc_key")), "left")
+    rows = docs.withColumn("__key", F.xxhash64("text")).join(gone.hint("merge"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__doc_key")), "left")
     lines = F.split("text", "\n", -1)
     rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
     rows = rows.withColumn("__hashes", F.transform("__lines", lambda line: F.xxhash64(line)))
