@@ -26,10 +26,9 @@ from .words import U64, in_chunks, mix, segment
 #: miss a pair with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 SHINGLE, BANDS, ROWS = 5, 25, 5
 #: Members of a bucket, on either side, that meet at once when a bucket holds several classes.
-BLOCK = 1024
-#: Coordinates that two texts must share before their words are compared. At similarity
-#: 0.8 they share 100 of 125 on average, and fewer than 78 with probability 5e-7.
-AGREE = 78
+BLOCK = 256
+#: Shingles whose columns are compared at once there.
+COLUMNS = 4096
 #: Regions of the rank axis below 1; above, each unit is a region.
 RANKS = np.array([0, 1 / 8, 1 / 4, 1 / 2, 1.0])
 
@@ -120,55 +119,106 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sign(docs: DataFrame, multiset: bool = False) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, digest, bands, marks``: buckets, and a byte of each coordinate (null for a text without words)."""
+    """``doc_id, text`` -> ``doc_id, digest, bands`` (no bands for a text without words)."""
 
     def run(batches):
         for batch in batches:
-            texts, bands, marks = batch.column(2).to_pylist(), [], []
+            texts, bands = batch.column(2).to_pylist(), []
             for begin, end in in_chunks(texts, most=256):
                 found = shingles(texts[begin:end])
                 some = [i for i, x in enumerate(found) if len(x)]
-                signatures = dart_signatures([weighted(found[i], multiset) for i in some], BANDS * ROWS)
-                own, bytes_ = [None] * len(found), [None] * len(found)
-                for i, row, signature in zip(some, band_keys(signatures), (signatures >> U64(8)).astype(np.uint8)):
-                    own[i], bytes_[i] = row, signature.tobytes()
+                keys = band_keys(dart_signatures([weighted(found[i], multiset) for i in some], BANDS * ROWS))
+                own = [None] * len(found)
+                for i, row in zip(some, keys):
+                    own[i] = row
                 bands += own
-                marks += bytes_
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "digest", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
 
-    return docs.select("doc_id", text_digest("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, marks binary")
+    return docs.select("doc_id", text_digest("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
-def _across(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes among one block of askers and one of members whose marks agree."""
-    asks, others = pdf[pdf["ask"]], pdf[~pdf["ask"]]
-    marks = np.frombuffer(b"".join(others["marks"]), np.uint8).reshape(len(others), BANDS * ROWS)
-    nodes, classes, minor = others["node"].to_numpy(), others["class"].to_numpy(), others["minor"].to_numpy()
-    out = [np.zeros((0, 2), np.int64)]
-    for node, own, mark in zip(asks["node"], asks["class"], asks["marks"]):
+def shingle_sets(texts: DataFrame, multiset: bool) -> DataFrame:
+    """``node, text`` -> ``node, elements``: 32-bit names of the shingles, sorted; a repeat has a name of its own in a multiset."""
+
+    def run(batches):
+        for batch in batches:
+            names, out = batch.column(1).to_pylist(), []
+            for begin, end in in_chunks(names, most=256):
+                for found in shingles(names[begin:end]):
+                    elements, counts = np.unique(found, return_counts=True)
+                    if multiset:
+                        turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                        elements = mix(np.repeat(elements, counts) + turn.astype(np.uint64))
+                    out.append(np.unique((elements >> U64(16)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, elements binary")
+
+
+def shared_elements(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements every set on the left shares with every one on the right."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def cells(sets):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        known = common[at] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(at[known], kind="stable")
+        return row[known][order], at[known][order]
+
+    (row_a, at_a), (row_b, at_b) = cells(left), cells(right)
+    total = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, len(common), COLUMNS):
+        parts = []
+        for row, at, n in ((row_a, at_a, len(left)), (row_b, at_b, len(right))):
+            lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(common) - begin)), np.float32)
+            part[row[lo:hi], at[lo:hi] - begin] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _across(similarity: float):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, others = pdf[pdf["ask"]], pdf[~pdf["ask"]]
+        if not len(asks) or not len(others):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        left, right = ([np.frombuffer(x, np.uint32) for x in side["elements"]] for side in (asks, others))
+        shared = shared_elements(left, right)
+        together = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - shared
+        near = shared >= (similarity - 0.01) * together
+        near &= asks["class"].to_numpy()[:, None] != others["class"].to_numpy()
+        a, b = asks["node"].to_numpy(), others["node"].to_numpy()
         # Two askers would meet from both sides; the smaller one keeps the pair.
-        open_ = (classes != own) & (~minor | (nodes > node))
-        found = nodes[open_][(marks[open_] == np.frombuffer(mark, np.uint8)).sum(1) >= AGREE]
-        out.append(np.stack([np.maximum(found, node), np.minimum(found, node)], 1))
-    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        near &= ~others["minor"].to_numpy(bool) | (b > a[:, None])
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": np.maximum(a[i], b[j]), "b": np.minimum(a[i], b[j])})
+
+    return run
 
 
-def pairs_across(named: DataFrame, marks: DataFrame) -> DataFrame:
-    """``a, b``: pairs of one bucket but different classes whose marks agree, from ``named(bucket, node, class)``.
+def pairs_across(named: DataFrame, texts: DataFrame, similarity: float, multiset: bool = False) -> DataFrame:
+    """``a, b``: pairs of one bucket but different classes that are similar enough to verify, from ``named(bucket, node, class)``.
 
     In each bucket the members outside its largest class ask, and meet all
     members; members of one class never meet, so a bucket of one class costs
     nothing. Both sides are dealt into blocks of about BLOCK, and every pair of
-    blocks is one group, so no group grows with its bucket.
+    blocks is one group, so no group grows with its bucket. Sets of shingle
+    names are compared there, so that only near pairs leave a group.
     """
     counts = named.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
     mixed = mixed.select("bucket", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("s"), F.expr(f"cast(ceil((size + main.n) / {BLOCK}) as int)").alias("t"), F.col("main.class").alias("main"))
-    open_ = named.join(mixed, "bucket").withColumn("minor", F.col("class") != F.col("main")).join(marks, "node")
-    columns = ["bucket", "node", "class", "minor", "marks"]
-    asks = open_.where("minor").select(*columns, F.lit(True).alias("ask"), F.expr("cast(pmod(xxhash64(7, node), t) as int)").alias("p"), F.explode(F.expr("sequence(0, s - 1)")).alias("q"))
-    others = open_.select(*columns, F.lit(False).alias("ask"), F.explode(F.expr("sequence(0, t - 1)")).alias("p"), F.expr("cast(pmod(xxhash64(node), s) as int)").alias("q"))
-    return asks.unionByName(others).groupBy("bucket", "p", "q").applyInPandas(_across, "a long, b long").distinct()
+    open_ = materialise(named.join(mixed, "bucket").withColumn("minor", F.col("class") != F.col("main")), "minhash-mixed")
+    sets = shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), multiset)
+    open_ = open_.join(sets, "node")
+    columns = ["bucket", "node", "class", "minor", "elements"]
+    asks = F.when(F.col("minor"), F.expr("transform(sequence(0, s - 1), q -> struct(true as ask, cast(pmod(xxhash64(7, node), t) as int) as p, q as q))"))
+    others = F.expr("transform(sequence(0, t - 1), p -> struct(false as ask, p as p, cast(pmod(xxhash64(node), s) as int) as q))")
+    dealt = open_.select(*columns, F.inline(F.concat(others, F.coalesce(asks, F.expr("array()").cast("array<struct<ask:boolean,p:int,q:int>>")))))
+    return dealt.groupBy("bucket", "p", "q").applyInPandas(_across(similarity), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, multiset: bool = False) -> DataFrame:
@@ -209,7 +259,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = Fals
     """
     signed = materialise(sign(docs.where("doc_id is not null"), multiset), "minhash-signed")
     worded = signed.where("bands is not null")
-    unique = materialise(worded.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "minhash-unique")
+    unique = materialise(worded.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "minhash-unique")
     entries = unique.select("node", F.explode("bands").alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = materialise(entries.join(heads, "bucket"), "minhash-buckets")
@@ -221,7 +271,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = Fals
     classes = connected_components(links, "minhash-classes")
 
     named = members.where("size > 2").join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
-    rest = pairs_across(named, unique.select("node", "marks")).join(starred, ["a", "b"], "left_anti")
+    rest = pairs_across(named, texts, similarity, multiset).join(starred, ["a", "b"], "left_anti")
     more = materialise(verified(rest, texts, similarity, multiset), "minhash-links")
     if more.limit(1).count():
         classes = connected_components(links.unionByName(more), "minhash-classes")
