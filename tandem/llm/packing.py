@@ -27,8 +27,12 @@ CAPACITY = 2048
 GROUP_PIECES = 20_000
 #: Fixed value: how the vocabulary's pre-tokeniser splits words.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+#: Fixed value: the marks that canonical composition joins to ASCII letters.
+COMBINING = regex.compile("[\u0300-\u036f]").search
 #: Words and pieces a worker remembers before it starts afresh; results never depend on it.
 MEMO_ENTRIES = 600_000
+#: What stands between pieces that are tokenised together, and how many those are.
+MARK, JOINED = "|", 256
 SCHEMA_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,8 +40,9 @@ class WordTokenizer:
     """Token ids of whole texts; equal words are tokenised once.
 
     Splitting at ASCII white space is safe: the vocabulary drops white space and
-    no piece reaches over it. Only ASCII words are lower-cased here, so that the
-    tokenizer's own normalisation decides everything else.
+    no piece reaches over it. Only ASCII letters are lower-cased here, and none that
+    a combining mark may join, so that the tokenizer's own normalisation decides
+    everything else.
     """
 
     def __init__(self, path: str):
@@ -45,6 +50,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -55,21 +61,42 @@ class WordTokenizer:
             self.pieces.clear()
         # An ASCII word falls into pieces exactly as the vocabulary splits it; any other is one piece here.
         split = [PIECES(w.decode()) if w.isascii() else [w.decode()] for w in words]
-        new = list({p for parts in split for p in parts if p not in self.pieces})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[piece] = np.array(found.ids, "<u4").tobytes()
+        new = {p for parts in split for p in parts if p not in self.pieces}
+        self.pieces.update(self.tokenise([p for p in new if MARK not in p]))
+        for p in new:
+            if MARK in p:
+                self.pieces[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
         for word, parts in zip(words, split):
             self.words[word] = b"".join([self.pieces[p] for p in parts])
 
+    def tokenise(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Many pieces in one string, with a mark between them whose single id parts the ids again."""
+        joined = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(some) for some in joined], add_special_tokens=False)
+        for some, encoding in zip(joined, found):
+            ids = np.array(encoding.ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the mark is not one token of its own")
+            yield from zip(some, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)])
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [[w.lower() if w.isascii() else w for w in (t or "").encode().split()] for t in texts]
-        if new := {w for words in split for w in words if w not in self.words}:
+        split = [self.split(t or "") for t in texts]
+        if new := set().union(*split).difference(self.words):
             self.learn(list(new))
-            if missing := [w for words in split for w in words if w not in self.words]:
-                self.learn(list(set(missing)))  # the memo was emptied meanwhile
+            if missing := set().union(*split).difference(self.words):
+                self.learn(list(missing))  # the memo was emptied meanwhile
         for words in split:
-            yield b"".join([self.words[w] for w in words])
+            yield b"".join(map(self.words.__getitem__, words))
+
+    @staticmethod
+    def split(text: str) -> list[bytes]:
+        """Words in ASCII lower case; where a text has combining marks, only its ASCII words are."""
+        raw = text.encode()
+        if raw.isascii() or not COMBINING(text):
+            return raw.lower().split()
+        return [w.lower() if w.isascii() else w for w in raw.split()]
 
 
 @lru_cache(maxsize=1)
