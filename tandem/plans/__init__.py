@@ -1,8 +1,7 @@
 """Registered queries: compositions of the operators over the driver's tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import items, pairs, records
+from .items import knn_cosine
+from .registry import ORACLES, QUERIES
 
-
-def knn_cosine(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "items", "knn_cosine", "pairs", "records"]

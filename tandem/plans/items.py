@@ -107,7 +107,7 @@ def knn_dual_disjoint(spark, sf_dir):
     return knn.nearest_pair(S.items(spark, sf_dir), left, right)
 
 
-@query("""WITH m AS (SELECT list_transform(list_zip(a.vec, b.vec), p -> (p[1] + p[2]) / 2) AS mid FROM items a, items b WHERE a.sequence = 1 AND b.sequence = 3)
+@query("""WITH m AS (SELECT list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] + p[2]) / 2) AS mid FROM items a, items b WHERE a.sequence = 1 AND b.sequence = 3)
     SELECT id, round(1 - list_cosine_similarity(vec, mid), 6) AS distance FROM items, m WHERE orient = 'v' AND sequence NOT IN (1, 3) ORDER BY distance, id LIMIT 20""", "items")
 def knn_midpoint(spark, sf_dir):
     one, two, _ = _first(spark, sf_dir)
@@ -126,7 +126,7 @@ def rerank_list(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT a.id, b.id AS match_id, (1 - list_inner_product(a.v, a.v)) AS x, (1 - list_inner_product(b.v, b.v)) AS y, list_distance(a.v, b.v) AS e
-      FROM (SELECT id, orient, list_transform(vec_l, x -> x / 2) AS v FROM items) a JOIN (SELECT id, orient, list_transform(vec_r, x -> x / 2) AS v FROM items) b ON a.id <> b.id AND a.orient = 'v' AND b.orient = 'v'),
+      FROM (SELECT id, orient, list_transform(vec_l, lambda x: x / 2) AS v FROM items) a JOIN (SELECT id, orient, list_transform(vec_r, lambda x: x / 2) AS v FROM items) b ON a.id <> b.id AND a.orient = 'v' AND b.orient = 'v'),
     p AS (SELECT id, match_id, round(acosh(greatest(1.0, 1 + 2 * e * e / (greatest(1e-6, x) * greatest(1e-6, y)))), 6) AS distance FROM d)
     SELECT id, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match_id) AS n FROM p) WHERE n = 1""", "items")
 def min_vector_match(spark, sf_dir):
@@ -135,8 +135,8 @@ def min_vector_match(spark, sf_dir):
     return knn.best_match(rows.select("id", half("vec_l").alias("vec")), rows.select("id", half("vec_r").alias("vec")))
 
 
-@query("""SELECT id, round(list_sum(list_transform(range(8), i -> folded[i + 1] * (i + 1))), 6) AS weighted, round(folded[1], 6) AS first_value FROM
-    (SELECT id, list_transform(range(16), i -> (vec[i + 1] + vec[i + 17] + vec[i + 33] + vec[i + 49]) / 4) AS folded FROM items)""", "items")
+@query("""SELECT id, round(list_sum(list_transform(range(8), lambda i: folded[i + 1] * (i + 1))), 6) AS weighted, round(folded[1], 6) AS first_value FROM
+    (SELECT id, list_transform(range(16), lambda i: (vec[i + 1] + vec[i + 17] + vec[i + 33] + vec[i + 49]) / 4) AS folded FROM items)""", "items")
 def vector_fold(spark, sf_dir):
     f = S.items(spark, sf_dir).select("id", V.fold(F.col("vec"), 4).alias("f"))
     weighted = F.aggregate(F.transform(F.slice("f", 1, 8), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)

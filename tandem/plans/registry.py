@@ -15,7 +15,7 @@ INPUTS = {
         CAST(greatest(0, least(255, round((vec[3] + 1) * 127.5))) AS INTEGER) AS b,
         CAST(round((vec[4] + 1) * 50) AS INTEGER) AS ll, CAST(round(vec[5] * 100) AS INTEGER) AS aa, CAST(round(vec[6] * 100) AS INTEGER) AS bb,
         vec_id % 3 = 0 AS people, vec_id % 7 = 0 AS face, CAST(vec_id * 7919 % 1000 AS BIGINT) AS sum_d0,
-        vec, vec[1:32] AS vec_l, vec[33:64] AS vec_r, list_transform(vec, x -> abs(x)) AS histo
+        vec, vec[1:32] AS vec_l, vec[33:64] AS vec_r, list_transform(vec, lambda x: abs(x)) AS histo
         FROM (SELECT *, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)""",
     "canon": """SELECT a.id AS id1, b.id AS id2, a.orient, a.sequence AS seq1, b.sequence AS seq2 FROM items a JOIN items b ON a.orient = b.orient AND a.sequence < b.sequence""",
     "pairs": """SELECT a.id AS id1, b.id AS id2, a.orient, a.sequence AS seq1, b.sequence AS seq2,
