@@ -62,7 +62,7 @@ QUERIES = {f.__name__: f for f in (op1_shard, op2_bpe, op3_minhash, op4_topk, op
 ORACLES = {
     "op4_topk": """
         WITH q AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
             FROM embeddings WHERE vec_id IS NOT NULL
         ), s AS (
             SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
