@@ -181,7 +181,7 @@ def shared_elements(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarr
 
 
 def _across(similarity: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         asks, others = pdf[pdf["ask"]], pdf[~pdf["ask"]]
         if not len(asks) or not len(others):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
