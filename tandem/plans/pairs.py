@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandem.functions import vectors as V
-from tandem.operators import matrix, pairs, ranked, topk
+from tandem.operators import blocks, matrix, pairs, ranked, topk
 from tandem.sources import tables as S
 
 from .registry import query
@@ -41,10 +41,8 @@ def _one(spark, sf_dir, sequence=1):
 @query("""SELECT a.id AS id1, b.id AS id2, a.orient, round(list_cosine_similarity(a.vec, b.vec), 6) AS cosine, round(list_distance(a.vec, b.vec), 6) AS distance,
     CAST(floor((1 + list_inner_product(a.vec_l, b.vec_r)) * 1e6) AS BIGINT) AS d012 FROM items a JOIN items b ON a.orient = b.orient AND a.sequence < b.sequence""", "items")
 def all_pairs_metrics(spark, sf_dir):
-    p = pairs.ordered_pairs(S.items(spark, sf_dir).select("id", "sequence", "orient", "vec", "vec_l", "vec_r"), "orient", "sequence")
-    a, b = F.col("vec_1"), F.col("vec_2")
-    return p.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), "orient", F.round(V.cosine_similarity(a, b), 6).alias("cosine"), F.round(V.cartesian(a, b), 6).alias("distance"),
-                    F.floor((1.0 + V.dot(F.col("vec_l_1"), F.col("vec_r_2"))) * 1e6).cast("long").alias("d012"))
+    p = blocks.pair_metrics(S.items(spark, sf_dir))
+    return p.select("id1", "id2", "orient", F.round("cosine", 6).alias("cosine"), F.round("distance", 6).alias("distance"), "d012")
 
 
 @query("SELECT id, other, value FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY value DESC) AS n FROM sides) WHERE n <= 11", "sides")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tandem.functions import colours as C
 from tandem.functions import text as T
 from tandem.functions import vectors as V
-from tandem.operators import activity, knn, labels, pairs, ranked, topk
+from tandem.operators import activity, blocks, knn, labels, pairs, ranked, topk
 from tandem.sources import files
 
 
@@ -67,6 +67,20 @@ def test_all_pairs_are_complete_for_any_blocks(spark):
         assert pairs.ordered_pairs(items, "g", "k", blocks).count() == len(got)
 
 
+def test_block_metrics_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"1/{i}", i, "vh"[i % 2], rng.normal(size=4).tolist() if i else [0.0] * 4) for i in range(21)]
+    items = spark.createDataFrame(rows, "id string, sequence int, orient string, vec array<double>").withColumns({"vec_l": F.slice("vec", 1, 2), "vec_r": F.slice("vec", 3, 2)})
+    for size in (4, 100):
+        got = {(r["seq1"], r["seq2"]): r for r in blocks.pair_metrics(items, size).collect()}
+        assert set(got) == {(a, b) for a in range(21) for b in range(a + 1, 21) if (a - b) % 2 == 0}
+        for (a, b), r in got.items():
+            x, y = np.array(rows[a][3]), np.array(rows[b][3])
+            assert r["distance"] == pytest.approx(np.linalg.norm(x - y)) and r["d012"] == math.floor((1 + x[:2] @ y[2:]) * 1e6) and r["d021"] == math.floor((1 + y[:2] @ x[2:]) * 1e6)
+            assert r["cosine"] == pytest.approx(x @ y / np.linalg.norm(x) / np.linalg.norm(y) if a else 1.0)
+    assert blocks.pair_metrics(items.where("false")).count() == 0
+
+
 def test_quota_matches_the_rule(spark):
     rng = random.Random(3)
     rows = [(f"{a % 3}/{a}", f"{b % 3}/{b}", rng.randrange(20)) for a in range(12) for b in range(12) if a != b]
