@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bit-sliced block and queries that meet it at once; they bound a task's memory.
-BLOCK_ROWS, BLOCK_QUERIES = 65_536, 64
+BLOCK_ROWS, BLOCK_QUERIES = 32_768, 256
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
