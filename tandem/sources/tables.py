@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.operators.blocks import pair_metrics
 from tandem.operators.pairs import ordered_pairs
 
 EPOCH = "2024-01-01 00:00:00"
@@ -48,17 +49,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All canonical pairs of one orientation with both directional scores."""
-    from tandem.functions.vectors import dot
-
-    both = ordered_pairs(items(spark, sf_dir).select("id", "sequence", "orient", "vec_l", "vec_r"), "orient", "sequence")
-    def score(left: str, right: str) -> Column:
-        return F.floor((1.0 + dot(F.col(left), F.col(right))) * 1e6).cast("long")
-
-    return both.select(
-        F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), "orient",
-        F.col("sequence_1").alias("seq1"), F.col("sequence_2").alias("seq2"),
-        score("vec_l_1", "vec_r_2").alias("d012"), score("vec_l_2", "vec_r_1").alias("d021"),
-    )
+    rows = items(spark, sf_dir).select("id", "sequence", "orient", "vec", "vec_l", "vec_r")
+    return pair_metrics(rows).select("id1", "id2", "orient", "seq1", "seq2", "d012", "d021")
 
 
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
