@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tandem.functions import colours as C
 from tandem.functions import text as T
 from tandem.functions import vectors as V
-from tandem.operators import activity, blocks, knn, labels, pairs, ranked, topk
+from tandem.operators import activity, blocks, keywords, knn, labels, pairs, ranked, topk
 from tandem.sources import files
 
 
@@ -161,3 +162,19 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "b").write_text("x z 1 2\n")
     with pytest.raises(Exception, match="not in every file"):
         files.read_pair_lines(spark, [f"file://{tmp_path}/a", f"file://{tmp_path}/b"]).collect()
+
+
+def test_overlap_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "PROFILE_BLOCK", 3)
+    sets = [("red ring",) * 9, ("red bolt",) * 7, ("ring", "only"), ("blue",)]
+    texts = [t for group in sets for t in group]
+    tokens = [(i, c, w) for i, t in enumerate(texts) for c, w in [("k", w) for w in t.split()] + ([("other", "red")] if i % 5 == 0 else [])]
+    got = {(r["id1"], r["id2"]): r for r in keywords.overlap(spark.createDataFrame(tokens, "id int, coder string, word string")).collect()}
+    own = {i: {(c, w) for j, c, w in tokens if j == i} for i in range(len(texts))}
+    n = Counter(w for _, _, w in tokens)
+    want = {(a, b): own[a] & own[b] for a in own for b in own if a < b and own[a] & own[b]}
+    assert set(got) == set(want)
+    for key, shared in want.items():
+        assert got[key]["matches"] == len(shared)
+        assert got[key]["score"] == pytest.approx(sum(n[w] ** -5.0 for _, w in shared), abs=1e-8)
+        assert got[key]["ratio"] == int(len(shared) * 1000 / math.sqrt(len(own[key[0]]) * len(own[key[1]])))
