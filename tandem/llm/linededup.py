@@ -5,7 +5,10 @@ is divisible by DIVISOR, so boundaries move with the content and an inserted
 line changes only the chunks next to it. A chunk of at least MIN_LINES lines
 that occurs more than once in the corpus is kept at its first occurrence (by
 doc_id, then place) and removed elsewhere, once its bytes have been compared
-with those of the kept one.
+with those of the kept one. A repeated passage rarely starts and ends at
+boundaries, so a removed chunk then grows into the chunks beside it, line by
+line, as far as the lines beside the kept one are the same bytes. What is
+removed always stands at an earlier place too, so one copy of it stays.
 """
 
 from __future__ import annotations
@@ -29,41 +32,58 @@ def _chunk_codes(hashes: str, window: int, divisor: int) -> Column:
     )
 
 
+#: The first line and the number of lines in a code ``c``.
 START, COUNT = "cast(c div 4294967296 as int)", "cast(c % 4294967296 as int)"
 
 
-def _chunked(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    rows = docs.withColumn("__hashes", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: F.xxhash64(line)))
-    return rows.withColumn("__codes", _chunk_codes("__hashes", window, divisor)).withColumn("__key", F.xxhash64("text"))
-
-
 def _occurrences(docs: DataFrame, window: int, divisor: int, min_lines: int) -> DataFrame:
-    """``doc_id, key, code, hash, n`` of each multi-line chunk; no text."""
-    rows = _chunked(docs.select("doc_id", "text").where("text is not null and doc_id is not null"), window, divisor)
+    """``doc_id, key, code, hash, n`` of each multi-line chunk, and the lines ``before`` and ``after`` it in the chunks beside it; no text."""
+    rows = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), F.transform(F.split("text", "\n", -1), lambda line: F.xxhash64(line)).alias("hashes"))
+    rows = rows.withColumn("codes", _chunk_codes("hashes", window, divisor))
     # Hashes are taken inside the array, so that exploding copies one chunk a row and not its whole document.
-    chunks = F.expr(f"transform(filter(__codes, c -> {COUNT} >= {min_lines}), c -> struct(c as code, xxhash64(slice(__hashes, {START} + 1, {COUNT})) as hash, {COUNT} as n))")
-    return rows.select("doc_id", F.col("__key").alias("key"), F.inline(chunks))
+    beside = "cast(coalesce(get(codes, k {} 1) % 4294967296, 0) as int)"
+    chunks = f"transform(codes, (c, k) -> struct(c as code, xxhash64(slice(hashes, {START} + 1, {COUNT})) as hash, {COUNT} as n, {beside.format('-')} as before, {beside.format('+')} as after))"
+    return rows.select("doc_id", "key", F.inline(F.expr(f"filter({chunks}, x -> x.n >= {min_lines})")))
+
 
+def _agreement(one: str, other: str, backward: bool) -> Column:
+    """How many lines of two arrays agree, from the end or from the start, before the first that differ."""
+    most = f"least(size({one}), size({other}))"
+    at = "element_at({}, -1 - i)" if backward else "get({}, i)"
+    differ = f"filter(sequence(0, {most} - 1), i -> {at.format(one)} <> {at.format(other)})"
+    return F.expr(f"if({most} = 0, 0, coalesce(get({differ}, 0), {most}))")
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id, key, code`` of every chunk to remove.
+
+def repeated_passages(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+    """``doc_id, key, code`` of every passage to remove: a repeated chunk and the lines around it that repeat with it.
 
     Counting moves hashes only, added up before the shuffle, so a passage in a
     third of all documents is one row a task. Then the texts of repeated chunks,
     and only those, meet the one kept occurrence, and equal bytes are marked.
+    Lines beside a chunk go with it where their own chunk is not repeated.
     """
     found = materialise(_occurrences(docs, window, divisor, min_lines), "line-chunks")
     counted = found.groupBy("hash", "n").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "code")).alias("first"))
     marked = found.join(counted.where("times > 1").drop("times").hint("merge"), ["hash", "n"])
-    marks = marked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "hash", "n", (F.struct("doc_id", "key", "code") == F.col("first")).alias("kept"))).alias("marks"))
+    mark = F.struct("code", "hash", "n", "before", "after", (F.struct("doc_id", "key", "code") == F.col("first")).alias("kept"))
+    marks = marked.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(marks.hint("merge"), ["doc_id", "key"])
     rows = rows.select("doc_id", "key", "marks", F.split("text", "\n", -1).alias("lines"))
-    start, n = START.replace("c ", "m.code "), COUNT.replace("c ", "m.code ")
-    texts = F.expr(f"transform(marks, m -> struct(m.code, m.hash, m.n, m.kept, array_join(slice(lines, {start} + 1, {n}), '\n') as chunk))")
+    start = START.replace("c ", "m.code ")
+    ends = f"{START} + {COUNT}".replace("c ", "get(marks, k - 1).code ")
+    begins = START.replace("c ", "get(marks, k + 1).code ")
+    head = f"if(not m.kept and coalesce({ends} = {start}, false), 0, m.before)"
+    tail = f"if(not m.kept and coalesce({begins} = {start} + m.n, false), 0, m.after)"
+    texts = F.expr(
+        f"transform(marks, (m, k) -> struct(m.code, m.hash, m.n, m.kept, array_join(slice(lines, {start} + 1, m.n), '\n') as chunk, "
+        f"slice(lines, {start} + 1 - {head}, {head}) as head, slice(lines, {start} + m.n + 1, {tail}) as tail))"
+    )
     texts = materialise(rows.select("doc_id", "key", F.inline(texts)), "line-texts")
-    kept = texts.where("kept").select("hash", "n", F.col("chunk").alias("kept_chunk")).dropDuplicates(["hash", "n"])
-    others = texts.where("not kept")
-    return others.join(kept.hint("merge"), ["hash", "n"]).where(F.col("chunk") == F.col("kept_chunk")).select("doc_id", "key", "code").distinct()
+    kept = texts.where("kept").select("hash", "n", *[F.col(c).alias(f"kept_{c}") for c in ("chunk", "head", "tail")]).dropDuplicates(["hash", "n"])
+    same = texts.where("not kept").join(kept.hint("merge"), ["hash", "n"]).where(F.col("chunk") == F.col("kept_chunk"))
+    grown = same.select("doc_id", "key", "code", _agreement("head", "kept_head", True).alias("up"), _agreement("tail", "kept_tail", False).alias("down"))
+    return grown.select("doc_id", "key", F.expr("code - up * 4294967296L + up + down").alias("code")).distinct()
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
@@ -74,19 +94,20 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, m
     chunk is removed becomes empty. Rows equal in doc_id and text count as one
     document, so they get the same result; rows without a doc_id keep their text.
     """
-    gone = repeated_chunks(docs, window, divisor, min_lines).groupBy("doc_id", "key").agg(F.collect_set("code").alias("__gone"))
+    gone = repeated_passages(docs, window, divisor, min_lines).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("code")).alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__doc_key"), "__gone")
     rows = docs.withColumn("__key", F.xxhash64("text")).join(gone.hint("merge"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__doc_key")), "left")
-    lines = F.split("text", "\n", -1)
-    rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
-    rows = rows.withColumn("__hashes", F.transform("__lines", lambda line: F.xxhash64(line)))
-    rows = rows.withColumn("__left", F.array_except(_chunk_codes("__hashes", window, divisor), "__gone"))
-    clean = "array_join(flatten(transform(__left, c -> slice(__lines, cast(c div 4294967296 as int) + 1, cast(c % 4294967296 as int)))), '\n')"
-    out = [F.expr(f"if(__gone is null, text, {clean})").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1)))
+    # Sorted passages may overlap but end in the order in which they start, so what stays lies between neighbours.
+    begin = START.replace("c ", "get(__gone, i) ")
+    end = f"{START} + {COUNT}".replace("c ", "get(__gone, i - 1) ")
+    left = f"transform(sequence(0, size(__gone)), i -> slice(__lines, coalesce({end}, 0) + 1, greatest(0, coalesce({begin}, size(__lines)) - coalesce({end}, 0))))"
+    rows = rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), F.flatten(F.expr(left))))
+    out = [F.expr("if(__gone is null, text, array_join(__left, '\n'))").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(
         *out,
         F.expr("if(__gone is null, 0, size(__gone))").alias("removed_chunks"),
-        F.expr("coalesce(cast(aggregate(__gone, 0L, (s, c) -> s + c % 4294967296) as int), 0)").alias("removed_lines"),
+        F.expr("if(__gone is null, 0, size(__lines) - size(__left))").alias("removed_lines"),
     )
 
 

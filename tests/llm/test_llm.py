@@ -153,12 +153,34 @@ def test_lines(spark):
     got = {r["doc_id"]: r for r in linededup.dedup_lines(frame).collect() if r["doc_id"]}
     assert got[10]["text"] == rows[0][1] and got[1]["text"] is None and got[2]["text"] == ""
     for i, text in rows[1:]:
-        # all but the chunks at the edges of the passage is gone, and the own lines stay
-        assert got[i]["removed_lines"] >= 30 and got[i]["text"].split("\n")[0] == text.split("\n")[0] and got[i]["text"].split("\n")[-1] == text.split("\n")[-1]
+        # the passage is gone, but for a line at either edge, and the own lines stay
+        assert got[i]["removed_lines"] >= 38 and got[i]["text"].split("\n")[0] == text.split("\n")[0] and got[i]["text"].split("\n")[-1] == text.split("\n")[-1]
     assert set(frame.columns) < set(linededup.dedup_lines(frame).columns)
     assert linededup.dedup_lines(frame.where("false")).count() == 0
 
 
+def test_lines_removed_stay_elsewhere(spark):
+    rng = random.Random(8)
+    stock = [f"line {n}" for n in range(60)] + [""]
+    texts = {}
+    for i in range(150):
+        parts = [f"own {i} {j}" for j in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(50)
+            parts[rng.randint(0, len(parts)) : 0] = [rng.choice(stock)] if rng.random() < 0.3 else stock[a : a + rng.randint(2, 12)]
+        texts[i] = "\n".join(parts)
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(r["removed_lines"] for r in got.values()) > 300
+    # no line is lost everywhere, and what stays keeps its order
+    assert {x for t in texts.values() for x in t.split("\n")} | {""} == {x for r in got.values() for x in r["text"].split("\n")} | {""}
+    for i, text in texts.items():
+        lines, rest = text.split("\n"), got[i]["text"].split("\n") if got[i]["removed_lines"] < text.count("\n") + 1 else []
+        assert len(lines) - len(rest) == got[i]["removed_lines"]
+        at = iter(lines)
+        assert all(x in at for x in rest)
+        assert [x for x in lines if x.startswith("own")] == [x for x in rest if x.startswith("own")]
+
+
 def test_vectors(spark):
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     x = np.array([v for _, v in rows], float)
