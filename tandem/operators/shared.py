@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -15,3 +16,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
+
+
+def numbered(rows: DataFrame, group: str, *order: str, name: str = "place") -> DataFrame:
+    """Number the rows of each group from 0 in a total order, without one task holding a group.
+
+    A range exchange on group and order deals the rows, each partition numbers
+    its own, and the counts of the partitions before it (one row a partition and
+    group) are added. ``group`` is not null.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(rows.repartitionByRange(n, group, *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = counts.select(group, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1
+    return dealt.join(before, [group, "__part"]).withColumn(name, F.col("__before") + own).drop("__part", "__before")

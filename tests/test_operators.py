@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tandem.functions import colours as C
 from tandem.functions import text as T
 from tandem.functions import vectors as V
-from tandem.operators import activity, blocks, keywords, knn, labels, pairs, ranked, topk
+from tandem.operators import activity, blocks, keywords, knn, labels, pairs, ranked, search, topk
 from tandem.sources import files
 
 
@@ -178,3 +178,18 @@ def test_overlap_over_blocks(spark, monkeypatch):
         assert got[key]["matches"] == len(shared)
         assert got[key]["score"] == pytest.approx(sum(n[w] ** -5.0 for _, w in shared), abs=1e-8)
         assert got[key]["ratio"] == int(len(shared) * 1000 / math.sqrt(len(own[key[0]]) * len(own[key[1]])))
+
+
+def test_circles(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k, (x, y, r, noise, arc) in enumerate([(3, -4, 10, 0, 6.28), (500, 200, 80, 0, 1.5), (0, 0, 20, 0.5, 6.28)]):
+        angle = rng.uniform(0, arc, 400)
+        far = r + rng.normal(0, noise, 400) if noise else r
+        rows += [(k, float(a), float(b)) for a, b in zip(x + far * np.cos(angle), y + far * np.sin(angle))]
+    rows += [(7, float(i), 2.0 * i) for i in range(9)] + [(8, 1.0, 1.0)] * 3 + [(9, None, 1.0)]
+    got = {r["k"]: r for r in search.fit_circles(spark.createDataFrame(rows, "k int, x double, y double"), "k").collect()}
+    for k, want in ((0, (3, -4, 10)), (1, (500, 200, 80))):
+        assert (got[k]["x"], got[k]["y"], got[k]["radius"]) == pytest.approx(want, abs=1e-5) and got[k]["rms"] < 1e-4
+    assert (got[2]["x"], got[2]["y"], got[2]["radius"]) == pytest.approx((0, 0, 20), abs=0.15) and got[2]["rms"] == pytest.approx(0.5, abs=0.1)
+    assert got[7]["radius"] is None and got[8]["radius"] is None and 9 not in got
