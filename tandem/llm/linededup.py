@@ -1,104 +1,81 @@
-"""Removal of repeated passages by content-defined chunks of lines. Native functions only.
-
-A boundary follows a line when a rolling hash over the last WINDOW line hashes
-is divisible by DIVISOR, so boundaries move with the content and an inserted
-line changes only the chunks next to it. A chunk of at least MIN_LINES lines
-that occurs more than once in the corpus is kept at its first occurrence (by
-doc_id, then place) and removed elsewhere, once its bytes have been compared
-with those of the kept one. A repeated passage rarely starts and ends at
-boundaries, so a removed chunk then grows into the chunks beside it, line by
-line, as far as the lines beside the kept one are the same bytes. What is
-removed always stands at an earlier place too, so one copy of it stays.
+"""Removal of repeated passages by chunks of lines that the content alone defines. Native functions only.
+
+One boundary rule finds a passage only where both ends of a chunk fall inside
+it. So the chunks of all rules are counted, by their smallest: each pair of
+lines that follow one another, which the rule that cuts before the one line
+and after the other gives, and each single line of more than LONG_WORDS words.
+A longer chunk repeats exactly where all its pairs do. A chunk that occurs more
+than once in the corpus is kept at its first occurrence (by doc_id, then place)
+and removed elsewhere, so every run of two or more lines that stands at an
+earlier place goes whole. What is removed always stands at an earlier place
+too, so one copy of each line stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
-
-
-def _chunk_codes(hashes: str, window: int, divisor: int) -> Column:
-    """From an array of line hashes, each chunk's first line (from 0) times 2^32 plus its number of lines."""
-    rolling = "xxhash64(" + ", ".join(f"get({hashes}, i - {k})" for k in range(window)) + ")"
-    ends = f"filter(sequence(0L, size({hashes}) - 1L), i -> i = size({hashes}) - 1 or (i >= {window - 1} and pmod({rolling}, {divisor}) = 0))"
-    ends = ends.replace("i - ", "cast(i as int) - ")
-    return F.expr(
-        f"transform(array({ends}), e -> transform(e, (x, k) -> "
-        "if(k = 0, x + 1, (get(e, k - 1) + 1) * 4294967296 + x - get(e, k - 1))))[0]"
-    )
-
+#: A single line of more words than this is a passage of its own.
+LONG_WORDS = 50
 
 #: The first line and the number of lines in a code ``c``.
 START, COUNT = "cast(c div 4294967296 as int)", "cast(c % 4294967296 as int)"
 
 
-def _occurrences(docs: DataFrame, window: int, divisor: int, min_lines: int) -> DataFrame:
-    """``doc_id, key, code, hash, n`` of each multi-line chunk, and the lines ``before`` and ``after`` it in the chunks beside it; no text."""
+def _occurrences(docs: DataFrame, long_words: int) -> DataFrame:
+    """``doc_id, key, at, n, a, b`` of each chunk of ``n`` lines from line ``at`` on (from 0), with the hashes of its lines; no text."""
     rows = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), F.transform(F.split("text", "\n", -1), lambda line: F.xxhash64(line)).alias("hashes"))
-    rows = rows.withColumn("codes", _chunk_codes("hashes", window, divisor))
-    # Hashes are taken inside the array, so that exploding copies one chunk a row and not its whole document.
-    beside = "cast(coalesce(get(codes, k {} 1) % 4294967296, 0) as int)"
-    chunks = f"transform(codes, (c, k) -> struct(c as code, xxhash64(slice(hashes, {START} + 1, {COUNT})) as hash, {COUNT} as n, {beside.format('-')} as before, {beside.format('+')} as after))"
-    return rows.select("doc_id", "key", F.inline(F.expr(f"filter({chunks}, x -> x.n >= {min_lines})")))
+    # Each word but the last takes two characters at least, so short lines need no pattern; without the anchor it is tried at every character.
+    long = f"length(line) > {2 * long_words} and line rlike '^\\\\s*+(?:\\\\S++\\\\s++){{{long_words}}}\\\\S'"
+    lines = f"transform(split(text, '\n', -1), line -> struct(xxhash64(line) as h, {long} as long))"
+    pairs = "transform(slice(e, 2, size(e)), (y, i) -> struct(i as at, 2 as n, get(e, i).h as a, y.h as b))"
+    single = "filter(transform(e, (x, i) -> if(x.long, struct(i as at, 1 as n, x.h as a, 0L as b), null)), x -> x is not null)"
+    # The lines are bound to a lambda's name, or they would be split and hashed again for each use.
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), F.inline(F.expr(f"transform(array({lines}), e -> concat({pairs}, {single}))[0]")))
 
 
-def _agreement(one: str, other: str, backward: bool) -> Column:
-    """How many lines of two arrays agree, from the end or from the start, before the first that differ."""
-    most = f"least(size({one}), size({other}))"
-    at = "element_at({}, -1 - i)" if backward else "get({}, i)"
-    differ = f"filter(sequence(0, {most} - 1), i -> {at.format(one)} <> {at.format(other)})"
-    return F.expr(f"if({most} = 0, 0, coalesce(get({differ}, 0), {most}))")
+def _ambiguous(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``h``: hashes that stand for lines of different bytes, among the lines of the chunks in ``marked``."""
+    places = marked.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(at, at + n - 1)")))).alias("places"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(places.hint("merge"), ["doc_id", "key"])
+    lines = rows.select(F.explode(F.expr("transform(array(split(text, '\\n', -1)), e -> transform(places, i -> get(e, i)))[0]")).alias("line"))
+    return lines.select(F.xxhash64("line").alias("h"), "line").distinct().groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id, key, code`` of every passage to remove: a repeated chunk and the lines around it that repeat with it.
+def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """``doc_id, key, code`` of every chunk to remove.
 
     Counting moves hashes only, added up before the shuffle, so a passage in a
-    third of all documents is one row a task. Then the texts of repeated chunks,
-    and only those, meet the one kept occurrence, and equal bytes are marked.
-    Lines beside a chunk go with it where their own chunk is not repeated.
+    third of all documents is one row a task. Then the bytes of the lines in
+    repeated chunks are compared: distinct lines meet by hash, and a chunk with
+    a hash of two different lines is not removed.
     """
-    found = materialise(_occurrences(docs, window, divisor, min_lines), "line-chunks")
-    counted = found.groupBy("hash", "n").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "code")).alias("first"))
-    marked = found.join(counted.where("times > 1").drop("times").hint("merge"), ["hash", "n"])
-    mark = F.struct("code", "hash", "n", "before", "after", (F.struct("doc_id", "key", "code") == F.col("first")).alias("kept"))
-    marks = marked.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(marks.hint("merge"), ["doc_id", "key"])
-    rows = rows.select("doc_id", "key", "marks", F.split("text", "\n", -1).alias("lines"))
-    start = START.replace("c ", "m.code ")
-    ends = f"{START} + {COUNT}".replace("c ", "get(marks, k - 1).code ")
-    begins = START.replace("c ", "get(marks, k + 1).code ")
-    head = f"if(not m.kept and coalesce({ends} = {start}, false), 0, m.before)"
-    tail = f"if(not m.kept and coalesce({begins} = {start} + m.n, false), 0, m.after)"
-    texts = F.expr(
-        f"transform(marks, (m, k) -> struct(m.code, m.hash, m.n, m.kept, array_join(slice(lines, {start} + 1, m.n), '\n') as chunk, "
-        f"slice(lines, {start} + 1 - {head}, {head}) as head, slice(lines, {start} + m.n + 1, {tail}) as tail))"
-    )
-    texts = materialise(rows.select("doc_id", "key", F.inline(texts)), "line-texts")
-    kept = texts.where("kept").select("hash", "n", *[F.col(c).alias(f"kept_{c}") for c in ("chunk", "head", "tail")]).dropDuplicates(["hash", "n"])
-    same = texts.where("not kept").join(kept.hint("merge"), ["hash", "n"]).where(F.col("chunk") == F.col("kept_chunk"))
-    grown = same.select("doc_id", "key", "code", _agreement("head", "kept_head", True).alias("up"), _agreement("tail", "kept_tail", False).alias("down"))
-    return grown.select("doc_id", "key", F.expr("code - up * 4294967296L + up + down").alias("code")).distinct()
+    found = _occurrences(docs, long_words)
+    counted = found.groupBy("n", "a", "b").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "at")).alias("first"))
+    marked = found.join(counted.where("times > 1").drop("times").hint("merge"), ["n", "a", "b"])
+    marked = marked.select("doc_id", "key", "at", "n", "a", "b", (F.struct("doc_id", "key", "at") == F.col("first")).alias("kept"))
+    marked = materialise(marked, "line-chunks")
+    unsure = materialise(_ambiguous(docs, marked), "line-hashes")
+    gone = marked.where("not kept").join(unsure, F.col("a") == F.col("h"), "left_anti").join(unsure, (F.col("n") == 2) & (F.col("b") == F.col("h")), "left_anti")
+    return gone.select("doc_id", "key", F.expr("at * 4294967296L + n").alias("code"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with ``text`` cleaned, plus ``removed_chunks`` and ``removed_lines``.
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """``docs`` with ``text`` cleaned, plus ``removed_chunks`` (unbroken runs of removed lines) and ``removed_lines``.
 
     All columns and rows stay (also clashing names: only ``doc_id`` and ``text``
     are read). A null text stays null and an empty one empty; a text whose every
     chunk is removed becomes empty. Rows equal in doc_id and text count as one
     document, so they get the same result; rows without a doc_id keep their text.
     """
-    gone = repeated_passages(docs, window, divisor, min_lines).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("code")).alias("__gone"))
+    gone = repeated_passages(docs, long_words).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("code")).alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__doc_key"), "__gone")
     rows = docs.withColumn("__key", F.xxhash64("text")).join(gone.hint("merge"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__doc_key")), "left")
     rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1)))
-    # Sorted passages may overlap but end in the order in which they start, so what stays lies between neighbours.
+    # Sorted chunks may overlap but end in the order in which they start, so what stays lies between neighbours.
     begin = START.replace("c ", "get(__gone, i) ")
     end = f"{START} + {COUNT}".replace("c ", "get(__gone, i - 1) ")
     left = f"transform(sequence(0, size(__gone)), i -> slice(__lines, coalesce({end}, 0) + 1, greatest(0, coalesce({begin}, size(__lines)) - coalesce({end}, 0))))"
@@ -106,7 +83,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, m
     out = [F.expr("if(__gone is null, text, array_join(__left, '\n'))").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(
         *out,
-        F.expr("if(__gone is null, 0, size(__gone))").alias("removed_chunks"),
+        F.expr(f"if(__gone is null, 0, size(filter(transform(__gone, (c, i) -> {START} > coalesce({end}, -1)), x -> x)))").alias("removed_chunks"),
         F.expr("if(__gone is null, 0, size(__lines) - size(__left))").alias("removed_lines"),
     )
 

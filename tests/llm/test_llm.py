@@ -181,6 +181,24 @@ def test_lines_removed_stay_elsewhere(spark):
         assert [x for x in lines if x.startswith("own")] == [x for x in rest if x.startswith("own")]
 
 
+def test_lines_passages_of_any_length(spark):
+    notices = {n: [sentence(3000 + 10 * n + k, 60 if n == 1 else 8) for k in range(n)] for n in range(1, 6)}
+    texts = {}
+    for n, notice in notices.items():
+        for copy in range(6):
+            own = [f"own {n} {copy} {k}" for k in range(7)]
+            at = 1 + copy % 5
+            texts[100 * n + copy] = (own[:at], notice, own[at:])
+    rows = [(i, "\n".join([*a, *b, *c])) for i, (a, b, c) in texts.items()]
+    rows += [(900, "head\nshort line\ntail"), (901, "other head\nshort line\nother tail")]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, b, c) in texts.items():
+        assert got[i]["text"].split("\n") == ([*a, *b, *c] if i % 100 == 0 else [*a, *c]), i
+        assert (got[i]["removed_chunks"], got[i]["removed_lines"]) == ((0, 0) if i % 100 == 0 else (1, len(b)))
+    # one short line is no passage
+    assert got[901]["removed_lines"] == 0
+
+
 def test_vectors(spark):
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     x = np.array([v for _, v in rows], float)
