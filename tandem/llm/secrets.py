@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: What a candidate looks like, and words that announce one.
-CANDIDATE = r"(?<![\p{L}\p{N}_+/=-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![\p{L}\p{N}_])"
 HINTS = r"(?i)(api[_-]?key|access[_-]?key|secret|token|passw(or)?d|pwd|credential|bearer|private[_-]?key|auth)"
+#: Long runs anywhere, and runs of 8 or more right after a hint and an assignment; what follows '=' counts like any other.
+CANDIDATE = r"(?<![\p{L}\p{N}_+/-])(?:[A-Za-z0-9_+/-]{20,}+|(?<=(?i:key|secret|token|passwd|password|pwd|credential|credentials|auth)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{8,}+)={0,2}(?![\p{L}\p{N}_])"
 CHECKSUM_HINTS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|revision|hash|uuid|etag)"
 PLACEHOLDER = r"(?i)(example|placeholder|your|xxxx|changeme|dummy|0000000|1234567)"
 #: Characters of context on either side; occurrences that make a corpus word a dictionary word.

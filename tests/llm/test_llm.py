@@ -233,6 +233,14 @@ def test_secrets(spark):
     assert secrets.mask_secrets(rows).count() == rows.count() and secrets.mask_secrets(rows).columns == rows.columns
 
 
+def test_secrets_assigned(spark):
+    key = hashlib.sha256(b"k").hexdigest()[:40]
+    rows = edge_docs(spark, [(70, f"export ACCESS_KEY={key} was here"), (71, f"password={key} of the"), (72, f"see ?token={key} and"), (73, 'password="q7Rt9xZ2" and'), (74, "page = international and so on")])
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(rows).collect()}
+    assert key not in masked[70] + masked[71] + masked[72] and masked[70].startswith("export ACCESS_KEY=[SECRET]")
+    assert "q7Rt9xZ2" not in masked[73] and masked[74] == "page = international and so on"
+
+
 def test_language_held_out(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_query(rows).join(rows.select("doc_id", "lang", "text"), "doc_id").where("held_out and text is not null and lang is not null")
