@@ -30,14 +30,16 @@ FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_distinct", "f_changes
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``key, candidate, left, right, occurrences`` for each distinct candidate of each text; whole texts."""
-    found = docs.select("key", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), 0))).alias("candidate"))
-    at = F.expr("locate(candidate, text)")
-    return found.select(
-        "key", "candidate", at.alias("place"),
-        F.expr(f"substring(text, greatest(1, locate(candidate, text) - {CONTEXT}), least({CONTEXT}, locate(candidate, text) - 1))").alias("left"),
-        F.expr(f"substring(text, locate(candidate, text) + length(candidate), {CONTEXT})").alias("right"),
-        F.expr("cast((length(text) - length(replace(text, candidate, ''))) / length(candidate) as int)").alias("occurrences"),
+    """``key, source, candidate, place, left, right`` for each match in each text, ``source`` naming the text; whole texts."""
+    between = F.split("text", CANDIDATE, -1)
+    found = docs.select("key", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("matches"), between.alias("between")).where("size(matches) > 0")
+    # A match begins behind what stands before it: the pieces between matches, and the matches.
+    places = "aggregate(sequence(0, size(matches) - 1), cast(array() as array<int>), (p, i) -> concat(p, array(length(between[i]) + if(i = 0, 1, p[i - 1] + length(matches[i - 1])))))"
+    each = found.select("key", F.xxhash64("text").alias("source"), "text", F.inline(F.arrays_zip(F.col("matches").alias("candidate"), F.expr(places).alias("place"))))
+    return each.select(
+        "key", "source", "candidate", "place",
+        F.expr(f"substring(text, greatest(1, place - {CONTEXT}), least({CONTEXT}, place - 1))").alias("left"),
+        F.expr(f"substring(text, place + length(candidate), {CONTEXT})").alias("right"),
     )
 
 
@@ -130,16 +132,18 @@ def dictionary_words(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 def findings(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """``key, candidate, place, occurrences, probability, is_secret`` for ``docs(key, text)``.
 
-    ``place`` is the first position, from 1. Null and empty texts have no
-    findings. Only words and candidates move, never texts.
+    Every occurrence is judged by its own context; a candidate is a secret in a
+    text if any is, and has the largest probability. ``place`` is the first
+    position, from 1. Null and empty texts have no findings. Only words and
+    candidates move, never texts.
     """
     model = model or train(labelled_findings(docs.sparkSession))
-    found = materialise(candidates(docs).withColumn("id", F.xxhash64("key", "candidate", "place")), "secret-candidates")
+    found = materialise(candidates(docs).withColumn("id", F.xxhash64("key", "source", "candidate", "place")), "secret-candidates")
     wanted = found.select(F.explode(F.split(F.lower("candidate"), "[^a-z]+")).alias("word")).distinct()
     words = dictionary_words(docs).join(wanted, "word", "left_semi")
     judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(found.dropDuplicates(["id"]), words)))
-    secret = vector_to_array("probability")[1]
-    return judged.select("key", "candidate", "place", "occurrences", secret.alias("probability"), (secret >= 0.5).alias("is_secret"))
+    told = judged.groupBy("key", "source", "candidate").agg(F.min("place").alias("place"), F.count("*").cast("int").alias("occurrences"), F.max(vector_to_array("probability")[1]).alias("probability"))
+    return told.dropDuplicates(["key", "candidate", "place"]).select("key", "candidate", "place", "occurrences", "probability", (F.col("probability") >= 0.5).alias("is_secret"))
 
 
 def secret_query(docs: DataFrame) -> DataFrame:

@@ -241,6 +241,16 @@ def test_secrets_assigned(spark):
     assert "q7Rt9xZ2" not in masked[73] and masked[74] == "page = international and so on"
 
 
+def test_secrets_each_occurrence(spark):
+    key = hashlib.sha256(b"k").hexdigest()[:40]
+    text = f"in commit {key} of the tree " + sentence(5, 20) + f' and with api_key: {key} of the'
+    rows = edge_docs(spark, [(70, text), (71, f"in commit {key} of the tree")])
+    got = {r["doc_id"]: r for r in secrets.secret_query(rows).where(F.col("candidate") == key).collect()}
+    assert got[70]["is_secret"] and got[70]["place"] == 11 and got[70]["occurrences"] == 2 and not got[71]["is_secret"]
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(rows).collect()}
+    assert key not in masked[70] and key in masked[71]
+
+
 def test_language_held_out(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_query(rows).join(rows.select("doc_id", "lang", "text"), "doc_id").where("held_out and text is not null and lang is not null")
