@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, materialise
 from .words import U64, in_chunks, mix, segment
 
 #: Trigrams are counted in so many cells, which bounds the model at languages x cells.
@@ -114,11 +114,11 @@ def proportions(likely: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred, score, languages``; only ``text`` is looked at.
+    """``keep`` columns with ``lang_pred, score, languages, fit``; only ``text`` is looked at.
 
     ``score`` is the share of the predicted language, ``languages`` the chosen
-    set with its shares. A null text, or one without a letter: ``und``, 0, an
-    empty map. No shuffle; the model (``len(langs)`` x CELLS floats) is broadcast.
+    set with its shares, ``fit`` the mean log-likelihood a letter. A null text,
+    or one without a letter: ``und``, 0, an empty map, 0. No shuffle; the model (``len(langs)`` x CELLS floats) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
     text_at = len(keep)
@@ -127,7 +127,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[s
         names, table = shared.value
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            pred, score, sets = ["und"] * len(texts), np.zeros(len(texts)), [{} for _ in texts]
+            pred, score, sets, fits = ["und"] * len(texts), np.zeros(len(texts)), [{} for _ in texts], np.zeros(len(texts))
             for begin, end in in_chunks(texts) if names else ():
                 words = segment(texts[begin:end], "letters")
                 if not len(words.starts):
@@ -135,16 +135,18 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[s
                 cells, at = trigram_cells(words)
                 likely = np.add.reduceat(table[cells], at, axis=0)
                 worded = np.flatnonzero(np.diff(words.first))
-                share, _ = proportions(likely, np.append(words.first[worded], words.first[-1]))
+                first = np.append(words.first[worded], words.first[-1])
+                share, gain = proportions(likely, first)
+                fits[begin + worded] = gain * np.diff(first) / np.add.reduceat(words.lengths, first[:-1])
                 for d, own in zip(worded, share):
                     best = int(own.argmax())
                     pred[begin + d], score[begin + d] = names[best], min(1.0, float(own[best]))
                     sets[begin + d] = {names[i]: float(own[i]) for i in np.flatnonzero(own > 0)}
             kept = [batch.column(i) for i in range(text_at)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score), pa.array([list(x.items()) for x in sets], pa.map_(pa.string(), pa.float64()))], names=[*keep, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score), pa.array([list(x.items()) for x in sets], pa.map_(pa.string(), pa.float64())), pa.array(fits)], names=[*keep, "lang_pred", "score", "languages", "fit"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double, languages map<string,double>")
+    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double, languages map<string,double>, fit double")
 
 
 def predict_languages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -157,12 +159,21 @@ def language_query(docs: DataFrame) -> DataFrame:
     return predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Drop the documents that no language explains: ``und`` or a largest share under ``least``.
+def keep_identified(docs: DataFrame, least: float = 0.4, low: float = 0.01) -> DataFrame:
+    """Drop the documents that no language explains.
 
+    These are ``und``, a largest share under ``least``, or a fit that lies under
+    the ``low`` quantile of the language's own training documents by more than
+    that quantile lies under their median; so clean documents in the tail stay.
     All columns stay as they are, extra ones too.
     """
     names = docs.columns
     langs, model = fit(docs.where(~held_out("doc_id")))
     told = identify(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names])), langs, model, keep=("__row",))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    told = materialise(told.drop("languages"), "identified")
+    own = told.where(~held_out(F.col("__row.doc_id")) & (F.col("__row.lang") == F.col("lang_pred")))
+    marks = own.groupBy("lang_pred").agg(F.percentile_approx("fit", [low, 0.5], 10_000).alias("at")).collect()
+    bound = F.lit(float("-inf"))
+    for r in marks:
+        bound = F.when(F.col("lang_pred") == r["lang_pred"], 2 * r["at"][0] - r["at"][1]).otherwise(bound)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= bound)).select("__row.*")

@@ -263,6 +263,18 @@ def test_language_held_out(spark):
     assert langid.language_query(rows.where("false")).count() == 0
 
 
+def test_unexplained_documents_go(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(6)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(80))
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью " * 3
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto " * 3
+    extra = spark.createDataFrame([(-1, junk, None, None, None), (-2, russian, None, None, None), (-3, finnish, None, None, None)], DOC)
+    kept = {r["doc_id"] for r in langid.keep_identified(rows.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")).unionByName(extra)).collect()}
+    assert not kept & {-1, -2, -3}
+    assert len(kept) > 0.99 * rows.count()
+
+
 def test_toxicity_held_out(spark):
     rows, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_query(rows, marks).join(marks, "doc_id").where("held_out").toPandas()
