@@ -193,14 +193,14 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, recall: float = 0.999)
     nothing, nor do rows without a vec_id. Equal vectors meet once, with their
     number, so a vector in a third of all rows costs one row. Links are counted
     from each vector's own visits, so the recall target holds for each count.
-    Vectors of different lengths are compared within their length.
+    Vectors of different lengths are compared within their length, one job a length.
     """
     rows = table.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     fine = F.forall("v", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("v", lambda v: v != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     distinct = materialise(good.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times")).select("node", F.xxhash64("v").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("tag"), "times", "v"), "vectors")
-    lengths = [r["n"] for r in distinct.select(F.size("v").alias("n")).distinct().limit(64).collect()]
-    parts = [vector_links(distinct.where(F.size("v") == n) if len(lengths) > 1 else distinct, cosine, recall) for n in lengths]
+    lengths = [r["n"] for r in distinct.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n").collect()]
+    parts = [vector_links(distinct.where(F.size("v") == n), cosine, recall) for n in lengths]
     spark = table.sparkSession
     links, edges = parts[0] if parts else (spark.createDataFrame([], "node long, tag long, n long"), spark.createDataFrame([], "src long, dst long"))
     for more_links, more_edges in parts[1:]:

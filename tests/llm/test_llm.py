@@ -223,6 +223,15 @@ def test_vectors(spark):
     assert embdedup.near_vectors(frame.where("false")).count() == 0
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    asked = []
+    none = [spark.createDataFrame([], s) for s in ("node long, tag long, n long", "src long, dst long")]
+    monkeypatch.setattr(embdedup, "vector_links", lambda rows, *a: asked.append(len(rows.first()["v"])) or none)
+    rows = [(2 * n + k, [1.0] * (n - 1) + [1.0 + k / 1000]) for n in range(2, 68) for k in range(2)] + [(900, [1.0] * 99)]
+    embdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert asked == list(range(2, 68))
+
+
 def test_secrets(spark):
     key = hashlib.sha256(b"k").hexdigest()[:40]
     rows = edge_docs(spark, [(70, f'and the token = "{key}" was left here'), (71, f"in commit {key} of the tree"), (72, "a counterrevolutionaries and internationalisation word"), (73, "----------------------------------------")])
