@@ -3,8 +3,8 @@
 Learning counts letter trigrams (with word edges) per language over all
 training documents. For a document, each word gets a likelihood under every
 language, the product of its trigrams' probabilities. Expectation-maximisation
-over the words estimates the document's language proportions; sets of one to
-``MOST`` languages are compared by penalised likelihood, and the largest share
+over the words estimates the document's language proportions; sets of one
+language up to all are compared by penalised likelihood, and the largest share
 of the best set is the predicted language.
 """
 
@@ -20,8 +20,8 @@ from .words import U64, in_chunks, mix, segment
 
 #: Trigrams are counted in so many cells, which bounds the model at languages x cells.
 CELLS = 1 << 16
-#: Languages in a set, at most; steps of expectation-maximisation.
-MOST, STEPS = 3, 6
+#: Steps of expectation-maximisation.
+STEPS = 6
 #: Pseudo-count of a cell; penalty for each further language, times log(words).
 SMOOTH, PENALTY = 0.05, 2.0
 SCHEMA_COUNTS = "lang string, cell int, n long"
@@ -104,7 +104,7 @@ def proportions(likely: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     if kinds > 1:
         share, _ = climb(np.full((len(n), kinds), 1 / kinds))
         rank = (-share).argsort(axis=1).argsort(axis=1)
-        for most in range(2, min(MOST, kinds) + 1):
+        for most in range(2, kinds + 1):
             start = np.where(rank < most, share + 1e-6, 0)
             found, gain = climb(start / start.sum(axis=1, keepdims=True))
             gain = gain - PENALTY * (most - 1) * np.log(n + 1)

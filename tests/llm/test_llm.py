@@ -284,6 +284,13 @@ def test_unexplained_documents_go(spark):
     assert len(kept) > 0.99 * rows.count()
 
 
+def test_proportions_of_four_languages():
+    likely = np.full((200, 5), -60.0, np.float32)
+    likely[np.arange(200), np.arange(200) % 4] = -20
+    share, _ = langid.proportions(likely, np.array([0, 200]))
+    assert np.allclose(share[0], [0.25, 0.25, 0.25, 0.25, 0], atol=0.01)
+
+
 def test_toxicity_held_out(spark):
     rows, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_query(rows, marks).join(marks, "doc_id").where("held_out").toPandas()
