@@ -1,46 +1,56 @@
 """Near-duplicate vectors by cosine, through an inverted multi-index.
 
-Each half of the vectors has its own codebook; the pairs of nearest codewords
-form a grid of cells. A vector visits cells in the order of their distance (a
-multi-sequence traversal of the two sorted codeword lists) until the target
-recall is reached, and is compared with all vectors that live in those cells.
+Each half of the vectors has its own codebook; the pairs of codewords form a
+grid of cells, and a vector lives in the cell of its nearest pair. It visits
+cells in the order of their distance (a multi-sequence traversal of the two
+sorted codeword lists) until no partner is to be expected further away at the
+target recall, and is compared with all vectors that live there. A pair counts
+for both its ends, from whichever side it is found.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import materialise
 from .graph import connected_components
 
 #: Vectors the codebooks are fitted on, at most: those of the smallest hash. All are indexed.
 SAMPLE = 20_000
-#: Wanted vectors a cell; codewords a half, at most, which bounds the cells a driver or task holds.
-CELL_ROWS, MAX_CODEWORDS = 1024, 256
-#: Vectors of a cell, and visitors of it, that meet in one group.
-BLOCK = 2048
+#: A length with fewer vectors in the sample has one cell, where all its vectors meet.
+LEAST_SAMPLE = 16
+#: Codewords a half: at least, and at most, which bounds the cells a driver or task holds.
+MIN_CODEWORDS, MAX_CODEWORDS = 8, 256
+#: Homes of a cell, and visitors of it, that meet in one group; visitors compared at once there.
+BLOCK, TILE = 4096, 1024
+
+
+def codewords_for(n: int) -> int:
+    """Codewords a half for ``n`` vectors; they grow slowly, since more cells need more visits."""
+    return int(np.clip((n / 16) ** 0.25, MIN_CODEWORDS, MAX_CODEWORDS))
 
 
 class MultiIndex:
-    """Two codebooks, and how many cells a visit takes."""
+    """Two codebooks, and how much further than its home a vector's visits go."""
 
     def __init__(self, sample: np.ndarray, codewords: int, cosine: float, recall: float, rounds: int = 12):
         rng = np.random.default_rng(5)
         self.half = sample.shape[1] // 2
         self.books = [self._fit(part, codewords, rng, rounds) for part in (sample[:, : self.half], sample[:, self.half :])]
-        self.visits = self._calibrate(sample, cosine, recall, rng)
+        self.margin = self._calibrate(sample, cosine, recall, rng)
 
     @staticmethod
     def _distances(x, book):
         return np.maximum((x * x).sum(1)[:, None] - 2 * x @ book.T + (book * book).sum(1), 0)
 
     def _fit(self, x, codewords, rng, rounds):
+        if not x.shape[1]:
+            return np.zeros((1, 0))
         book = x[rng.choice(len(x), min(codewords, len(x)), replace=False)]
         for _ in range(rounds):
             nearest = self._distances(x, book).argmin(1)
@@ -52,38 +62,47 @@ class MultiIndex:
     def _halves(self, x):
         return self._distances(x[:, : self.half], self.books[0]), self._distances(x[:, self.half :], self.books[1])
 
-    def home(self, x: np.ndarray) -> np.ndarray:
-        left, right = self._halves(x)
-        return left.argmin(1) * len(self.books[1]) + right.argmin(1)
+    def traverse(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each row, and its visits in order of distance as (row, cell).
 
-    def traverse(self, x: np.ndarray, visits: int) -> list[list[int]]:
-        """The nearest cells of each row, nearest first: the next cell is always next to one already taken."""
+        For each left codeword, nearest first, ``turn`` is the next right codeword
+        to pair it with; the nearest open pair of a row is its next cell, until
+        that lies further than the home by more than the margin. All rows of a
+        batch take each step together.
+        """
         left, right = self._halves(x)
-        orders, width, out = (left.argsort(1), right.argsort(1)), len(self.books[1]), []
-        for a, b, i, j in zip(left, right, *orders):
-            a, b, cells = a[i].tolist(), b[j].tolist(), []
-            heap, seen = [(a[0] + b[0], 0, 0)], {(0, 0)}
-            while heap and len(cells) < visits:
-                _, p, q = heapq.heappop(heap)
-                cells.append(int(i[p]) * width + int(j[q]))
-                for n, m in ((p + 1, q), (p, q + 1)):
-                    if n < len(a) and m < len(b) and (n, m) not in seen:
-                        seen.add((n, m))
-                        heapq.heappush(heap, (a[n] + b[m], n, m))
-            out.append(cells)
-        return out
-
-    def _calibrate(self, sample, cosine, recall, rng) -> int:
-        """Cells to visit so that ``recall`` of partners turned away exactly to ``cosine`` live in one of them."""
-        x = sample[rng.choice(len(sample), min(2000, len(sample)), replace=False)]
+        i, j = left.argsort(1), right.argsort(1)
+        a, b = np.take_along_axis(left, i, 1), np.take_along_axis(right, j, 1)
+        b = np.concatenate([b, np.full((len(x), 1), np.inf)], 1)
+        width, row, turn = right.shape[1], np.arange(len(x)), np.zeros(a.shape, np.int64)
+        limit = a[:, 0] + b[:, 0] + self.margin
+        home = i[:, 0] * width + j[:, 0] if len(x) else np.zeros(0, np.int64)
+        rows, cells = [row[:0]], [row[:0]]
+        while len(row):
+            cost = a + np.take_along_axis(b, turn, 1)
+            p = cost.argmin(1)
+            at = np.arange(len(row))
+            near = cost[at, p] <= limit
+            at, p = at[near], p[near]
+            rows.append(row[at])
+            cells.append(i[at, p] * width + j[at, turn[at, p]])
+            turn[at, p] += 1
+            a, b, i, j, turn, row, limit = (z[at] for z in (a, b, i, j, turn, row, limit))
+        return home, np.concatenate(rows), np.concatenate(cells)
+
+    def _calibrate(self, sample, cosine, recall, rng) -> float:
+        """How much further than its home a vector must look, so that of pairs turned apart
+        exactly to ``cosine`` a share of ``recall`` is found from one side or the other."""
+        x = sample[rng.choice(len(sample), 2000)]
         side = rng.standard_normal(x.shape)
         side -= (side * x).sum(1, keepdims=True) * x
         side /= np.linalg.norm(side, axis=1, keepdims=True) + 1e-300
-        partner = self.home(cosine * x + np.sqrt(1 - cosine * cosine) * side)
-        left, right = self._halves(x)
-        cell = (left[:, :, None] + right[:, None, :]).reshape(len(x), -1)
-        rank = (cell < cell[np.arange(len(x)), partner][:, None]).sum(1)
-        return int(np.quantile(rank, recall, method="higher")) + 1
+        gaps = []
+        for one, two in ((x, cosine * x + np.sqrt(1 - cosine * cosine) * side), (cosine * x + np.sqrt(1 - cosine * cosine) * side, x)):
+            (left, right), (l2, r2) = self._halves(one), self._halves(two)
+            at = np.arange(len(x))
+            gaps.append(left[at, l2.argmin(1)] - left.min(1) + right[at, r2.argmin(1)] - right.min(1))
+        return float(np.quantile(np.minimum(*gaps), recall, method="higher")) + 1e-9
 
 
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,113 +120,141 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
     return a, a
 
 
-def _unit(batch, at) -> np.ndarray:
-    x = np.stack([np.asarray(v, float) for v in batch.column(at).to_pylist()])
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
-    """``vectors(node, tag, times, v)``, distinct -> (``node, tag, n`` links to rows of other vectors, edges ``src, dst``).
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float))
 
-    A group gets at most about BLOCK homes and BLOCK visitors of one cell,
-    whatever the cell holds; it returns a count a visitor and a spanning forest,
-    never its pairs.
-    """
-    spark = vectors.sparkSession
-    empty_counts, empty_edges = (spark.createDataFrame([], s) for s in ("node long, tag long, n long", "src long, dst long"))
-    total = vectors.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
-    if total["n"] < 2:
-        return empty_counts, empty_edges
-    sample = vectors.orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").toPandas()["v"]
-    sample = np.stack(sample.to_list()).astype(float)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    codewords = int(np.clip(np.sqrt(total["n"] / CELL_ROWS), 1, MAX_CODEWORDS))
-    shared = spark.sparkContext.broadcast(MultiIndex(sample, codewords, cosine, recall))
-
-    def place(batches):
-        index = shared.value
+
+def fit(vectors: DataFrame, cosine: float, recall: float, codewords: int | None = None) -> dict[int, MultiIndex]:
+    """An index for each vector length that has LEAST_SAMPLE vectors in a sample of SAMPLE; so there are few."""
+    sample = vectors.orderBy("tag", "node").limit(SAMPLE).select("v").toPandas()["v"]
+    own: dict[int, list] = {}
+    for v in sample:
+        own.setdefault(len(v), []).append(v)
+    kept = {n: np.stack(rows).astype(float) for n, rows in own.items() if len(rows) >= LEAST_SAMPLE}
+    sizes = vectors.where(F.size("v").isin(list(kept))).groupBy(F.size("v").alias("n")).count().collect()  # one row a kept length
+    return {r["n"]: MultiIndex(_unit(kept[r["n"]]), codewords or codewords_for(r["count"]), cosine, recall) for r in sizes}
+
+
+def place(vectors: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
+    """``node, tag, times, v`` -> ``node, tag, times, dims, home, visits, x`` with the vector packed in ``x``."""
+    shared = vectors.sparkSession.sparkContext.broadcast(indexes)
+    kind = "<f4" if isinstance(vectors.schema["v"].dataType.elementType, FloatType) else "<f8"
+
+    def run(batches):
         for batch in batches:
-            x = _unit(batch, 3)
-            homes, visits = index.home(x), index.traverse(x, index.visits)
-            cells = np.concatenate([homes, np.array([c for own in visits for c in own], np.int64)])
-            row = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), [len(v) for v in visits])])
-            role = np.concatenate([np.zeros(len(x), bool), np.ones(len(row) - len(x), bool)])
-            yield batch, x, cells, row, role
-
-    def count(batches):
-        for _, _, cells, _, role in place(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(role)], names=["cell", "visitor"])
-
-    counts = vectors.mapInArrow(count, "cell long, visitor boolean").groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("homes"), F.count_if("visitor").alias("visitors"))
-    # At most MAX_CODEWORDS squared rows.
-    blocks = {r["cell"]: (-(-r["homes"] // BLOCK), -(-r["visitors"] // BLOCK)) for r in counts.collect()}
-    plan = spark.sparkContext.broadcast(blocks)
-
-    def deal(batches):
-        for batch, x, cells, row, role in place(batches):
-            nodes = np.array(batch.column(0).to_pylist(), np.int64)
-            tags, times = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            out = []
-            for c, r, visitor in zip(cells.tolist(), row.tolist(), role.tolist()):
-                homes, visitors = plan.value[c]
-                own = int(tags[r] % (visitors if visitor else max(1, homes)))
-                if homes:
-                    out += [(c, h, own, r, True) for h in range(homes)] if visitor else [(c, own, p, r, False) for p in range(visitors)]
-            for begin in range(0, len(out), 8192):
-                c, h, p, r, role_ = (np.array(z) for z in zip(*out[begin : begin + 8192]))
-                vec = pa.array([x[i].tobytes() for i in r], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c), pa.array(h), pa.array(p), pa.array(role_), pa.array(nodes[r]), pa.array(tags[r]), pa.array(times[r]), vec],
-                    names=["cell", "h", "p", "visitor", "node", "tag", "times", "x"],
-                )
-
-    dealt = vectors.mapInArrow(deal, "cell long, h long, p long, visitor boolean, node long, tag long, times long, x binary")
-
-    def compare(key, pdf):
+            raw = [np.asarray(v, kind).tobytes() for v in batch.column(3).to_pylist()]
+            dims = np.array([len(x) // int(kind[2]) for x in raw])
+            home, visits = np.zeros(len(raw), np.int32), [[0]] * len(raw)
+            for n in set(dims.tolist()) & set(shared.value):
+                at = np.flatnonzero(dims == n)
+                home[at], row, cell = shared.value[n].traverse(_units([raw[i] for i in at], kind))
+                order = np.argsort(row, kind="stable")
+                for i, own in zip(at, np.split(cell[order], np.cumsum(np.bincount(row, minlength=len(at)))[:-1])):
+                    visits[i] = own
+            columns = [*batch.columns[:3], pa.array(dims, pa.int32()), pa.array(home), pa.array(visits, pa.list_(pa.int32())), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "tag", "times", "dims", "home", "visits", "x"])
+
+    return vectors.select("node", "tag", "times", "v").mapInArrow(run, "node long, tag long, times long, dims int, home int, visits array<int>, x binary")
+
+
+def _compare(cosine: float, kind: str):
+    def run(key, pdf):
         asks, homes = pdf[pdf["visitor"]], pdf[~pdf["visitor"]]
-        out = {"src": [], "tag": [], "n": [], "dst": []}
+        counts, edges = [], []
         if len(asks) and len(homes):
-            a, b = (np.frombuffer(b"".join(t["x"]), float).reshape(len(t), -1) for t in (asks, homes))
-            an, bn = asks["node"].to_numpy(), homes["node"].to_numpy()
-            linked = a @ b.T >= cosine
-            linked &= ~((an[:, None] == bn) & (asks["tag"].to_numpy()[:, None] == homes["tag"].to_numpy()))
-            n = linked @ homes["times"].to_numpy()
-            has = np.flatnonzero(n)
-            src, dst = _forest(linked, an, bn)
-            new = src != dst
-            out = {"src": np.concatenate([an[has], src[new]]), "tag": np.concatenate([asks["tag"].to_numpy()[has], np.zeros(new.sum(), np.int64)]), "n": np.concatenate([n[has], np.zeros(new.sum(), np.int64)]), "dst": np.concatenate([np.full(len(has), -1), dst[new]])}
-            out["edge"] = np.concatenate([np.zeros(len(has), bool), np.ones(new.sum(), bool)])
-        else:
-            out["edge"] = []
-        return pd.DataFrame(out)
-
-    found = materialise(dealt.groupBy("cell", "h", "p").applyInPandas(compare, "src long, tag long, n long, dst long, edge boolean"), "vector-links")
+            a, b = _units(asks["x"].to_list(), kind), _units(homes["x"].to_list(), kind)
+            an, at, am = (asks[c].to_numpy() for c in ("node", "tag", "times"))
+            bn, bt, bm = (homes[c].to_numpy() for c in ("node", "tag", "times"))
+            # Whether a home visits a visitor's home in turn: then both find the pair, and the smaller one counts it.
+            own, column = np.unique(asks["home"].to_numpy(), return_inverse=True)
+            width = np.array([len(v) for v in homes["visits"]])
+            cells = np.concatenate(homes["visits"].to_list())
+            to = np.minimum(np.searchsorted(own, cells), len(own) - 1)
+            hit, row = own[to] == cells, np.repeat(np.arange(len(homes)), width)
+            back = np.zeros((len(own), len(homes)), bool)
+            back[to[hit], row[hit]] = True
+            to_homes = np.zeros(len(homes), np.int64)
+            for begin in range(0, len(asks), TILE):
+                t = slice(begin, begin + TILE)
+                linked = a[t] @ b.T >= cosine
+                linked &= (an[t, None] != bn) | (at[t, None] != bt)
+                if not linked.any():
+                    continue
+                first = (an[t, None] < bn) | ((an[t, None] == bn) & (at[t, None] < bt))
+                counted = (linked & (first | ~back[column[t]])).astype(float)
+                n = (counted @ bm).astype(np.int64)
+                to_homes += (am[t] @ counted).astype(np.int64)
+                has = np.flatnonzero(n)
+                counts.append((an[t][has], at[t][has], n[has]))
+                src, dst = _forest(linked, an[t], bn)
+                edges.append((src[src != dst], dst[src != dst]))
+            has = np.flatnonzero(to_homes)
+            counts.append((bn[has], bt[has], to_homes[has]))
+        told = [np.concatenate(z) for z in zip(*counts)] if counts else [np.zeros(0, np.int64)] * 3
+        src, dst = [np.concatenate(z) for z in zip(*edges)] if edges else [np.zeros(0, np.int64)] * 2
+        zero = np.zeros(len(src), np.int64)
+        return pd.DataFrame({
+            "src": np.concatenate([told[0], src]), "tag": np.concatenate([told[1], zero]), "n": np.concatenate([told[2], zero]),
+            "dst": np.concatenate([np.full(len(told[0]), -1), dst]), "edge": np.arange(len(told[0]) + len(src)) >= len(told[0]),
+        })
+
+    return run
+
+
+def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999, codewords: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``vectors(node, tag, times, v)``, distinct -> (``node, tag, n`` links to rows of other vectors, edges ``src, dst``).
+
+    The index is built at every size, and all lengths go through one job, whose
+    key names the length. A group gets about BLOCK homes and BLOCK visitors of
+    one cell, whatever the cell holds; it returns counts and a spanning forest,
+    never its pairs.
+    """
+    kind = "<f4" if isinstance(vectors.schema["v"].dataType.elementType, FloatType) else "<f8"
+    placed = materialise(place(vectors, fit(vectors, cosine, recall, codewords)), "vector-places")
+    homes = placed.groupBy("dims", F.col("home").alias("cell")).agg(F.count("*").alias("homes"))
+    visitors = placed.select("dims", F.explode("visits").alias("cell")).groupBy("dims", "cell").agg(F.count("*").alias("visitors"))
+    blocks = homes.join(visitors, ["dims", "cell"]).select("dims", "cell", F.expr(f"cast(ceil(homes / {BLOCK}) as int)").alias("h"), F.expr(f"cast(ceil(visitors / {BLOCK}) as int)").alias("p"))
+
+    def dealt(rows: DataFrame, visitor: bool) -> DataFrame:
+        own, other = ("p", "h") if visitor else ("h", "p")
+        met = rows.join(blocks, ["dims", "cell"])
+        met = met.withColumn(f"{own}_at", F.pmod("tag", own).cast("int")).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return met.select("dims", "cell", "h_at", "p_at", F.lit(visitor).alias("visitor"), "node", "tag", "times", "home", "visits", "x")
+
+    asks = dealt(placed.select("node", "tag", "times", "dims", "home", F.explode("visits").alias("cell"), F.lit(None).cast("array<int>").alias("visits"), "x"), True)
+    live = dealt(placed.withColumn("cell", F.col("home")), False)
+    schema = "src long, tag long, n long, dst long, edge boolean"
+    found = materialise(asks.unionByName(live).groupBy("dims", "cell", "h_at", "p_at").applyInPandas(_compare(cosine, kind), schema), "vector-links")
     links = found.where("not edge").groupBy(F.col("src").alias("node"), "tag").agg(F.sum("n").alias("n"))
     return links, found.where("edge").select("src", "dst").distinct()
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.95, recall: float = 0.999) -> DataFrame:
+def near_vectors(table: DataFrame, cosine: float = 0.95, recall: float = 0.999, codewords: int | None = None) -> DataFrame:
     """``vec_id, embedding`` -> ``vec_id, n_links, component_id, kept``, one row for each input row.
 
     Vectors that are null, zero or hold null or non-finite components link with
     nothing, nor do rows without a vec_id. Equal vectors meet once, with their
-    number, so a vector in a third of all rows costs one row. Links are counted
-    from each vector's own visits, so the recall target holds for each count.
-    Vectors of different lengths are compared within their length, one job a length.
+    number, so a vector in a third of all rows costs one row; rows are told by
+    128 bits of hash, so only distinct vectors move. Vectors link only with those
+    of their own length. Other columns are not looked at; an empty table gives
+    an empty result.
     """
-    rows = table.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    single = isinstance(table.schema["embedding"].dataType.elementType, FloatType)
+    rows = table.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     fine = F.forall("v", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("v", lambda v: v != 0)
-    good = rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    distinct = materialise(good.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times")).select("node", F.xxhash64("v").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("tag"), "times", "v"), "vectors")
-    lengths = [r["n"] for r in distinct.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n").collect()]
-    parts = [vector_links(distinct.where(F.size("v") == n), cosine, recall) for n in lengths]
-    spark = table.sparkSession
-    links, edges = parts[0] if parts else (spark.createDataFrame([], "node long, tag long, n long"), spark.createDataFrame([], "src long, dst long"))
-    for more_links, more_edges in parts[1:]:
-        links, edges = links.unionByName(more_links), edges.unionByName(more_edges)
+    usable = F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))
+    tag = F.xxhash64("v").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    good = rows.where(usable).select("vec_id", "v", tag.alias("tag"), F.xxhash64(F.lit(7), "v").alias("tag2"))
+    distinct = materialise(good.groupBy("tag", "tag2").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"), F.first("v").alias("v")), "vectors")
+    links, edges = vector_links(distinct, cosine, recall, codewords)
     components = connected_components(edges, "vector-components")
-    told = distinct.join(links, ["node", "tag"], "left").join(components, "node", "left")
-    told = told.select("v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    linked = good.join(told, "v").select("vec_id", "n_links", "component_id")
-    alone = rows.where(F.col("vec_id").isNull() | ~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    told = distinct.select("node", "tag", "tag2", "times").join(links, ["node", "tag"], "left").join(components, "node", "left")
+    told = told.select("tag", "tag2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    linked = good.select("vec_id", "tag", "tag2").join(told, ["tag", "tag2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -223,13 +223,82 @@ def test_vectors(spark):
     assert embdedup.near_vectors(frame.where("false")).count() == 0
 
 
-def test_vectors_of_many_lengths(spark, monkeypatch):
-    asked = []
-    none = [spark.createDataFrame([], s) for s in ("node long, tag long, n long", "src long, dst long")]
-    monkeypatch.setattr(embdedup, "vector_links", lambda rows, *a: asked.append(len(rows.first()["v"])) or none)
-    rows = [(2 * n + k, [1.0] * (n - 1) + [1.0 + k / 1000]) for n in range(2, 68) for k in range(2)] + [(900, [1.0] * 99)]
-    embdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    assert asked == list(range(2, 68))
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """20,000 vectors, half of them near one of the others, with their links and components by brute force."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((10_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal((10_000, 64))
+    noise *= rng.uniform(0.1, 0.4, (10_000, 1)) / np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([base, base[np.minimum(rng.zipf(1.3, 10_000) - 1, 9_999)] + noise]).astype(np.float32)[rng.permutation(20_000)]
+    path = str(tmp_path_factory.mktemp("vectors") / "x.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), path)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    degree, src, dst = np.zeros(len(y), int), [], []
+    for begin in range(0, len(y), 2000):
+        linked = y[begin : begin + 2000] @ y.T >= 0.95
+        linked[np.arange(len(linked)), np.arange(begin, begin + len(linked))] = False
+        degree[begin : begin + 2000] = linked.sum(1)
+        i, j = np.nonzero(linked)
+        src.append(i + begin)
+        dst.append(j)
+    src, dst, component = np.concatenate(src), np.concatenate(dst), np.arange(len(y))
+    while True:
+        new = component.copy()
+        np.minimum.at(new, src, component[dst])
+        new = new[new]
+        if (new == component).all():
+            return spark.read.parquet(path), degree, component
+        component = new
+
+
+@pytest.mark.parametrize("codewords", [4, 7, 16, None])
+def test_vector_index_finds_the_links(clustered, codewords):
+    frame, degree, component = clustered
+    got = embdedup.near_vectors(frame, codewords=codewords).toPandas().sort_values("vec_id")
+    found = got["n_links"].to_numpy()
+    assert degree.sum() > 1_000_000 and (found <= degree).all()
+    assert found.sum() > 0.999 * degree.sum() and found.sum() % 2 == 0  # every link counts at both its ends
+    assert (got["component_id"].to_numpy() == component).mean() > 0.999
+
+
+def test_vector_index_visits_few_cells():
+    rng = np.random.default_rng(2)
+    x = embdedup._unit(rng.standard_normal((4000, 64)))
+    index = embdedup.MultiIndex(x, 16, 0.95, 0.999)
+    home, row, cell = index.traverse(x[:500])
+    assert 1 < len(row) / 500 < 0.1 * 16 * 16
+    left, right = index._halves(x[:500])
+    grid = left[:, :, None] + right[:, None, :]
+    flat = grid.reshape(500, -1)
+    for r in range(0, 500, 50):  # the cells within the margin, nearest first, each once
+        own = cell[row == r]
+        assert own[0] == home[r] == flat[r].argmin() and len(set(own)) == len(own)
+        assert (np.diff(flat[r][own]) >= -1e-12).all()
+        assert len(own) == (flat[r] <= flat[r].min() + index.margin).sum()
+
+
+def test_vector_blocks(clustered, monkeypatch):
+    frame, degree, _ = clustered
+    monkeypatch.setattr(embdedup, "BLOCK", 100)
+    monkeypatch.setattr(embdedup, "TILE", 32)
+    few = frame.where("vec_id < 2000").withColumnRenamed("vec_id", "id").withColumn("tag", F.lit("x")).withColumnRenamed("id", "vec_id")
+    small = embdedup.near_vectors(few, codewords=4).toPandas().sort_values("vec_id")
+    monkeypatch.undo()
+    whole = embdedup.near_vectors(few, codewords=4).toPandas().sort_values("vec_id")
+    assert small["n_links"].tolist() == whole["n_links"].tolist() and small["component_id"].tolist() == whole["component_id"].tolist()
+    assert small["n_links"].sum() > 0
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(2 * n + k, [1.0] * (n - 1) + [1.0 + k / 1000]) for n in range(1, 90) for k in range(2)] + [(900, [1.0] * 99), (901, [1e300, 1e300]), (902, [2.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got.pop(900) == (0, 900) and got.pop(901) == got.pop(902) == (3, 4) and got.pop(4) == got.pop(5) == (3, 4)
+    assert got == {2 * n + k: (1, 2 * n) for n in range(1, 90) for k in range(2) if n != 2}
 
 
 def test_secrets(spark):
