@@ -132,18 +132,39 @@ def test_dart_estimates():
     assert abs((x == y).mean() - 0.5) < 0.04
 
 
-def test_topk_is_exact(spark):
+def top_by_brute_force(vectors, queries, k=10):
+    want = []
+    for q in queries:
+        same = [(i, v) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])]
+        order = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in same)[:k]
+        want += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(order, 1)]
+    return sorted(want)
+
+
+def test_topk_is_exact(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-0.5, -0.25, 0.0, 0.125, 0.25]) for _ in range(6)]) for i in range(230)]
-    rows += [(500, None), (501, [float("nan")] * 6), (502, [None] * 6), (0, rows[0][1])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    vectors = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows[:230]}
-    want = []
-    for q in (0, 100, 200):
-        order = sorted(((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q))[:10]
-        want += [(q, n, i, -s) for n, (s, i) in enumerate(order, 1)]
-    assert sorted(map(tuple, topk.search_query(frame).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+    rows += [(500, None), (501, [float("nan")] * 6), (502, [None] * 6), (503, []), (None, rows[0][1]), (0, rows[0][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("q", F.lit("x"))
+    vectors = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows[:230]}
+    want = top_by_brute_force(vectors, (0, 100, 200))
+    columns = ("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, topk.search_query(frame).select(*columns).collect())) == want
     assert topk.search_query(frame.where("false")).count() == 0
+    # Many blocks of rows and of queries: what each finds is merged.
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
+    got = topk.search_query(frame, every=7).select(*columns).collect()
+    assert sorted(map(tuple, got)) == top_by_brute_force(vectors, [i for i in vectors if i % 7 == 0])
+
+
+def test_topk_of_many_lengths_and_large_values(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 1.0]) * 10 ** rng.randint(-2, 15) for _ in range(1 + i % 5)]) for i in range(120)]
+    vectors = {i: [int(np.floor(1024 * np.float64(x))) for x in v] for i, v in rows}
+    got = topk.search_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == top_by_brute_force(vectors, range(0, 120, 10))
+    assert any(abs(r["score"]) >= 2**63 - 1 for r in got)
 
 
 def test_lines(spark):
