@@ -193,46 +193,52 @@ def _pack(capacity: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, max_rounds: int = 4) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to ``doc_id, piece, start, length, ids_crc32``.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Add ``sequence_id``, ``offset`` and ``certified`` to ``doc_id, piece, start, length, ids_crc32``.
 
     Full pieces are sequences of their own. The others are dealt by a hash of
-    the row into groups of about ``group_pieces``, so a hot document or source
-    spreads evenly; only ids and lengths move. A sequence_id holds the round,
-    the group and the bin. An empty table gives an empty result; rows repeated
-    exactly are packed as often as they occur.
+    the row and its place into groups of about ``group_pieces``, so neither a hot
+    document nor a row that is repeated often meets in one group; only ids and
+    lengths move. Groups whose count exceeds their bound exchange what lies in
+    bins that are not full, until no gap is left, one such group is left, or a
+    round saves nothing. ``certified``: the bin is full, or its group needs no
+    fewer bins. A sequence_id holds the round, the group and the bin; full
+    pieces have negative ones. An empty table gives an empty result; rows
+    repeated exactly are packed as often as they occur.
     """
-    pieces = materialise(pieces, "pack-pieces")
     names = pieces.columns
+    # The place is written with the row, so a lost executor cannot deal it anew.
+    pieces = materialise(pieces.withColumn("place", F.monotonically_increasing_id()), "pack-pieces")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", grp long, bin long, offset long, gap long, fill long"
     certified = (F.col("gap") <= 0) | (F.col("fill") == capacity)
 
     def packed(rows: DataFrame, count: int, rnd: int) -> DataFrame:
         groups = max(1, -(-count // group_pieces))
-        dealt = rows.select(*names, F.pmod(F.xxhash64(F.lit(rnd), *names), F.lit(groups)).alias("grp"))
+        dealt = rows.select(*names, "place", F.pmod(F.xxhash64(F.lit(rnd), *names, "place"), F.lit(groups)).alias("grp"))
         found = dealt.groupBy("grp").applyInPandas(_pack(capacity), schema)
-        number = (F.lit((rnd + 1) << 58) + (F.col("grp") * (1 << 26)) + F.col("bin")).alias("sequence_id")
-        return materialise(found.withColumn("sequence_id", number), "pack-round")
+        number = (F.lit((rnd + 1) << 51) + (F.col("grp") * (1 << 20)) + F.col("bin")).alias("sequence_id")
+        return materialise(found.withColumn("sequence_id", number).withColumn("certified", certified), "pack-round")
 
     def bins(rows: DataFrame) -> int:
         # each bin has one piece at offset 0
         return rows.where("offset = 0").count()
 
     rest = pieces.where(F.col("length") < capacity)
-    now, settled = packed(rest, rest.count(), 0), []
-    for rnd in range(1, max_rounds):
-        loose = now.where(~certified)
+    now, settled, rnd = packed(rest, rest.count(), 0), [], 0
+    while True:
+        loose = now.where("not certified")
         size = loose.agg(F.count("*").alias("rows"), F.countDistinct("grp").alias("groups")).first()
         if size["groups"] < 2:
             break
+        rnd += 1
         again = packed(loose, size["rows"], rnd)
         if bins(again) >= bins(loose):
             break
-        settled.append(now.where(certified))
+        settled.append(now.where("certified"))
         now = again
-    full = pieces.where(F.col("length") >= capacity).select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.where(F.col("length") >= capacity).select(*names, (-1 - F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     for rows in [*settled, now]:
-        full = full.unionByName(rows.select(*names, "sequence_id", "offset"))
+        full = full.unionByName(rows.select(*names, "sequence_id", "offset", "certified"))
     return full
 
 
