@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, text_digest
 from .words import U64, in_chunks, mix, segment
 
 #: Hashed features; feature 0 is the bias.
@@ -54,21 +54,24 @@ class Ftrl:
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
     """``doc_id, text, toxic`` -> the cells with a weight, and the weights.
 
-    At most ``max_train`` rows are learnt from; online learning is sequential, so
-    they meet in one task, as features. Each epoch takes them in another order.
+    At most ``max_train`` different rows are learnt from, a repeated one once;
+    online learning is sequential, so they meet in one task, as features. Each
+    epoch takes them in another order.
     """
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "toxic")  # max_train ids
+    keys = ["doc_id", "digest", "toxic"]
+    rows = labelled.select("doc_id", F.coalesce(text_digest("text"), F.lit(b"")).alias("digest"), "toxic", "text")
+    chosen = rows.select(*keys).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(max_train)
+    rows = rows.join(F.broadcast(chosen), keys, "left_semi").select(*keys, "text")  # max_train keys
 
     def extract(batches):
         for batch in batches:
-            found = [x.astype("<i4").tobytes() for x in features(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "toxic", "cells"])
+            found = [x.astype("<i4").tobytes() for x in features(batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=[*keys, "cells"])
 
     def learn(batches):
         model, seen = Ftrl(), []
         for batch in batches:
-            seen += zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            seen += zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
         for epoch in range(EPOCHS):
             for i in np.random.default_rng(epoch).permutation(len(seen)):
                 model.learn(np.frombuffer(seen[i][1], "<i4"), seen[i][0])
@@ -76,9 +79,10 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["cell", "weight"])
 
-    found = rows.mapInArrow(extract, "doc_id long, toxic int, cells binary")
+    # Repeats go as features, so that no text moves for them.
+    found = rows.mapInArrow(extract, "doc_id long, digest binary, toxic int, cells binary").dropDuplicates(keys)
     # At most max_train rows meet here; sorted, so that the weights do not depend on the partitioning.
-    one = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "toxic", "cells")
+    one = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *keys)
     table = one.mapInArrow(learn, "cell long, weight double").toPandas()
     return table["cell"].to_numpy(np.int64), table["weight"].to_numpy(float)
 
@@ -103,7 +107,12 @@ def score(docs: DataFrame, cells: np.ndarray, weights: np.ndarray) -> DataFrame:
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from labelled documents that are not held out, score all documents."""
+    """Learn from labelled documents that are not held out, score all documents.
+
+    One row for each row of ``docs``, repeated ones too. A doc_id labelled both
+    ways counts as toxic; without labels all scores are 0.5. Other columns are
+    not looked at; an empty table gives an empty result.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = docs.where(~held_out("doc_id")).select("doc_id", "text").join(known, "doc_id")
     cells, weights = fit(train)
