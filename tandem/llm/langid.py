@@ -20,8 +20,8 @@ from .words import U64, in_chunks, mix, segment
 
 #: Trigrams are counted in so many cells, which bounds the model at languages x cells.
 CELLS = 1 << 16
-#: Steps of expectation-maximisation.
-STEPS = 6
+#: Expectation-maximisation ends for a text when no share moves by more than this; the steps are bounded against rounding alone.
+SETTLED, MOST_STEPS = 1e-3, 200
 #: Pseudo-count of a cell; penalty for each further language, times log(words).
 SMOOTH, PENALTY = 0.05, 2.0
 SCHEMA_COUNTS = "lang string, cell int, n long"
@@ -82,7 +82,6 @@ def proportions(likely: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     and the mean log-likelihood per word.
     """
     n, kinds = np.diff(first), likely.shape[1]
-    doc = np.repeat(np.arange(len(n)), n)
     top = likely.max(axis=1, keepdims=True)
     relative = np.exp(likely - top).astype(np.float64)
 
@@ -90,13 +89,23 @@ def proportions(likely: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
         return np.add.reduceat(x, first[:-1], axis=0)
 
     base = add(top[:, 0].astype(np.float64))
+    doc = np.repeat(np.arange(len(n)), n)
 
     def climb(start):
-        share = start
-        for _ in range(STEPS):
-            part = relative * share[doc]
+        share, live = start.copy(), np.arange(len(n))
+        rows, words, count = doc, relative, n
+        for _ in range(MOST_STEPS):
+            part = words * share[live][rows]
             part /= part.sum(axis=1, keepdims=True) + 1e-300
-            share = add(part) / n[:, None]
+            new = np.add.reduceat(part, np.cumsum(count) - count, axis=0) / count[:, None]
+            open_ = np.abs(new - share[live]).max(axis=1) > SETTLED
+            share[live] = new
+            if not open_.any():
+                break
+            if not open_.all():  # each text stops by itself, whatever texts share its batch
+                words = words[np.repeat(open_, count)]
+                live, count = live[open_], count[open_]
+                rows = np.repeat(np.arange(len(live)), count)
         return share, base + add(np.log((relative * share[doc]).sum(axis=1) + 1e-300))
 
     single = add(likely.astype(np.float64))
@@ -156,6 +165,10 @@ def predict_languages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 
 def language_query(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``, repeated ones too; other columns than doc_id, text and lang are not looked at.
+
+    An empty table gives an empty result; where nothing can be learnt, all are ``und``.
+    """
     return predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
