@@ -414,6 +414,29 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.where("false"), path).count() == 0
 
 
+def test_packing_exchanges(spark):
+    rng = random.Random(9)
+    rows = [(i, 0, 0, rng.randint(300, 700), i) for i in range(400)] + [(1000, k, 1000 * k, 1000, 7) for k in range(5)] + [(2000, 0, 0, 450, 9)] * 60
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    counts = []
+    for group in (20, 100_000):
+        got = packing.pack(frame, 1000, group).toPandas()
+        assert sorted(map(tuple, got[frame.columns].to_numpy().tolist())) == sorted(rows)
+        for _, part in got.sort_values("offset").groupby("sequence_id"):
+            assert part["offset"].tolist() == [0, *part["length"].cumsum().tolist()[:-1]] and part["length"].sum() <= 1000
+        packed = got[got["sequence_id"] >= 0]
+        rounds, groups = packed["sequence_id"].to_numpy() >> 51, packed["sequence_id"].to_numpy() >> 20
+        if group == 20:
+            assert rounds.max() > 1  # at least one exchange took place
+            assert len(set(groups[packed["doc_id"] == 2000])) > 5  # equal rows do not meet in one group
+        counts.append(got["sequence_id"].nunique())
+        # The bins of certified groups that hold only certified bins cannot be fewer.
+        for _, part in packed.groupby(groups):
+            if part["certified"].all() and (part.groupby("sequence_id")["length"].sum() < 1000).all():
+                assert part["sequence_id"].nunique() == packing.lower_bound(part["length"].to_numpy(np.int64), 1000)
+    assert counts[1] <= counts[0] <= 1.15 * counts[1]  # each small group is only proven against its own bound
+
+
 def test_packing_bounds():
     rng = np.random.default_rng(4)
     for _ in range(20):
