@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_digest
 
 #: What a candidate looks like, and words that announce one.
 HINTS = r"(?i)(api[_-]?key|access[_-]?key|secret|token|passw(or)?d|pwd|credential|bearer|private[_-]?key|auth)"
@@ -26,21 +26,39 @@ PLACEHOLDER = r"(?i)(example|placeholder|your|xxxx|changeme|dummy|0000000|123456
 CONTEXT, MIN_COUNT = 40, 5
 #: Labelled findings made for training, trees and depth.
 TRAIN_ROWS, TREES, DEPTH = 6_000, 24, 7
+#: Corpus words that training findings are made of, at most; the probability from which a finding is a secret.
+TRAIN_WORDS, LEAST = 300, 0.5
 FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_distinct", "f_changes", "f_symbols", "f_words", "f_path", "f_hint", "f_assigned", "f_quoted", "f_checksum", "f_placeholder"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``key, source, candidate, place, left, right`` for each match in each text, ``source`` naming the text; whole texts."""
-    between = F.split("text", CANDIDATE, -1)
-    found = docs.select("key", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("matches"), between.alias("between")).where("size(matches) > 0")
-    # A match begins behind what stands before it: the pieces between matches, and the matches.
-    places = "aggregate(sequence(0, size(matches) - 1), cast(array() as array<int>), (p, i) -> concat(p, array(length(between[i]) + if(i = 0, 1, p[i - 1] + length(matches[i - 1])))))"
-    each = found.select("key", F.xxhash64("text").alias("source"), "text", F.inline(F.arrays_zip(F.col("matches").alias("candidate"), F.expr(places).alias("place"))))
-    return each.select(
-        "key", "source", "candidate", "place",
-        F.expr(f"substring(text, greatest(1, place - {CONTEXT}), least({CONTEXT}, place - 1))").alias("left"),
-        F.expr(f"substring(text, place + length(candidate), {CONTEXT})").alias("right"),
+    """``key, source, candidate, place, left, right`` for each match in each text, ``source`` naming the text; whole texts.
+
+    The work grows with the text, also where it is full of candidates: contexts
+    are joined from the ends of the few pieces next to a match, and places are
+    sums over blocks of matches, not over all matches before.
+    """
+    # Each inline of one struct keeps what it holds from being computed again for every use.
+    found = docs.select("key", "text", F.inline(F.array(F.struct(F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("matches"))))).where("size(matches) > 0")
+    cut = found.select("key", F.xxhash64("text").alias("source"), "matches", F.inline(F.array(F.struct(F.split("text", CANDIDATE, -1).alias("between")))))
+    sizes = cut.select(
+        "key", "source", "matches", "between",
+        F.inline(F.array(F.struct(
+            F.expr(f"transform(between, b -> right(b, {CONTEXT}))").alias("ends"),
+            F.expr(f"transform(between, b -> left(b, {CONTEXT}))").alias("starts"),
+            F.expr("transform(matches, (m, i) -> length(between[i]) + length(m))").alias("steps"),
+            F.expr("cast(ceil(sqrt(size(matches))) as int)").alias("w"),
+        ))),
     )
+    total = "aggregate({}, 0, (s, x) -> s + x)"
+    blocks = sizes.withColumn("sums", F.expr(f"transform(sequence(0, (size(matches) - 1) div w), b -> {total.format('slice(steps, cast(b * w + 1 as int), w)')})"))
+    heads = blocks.select("*", F.inline(F.array(F.struct(F.expr(f"transform(sums, (x, b) -> {total.format('slice(sums, 1, b)')})").alias("heads")))))
+    place = f"heads[cast(i div w as int)] + {total.format('slice(steps, cast((i div w) * w + 1 as int), cast(i % w as int))')} + length(between[i]) + 1"
+    # A candidate and what parts it from the next have 9 characters at least.
+    far = -(-CONTEXT // 9)
+    left = f"right(array_join(transform(sequence(greatest(0, i - {far}), i), j -> concat(ends[j], if(j < i, matches[j], ''))), ''), {CONTEXT})"
+    right = f"left(array_join(transform(sequence(i + 1, least(i + 1 + {far}, size(matches))), j -> concat(starts[j], if(j < size(matches), matches[j], ''))), ''), {CONTEXT})"
+    return heads.select("key", "source", F.inline(F.expr(f"transform(matches, (m, i) -> struct(m as candidate, cast({place} as int) as place, {left} as left, {right} as right))")))
 
 
 def _share(pattern: str) -> Column:
@@ -80,22 +98,27 @@ def features(rows: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Labelled findings by rule: ``id, candidate, left, right, f_known, label``.
+def labelled_findings(spark: SparkSession, words: list[str], rows: int = TRAIN_ROWS, first: int = 0) -> DataFrame:
+    """Labelled findings by rule: ``id, candidate, left, right, label`` with ``id`` from ``first`` on.
 
     Secrets are random keys of the usual shapes, mostly announced by a word;
-    the others are long words, checksums, addresses, placeholders and repeated
-    characters in the places where those occur. ``f_known`` is the share that a
-    dictionary would cover.
+    the others are words (of ``words`` and unknown ones), checksums, addresses,
+    placeholders and repeated characters in the places where those occur.
     """
-    base = spark.range(rows).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"), F.pmod(F.xxhash64("id"), F.lit(997)).alias("r"))
+    base = spark.range(first, first + rows).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"), F.pmod(F.xxhash64("id"), F.lit(997)).alias("r"))
+    if words:
+        picked = [F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(words))) + 1).cast("int")) for k in range(6)]
+        base = base.withColumn("phrase", F.when(F.col("r") % 3 == 0, F.concat_ws("_", *picked)).when(F.col("r") % 3 == 1, F.concat_ws("-", *picked)).otherwise(F.concat(*picked)))
+    else:
+        base = base.withColumn("phrase", F.lit(None).cast("string"))
     b64 = "translate(base64(unhex(h)), '=', 'A')"
     kind = "id % 12"
+    unknown = "substring(translate(h, '0123456789', 'nthersiolu'), 1, 20 + r % 25)"
     candidate = f"""case {kind}
       when 0 then substring(h, 1, 40) when 1 then substring(h, 1, 32 + 8 * (r % 5)) when 2 then substring({b64}, 1, 40)
       when 3 then concat('AKIA', upper(substring(translate(h, '01', 'XY'), 1, 16))) when 4 then concat('ghp_', translate(substring({b64}, 1, 36), '/+', 'ab'))
       when 5 then upper(substring(h, 1, 40))
-      when 6 then substring(translate(h, '0123456789', 'nthersiolu'), 1, 20 + r % 25)
+      when 6 then if(r % 2 = 0, coalesce(phrase, {unknown}), {unknown})
       when 7 then substring(h, 1, 40) when 8 then concat(substring(h, 1, 8), '-', substring(h, 9, 4), '-', substring(h, 13, 4), '-', substring(h, 17, 12))
       when 9 then concat('docs/', translate(substring(h, 1, 6), '0123456789', 'nthersiolu'), '/', translate(substring(h, 7, 8), '0123456789', 'nthersiolu'), '/', substring(h, 20, 4))
       when 10 then element_at(array('your_api_key_goes_here', 'EXAMPLE_EXAMPLE_EXAMPLE', 'xxxxxxxxxxxxxxxxxxxxxxxx', 'changeme_changeme_changeme', 'placeholder_token_value'), 1 + cast(r % 5 as int))
@@ -109,17 +132,17 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
       else element_at(array('and the ', 'wer ', 'est. ', 'los '), 1 + cast(r % 4 as int)) end"""
     return base.select(
         "id", F.expr(candidate).alias("candidate"), F.expr(left).alias("left"),
-        F.expr(f"case when {kind} <= 5 and r % 2 = 0 then '\" and' else ' of the' end").alias("right"),
-        F.expr(f"case when {kind} = 6 then (r % 3) / 2.0 else 0.0 end").alias("f_known"), F.expr(f"cast({kind} <= 5 as double)").alias("label"),
+        F.expr(f"case when {kind} <= 5 and r % 2 = 0 then '\" and' else ' of the' end").alias("right"), F.expr(f"cast({kind} <= 5 as double)").alias("label"),
     )
 
 
-def train(labelled: DataFrame) -> RandomForestClassificationModel:
-    """The forest, from a bounded table of labelled findings (``id, candidate, left, right, label``; ``f_known`` if given)."""
-    rows = features(labelled, None)
-    if "f_known" in labelled.columns:
-        rows = rows.withColumn("f_words", F.col("f_known"))
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+def assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(rows)
+
+
+def train(labelled: DataFrame, dictionary: DataFrame | None = None) -> RandomForestClassificationModel:
+    """The forest, from a bounded table of labelled findings (``id, candidate, left, right, label``), measured as the scan measures."""
+    table = assembled(features(labelled, dictionary))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, cacheNodeIds=False).fit(table.select("features", "label"))
 
 
@@ -129,41 +152,59 @@ def dictionary_words(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("word")
 
 
+def sample_words(words: DataFrame, most: int = TRAIN_WORDS) -> list[str]:
+    """Words of the corpus that training findings are made of: those of the smallest hash."""
+    return [r["word"] for r in words.where("length(word) between 4 and 12").orderBy(F.xxhash64("word"), "word").limit(most).collect()]
+
+
 def findings(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """``key, candidate, place, occurrences, probability, is_secret`` for ``docs(key, text)``.
+    """``key, source, candidate, places, probability`` for ``docs(key, text)``; ``source`` names the text of the key.
 
-    Every occurrence is judged by its own context; a candidate is a secret in a
-    text if any is, and has the largest probability. ``place`` is the first
-    position, from 1. Null and empty texts have no findings. Only words and
-    candidates move, never texts.
+    Every occurrence is judged by its own context; a candidate has the largest
+    probability of any in its text. ``places`` are its positions, from 1, in
+    order. Null and empty texts have no findings. Only words and candidates
+    move, never texts.
     """
-    model = model or train(labelled_findings(docs.sparkSession))
-    found = materialise(candidates(docs).withColumn("id", F.xxhash64("key", "source", "candidate", "place")), "secret-candidates")
+    parts = ["key", "source", "candidate", "place"]
+    found = materialise(candidates(docs).withColumn("id", F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(7), *parts).alias("b"))), "secret-candidates")
+    words = materialise(dictionary_words(docs), "secret-words")
+    model = model or train(labelled_findings(docs.sparkSession, sample_words(words)), words)
     wanted = found.select(F.explode(F.split(F.lower("candidate"), "[^a-z]+")).alias("word")).distinct()
-    words = dictionary_words(docs).join(wanted, "word", "left_semi")
-    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(found.dropDuplicates(["id"]), words)))
-    told = judged.groupBy("key", "source", "candidate").agg(F.min("place").alias("place"), F.count("*").cast("int").alias("occurrences"), F.max(vector_to_array("probability")[1]).alias("probability"))
-    return told.dropDuplicates(["key", "candidate", "place"]).select("key", "candidate", "place", "occurrences", "probability", (F.col("probability") >= 0.5).alias("is_secret"))
+    judged = model.transform(assembled(features(found.dropDuplicates(["id"]), words.join(wanted, "word", "left_semi"))))
+    return judged.groupBy("key", "source", "candidate").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max(vector_to_array("probability")[1]).alias("probability"))
 
 
 def secret_query(docs: DataFrame) -> DataFrame:
-    """Every finding of every document with its verdict; a doc_id that repeats keeps one row a candidate and place."""
+    """Every finding of every document with its verdict: ``doc_id, candidate, place, occurrences, probability, is_secret``.
+
+    ``place`` is the first. A repeated row gives its findings once; texts that
+    share a doc_id are judged apart, and a candidate at one place in several of
+    them gets one row with the largest values. Extra columns are not looked at;
+    an empty table gives an empty result.
+    """
     found = findings(docs.select(F.col("doc_id").alias("key"), "text"))
-    return found.select(F.col("key").alias("doc_id"), "candidate", "place", "occurrences", "probability", "is_secret")
+    told = found.groupBy(F.col("key").alias("doc_id"), "candidate", F.element_at("places", 1).alias("place")).agg(F.max(F.size("places")).alias("occurrences"), F.max("probability").alias("probability"))
+    return told.withColumn("is_secret", F.col("probability") >= LEAST)
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mask``; other columns and rows stay.
+    """``docs`` with every secret in ``text`` replaced by ``mask``; other columns and rows stay, whatever their names.
 
-    Only texts that hold a secret are joined; they are found by their digest, so
-    copies are masked alike.
+    Only texts that hold a candidate are joined; they are found by their digest,
+    so copies are masked alike.
     """
-    digest = F.xxhash64("text", F.md5(F.col("text").cast("binary")))
-    held = F.col("text").rlike(CANDIDATE)
-    some = docs.where(F.coalesce(held, F.lit(False))).withColumn("__key", digest)
+    held = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     # Words are counted over all texts, candidates are sought where there are any.
-    found = findings(docs.select(digest.alias("key"), "text").where("text is not null")).where("is_secret")
-    lists = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct((-F.length("candidate")).alias("n"), "candidate"))).alias("__found"))
-    clean = F.expr(f"aggregate(coalesce(__found, array()), text, (t, s) -> replace(t, s.candidate, '{mask}'))")
-    masked = some.join(lists, some["__key"] == lists["key"], "left").select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
-    return docs.where(~F.coalesce(held, F.lit(False))).unionByName(masked)
+    found = findings(docs.select(text_digest("text").alias("key"), "text").where("text is not null"))
+    each = found.select("key", F.explode("places").alias("place"), (F.col("probability") >= LEAST).alias("secret"))
+    # One flag a match, in the order of the matches; texts without a secret need none.
+    flags = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "secret"))).alias("found"), F.max("secret").alias("any")).where("any")
+    flags = flags.select(F.col("key").alias("__digest_of_secret"), F.col("found.secret").alias("__secret_flags"))
+    cut = F.expr("transform(array(struct(regexp_extract_all(text, {0}, 0) as m, split(text, {0}, -1) as b)), e -> array_join(transform(e.b, (x, i) -> concat(x, if(i < size(e.m), if(__secret_flags[i], {1}, e.m[i]), ''))), ''))[0]".format(_literal(CANDIDATE), _literal(mask)))
+    clean = F.when(F.col("__secret_flags").isNull(), F.col("text")).otherwise(cut)
+    masked = docs.where(held).withColumn("__text_digest", text_digest("text")).join(flags, F.col("__text_digest") == F.col("__digest_of_secret"), "left")
+    return docs.where(~held).unionByName(masked.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _literal(text: str) -> str:
+    return "r'" + text + "'" if "'" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

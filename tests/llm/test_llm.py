@@ -350,6 +350,48 @@ def test_secrets_each_occurrence(spark):
     assert key not in masked[70] and key in masked[71]
 
 
+def test_secret_candidates_by_brute_force(spark):
+    import regex
+
+    key = hashlib.sha256(b"k").hexdigest()
+    texts = {i: t for i, t in enumerate([f"x {key} y", key, f'token="{key}" {key[:30]} {key}=\n{key[:20]}', "é🙂 " + " ".join(key[: 20 + n % 9] for n in range(400)), "word", ""])}
+    rows = spark.createDataFrame(list(texts.items()), "key long, text string")
+    got = sorted((r["key"], r["place"], r["candidate"], r["left"], r["right"]) for r in secrets.candidates(rows).collect())
+    want = []
+    for i, t in texts.items():
+        for m in regex.finditer(secrets.CANDIDATE, t):
+            want.append((i, m.start() + 1, m.group(), t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40]))
+    assert got == sorted(want) and len(want) > 400
+
+
+def test_secret_forest_held_out(spark):
+    words = [f"{a}{b}" for a in WORDS[:20] for b in WORDS[5:20]]
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    model = secrets.train(secrets.labelled_findings(spark, words[:100]), known)
+    unseen = secrets.labelled_findings(spark, words[100:], rows=2400, first=1_000_000)
+    told = model.transform(secrets.assembled(secrets.features(unseen, known))).select("label", "prediction").toPandas()
+    hit = (told["label"] == 1) & (told["prediction"] == 1)
+    assert hit.sum() / (told["label"] == 1).sum() > 0.97 and hit.sum() / (told["prediction"] == 1).sum() > 0.97
+
+
+def test_secrets_planted_in_documents(spark):
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r["doc_id"], k) for r in rows.collect() for k in re.findall(r'(?i)token = "([0-9a-f]{40})"', r["text"] or "")}
+    got = {(r["doc_id"], r["candidate"]) for r in secrets.secret_query(rows).where("is_secret").collect()}
+    assert got == want and len(want) > 10
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    key = hashlib.sha256(b"k").hexdigest()[:40]
+    rows = spark.createDataFrame([(1, f'token = "{key}" and {key}', "a", "b", 3), (2, None, "a", None, None)], "doc_id long, text string, key string, place string, probability long")
+    got = {r["doc_id"]: r for r in secrets.mask_secrets(rows).collect()}
+    assert got[1]["text"] == 'token = "[SECRET]" and [SECRET]' and got[1]["key"] == "a" and got[1]["probability"] == 3 and got[2]["text"] is None
+    assert secrets.mask_secrets(rows, "it's \\gone").where("doc_id = 1").first()["text"] == "token = \"it's \\gone\" and it's \\gone"
+    assert secrets.secret_query(rows.where("false")).count() == 0 and secrets.mask_secrets(rows.where("false")).count() == 0
+
+
 def test_language_held_out(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_query(rows).join(rows.select("doc_id", "lang", "text"), "doc_id").where("held_out and text is not null and lang is not null")
