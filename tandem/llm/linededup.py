@@ -20,6 +20,8 @@ from .common import materialise
 
 #: A single line of more words than this is a passage of its own.
 LONG_WORDS = 50
+#: Chunks that are marked by a broadcast.
+HOT = 2000
 
 #: The first line and the number of lines in a code ``c``.
 START, COUNT = "cast(c div 4294967296 as int)", "cast(c % 4294967296 as int)"
@@ -39,7 +41,7 @@ def _occurrences(docs: DataFrame, long_words: int) -> DataFrame:
 
 def _ambiguous(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """``h``: hashes that stand for lines of different bytes, among the lines of the chunks in ``marked``."""
-    places = marked.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(at, at + n - 1)")))).alias("places"))
+    places = marked.select("doc_id", "key", F.explode(F.expr("sequence(at, at + n - 1)")).alias("place")).groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(places.hint("merge"), ["doc_id", "key"])
     lines = rows.select(F.explode(F.expr("transform(array(split(text, '\\n', -1)), e -> transform(places, i -> get(e, i)))[0]")).alias("line"))
     return lines.select(F.xxhash64("line").alias("h"), "line").distinct().groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
@@ -49,14 +51,21 @@ def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFram
     """``doc_id, key, code`` of every chunk to remove.
 
     Counting moves hashes only, added up before the shuffle, so a passage in a
-    third of all documents is one row a task. Then the bytes of the lines in
-    repeated chunks are compared: distinct lines meet by hash, and a chunk with
-    a hash of two different lines is not removed.
+    third of all documents is one row a task. To be marked, the occurrences of
+    the HOT most frequent chunks meet their counts by a broadcast of so many
+    rows; so no chunk that is joined by its key has more than one in HOT of all
+    occurrences. Then the bytes of the lines in repeated chunks are compared:
+    distinct lines meet by hash, and a chunk with a hash of two different lines
+    is not removed.
     """
+    keys = ["n", "a", "b"]
     found = _occurrences(docs, long_words)
-    counted = found.groupBy("n", "a", "b").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "at")).alias("first"))
-    marked = found.join(counted.where("times > 1").drop("times").hint("merge"), ["n", "a", "b"])
-    marked = marked.select("doc_id", "key", "at", "n", "a", "b", (F.struct("doc_id", "key", "at") == F.col("first")).alias("kept"))
+    counted = materialise(found.groupBy(*keys).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "at")).alias("first")).where("times > 1"), "line-counts")
+    hot = counted.orderBy(F.desc("times"), *keys).limit(HOT).select(*keys, "first")  # HOT rows
+    rest = found.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    cold = counted.drop("times").join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    marked = found.join(F.broadcast(hot), keys).unionByName(rest.join(cold.hint("merge"), keys))
+    marked = marked.select("doc_id", "key", "at", *keys, (F.struct("doc_id", "key", "at") == F.col("first")).alias("kept"))
     marked = materialise(marked, "line-chunks")
     unsure = materialise(_ambiguous(docs, marked), "line-hashes")
     gone = marked.where("not kept").join(unsure, F.col("a") == F.col("h"), "left_anti").join(unsure, (F.col("n") == 2) & (F.col("b") == F.col("h")), "left_anti")

@@ -202,6 +202,35 @@ def test_lines_removed_stay_elsewhere(spark):
         assert [x for x in lines if x.startswith("own")] == [x for x in rest if x.startswith("own")]
 
 
+def brute_lines(texts, long_words=50):
+    """What stays of each text: every pair of lines, and every long line, stands once, at its first place."""
+    lines = {i: t.split("\n") for i, t in sorted(texts.items())}
+    chunks = {}
+    for i, own in lines.items():
+        for at, line in enumerate(own):
+            if at + 1 < len(own):
+                chunks.setdefault((line, own[at + 1]), []).append((i, at))
+            if len(line.split()) > long_words:
+                chunks.setdefault((line,), []).append((i, at))
+    gone = {i: set() for i in lines}
+    for chunk, places in chunks.items():
+        for i, at in places[1:]:
+            gone[i] |= set(range(at, at + len(chunk)))
+    return {i: "\n".join(line for at, line in enumerate(own) if at not in gone[i]) for i, own in lines.items()}
+
+
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_lines_by_brute_force(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] is not None}
+    notice = [sentence(700 + i, 6) for i in range(12)]
+    for i in range(60):  # a passage in a quarter of all documents, and parts of it
+        texts[10_000 + i] = "\n".join([f"own {i}", *notice[i % 5 : 12 - i % 3], sentence(40 + i % 4, 70), f"own {i} b", ""])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.line_query(rows).collect()}
+    assert got == brute_lines(texts)
+
+
 def test_lines_passages_of_any_length(spark):
     notices = {n: [sentence(3000 + 10 * n + k, 60 if n == 1 else 8) for k in range(n)] for n in range(1, 6)}
     texts = {}
