@@ -118,7 +118,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sign(docs: DataFrame, multiset: bool = False) -> DataFrame:
+def sign(docs: DataFrame, multiset: bool = True) -> DataFrame:
     """``doc_id, text`` -> ``doc_id, digest, bands`` (no bands for a text without words)."""
 
     def run(batches):
@@ -199,7 +199,7 @@ def _across(similarity: float):
     return run
 
 
-def pairs_across(named: DataFrame, texts: DataFrame, similarity: float, multiset: bool = False) -> DataFrame:
+def pairs_across(named: DataFrame, texts: DataFrame, similarity: float, multiset: bool = True) -> DataFrame:
     """``a, b``: pairs of one bucket but different classes that are similar enough to verify, from ``named(bucket, node, class)``.
 
     In each bucket the members outside its largest class ask, and meet all
@@ -221,7 +221,7 @@ def pairs_across(named: DataFrame, texts: DataFrame, similarity: float, multiset
     return dealt.groupBy("bucket", "p", "q").applyInPandas(_across(similarity), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, multiset: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, multiset: bool = True) -> DataFrame:
     """``pairs(a, b)`` whose texts (``texts(node, text)``) have at least ``similarity``, as ``src, dst``."""
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -246,16 +246,19 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, multiset: bo
     return both.mapInArrow(run, "src long, dst long")
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = False) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = True) -> DataFrame:
     """``doc_id, class_id, digest`` for each row of ``docs(doc_id, text)``; class_id = smallest doc_id of its class.
 
+    Similarity is the weighted Jaccard similarity of the shingles, a shingle
+    weighing as often as it occurs, or without ``multiset`` once.
     Equal texts meet first and go on as one. In each bucket every text is
     compared with the bucket's first; then, in buckets that still hold several
     classes, texts of different classes are compared, in blocks, so no link found
     by the bands is lost, while a bucket of one class costs its size.
     Texts without words link with nothing; rows without a doc_id get no class.
-    doc_id is taken to identify a text: different texts under one id may be put
-    into one class. An empty table gives an empty result.
+    doc_id is taken to identify a text: different texts under one id are put into
+    one class, and the one of the smallest digest stands for them where texts are
+    verified. Other columns are not looked at; an empty table gives an empty result.
     """
     signed = materialise(sign(docs.where("doc_id is not null"), multiset), "minhash-signed")
     worded = signed.where("bands is not null")
@@ -265,7 +268,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = Fals
     members = materialise(entries.join(heads, "bucket"), "minhash-buckets")
     starred = materialise(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "minhash-pairs")
     wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min_by("text", text_digest("text")).alias("text"))
     texts = materialise(texts, "minhash-texts")
     links = materialise(verified(starred, texts, similarity, multiset), "minhash-links")
     classes = connected_components(links, "minhash-classes")
@@ -274,7 +277,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = Fals
     rest = pairs_across(named, texts, similarity, multiset).join(starred, ["a", "b"], "left_anti")
     more = materialise(verified(rest, texts, similarity, multiset), "minhash-links")
     if more.limit(1).count():
-        classes = connected_components(links.unionByName(more), "minhash-classes")
+        known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        classes = connected_components(known.unionByName(more), "minhash-classes")
     named = unique.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     told = worded.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "digest")
     alone = signed.where("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), "digest")

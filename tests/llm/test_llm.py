@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -72,10 +73,10 @@ def test_bpe_is_the_library_encoding(spark, docs):
 
 
 def brute_classes(texts, similarity=0.8):
-    """Components of exact Jaccard links over 5-word shingles, by smallest id."""
+    """Components of exact links over counted 5-word shingles, by smallest id."""
     def shingles(t):
         w = t.lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
     sets = {i: shingles(t or "") for i, t in texts.items()}
     parent = {i: i for i in texts}
@@ -89,7 +90,7 @@ def brute_classes(texts, similarity=0.8):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and len(x & y) >= similarity * len(x | y):
+            if x and y and (common := (x & y).total()) and common >= similarity * (x.total() + y.total() - common):
                 lo, hi = sorted((find(a), find(b)))
                 parent[hi] = lo
     return {i: find(i) for i in ids}
@@ -101,6 +102,9 @@ def test_minhash_classes(spark, docs):
         base = sentence(1000, 100).split()
         chain = base[n // 2 * 3 :] + sentence(2000, 60).split()[: n // 2 * 3]
         texts[100_000 + n] = " ".join(chain if n % 2 else [*base[:97], f"w{n}", *base[97:]])
+    phrase = "one phrase that comes again and again".split()
+    for n in range(30):  # the same shingles, but as often as not: near only where the counts are
+        texts[200_000 + n] = " ".join([*phrase * (3 + n), *sentence(77, 12).split()])
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_query(rows).collect()}
     assert got == brute_classes(texts)
@@ -132,6 +136,47 @@ def test_dart_estimates():
     assert abs((x == y).mean() - 0.5) < 0.04
 
 
+@pytest.mark.parametrize("shape", ["units", "counts", "fractions"])
+def test_darts_estimate_weighted_similarity(shape):
+    rng = np.random.default_rng(4)
+    names = np.unique(rng.integers(1, 1 << 60, 400).astype(np.uint64))
+    draw = {"units": lambda n: np.ones(n), "counts": lambda n: rng.integers(1, 9, n).astype(float), "fractions": lambda n: rng.uniform(0.05, 3.5, n)}[shape]
+    x, y = draw(300), draw(300)
+    left, right = names[:300], names[100:400]
+    y[:200] = np.where(rng.random(200) < 0.6, x[100:], y[:200])  # most shared elements weigh the same
+    shared = np.minimum(x[100:], y[:200]).sum()
+    true = shared / (x.sum() + y.sum() - shared)
+    one, two = minhash.dart_signatures([(left, x), (right, y)], 4000)
+    assert abs((one == two).mean() - true) < 0.03, (shape, true)
+
+
+@pytest.mark.parametrize("multiset", [False, True])
+def test_minhash_weighs_repeats(spark, multiset):
+    phrase = "one phrase that comes again and again".split()
+    rows = [(n, " ".join(phrase * (3 + 4 * n))) for n in range(8)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), multiset=multiset).collect()}
+    assert len(set(got.values())) == (1 if not multiset else len(set(brute_classes(dict(rows)).values())))
+
+
+def test_components(spark, monkeypatch):
+    from tandem.llm import graph
+
+    monkeypatch.setattr(graph, "CHUNK", 40)
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(200)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(150)]
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(7)
+    got = {r["node"]: r["component"] for r in graph.connected_components(frame).collect()}
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in label:
+        before = dict(label)
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    assert got == label
+
+
 def top_by_brute_force(vectors, queries, k=10):
     want = []
     for q in queries:
