@@ -3,9 +3,9 @@
 A token sequence is the merge result of its bytes exactly if every two
 neighbours stay apart when the merges run over just those two. So a piece is
 covered greedily with the longest token at each place, stepping back to a
-shorter one where neighbours would merge differently. The longest token at each
-place comes from an Aho-Corasick automaton over the vocabulary, bytes mapped to
-Latin-1; whether two tokens may stand together is remembered per pair.
+shorter one where neighbours would merge differently. One walk of an
+Aho-Corasick automaton over the piece, bytes mapped to Latin-1, gives the longest
+token at each place; whether two tokens may stand together is remembered per pair.
 """
 
 from __future__ import annotations
@@ -51,7 +51,6 @@ class BytePairEncoder:
         self.automaton.make_automaton()
         self.cell = {rank: np.array([rank], "<u4").tobytes() for rank in self.token}
         self.size = {rank: len(token) for rank, token in self.token.items()}
-        self.longest_token = max(self.size.values())
         self.pairs: dict[int, bool] = {}
         self.base = max(self.token, default=0) + 1
         self.shorter_of: dict[int, int] = {}
@@ -80,27 +79,32 @@ class BytePairEncoder:
         known = self.pairs[pair] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return known
 
-    def longest(self, text: str) -> int:
-        """The longest token that begins ``text``; the trie bounds its length."""
-        for n in range(self.automaton.longest_prefix(text), 0, -1):
-            if (found := self.automaton.get(text[:n], None)) is not None:
-                return found
-        return -1
+    def longest(self, text: str) -> list[int]:
+        """The longest token that begins at each place, by one walk of the automaton over ``text``.
+
+        Matches come in the order of their ends, so the last one that begins at a
+        place is the longest.
+        """
+        found, size = [-1] * len(text), self.size
+        for end, token in self.automaton.iter(text):
+            found[end + 1 - size[token]] = token
+        return found
 
     def shorter(self, token: int) -> int:
         """The longest token that begins ``token`` and is not it, or -1; remembered."""
         if (known := self.shorter_of.get(token)) is None:
-            known = self.shorter_of[token] = self.longest(self.token[token][:-1].decode("latin-1"))
+            known = self.shorter_of[token] = next(iter(self.longest(self.token[token][:-1].decode("latin-1"))), -1)
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.rank.get(piece)) is not None:
             return [whole]
-        text, n, size, most = piece.decode("latin-1"), len(piece), self.size, self.longest_token
+        n, size = len(piece), self.size
         pairs, base = self.pairs, self.base
+        longest = self.longest(piece.decode("latin-1"))
         dead: set[int] = set()  # places from which no valid covering goes on
         out: list[int] = []
-        at, last, token = 0, -1, self.longest(text[:most])
+        at, last, token = 0, -1, longest[0]
         while True:
             end = at + size[token]
             if end not in dead:
@@ -109,7 +113,7 @@ class BytePairEncoder:
                     out.append(token)
                     if end == n:
                         return out
-                    at, last, token = end, token, self.longest(text[end : end + most])
+                    at, last, token = end, token, longest[end]
                     continue
             token = self.shorter(token)
             while token < 0:
@@ -158,6 +162,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
     ids. With ``decoded``, the same workers also turn the ids back into bytes.
     No shuffle; memory is one Arrow batch and the bounded memo.
     """
+    if clash := {"n_tokens", "token_ids", "decoded"} & set(keep):
+        raise ValueError(f"these columns would stand twice in the result: {sorted(clash)}")
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     names = [*keep, "n_tokens", "token_ids", *["decoded"] * decoded]
 
@@ -192,6 +198,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, repeated rows too; an empty table gives an empty result."""
     both = encode(docs, path, pattern, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -52,6 +52,18 @@ def test_shards(spark, docs):
     assert sharding.shard_documents(docs.where("false")).count() == 0
 
 
+def test_shards_recomputed(spark, docs):
+    """Every shard and slot by prefix sums over all rows in order."""
+    rows = docs.select("doc_id", "text").unionByName(docs.where("doc_id < 30").select("doc_id", "text")).withColumn("shard", F.lit("x"))
+    got = sharding.shard_documents(rows).toPandas().sort_values(["doc_id", "size", "text_crc32", "shard", "slot"])
+    table = sorted((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in rows.collect())
+    end = np.cumsum([size for _, size, _ in table])
+    shard = [min(15, (2 * int(e) - size) * 16 // (2 * int(end[-1]))) for e, (_, size, _) in zip(end, table)]
+    slot = [n - shard.index(s) for n, s in enumerate(shard)]
+    assert list(zip(got["doc_id"], got["size"], got["text_crc32"])) == table
+    assert got["shard"].tolist() == shard and got["slot"].tolist() == slot
+
+
 def test_bpe_is_the_library_encoding(spark, docs):
     import base64
 
