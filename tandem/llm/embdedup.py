@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import materialise
+from .common import forget, materialise
 from .graph import connected_components
 
 #: Vectors the codebooks are fitted on, at most: those of the smallest hash. All are indexed.
@@ -230,6 +230,7 @@ def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
     live = dealt(placed.withColumn("cell", F.col("home")), False)
     schema = "src long, tag long, n long, dst long, edge boolean"
     found = materialise(asks.unionByName(live).groupBy("dims", "cell", "h_at", "p_at").applyInPandas(_compare(cosine, kind), schema), "vector-links")
+    forget(placed)
     links = found.where("not edge").groupBy(F.col("src").alias("node"), "tag").agg(F.sum("n").alias("n"))
     return links, found.where("edge").select("src", "dst").distinct()
 

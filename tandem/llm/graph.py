@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 #: Edges that a task contracts at once.
 CHUNK = 2_000_000
@@ -71,13 +71,14 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
         if not seen[0]:
             break
         forest = current.mapInArrow(_local_forests, "hi long, lo long")
-        both = materialise(forest.distinct(), label)
-        both = both.select(F.col("hi").alias("node"), F.col("lo").alias("nbr")).unionByName(both.select(F.col("lo").alias("node"), F.col("hi").alias("nbr")))
+        trees = materialise(forest.distinct(), label)
+        both = trees.select(F.col("hi").alias("node"), F.col("lo").alias("nbr")).unionByName(trees.select(F.col("lo").alias("node"), F.col("hi").alias("nbr")))
         least = both.groupBy("node").agg(F.min("nbr").alias("m")).select("node", F.least("node", "m").alias("m"))
         large = both.where("nbr > node").join(least, "node").select(F.col("nbr").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        current = materialise(hung.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct(), label)
+        before, current = current, materialise(hung.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct(), label)
+        forget(before, trees)
         now = _state(current)
         if now == seen:
             break

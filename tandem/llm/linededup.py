@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 #: A single line of more words than this is a passage of its own.
 LONG_WORDS = 50
@@ -67,6 +67,7 @@ def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFram
     marked = found.join(F.broadcast(hot), keys).unionByName(rest.join(cold.hint("merge"), keys))
     marked = marked.select("doc_id", "key", "at", *keys, (F.struct("doc_id", "key", "at") == F.col("first")).alias("kept"))
     marked = materialise(marked, "line-chunks")
+    forget(counted)
     unsure = materialise(_ambiguous(docs, marked), "line-hashes")
     gone = marked.where("not kept").join(unsure, F.col("a") == F.col("h"), "left_anti").join(unsure, (F.col("n") == 2) & (F.col("b") == F.col("h")), "left_anti")
     return gone.select("doc_id", "key", F.expr("at * 4294967296L + n").alias("code"))
@@ -75,8 +76,8 @@ def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFram
 def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with ``text`` cleaned, plus ``removed_chunks`` (unbroken runs of removed lines) and ``removed_lines``.
 
-    All columns and rows stay (also clashing names: only ``doc_id`` and ``text``
-    are read). A null text stays null and an empty one empty; a text whose every
+    All columns and rows stay, but for columns of these two names, which are
+    replaced; only ``doc_id`` and ``text`` are read. A null text stays null and an empty one empty; a text whose every
     chunk is removed becomes empty. Rows equal in doc_id and text count as one
     document, so they get the same result; rows without a doc_id keep their text.
     """
@@ -89,7 +90,7 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     end = f"{START} + {COUNT}".replace("c ", "get(__gone, i - 1) ")
     left = f"transform(sequence(0, size(__gone)), i -> slice(__lines, coalesce({end}, 0) + 1, greatest(0, coalesce({begin}, size(__lines)) - coalesce({end}, 0))))"
     rows = rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), F.flatten(F.expr(left))))
-    out = [F.expr("if(__gone is null, text, array_join(__left, '\n'))").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = [F.expr("if(__gone is null, text, array_join(__left, '\n'))").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
     return rows.select(
         *out,
         F.expr(f"if(__gone is null, 0, size(filter(transform(__gone, (c, i) -> {START} > coalesce({end}, -1)), x -> x)))").alias("removed_chunks"),

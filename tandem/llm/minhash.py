@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_digest
+from .common import forget, materialise, text_digest
 from .graph import connected_components
 from .words import U64, in_chunks, mix, segment
 
@@ -279,6 +279,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = True
     if more.limit(1).count():
         known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
         classes = connected_components(known.unionByName(more), "minhash-classes")
+    forget(members, starred, texts, links, more)
     named = unique.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     told = worded.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "digest")
     alone = signed.where("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), "digest")

@@ -14,8 +14,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,13 +182,18 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def _pack(capacity: int):
-    def run(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], ignore_index=True)
-        lengths = pdf["length"].to_numpy(np.int64)
-        bins, offsets = best_fit_decreasing(lengths, capacity)
+    def run(table: pa.Table) -> pa.Table:
+        lengths = table["length"].to_numpy().astype(np.int64)
+        # Longest first, ties by the piece; where an id is null, by its place.
+        ties = [pc.fill_null(table[c], -1).to_numpy() for c in ("place", "start", "piece", "doc_id")]
+        order = np.lexsort((*ties, -lengths))
+        bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        bins[order], offsets[order] = best_fit_decreasing(lengths[order], capacity)
         gap = int(bins.max()) + 1 - lower_bound(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        return pdf.assign(bin=bins, offset=offsets, gap=gap, fill=fill[bins])
+        for name, column in (("bin", bins), ("offset", offsets), ("gap", np.full(len(bins), gap)), ("fill", fill[bins])):
+            table = table.append_column(name, pa.array(column, pa.int64()))
+        return table
 
     return run
 
@@ -215,7 +220,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     def packed(rows: DataFrame, count: int, rnd: int) -> DataFrame:
         groups = max(1, -(-count // group_pieces))
         dealt = rows.select(*names, "place", F.pmod(F.xxhash64(F.lit(rnd), *names, "place"), F.lit(groups)).alias("grp"))
-        found = dealt.groupBy("grp").applyInPandas(_pack(capacity), schema)
+        found = dealt.groupBy("grp").applyInArrow(_pack(capacity), schema)
         number = (F.lit((rnd + 1) << 51) + (F.col("grp") * (1 << 20)) + F.col("bin")).alias("sequence_id")
         return materialise(found.withColumn("sequence_id", number).withColumn("certified", certified), "pack-round")
 

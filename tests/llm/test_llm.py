@@ -584,3 +584,56 @@ def test_pipeline(spark):
         before, at = at.count(), stage(spark, at, SF)
         assert at.columns == docs.columns and 0 < at.count() <= before, name
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == at.count()
+
+
+CLASHES = ["key", "source_", "hash", "place", "tag", "node", "score", "shard", "removed_lines", "__digest", "bucket", "label", "fit", "candidate", "digest"]
+
+
+def with_clashes(frame):
+    for c in CLASHES:
+        frame = frame.withColumn(c, F.lit("x"))
+    return frame
+
+
+#: Each operator's query over documents, the columns that name its rows, and how many rows the edge table gives.
+OVER_DOCUMENTS = {
+    "op1": (lambda d: sharding.shard_documents(d).drop("slot", "shard"), 10),
+    "op2": (lambda d: bpe.round_trip_digests(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), 10),
+    "op3": (minhash.near_query, 10),
+    "op5": (linededup.line_query, 10),
+    "op7": (secrets.secret_query, None),
+    "op8": (lambda d: langid.language_query(d).drop("languages"), 10),
+    "op9": (lambda d: toxicity.toxicity_query(d, d.select("doc_id", F.lit(1).alias("toxic"))), 10),
+    "op10": (lambda d: packing.pack_documents(d, P.path("word_bpe_49k.json")).drop("sequence_id", "offset"), None),
+}
+
+
+@pytest.mark.parametrize("name", OVER_DOCUMENTS)
+def test_edges_of_each_operator(spark, name):
+    query, rows = OVER_DOCUMENTS[name]
+    key = hashlib.sha256(b"k").hexdigest()[:40]
+    plain = edge_docs(spark, [(9, f'token = "{key}"')])
+    got = query(plain)
+    told = sorted(map(str, got.collect()))
+    assert rows is None or len(told) == rows
+    assert sorted(map(str, query(with_clashes(plain)).collect())) == told  # extra columns change nothing
+    assert query(plain.where("false")).count() == 0
+    assert query(with_clashes(plain).where("text is null")).columns == got.columns
+    if name == "op10":  # an id that is null, and one that no double holds
+        big = plain.where("doc_id = 9 or doc_id is null").withColumn("doc_id", F.col("doc_id") + 2**53)
+        assert sorted(str(r["doc_id"]) for r in query(big).collect()) == [str(9 + 2**53), "None", "None"]
+
+
+def test_edges_of_each_stage(spark):
+    import corpus_pipeline
+
+    rows = edge_docs(spark, [(9, "a line of some words\nand one more of them")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (rows, with_clashes(rows)):
+            got = stage(spark, docs, SF)
+            assert got.columns == docs.columns, name
+            ids = sorted(str(r["doc_id"]) for r in got.collect())
+            if name == "language ID":
+                continue  # few texts to learn from
+            assert ids == (["1", "2", "3", "4", "6", "9", "None", "None"] if "near" in name else sorted(str(r["doc_id"]) for r in rows.collect())), name
+            assert stage(spark, docs.where("false"), SF).count() == 0, name
