@@ -116,3 +116,34 @@ def extrapolate(a: Column, b: Column, factor: Column | float) -> Column:
     """From ``a`` towards ``b`` and beyond: ``a + factor * (b - a)``."""
     factor = factor if isinstance(factor, Column) else F.lit(factor)
     return F.zip_with(a, b, lambda x, y: x + factor * (y - x))
+
+
+#: Widths of stored vectors by kind and model; a kind's fallback stands under "".
+MODEL_WIDTHS = {
+    "histogram": {"histo_gss": 256, "histo_rgb": 1728, "histo_ml": 1984, "": 256},
+    "imagenet": {"vgg16": 512, "densenet121": 1024, "mobilenetv2": 1280, "": 4},
+    "pairnet": {"2": 2, "3": 3, "5": 5, "12": 12, "": 3},
+}
+MODEL_KINDS = {"1": "histogram", "2": "imagenet", "3": "pairnet"}
+
+
+def vector_function(text: str) -> dict:
+    """``func.type.model`` -> metric, kind, width; missing parts are cosine distance, imagenet and its fallback.
+
+    A model may state its width as a number or after an underscore
+    (``vgg16_4``); one that says nothing known has the kind's fallback width.
+    """
+    func, kind, model = [*text.split("."), "", ""][:3] if text else ("", "", "")
+    kind = MODEL_KINDS.get(kind or "2")
+    if kind is None or (func and func not in METRICS):
+        raise ValueError(f"no such vector function: {text}")
+    widths = MODEL_WIDTHS[kind]
+    stated = model.removeprefix("pair").rsplit("_", 1)[-1]
+    if kind == "imagenet" and stated.isdigit():
+        width = int(stated)
+    elif kind == "histogram" and model not in widths:
+        number = int("0" + "".join(c for c in model if c.isdigit()))
+        width = number if number in widths.values() else widths[""]
+    else:
+        width = widths.get(model.removeprefix("pair"), widths[""])
+    return {"metric": func or "cosine_distance", "kind": kind, "width": width}

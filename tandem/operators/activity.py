@@ -65,11 +65,56 @@ def dwell_class(log: DataFrame, history: int = HISTORY) -> DataFrame:
     w = in_time().rowsBetween(1 - history, 0)
     value, mean = F.col("user_time"), F.col("mean_time")
     told = log.withColumn("mean_time", F.floor(F.avg("user_time").over(w)).cast("int"))
-    kind = (
+    return told.select("id", "browser_id", "user_time", "mean_time", _dwell(value, mean).alias("dwell"))
+
+
+def _dwell(value: Column, mean: Column) -> Column:
+    return (
         F.when(value > mean * 2, "longest").when(value > F.floor(mean * 1.5), "longer").when(value > F.floor(mean * 1.25), "long")
         .when(value < F.floor(mean * 0.5), "shorter").when(value < F.floor(mean * 0.75), "short").otherwise("centre")
     )
-    return told.select("id", "browser_id", "user_time", "mean_time", kind.alias("dwell"))
+
+
+#: What a dwell class does to the skew: raises it to a power, or a base to it.
+SKEW_POWERS, SKEW_BASES = {"long": 2.0, "longer": 3.0, "longest": 4.0}, {"short": 2.0, "shorter": 3.0}
+
+
+def skew(log: DataFrame, history: int = HISTORY) -> DataFrame:
+    """``id, browser_id, skew``: how unusual each row's time is among the ``history`` rows up to it, stirred into [0, 1).
+
+    The distance from the whole mean over the largest such distance (0 counts as
+    2) loses its whole part, gains 1, and is raised by the row's dwell class; what
+    is behind the point counts, taken from 1 where the row took longer than the
+    one before.
+    """
+    w = in_time().rowsBetween(1 - history, 0)
+    value, mean = F.col("user_time"), F.col("mean_time")
+    told = log.withColumns({"mean_time": F.floor(F.avg("user_time").over(w)).cast("int"), "low": F.min("user_time").over(w), "high": F.max("user_time").over(w), "before": F.lag("user_time").over(in_time())})
+    widest = F.greatest(mean - F.col("low"), F.col("high") - mean)
+    ratio = F.abs(mean - value) / F.when(widest == 0, 2).otherwise(widest)
+    ratio = ratio - F.floor(ratio) + 1.0
+    stirred = F.when(value > 0, F.exp(ratio)).otherwise(ratio)
+    for name, base in SKEW_BASES.items():
+        stirred = F.when(F.col("dwell") == name, F.pow(F.lit(base), ratio)).otherwise(stirred)
+    for name, power in SKEW_POWERS.items():
+        stirred = F.when(F.col("dwell") == name, F.pow(ratio, F.lit(power))).otherwise(stirred)
+    point = stirred - F.floor(stirred)
+    longer = F.coalesce(value > F.col("before"), F.lit(False))
+    return told.withColumn("dwell", _dwell(value, mean)).select("id", "browser_id", F.round(F.when(longer, 1.0 - point).otherwise(point), 6).alias("skew"))
+
+
+#: Pointer speed, distance without drawing, and distance after an equal rating, above which a hand is restless; the rating it is judged by.
+RESTLESS_SPEED, RESTLESS_DISTANCE, RESTLESS_AGAIN, OUTSIDE_RATING = 300, 200, 25, 4
+
+
+def restless(log: DataFrame) -> DataFrame:
+    """``id, browser_id, restless``, from ``rating, mouse_speed, mouse_dist, dot_count, pixels_outside``: the first rule that holds, or null."""
+    same = F.col("rating") == F.lag("rating").over(in_time())
+    rule = (
+        F.when(F.col("mouse_speed") > RESTLESS_SPEED, "speed").when((F.col("mouse_dist") > RESTLESS_DISTANCE) & (F.col("dot_count") == 0), "distance")
+        .when((F.col("rating") == OUTSIDE_RATING) & (F.col("pixels_outside") > 0), "outside").when(same & (F.col("mouse_dist") > RESTLESS_AGAIN), "again")
+    )
+    return log.select("id", "browser_id", rule.alias("restless"))
 
 
 def ratio_columns(log: DataFrame, history: int = HISTORY) -> DataFrame:
@@ -136,3 +181,17 @@ def higuchi(log: DataFrame, column: str = "user_time", least: int = 10) -> DataF
 
 def tumbling_counts(log: DataFrame, width: str = "1 hour") -> DataFrame:
     return log.groupBy("browser_id", F.window("create_time", width).alias("w")).agg(F.count("*").alias("n")).select("browser_id", F.col("w.start").alias("started"), "n")
+
+
+def by_method(log: DataFrame, word: str, exact: bool = False) -> DataFrame:
+    """Rows whose selection method, on either side of its colon, is ``word`` or contains it."""
+    sides = [F.element_at(F.split("sel_method", ":"), 1), F.coalesce(F.get(F.split("sel_method", ":"), F.lit(1)), F.lit(""))]
+    hit = [(s == word) if exact else s.contains(word) for s in sides]
+    return log.where(hit[0] | hit[1])
+
+
+def percent_seen(views: DataFrame, seen: DataFrame) -> DataFrame:
+    """``browser_id, percent`` of the items ``views(id)`` that each browser of ``seen(browser_id, id)`` has seen."""
+    size = views.select("id").distinct().agg(F.count("*").alias("size"))
+    inside = seen.select("browser_id", "id").distinct().join(views.select("id").distinct(), "id", "left_semi").groupBy("browser_id").agg(F.count("*").alias("n"))
+    return inside.crossJoin(F.broadcast(size)).select("browser_id", F.floor(F.col("n") * 100 / F.col("size")).cast("int").alias("percent"))  # one row

@@ -1,12 +1,14 @@
-"""All-pairs vector metrics by matrix products over pairs of blocks."""
+"""All-pairs vector metrics and exact neighbours by matrix products over pairs of blocks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.functions.vectors import POINCARE_FLOOR
+
 #: Items of a block; a group holds two blocks and returns at most their product of rows.
 BLOCK_ITEMS = 384
 
@@ -56,3 +58,60 @@ def pair_metrics(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
 
     schema = "id1 string, id2 string, orient string, seq1 int, seq2 int, cosine double, distance double, d012 long, d021 long"
     return keyed.groupBy("orient", "lo", "hi").applyInPandas(run, schema)
+
+
+#: Rows of either side that meet in one group of ``nearest``.
+BLOCK_ROWS = 2048
+
+
+def _distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Every row of ``a`` against every row of ``b``, with the conventions of ``functions.vectors``."""
+    dot, na, nb = a @ b.T, (a * a).sum(1)[:, None], (b * b).sum(1)
+    if metric == "cosine_distance":
+        bottom = np.sqrt(na) * np.sqrt(nb)
+        return 1 - np.divide(dot, bottom, out=np.where(dot == 0, 1.0, 0.0), where=bottom != 0)
+    square = np.maximum(0, na + nb - 2 * dot)
+    if metric == "cartes":
+        return np.sqrt(square)
+    if metric == "poinca":
+        x = np.maximum(1.0, 1 + 2 * square / (np.maximum(POINCARE_FLOOR, 1 - na) * np.maximum(POINCARE_FLOOR, 1 - nb)))
+        return np.log(x + np.sqrt(x * x - 1))
+    raise ValueError(f"no block kernel for {metric}")
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine_distance", group: str | None = None, vector: str = "vec") -> DataFrame:
+    """``id, rank, match_id, distance``: for each row of ``left(id, vec)`` its ``k`` nearest of ``right(id, vec)``, never itself.
+
+    With ``group`` only rows of one group meet. Exact; distances are rounded to
+    6 places and ties go to the smaller id. Both sides are dealt into blocks of
+    about BLOCK_ROWS, and each pair of blocks returns k rows for each of its left
+    rows; so a group never grows with the tables, and Spark cuts the candidates
+    once more before the last shuffle. Vectors hold no nulls and have one length.
+    """
+    sizes = [max(1, -(-side.count() // BLOCK_ROWS)) for side in (left, right)]
+    by = [F.col(group).alias("g") if group else F.lit(0).alias("g")]
+
+    def dealt(side: DataFrame, own: str, other: str, n: int, copies: int) -> DataFrame:
+        return side.select(*by, F.col("id").alias("id"), F.col(vector).alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+
+    a, b = dealt(left, "p", "q", sizes[0], sizes[1]), dealt(right, "q", "p", sizes[1], sizes[0])
+
+    def run(one, two):
+        if not len(one) or not len(two):
+            return pd.DataFrame({"id": [], "match_id": [], "distance": []})
+        two = two.sort_values("id", ignore_index=True)
+        ids, match = one["id"].to_numpy(), two["id"].to_numpy()
+        far = _distances(metric, np.stack(one["vec"].to_list()).astype(float), np.stack(two["vec"].to_list()).astype(float)).round(6) + 0.0
+        far[ids[:, None] == match] = np.inf
+        edge = np.partition(far, min(k, len(match)) - 1, axis=1)[:, min(k, len(match)) - 1]
+        i, j = np.nonzero((far <= edge[:, None]) & np.isfinite(far))
+        order = np.lexsort((j, far[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"id": ids[i], "match_id": match[j], "distance": far[i, j]})
+
+    kind = left.schema["id"].dataType.simpleString()
+    found = a.groupBy("g", "p", "q").cogroup(b.groupBy("g", "p", "q")).applyInPandas(run, f"id {kind}, match_id {kind}, distance double")
+    best = Window.partitionBy("id").orderBy("distance", "match_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "match_id", "distance")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import numbered, owed
+
 APPROVED, REJECTED, OPEN, UNRESOLVED = 1, 2, 0, 5
 #: An open label becomes an approval when it is set again after this many hours.
 SETTLE_HOURS = 4
@@ -107,15 +109,19 @@ def training_labels(labels: DataFrame, seen: DataFrame) -> DataFrame:
     return settled.unionByName(first.select("id1", "id2", F.lit(0).alias("label"), F.lit("seen").alias("source")))
 
 
+def _ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rn`` from 1 within each label; a label may hold nearly all rows, so no window sorts one whole."""
+    return numbered(rows, "label", *order, name="rn").withColumn("rn", (F.col("rn") + 1).cast("int"))
+
+
 def _split(rows: DataFrame, x: Column, every: int, test_pos: Column) -> DataFrame:
-    """Rows ranked within their label; every ``every``-th positive is a test row, negatives alternate, each side up to its target."""
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("id1", "id2")))
+    """Rows numbered by ``rn`` within their label; every ``every``-th positive is a test row, negatives alternate, each side up to its target."""
     turn = F.when(F.col("label") == 1, F.lit(every)).otherwise(F.lit(2))
     side = F.when(F.col("rn") % turn == 0, "test").otherwise("train")
-    placed = ranked.withColumn("split", side)
+    placed = rows.crossJoin(F.broadcast(_sizes(rows).select(x.alias("x")))).withColumn("split", side)  # one row
     place = F.when(F.col("split") == "test", F.floor(F.col("rn") / turn)).otherwise(F.col("rn") - F.floor(F.col("rn") / turn))
-    target = F.when((F.col("label") == 1) & (F.col("split") == "test"), test_pos).otherwise(x)
-    return placed.withColumn("place", place.cast("int")).where(F.col("place") <= target)
+    target = F.when((F.col("label") == 1) & (F.col("split") == "test"), test_pos).otherwise(F.col("x"))
+    return placed.withColumn("place", place.cast("int")).where(F.col("place") <= target).select("id1", "id2", "label", "split", "place")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -124,14 +130,12 @@ def _sizes(rows: DataFrame) -> DataFrame:
 
 def split_plan_f(rows: DataFrame) -> DataFrame:
     """For few positives: X training rows a side, X / 3 positive and X negative test rows, X = positives / 1.333."""
-    sized = rows.crossJoin(F.broadcast(_sizes(rows).select(F.floor(F.col("n_pos") / 1.333).alias("x"))))  # one row
-    return _split(sized, F.col("x"), 4, F.floor(F.col("x") / 3.0)).select("id1", "id2", "label", "split", "place")
+    return _split(_ranked(rows, "id1", "id2"), F.floor(F.col("n_pos") / 1.333), 4, F.floor(F.col("x") / 3.0))
 
 
 def split_plan_g(rows: DataFrame) -> DataFrame:
     """Balanced: X rows each of both labels in training and test, X = half the smaller side."""
-    sized = rows.crossJoin(F.broadcast(_sizes(rows).select(F.floor(F.least("n_pos", "n_neg") / 2).alias("x"))))  # one row
-    return _split(sized, F.col("x"), 2, F.col("x")).select("id1", "id2", "label", "split", "place")
+    return _split(_ranked(rows, "id1", "id2"), F.floor(F.least("n_pos", "n_neg") / 2), 2, F.col("x"))
 
 
 def split_vertex_disjoint(rows: DataFrame, side1: Column, side2: Column) -> DataFrame:
@@ -147,15 +151,80 @@ def emit_train_test(rows: DataFrame, every: int = 4) -> DataFrame:
     one = rows.withColumns({"b1": base("id1"), "b2": base("id2")})
     first = Window.partitionBy("label", "b1", "b2").orderBy(F.desc("value"), "id1", "id2")
     unique = one.withColumn("n", F.row_number().over(first)).where("n = 1")
-    ranked = unique.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("value"), "id1", "id2")))
+    ranked = _ranked(unique, F.desc("value"), "id1", "id2")
     turn = F.when(F.col("label") == 1, F.lit(every)).otherwise(F.lit(2))
     return ranked.select("id1", "id2", "label", "rn", F.when(F.col("rn") % turn == 0, "test").otherwise("train").alias("split"))
 
 
+def emit_with_debt(rows: DataFrame, target: Column, every: int = 4) -> DataFrame:
+    """Examples of both orientations in order of score: every ``every``-th positive is owed to the test side.
+
+    The debt is carried until a positive of the ``target`` orientation comes, which
+    settles one. Negatives of the target alternate; of the other orientation no
+    row is a test row.
+    """
+    positives = _ranked(rows.where("label = 1"), F.desc("value"), "id1", "id2")
+    positives = owed(positives, "label", F.col("rn") % every == 0, target, F.desc("value"), "id1", "id2", name="test")
+    negatives = _ranked(rows.where("label = 0"), F.desc("value"), "id1", "id2").withColumn("test", target & (F.col("rn") % 2 == 0))
+    return positives.unionByName(negatives).select("id1", "id2", "label", "rn", F.when(F.col("test"), "test").otherwise("train").alias("split"))
+
+
+#: Positives a negative that the two plans aim at, and how far below counts as even.
+RATIO_F, RATIO_G, EVEN = 2 / 3, 1.0, 0.001
+
+
+def balanced(rows: DataFrame, ratio: float = RATIO_F) -> DataFrame:
+    """``id1, id2, label, place``: positives and negatives cut to ``ratio`` positives a negative, in order of the pair."""
+    ranked = _ranked(rows, "id1", "id2")
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    keep_pos = F.when(pos > ratio * neg, F.floor(ratio * neg)).otherwise(pos)
+    keep_neg = F.when(pos < (ratio - EVEN) * neg, F.floor(pos / ratio)).otherwise(neg)
+    limits = _sizes(ranked).select(keep_pos.alias("keep_pos"), keep_neg.alias("keep_neg"))
+    limit = F.when(F.col("label") == 1, F.col("keep_pos")).otherwise(F.col("keep_neg"))
+    return ranked.crossJoin(F.broadcast(limits)).where(F.col("rn") <= limit).select("id1", "id2", "label", F.col("rn").alias("place"))  # one row
+
+
+def padded(rows: DataFrame, scores: DataFrame, ratio: float = RATIO_F) -> DataFrame:
+    """``rows(id1, id2, label)``, and where positives exceed ``ratio``, the pairs of lowest ``d012`` not in ``rows`` as further negatives.
+
+    As many are added as the balance lacks: (positives - ratio * negatives) / ratio.
+    """
+    lacking = _sizes(rows).select(F.greatest(F.lit(0), F.floor((F.col("n_pos") - F.floor(ratio * F.col("n_neg"))) / ratio)).alias("lacking"))
+    open_ = scores.select("id1", "id2", "d012").join(rows.select("id1", "id2"), ["id1", "id2"], "left_anti")
+    worst = numbered(open_.withColumn("g", F.lit(0)), "g", "d012", "id1", "id2").crossJoin(F.broadcast(lacking)).where("place < lacking")  # one row
+    return rows.select("id1", "id2", "label").unionByName(worst.select("id1", "id2", F.lit(0).alias("label")))
+
+
+def time_midpoint(rows: DataFrame, time: str = "create_time") -> DataFrame:
+    """One row, ``mid``: the time of the middle row; if others share it, the nearer of the times next to it (the later of two equally near)."""
+    placed = numbered(rows.select(time).withColumn("g", F.lit(0)), "g", time)
+    half = placed.agg(F.floor(F.count("*") / 2).alias("half"))
+    at = placed.crossJoin(F.broadcast(half)).where(F.col("place") == F.col("half")).select(F.col(time).alias("at"), "half")  # one row
+    met = placed.crossJoin(F.broadcast(at))  # one row
+    same = F.col(time) == F.col("at")
+    told = met.groupBy("at", "half").agg(
+        F.min(F.when(same, F.col("place"))).alias("first"), F.max(F.when(same, F.col("place"))).alias("last"),
+        F.min(F.when(F.col(time) > F.col("at"), F.col(time))).alias("later"), F.max(F.when(F.col(time) < F.col("at"), F.col(time))).alias("earlier"),
+    )
+    back, on = F.col("half") - F.col("first"), F.col("last") - F.col("half")
+    return told.select(F.when(back + on == 0, F.col("at")).when(back <= on, F.coalesce("later", "earlier", "at")).otherwise(F.coalesce("earlier", "later", "at")).alias("mid"))
+
+
+def split_by_time(labels: DataFrame, rejects: DataFrame) -> DataFrame:
+    """``labels`` with ``half``: early before the middle time of ``rejects``, late from it on."""
+    return labels.crossJoin(F.broadcast(time_midpoint(rejects))).withColumn("half", F.when(F.col("create_time") < F.col("mid"), "early").otherwise("late")).drop("mid")  # one row
+
+
+def same_archive(rows: DataFrame) -> DataFrame:
+    """Pairs whose ends are of one archive, balanced one to one."""
+    archive = [F.substring_index(c, "/", 1) for c in ("id1", "id2")]
+    return balanced(rows.where(archive[0] == archive[1]), RATIO_G)
+
+
 def interleave(rows: DataFrame) -> DataFrame:
     """Positives and negatives in turn, up to the shorter side."""
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("id1", "id2")))
-    sized = ranked.crossJoin(F.broadcast(_sizes(rows).select(F.least("n_pos", "n_neg").alias("n"))))  # one row
+    ranked = _ranked(rows, "id1", "id2")
+    sized = ranked.crossJoin(F.broadcast(_sizes(ranked).select(F.least("n_pos", "n_neg").alias("n"))))  # one row
     return sized.where("rn <= n").select(((F.col("rn") - 1) * 2 + F.when(F.col("label") == 1, 0).otherwise(1)).cast("int").alias("place"), "id1", "id2", "label")
 
 

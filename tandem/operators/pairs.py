@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks that the items of a group are dealt into before they meet.
-BLOCKS = 8
+#: Items of a block, about; two blocks meet under one key.
+BLOCK_ITEMS = 2000
+#: Blocks at least, so that small tables use all cores too.
+LEAST_BLOCKS = 6
 
 
-def ordered_pairs(items: DataFrame, group: str, order: str, blocks: int = BLOCKS) -> DataFrame:
+def ordered_pairs(items: DataFrame, group: str, order: str, blocks: int | None = None) -> DataFrame:
     """All pairs of a group with ``order`` rising; columns get ``_1`` and ``_2``.
 
     Items are dealt into blocks, and each pair of blocks of a group is one key
-    of an equi-join. A row is copied ``blocks`` times, and a group with most of
-    the items is still spread over blocks * (blocks + 1) / 2 keys, so no task
-    holds a whole group and no nested loop over all rows is planned.
+    of an equi-join. The number of blocks follows the largest group, so a key
+    never has more than about BLOCK_ITEMS of either side; a row is copied once a
+    block.
     """
+    if blocks is None:
+        largest = items.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        blocks = max(LEAST_BLOCKS, -(-largest // BLOCK_ITEMS))
     own = F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rest = [c for c in items.columns if c != group]
@@ -88,6 +93,31 @@ def enrich(pairs: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.join(one, "id1").join(two, "id2").where("orient_1 = orient_2").drop("orient_2").withColumnRenamed("orient_1", "orient")
 
 
+def resolved(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs whose both ends are known ``items(id)``."""
+    known = items.select("id").distinct()
+    return pairs.join(known.withColumnRenamed("id", "id1"), "id1", "left_semi").join(known.withColumnRenamed("id", "id2"), "id2", "left_semi")
+
+
+def told_by_existence(pairs: DataFrame, **tables: DataFrame) -> DataFrame:
+    """``pairs(id1, id2)`` with one boolean a named table: whether it holds the pair."""
+    for name, table in tables.items():
+        known = table.select("id1", "id2").distinct().withColumn(name, F.lit(True))
+        pairs = pairs.join(known, ["id1", "id2"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return pairs
+
+
+def both_scores(pairs: DataFrame) -> DataFrame:
+    """``id, total, n``: for each item the sum of its scores in both directions, over all its pairs."""
+    ends = F.explode(F.array("id1", "id2")).alias("id")
+    return pairs.select(ends, (F.col("d012") + F.col("d021")).alias("both")).groupBy("id").agg(F.sum("both").alias("total"), F.count("*").alias("n"))
+
+
+def degrees(lists: DataFrame) -> DataFrame:
+    """``id, degree``: how many edges of neighbour lists ``id, other`` touch each id, from either end."""
+    return lists.select(F.explode(F.array("id", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+
+
 def unseen_flips(seen: DataFrame, approved: DataFrame) -> DataFrame:
     """Seen pairs turned round, where the turned pair is neither approved nor seen."""
     flipped = seen.select(F.col("id2").alias("id1"), F.col("id1").alias("id2")).distinct()

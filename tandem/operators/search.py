@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranked, topk
+from tandem.functions import vectors as V
+
+from . import blocks, knn, ranked, topk
 from .shared import numbered
 
 
@@ -62,6 +66,142 @@ def approved_by_score(labels: DataFrame, pairs: DataFrame, seen_ids: DataFrame,
     return topk.best_per_key(near, "orient", limit, "away", "place").select("orient", "id1", "id2", "value", F.col("place").cast("int").alias("place"), F.col("rank").alias("probe"))
 
 
+def pick_from_weights(lists: DataFrame, asks: DataFrame, seen: DataFrame, allowed: DataFrame, most: int = 50) -> DataFrame:
+    """For ``asks(qid, u)`` the id that ``u`` in [0, 1) falls on among the best ``most`` open ids, each as wide as its value.
+
+    Open are ids that are unseen (``seen(qid, id)``) and ``allowed(id)``; they are
+    found before the draw, so no draw is lost.
+    """
+    open_ = unseen(lists.join(allowed.select("id").distinct(), "id", "left_semi"), seen).where(F.col("rank") < most)
+    w = Window.partitionBy("qid")
+    ends = open_.withColumns({"end": F.sum("value").over(w.orderBy("rank")), "total": F.sum("value").over(w)}).join(asks.select("qid", "u"), "qid")
+    mark = F.col("u") * F.col("total")
+    return ends.where((F.col("end") > mark) & (F.col("end") - F.col("value") <= mark)).select("qid", "rank", "id", "value")
+
+
+def random_block(labels: DataFrame, u: float, size: int = 50, group: str = "vertical") -> DataFrame:
+    """A run of ``size`` approved pairs of each group from a place that ``u`` in [0, 1) chooses, in order of the pair."""
+    placed = numbered(labels.where("status = 1").select("id1", "id2", group), group, "id1", "id2")
+    starts = placed.groupBy(group).agg(F.count("*").alias("n")).select(group, F.floor(F.lit(float(u)) * F.greatest(F.lit(1), F.col("n") - size + 1)).alias("start"))
+    return placed.join(F.broadcast(starts), group).where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + size)).select(group, "id1", "id2", F.col("place").cast("int").alias("place"))  # one row a group
+
+
+def first_unseen_from(pairs: DataFrame, seen: DataFrame, centre: float, group: str = "orient") -> DataFrame:
+    """The unseen pair nearest to the place ``centre`` (0 to 1) of each group's pairs in order of ``value``, the earlier of two."""
+    placed = numbered(pairs.select("id1", "id2", group, "value"), group, "value", "id1", "id2")
+    sizes = placed.groupBy(group).agg(F.floor(F.count("*") * F.lit(float(centre))).alias("centre"))  # one row a group
+    open_ = placed.join(F.broadcast(sizes), group).join(seen.select("id1", "id2"), ["id1", "id2"], "left_anti")
+    return open_.groupBy(group).agg(F.min(F.struct(F.abs(F.col("place") - F.col("centre")).alias("away"), "place", "id1", "id2")).alias("s")).select(group, "s.id1", "s.id2", F.col("s.place").cast("int").alias("place"), F.col("s.away").cast("int").alias("away"))
+
+
+def first_ok(lists: DataFrame, view: DataFrame, seen: DataFrame, skip: int = 0) -> DataFrame:
+    """Of each list the first id inside ``view(id)`` that ``seen(qid, id)`` lacks, or the one after ``skip`` such."""
+    return unseen(lists.join(view.select("id").distinct(), "id", "left_semi"), seen).where(F.col("rank") == skip).select("qid", "id", "value")
+
+
+def any_unseen(items: DataFrame, seen: DataFrame, seed: int) -> DataFrame:
+    """For each ``qid`` of ``seen(qid, id)`` one unseen item, drawn by a hash of both and the seed.
+
+    A probe draws ids by their hash order: the best of as many as a user has
+    seen and one more must hold an unseen one, so only that many are looked at.
+    """
+    order = Window.partitionBy("g").orderBy("h", "id")
+    asks = seen.select("qid", "id").distinct()
+    sizes = asks.groupBy("qid").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n").alias("most"))
+    hashed = items.select("id", F.md5(F.concat_ws("|", F.lit(seed), "id")).alias("h"), F.lit(0).alias("g"))
+    drawn = numbered(hashed, "g", "h", "id").crossJoin(F.broadcast(most)).where(F.col("place") <= F.col("most")).select("id", "place")  # one row
+    tried = sizes.select("qid", F.posexplode(F.sequence(F.lit(0).cast("long"), "n")).alias("__p", "place")).join(drawn, "place")
+    return tried.join(asks, ["qid", "id"], "left_anti").groupBy("qid").agg(F.min(F.struct("place", "id")).alias("s")).select("qid", "s.id", F.col("s.place").cast("int").alias("tries"))
+
+
+#: Which colour column a rating asks for; two columns are a combination.
+RATING_COLUMNS = {5: "b0", 6: "b1", 7: "b2", 8: "b4", 9: "b4", 10: "b5", 11: "b6", 12: "b3 b2", 13: "b7", 14: "b8", 15: "b9"}
+#: Angle of a pair and distance from the centre that a golden-angle option compares.
+ANGLE_OPTIONS = {6: ("ab_angle", "d_ab"), 7: ("rgb_angle", "d_ctr_rgb"), 8: ("b11", "d_ctr_27d"), 9: ("b10", "d_ctr_8d"), 11: ("b12", "d_ctr_64d")}
+
+
+def by_rating(columns: dict[str, DataFrame], asks: DataFrame, best_target: int = 20, best: int = 50) -> DataFrame:
+    """For ``asks(qid, rating)`` the ranked list of the colour column that the rating names, or the combination of two.
+
+    ``columns`` has a list table ``qid, rank, id, value`` for each column at hand;
+    ratings that need another give no rows.
+    """
+    out = []
+    for rating, names in RATING_COLUMNS.items():
+        told = [columns[c] for c in names.split() if c in columns]
+        if len(told) == len(names.split()):
+            asked = asks.where(F.col("rating") == rating).select("qid", "rating")
+            lists = [t.join(asked.select("qid"), "qid", "left_semi") for t in told]
+            one = lists[0] if len(lists) == 1 else ranked.combo(lists[0], lists[1], best_target, best).where("part = 'kept'").drop("part")
+            out.append(one.join(asked, "qid").select("qid", "rating", "rank", "id", "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def golden(pairs: DataFrame, option: int, low: int = 136, high: int = 139, angle: float = 137.5) -> DataFrame:
+    """``id1, id2, gap`` of pairs whose angle for the option lies strictly between ``low`` and ``high``, nearest to the golden angle first."""
+    column = ANGLE_OPTIONS[option][0]
+    gap = F.round(F.abs(F.col(column) - angle), 6)
+    return pairs.where((F.col(column) > low) & (F.col(column) < high)).select("id1", "id2", gap.alias("gap")).orderBy("gap", "id1", "id2")
+
+
+def flipped(shown: DataFrame) -> DataFrame:
+    """The current pair the other way round: ``qid, id1, id2``."""
+    return shown.select("qid", F.col("id2").alias("id1"), F.col("id1").alias("id2"))
+
+
+def previous(shown: DataFrame) -> DataFrame:
+    """Each ``qid``'s last pair but one, from ``qid, create_time, id, id1, id2``."""
+    w = Window.partitionBy("qid").orderBy(F.desc("create_time"), F.desc("id"))
+    return shown.withColumn("__n", F.row_number().over(w)).where("__n = 2").select("qid", "id1", "id2")
+
+
+def keyword_pairs(tokens: DataFrame, items: DataFrame, seen: DataFrame, least: int = 2) -> DataFrame:
+    """For each item the unseen item of its orientation that shares most words with it, at least ``least``; ties to the smaller id."""
+    from .keywords import overlap
+
+    shared = overlap(tokens).where(F.col("matches") >= least)
+    both = shared.select("id1", "id2", "matches").unionByName(shared.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "matches"))
+    sides = [items.select(F.col("id").alias(f"id{k}"), F.col("orient").alias(f"o{k}")) for k in (1, 2)]
+    open_ = both.join(sides[0], "id1").join(sides[1], "id2").where("o1 = o2").join(seen.select("id1", "id2"), ["id1", "id2"], "left_anti")
+    return open_.groupBy("id1").agg(F.min(F.struct((-F.col("matches")).alias("m"), "id2")).alias("s")).select("id1", "s.id2", (-F.col("s.m")).alias("matches"))
+
+
+def replaced(tags: DataFrame, scores: DataFrame, clicks: DataFrame, seen: DataFrame, size: int, share: float = 0.4) -> DataFrame:
+    """One picture replaced: for ``clicks(qid, cell)`` the first unseen id of the list that the click asks for.
+
+    The cell (0 to 8) picks one of the tag lists ``tags(qid, tag_no, rank, id,
+    value)``; once a ``qid`` has seen more than ``share`` of ``size`` items, the
+    list ``scores(qid, rank, id, value)`` is taken.
+    """
+    counts = seen.groupBy("qid").agg(F.count_distinct("id").alias("n"))
+    count = tags.agg((F.max("tag_no") + 1).alias("tags"))
+    asks = clicks.join(counts, "qid", "left").crossJoin(F.broadcast(count))  # one row
+    asks = asks.select("qid", F.when(F.coalesce("n", F.lit(0)) > share * size, -1).otherwise(F.col("cell") % F.col("tags")).alias("tag_no"))
+    lists = tags.select("qid", "tag_no", "rank", "id", "value").unionByName(scores.select("qid", F.lit(-1).alias("tag_no"), "rank", "id", "value"))
+    first = unseen(lists.join(asks, ["qid", "tag_no"]).select("qid", "rank", "id", "value"), seen).where("rank = 0")
+    return first.join(asks, "qid").select("qid", "tag_no", "id", "value")
+
+
+def vector_command(items: DataFrame, asks: DataFrame, seen: DataFrame, k: int = 20) -> DataFrame:
+    """For ``asks(qid, skew)`` a pair found by vectors: ``qid, left_id, right_id, distance``.
+
+    Both candidate lists are the ``k`` items of the query's orientation nearest
+    to it, by the left and by the right vectors. Below a skew of 0.5 the closest
+    of all their pairs is taken, else the first left item and its nearest right one.
+    """
+    groups = items.select("id", "orient", "vec_l", "vec_r")
+    asked = groups.join(asks.select(F.col("qid").alias("id"), "skew"), "id")
+    near = {c: blocks.nearest(asked, groups, k, "cosine_distance", "orient", c).select(F.col("id").alias("qid"), (F.col("rank") - 1).alias("rank"), F.col("match_id").alias("id")) for c in ("vec_l", "vec_r")}
+    staged = knn.two_stage(near["vec_l"], near["vec_r"], items, seen)
+    left, right = (near[c].join(seen.select("qid", "id"), ["qid", "id"], "left_anti").join(items.select("id", F.col(c).alias("v")), "id") for c in ("vec_l", "vec_r"))
+    met = left.select("qid", F.col("id").alias("left_id"), F.col("v").alias("a")).join(right.select("qid", F.col("id").alias("right_id"), F.col("v").alias("b")), "qid").where("left_id <> right_id")
+    scored = met.select("qid", F.struct(F.round(V.cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"), "left_id", "right_id").alias("s"))
+    best = scored.groupBy("qid").agg(F.min("s").alias("s")).select("qid", "s.left_id", "s.right_id", "s.distance")
+    low = asks.where("skew < 0.5").select("qid")
+    return best.join(low, "qid", "left_semi").unionByName(staged.join(low, "qid", "left_anti").select("qid", "left_id", "right_id", "distance"))
+
+
 def fit_circles(points: DataFrame, key: str) -> DataFrame:
     """``key, n, x, y, radius, rms`` of the circle through each group's ``x, y`` by Taubin's criterion.
 

@@ -1,7 +1,7 @@
 """Registered queries: compositions of the operators over the driver's tables."""
 
-from . import items, pairs, records, search
+from . import edits, items, pairs, records, search, vectors
 from .items import knn_cosine
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "items", "knn_cosine", "pairs", "records", "search"]
+__all__ = ["ORACLES", "QUERIES", "edits", "items", "knn_cosine", "pairs", "records", "search", "vectors"]

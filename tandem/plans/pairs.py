@@ -149,7 +149,7 @@ def pairs_by_score(spark, sf_dir):
     return topk.best_pairs(S.pairs(spark, sf_dir), 100, S.items(spark, sf_dir).where("archive = 1"))
 
 
-@query("SELECT id1, id2, d012 // 1000 AS score FROM pairs WHERE d021 < 1000000 AND d012 // 1000 >= (SELECT min(v) FROM (SELECT d012 // 1000 AS v FROM pairs WHERE d021 < 1000000 ORDER BY v DESC LIMIT 100))", "pairs")
+@query("SELECT id1, id2, score FROM (SELECT id1, id2, d012 // 1000 AS score, rank() OVER (ORDER BY d012 // 1000 DESC) AS n FROM pairs WHERE d021 < 1000000) WHERE n <= 100", "pairs")
 def topk_with_ties(spark, sf_dir):
     rows = S.pairs(spark, sf_dir).where("d021 < 1000000").select("id1", "id2", F.floor(F.col("d012") / 1000).alias("score"))
     return topk.with_ties(rows, 100, "score")
@@ -184,6 +184,42 @@ def topk_jaccard(spark, sf_dir):
     return topk.overlap(named(lists(spark, sf_dir)), named(lists2(spark, sf_dir)))
 
 
+@query("SELECT qid, rank, id, value FROM lists WHERE rank < 7", "lists")
+def first_n_even(spark, sf_dir):
+    rows = lists(spark, sf_dir).withColumnRenamed("rank", "old")
+    return topk.first_n_of_even(rows, "qid", 7, "old").select("qid", F.col("old").alias("rank"), "id", "value")
+
+
+TAGGED = "tagged AS (SELECT id1, id2, concat('t', seq1 % 3) AS tag, d012 AS val FROM pairs)"
+
+
+def _tagged(spark, sf_dir):
+    return S.pairs(spark, sf_dir).select("id1", "id2", F.concat(F.lit("t"), F.col("seq1") % 3).alias("tag"), F.col("d012").alias("val"))
+
+
+@query(f"WITH {TAGGED} (SELECT 'left' AS side, id1, id2, val FROM tagged WHERE tag = 't1' AND id1 IN (SELECT id FROM items WHERE people) ORDER BY val DESC, id1, id2 LIMIT 40) UNION ALL (SELECT 'right', id1, id2, val FROM tagged WHERE tag = 't1' AND id2 IN (SELECT id FROM items WHERE people) ORDER BY val DESC, id1, id2 LIMIT 40)", "pairs")
+def tagged_sides(spark, sf_dir):
+    view = S.items(spark, sf_dir).where("people")
+    sides = [topk.tagged(_tagged(spark, sf_dir), "t1", view, 40, end).withColumn("side", F.lit(name)) for name, end in (("left", "id1"), ("right", "id2"))]
+    return sides[0].unionByName(sides[1]).select("side", "id1", "id2", "val")
+
+
+@query("SELECT tag FROM (SELECT DISTINCT p_type AS tag FROM part) WHERE contains(tag, 'S') ORDER BY md5(concat('7|', tag)), tag LIMIT 1")
+def random_tag(spark, sf_dir):
+    return topk.any_tag(S.table(spark, sf_dir, "part").select(F.col("p_type").alias("tag")).distinct(), "S", 7)
+
+
+@query("SELECT * FROM (SELECT id, sum_d0 FROM items ORDER BY sum_d0, id LIMIT 25)", "items")
+def pics_by_sum_bottomk(spark, sf_dir):
+    return S.items(spark, sf_dir).select("id", "sum_d0").orderBy("sum_d0", "id").limit(25)
+
+
+@query("SELECT id, archive, sequence, face FROM items WHERE (archive = 3 AND sequence BETWEEN 20 AND 90) OR face", "items")
+def pics_by_fields(spark, sf_dir):
+    """By group and sequence, and those with a flag."""
+    return S.items(spark, sf_dir).where("(archive = 3 and sequence between 20 and 90) or face").select("id", "archive", "sequence", "face")
+
+
 # Ranked lists
 
 RERANK = "CAST(row_number() OVER (PARTITION BY qid ORDER BY {}) - 1 AS INTEGER) AS rank"

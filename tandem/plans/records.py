@@ -36,12 +36,12 @@ def label_rescore(spark, sf_dir):
     return labels.rescore(S.pair_labels(spark, sf_dir), scored, S.items(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT id1, id2, (status + seq1) % 3 AS status, create_time + INTERVAL 5 HOUR AS t FROM labels_ WHERE (seq1 + seq2) % 4 = 0), n AS (SELECT id1, id2, 0 AS status, TIMESTAMP '2024-01-02' AS t FROM hashed WHERE h = 9),
-    j AS (SELECT l.id1, l.id2, l.status AS o, l.create_time AS ot, c.status AS s, c.t FROM labels_ l LEFT JOIN c USING (id1, id2) UNION ALL SELECT id1, id2, NULL, NULL, status, t FROM n),
+@query("""WITH b AS (SELECT id1, id2, seq1, seq2, h, CASE WHEN h <= 2 THEN 1 WHEN h <= 5 THEN 2 WHEN h = 6 THEN 0 END AS o, TIMESTAMP '2024-01-01' + to_seconds(seq1 * 7 + seq2) AS ot FROM hashed WHERE h <= 6 OR h = 9),
+    j AS (SELECT id1, id2, o, ot, CASE WHEN h = 9 THEN 0 WHEN (seq1 + seq2) % 4 = 0 THEN (o + seq1) % 3 END AS s, CASE WHEN h = 9 THEN TIMESTAMP '2024-01-02' ELSE ot + INTERVAL 5 HOUR END AS t FROM b),
     k AS (SELECT *, o IS NOT NULL AND (s IS NULL OR (o = s AND s <> 0) OR (o = 1 AND s = 0)) AS kept FROM j),
     r AS (SELECT *, CASE WHEN o IS NULL THEN s WHEN kept THEN o WHEN (o = s AND s = 0) OR (o <> 2 AND s IN (0, 1)) THEN 1 ELSE s END AS r FROM k)
     SELECT id1, id2, CAST(r AS INTEGER) AS status, CASE WHEN kept THEN ot ELSE t END AS create_time,
-      CASE WHEN o IS NULL THEN 'inserted' WHEN kept THEN 'kept' WHEN o IN (1, 2) AND r IN (1, 2) AND r <> o THEN 'flipped' ELSE 'updated' END AS action FROM r""", "labels_ hashed")
+      CASE WHEN o IS NULL THEN 'inserted' WHEN kept THEN 'kept' WHEN o IN (1, 2) AND r IN (1, 2) AND r <> o THEN 'flipped' ELSE 'updated' END AS action FROM r""", "hashed")
 def label_upsert(spark, sf_dir):
     current = S.pair_labels(spark, sf_dir)
     later = (F.col("create_time") + F.expr("interval 5 hours")).alias("create_time")
@@ -116,9 +116,93 @@ def binary_metrics(spark, sf_dir):
     return labels.binary_metrics(rows.select("label", cosine_distance(F.col("v1"), F.col("v2")).alias("distance")), cut=1.0)
 
 
+BALANCE = """r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id1, id2) AS place FROM {rows}), c AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {rows}),
+    l AS (SELECT CASE WHEN p > {ratio} * n THEN floor({ratio} * n) ELSE p END AS kp, CASE WHEN p < ({ratio} - 0.001::DOUBLE) * n THEN floor(p / {ratio}) ELSE n END AS kn FROM c)
+    SELECT id1, id2, label, CAST(place AS INTEGER) AS place FROM r, l WHERE place <= CASE WHEN label = 1 THEN kp ELSE kn END"""
+TWO_THIRDS = "(2.0::DOUBLE / 3.0::DOUBLE)"
+
+
+@query("WITH " + BALANCE.format(rows="training", ratio=TWO_THIRDS), "training")
+def balance_labels(spark, sf_dir):
+    return labels.balanced(training(spark, sf_dir))
+
+
+#: Training labels without most of the negatives.
+FEW = "SELECT id1, id2, label FROM training WHERE label = 1 OR CAST(string_split(id2, '/')[2] AS INTEGER) % 5 = 0"
+
+
+@query(f"""WITH few AS ({FEW}), c AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM few), l AS (SELECT greatest(0, floor((p - floor({TWO_THIRDS} * n)) / {TWO_THIRDS})) AS lacking FROM c),
+    w AS (SELECT id1, id2, row_number() OVER (ORDER BY d012, id1, id2) - 1 AS place FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM few f WHERE f.id1 = p.id1 AND f.id2 = p.id2))
+    SELECT * FROM few UNION ALL SELECT id1, id2, 0 FROM w, l WHERE place < lacking""", "training pairs")
+def balance_padded(spark, sf_dir):
+    few = training(spark, sf_dir).where((F.col("label") == 1) | (F.substring_index("id2", "/", -1).cast("int") % 5 == 0))
+    return labels.padded(few, S.pairs(spark, sf_dir))
+
+
+@query("""WITH j AS (SELECT create_time AS t FROM labels_ WHERE status = 2), o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS place, count(*) OVER () // 2 AS half FROM j), a AS (SELECT t AS mt, half FROM o WHERE place = half),
+    e AS (SELECT mt, half - min(place) FILTER (t = mt) AS back, max(place) FILTER (t = mt) - half AS "on", min(t) FILTER (t > mt) AS later, max(t) FILTER (t < mt) AS earlier FROM o, (SELECT mt FROM a) GROUP BY mt, half),
+    m AS (SELECT CASE WHEN back + "on" = 0 THEN mt WHEN back <= "on" THEN coalesce(later, earlier, mt) ELSE coalesce(earlier, later, mt) END AS mid FROM e)
+    SELECT id1, id2, status, CASE WHEN create_time < mid THEN 'early' ELSE 'late' END AS half FROM labels_, m WHERE status IN (1, 2)""", "labels_")
+def split_time_midpoint(spark, sf_dir):
+    rows = S.pair_labels(spark, sf_dir).where("status in (1, 2)")
+    return labels.split_by_time(rows, rows.where("status = 2")).select("id1", "id2", "status", "half")
+
+
+@query("WITH own AS (SELECT * FROM training WHERE string_split(id1, '/')[1] = string_split(id2, '/')[1]), " + BALANCE.format(rows="own", ratio="1.0::DOUBLE"), "training")
+def same_archive_dataset(spark, sf_dir):
+    return labels.same_archive(training(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT t.id1, t.id2, t.label, s.value, CAST(string_split(t.id1, '/')[2] AS INTEGER) % 2 = 1 AS target FROM training t JOIN sides s ON s.id = t.id1 AND s.other = t.id2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY value DESC, id1, id2) AS rn FROM v),
+    w AS (SELECT *, sum(CASE WHEN rn % 4 = 0 THEN 1 ELSE 0 END - CASE WHEN target THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY rn) AS w FROM r),
+    l AS (SELECT *, least(0, coalesce(min(w) OVER (PARTITION BY label ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM w)
+    SELECT id1, id2, label, CAST(rn AS INTEGER) AS rn, CASE WHEN target AND (CASE WHEN label = 1 THEN w + 1 - low > 0 ELSE rn % 2 = 0 END) THEN 'test' ELSE 'train' END AS split FROM l""", "training sides")
+def emit_with_debt(spark, sf_dir):
+    """Both orientations together; the vertical one is the target."""
+    scored = pairs.both_directions(S.pairs(spark, sf_dir)).select(F.col("id").alias("id1"), F.col("other").alias("id2"), "value")
+    target = F.substring_index("id1", "/", -1).cast("int") % 2 == 1
+    return labels.emit_with_debt(training(spark, sf_dir).join(scored, ["id1", "id2"]), target)
+
+
 # Interaction log
 
 
+@query("SELECT browser_id, CAST(count(DISTINCT l.id1) * 100 // (SELECT count(*) FROM items WHERE archive <= 5) AS INTEGER) AS percent FROM log l JOIN items i ON i.id = l.id1 AND i.archive <= 5 GROUP BY browser_id", "log")
+def percent_seen(spark, sf_dir):
+    return activity.percent_seen(S.items(spark, sf_dir).where("archive <= 5"), S.interaction_log(spark, sf_dir).select("browser_id", F.col("id1").alias("id")))
+
+
+@query("SELECT browser_id, max(id) AS id FROM log GROUP BY browser_id", "log")
+def max_id_per_browser(spark, sf_dir):
+    return S.interaction_log(spark, sf_dir).groupBy("browser_id").agg(F.max("id").alias("id"))
+
+
+@query("""WITH m AS (SELECT id, browser_id, user_time AS u, CAST(floor(avg(user_time) OVER w) AS INTEGER) AS mean, min(user_time) OVER w AS low, max(user_time) OVER w AS high, lag(user_time) OVER (PARTITION BY browser_id ORDER BY create_time, id) AS before FROM log
+      WINDOW w AS (PARTITION BY browser_id ORDER BY create_time, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+    r AS (SELECT *, abs(mean - u) / CAST(CASE WHEN greatest(mean - low, high - mean) = 0 THEN 2 ELSE greatest(mean - low, high - mean) END AS DOUBLE) AS q FROM m), f AS (SELECT *, q - floor(q) + 1 AS x FROM r),
+    k AS (SELECT *, CASE WHEN u > mean * 2 THEN x ** 4 WHEN u > floor(mean * 1.5) THEN x ** 3 WHEN u > floor(mean * 1.25) THEN x ** 2 WHEN u < floor(mean * 0.5) THEN 3.0::DOUBLE ** x WHEN u < floor(mean * 0.75) THEN 2.0::DOUBLE ** x WHEN u > 0 THEN exp(x) ELSE x END AS y FROM f)
+    SELECT id, browser_id, round(CASE WHEN coalesce(u > before, false) THEN 1 - (y - floor(y)) ELSE y - floor(y) END, 6) AS skew FROM k""", "log")
+def dwell_skew(spark, sf_dir):
+    return activity.skew(S.interaction_log(spark, sf_dir))
+
+
+POINTER = {"mouse_speed": "id * 13 % 330", "mouse_dist": "id * 37 % 230", "dot_count": "id % 3", "pixels_outside": "id % 4"}
+
+
+@query(f"""WITH p AS (SELECT id, browser_id, create_time, rating, {", ".join(f"{x} AS {c}" for c, x in POINTER.items())} FROM log), q AS (SELECT *, lag(rating) OVER (PARTITION BY browser_id ORDER BY create_time, id) AS before FROM p)
+    SELECT id, browser_id, CASE WHEN mouse_speed > 300 THEN 'speed' WHEN mouse_dist > 200 AND dot_count = 0 THEN 'distance' WHEN rating = 4 AND pixels_outside > 0 THEN 'outside' WHEN rating = before AND mouse_dist > 25 THEN 'again' END AS restless FROM q""", "log")
+def restless_pointer(spark, sf_dir):
+    return activity.restless(S.interaction_log(spark, sf_dir).withColumns({c: F.expr(x) for c, x in POINTER.items()}))
+
+
+@query("SELECT id, sel_method FROM log WHERE contains(sel_method, 'ign') OR contains(sel_method, 'li')", "log")
+def rows_by_method(spark, sf_dir):
+    log = S.interaction_log(spark, sf_dir)
+    return activity.by_method(log, "ign").unionByName(activity.by_method(log, "li")).select("id", "sel_method")
+
+
+
 @query("SELECT browser_id, id, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY browser_id ORDER BY create_time DESC, id DESC) AS rn FROM log) WHERE rn <= 10", "log")
 def last_n_per_user(spark, sf_dir):
     return activity.last_n(S.interaction_log(spark, sf_dir)).select("browser_id", "id", "rn")
@@ -236,11 +320,12 @@ def keyword_ids(spark, sf_dir):
 
 
 def _two_words(tokens):
-    row = tokens.agg(F.min("word").alias("a"), F.max("word").alias("b")).first()
-    return [row["a"], row["b"]]
+    """The words of the first item."""
+    first = tokens.agg(F.min("id").alias("id"))
+    return [r["word"] for r in tokens.join(F.broadcast(first), "id").select("word").collect()]  # one item
 
 
-@query("SELECT id FROM tokens WHERE word IN ((SELECT min(word) FROM tokens), (SELECT max(word) FROM tokens)) GROUP BY id HAVING count(DISTINCT word) = 2", "tokens")
+@query("WITH w AS (SELECT DISTINCT word FROM tokens WHERE id = (SELECT min(id) FROM tokens)) SELECT id FROM tokens WHERE word IN (SELECT word FROM w) GROUP BY id HAVING count(DISTINCT word) = (SELECT count(*) FROM w)", "tokens")
 def ids_with_all_words(spark, sf_dir):
     tokens = S.keyword_tokens(spark, sf_dir)
     return keywords.ids_with_all(tokens, _two_words(tokens))
@@ -278,9 +363,26 @@ def keyword_overlap(spark, sf_dir):
     return keywords.overlap(S.keyword_tokens(spark, sf_dir))
 
 
-@query("SELECT CASE WHEN NOT regexp_matches(word, '(us|glasses|ss|thes|leaves|ies)$') THEN regexp_replace(word, 's$', '') ELSE word END AS word, count(DISTINCT id) AS n FROM tokens GROUP BY 1", "tokens")
+#: Words by hand and what each counts as, to meet every stage of the map.
+MUNGED = {
+    "mop": "broom", "barges": "barge boat", "seaplane": "seaplane airplane", "mod_church": "mod_church church curve_surface", "skid_marks": "skid_mark tire_mark", "mt_tam": "mt_tam mountain",
+    "footbridge": "footbridge bridge", "bridge": "bridge", "drawbridges": "drawbridge bridge", "applesauce": "applesauce fruit food", "bananas": "banana fruit food", "corn_dog": "corn_dog vegetable food",
+    "pepperoni_pizza": "pepperoni_pizza vegetable food", "cheese_pizza": "cheese_pizza prepared_food food", "barbeque": "barbeque prepared_food food", "pastries": "pastries prepared_food food",
+    "wrapped_food": "wrapped_food prepared_food food", "fruit_stand": "fruit_stand food", "licorice": "licorice food", "produce": "produce food", "rose": "rose flower", "cala_lily": "cala_lily flower", "flowers": "flowers",
+    "crow": "crow bird", "eagles": "eagle bird", "birds": "birds", "horses": "horse animal", "lion": "lion animal big_cat", "lionfish": "lionfish big_cat", "jaguar": "jaguar animal big_cat", "walruses": "walruse",
+    "dogs": "dogs animals", "cats": "cats animals", "expr_smile": "expr_smile expression", "letter_a": "letter_a alpha_letter", "lownum_3": "lownum_3 lownum number", "house_number": "house_number number", "ball": "ball sphere",
+    "no_parking": "no_parking prohibit sign", "exits": "exit sign", "plywood": "plywood wood", "water_tower": "water_tower tower", "towers": "towers", "sunglasses": "sunglasses", "grass": "grass", "leaves": "leaves", "knees": "knees", "gas": "gas", "hats": "hat",
+}
+MUNGED_ROWS = ", ".join(f"('{w}', {out.split()})" for w, out in MUNGED.items())
+
+
+@query(f"""WITH m(word, out) AS (VALUES {MUNGED_ROWS}), t AS (SELECT CAST(id AS VARCHAR) AS id, word FROM tokens UNION ALL SELECT word, word FROM m),
+    k AS (SELECT t.id, unnest(coalesce(m.out, [CASE WHEN regexp_matches(t.word, '(us|glasses|ss|thes|leaves|ies)$') THEN t.word ELSE regexp_replace(t.word, 's$', '') END])) AS word FROM t LEFT JOIN m ON m.word = t.word)
+    SELECT word, count(DISTINCT id) AS n FROM k GROUP BY word""", "tokens")
 def munge_keywords(spark, sf_dir):
-    return keywords.counts(keywords.munged(S.keyword_tokens(spark, sf_dir)))
+    own = S.keyword_tokens(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "coder", "word")
+    by_hand = spark.createDataFrame([(w, "m", w) for w in MUNGED], "id string, coder string, word string")
+    return keywords.counts(keywords.munged(own.unionByName(by_hand)))
 
 
 @query("""SELECT browser_id, regexp_replace(sel_method, '^(view|click)$', 'look') AS method, count(*) AS n FROM log GROUP BY ALL""", "log")

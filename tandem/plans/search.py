@@ -55,6 +55,94 @@ def approved_by_score(spark, sf_dir):
     return search.approved_by_score(S.pair_labels(spark, sf_dir), scored, S.items(spark, sf_dir).where("face").select("id"), 0.3)
 
 
+@query(f"""WITH s AS ({SEEN}), o AS (SELECT l.qid, l.id, l.value, row_number() OVER (PARTITION BY l.qid ORDER BY l.rank) - 1 AS rank FROM lists l JOIN items i ON i.id = l.id AND i.archive <= 8 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = l.qid AND s.id = l.id)),
+    e AS (SELECT *, sum(value) OVER (PARTITION BY qid ORDER BY rank) AS e, sum(value) OVER (PARTITION BY qid) AS t FROM o WHERE rank < 20)
+    SELECT qid, CAST(e.rank AS INTEGER) AS rank, e.id, e.value FROM e JOIN items i ON i.id = e.qid WHERE e > (i.sequence % 10 / 10.0::DOUBLE) * t AND e - e.value <= (i.sequence % 10 / 10.0::DOUBLE) * t""", "lists")
+def weighted_unseen(spark, sf_dir):
+    items = S.items(spark, sf_dir)
+    asks = items.select(F.col("id").alias("qid"), (F.col("sequence") % 10 / F.lit(10.0)).alias("u"))
+    return search.pick_from_weights(lists(spark, sf_dir), asks, _seen(spark, sf_dir), items.where("archive <= 8"), 20)
+
+
+@query("""WITH p AS (SELECT vertical, id1, id2, row_number() OVER (PARTITION BY vertical ORDER BY id1, id2) - 1 AS place, count(*) OVER (PARTITION BY vertical) AS n FROM labels_ WHERE status = 1)
+    SELECT vertical, id1, id2, CAST(place AS INTEGER) AS place FROM p WHERE place >= floor(0.62::DOUBLE * greatest(1, n - 49)) AND place < floor(0.62::DOUBLE * greatest(1, n - 49)) + 50""", "labels_")
+def approved_block(spark, sf_dir):
+    return search.random_block(S.pair_labels(spark, sf_dir), 0.62)
+
+
+@query("""WITH p AS (SELECT orient, id1, id2, row_number() OVER (PARTITION BY orient ORDER BY d012, id1, id2) - 1 AS place, floor(count(*) OVER (PARTITION BY orient) * 0.45::DOUBLE) AS centre FROM pairs),
+    o AS (SELECT *, abs(place - centre) AS away FROM p WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.id1 = p.id1 AND s.id2 = p.id2))
+    SELECT orient, id1, id2, CAST(place AS INTEGER) AS place, CAST(away AS INTEGER) AS away FROM (SELECT *, row_number() OVER (PARTITION BY orient ORDER BY away, place) AS n FROM o) WHERE n = 1""", "pairs seen")
+def first_unseen_pair(spark, sf_dir):
+    scored = S.pairs(spark, sf_dir).select("id1", "id2", "orient", F.col("d012").alias("value"))
+    return search.first_unseen_from(scored, S.seen_pairs(spark, sf_dir), 0.45)
+
+
+@query(f"""WITH s AS ({SEEN}), o AS (SELECT l.qid, l.id, l.value, row_number() OVER (PARTITION BY l.qid ORDER BY l.rank) AS n FROM lists l JOIN items i ON i.id = l.id AND i.people WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = l.qid AND s.id = l.id))
+    SELECT qid, id, value FROM o WHERE n = 2""", "lists")
+def second_ok(spark, sf_dir):
+    return search.first_ok(lists(spark, sf_dir), S.items(spark, sf_dir).where("people"), _seen(spark, sf_dir), 1)
+
+
+@query(f"""WITH s AS ({SEEN}), h AS (SELECT id, row_number() OVER (ORDER BY md5(concat('11|', id)), id) - 1 AS place FROM items), q AS (SELECT DISTINCT qid FROM s)
+    SELECT qid, arg_min(h.id, place) AS id, CAST(min(place) AS INTEGER) AS tries FROM q, h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = q.qid AND s.id = h.id) GROUP BY qid""", "items")
+def random_unseen(spark, sf_dir):
+    return search.any_unseen(S.items(spark, sf_dir).select("id"), _seen(spark, sf_dir), 11)
+
+
+COMBO = """c AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS INTEGER) AS rank, CAST(max(value) OVER (PARTITION BY qid) - min(value) OVER (PARTITION BY qid) + 1 - value AS BIGINT) AS value FROM lists2 l
+    WHERE rank < 50 AND EXISTS (SELECT 1 FROM lists t WHERE t.qid = l.qid AND t.id = l.id AND t.rank < 20))"""
+
+
+@query(f"""WITH a AS (SELECT id AS qid, CAST(5 + sequence % 10 AS INTEGER) AS rating FROM items), {COMBO}
+    SELECT qid, rating, rank, id, value FROM a JOIN lists USING (qid) WHERE rating = 5 UNION ALL SELECT qid, rating, rank, id, value FROM a JOIN lists2 USING (qid) WHERE rating = 7
+    UNION ALL SELECT qid, rating, rank, id, value FROM a JOIN c USING (qid) WHERE rating = 12""", "lists lists2")
+def rating_lists(spark, sf_dir):
+    """Four colour columns at hand: two alone, and a combination."""
+    one, two = lists(spark, sf_dir), lists2(spark, sf_dir)
+    asks = S.items(spark, sf_dir).select(F.col("id").alias("qid"), (F.col("sequence") % 10 + 5).alias("rating"))
+    both = search.by_rating({"b0": one, "b2": two}, asks)
+    return both.unionByName(search.by_rating({"b3": one, "b2": two}, asks.where("rating = 12")))
+
+
+@query("""SELECT id1, id2, round(abs(angle - 137.5::DOUBLE), 6) AS gap FROM (SELECT a.id AS id1, b.id AS id2, abs(a.ll * 7 + b.aa * 3) % 180 AS angle FROM items a JOIN items b ON a.orient = b.orient AND a.sequence < b.sequence) WHERE angle > 136 AND angle < 139""", "items")
+def golden_option(spark, sf_dir):
+    from tandem.operators.pairs import ordered_pairs
+
+    p = ordered_pairs(S.items(spark, sf_dir).select("id", "sequence", "orient", "ll", "aa"), "orient", "sequence")
+    return search.golden(p.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), (F.abs(F.col("ll_1") * 7 + F.col("aa_2") * 3) % 180).alias("rgb_angle")), 7)
+
+
+@query("""SELECT browser_id AS qid, id2 AS id1, id1 AS id2 FROM (SELECT *, row_number() OVER (PARTITION BY browser_id ORDER BY create_time DESC, id DESC) AS n FROM log) WHERE n = 2""", "log")
+def previous_flipped(spark, sf_dir):
+    shown = S.interaction_log(spark, sf_dir).select(F.col("browser_id").alias("qid"), "create_time", "id", "id1", "id2")
+    return search.flipped(search.previous(shown))
+
+
+WORDS = """w AS (SELECT id, orient, unnest([concat('a', archive), concat('m', sequence % 11), concat('n', sequence % 13), CASE WHEN people THEN 'people' ELSE 'none' END]) AS word FROM items)"""
+
+
+@query(f"""WITH {WORDS}, o AS (SELECT a.id AS id1, b.id AS id2, count(*) AS matches FROM w a JOIN w b ON a.word = b.word AND a.id <> b.id AND a.orient = b.orient GROUP BY a.id, b.id HAVING count(*) >= 2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY matches DESC, id2) AS n FROM o WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.id1 = o.id1 AND s.id2 = o.id2)) SELECT id1, id2, matches FROM n WHERE n = 1""", "items seen")
+def keyword_screens(spark, sf_dir):
+    items = S.items(spark, sf_dir)
+    words = F.array(F.concat(F.lit("a"), "archive"), F.concat(F.lit("m"), F.col("sequence") % 11), F.concat(F.lit("n"), F.col("sequence") % 13), F.when(F.col("people"), "people").otherwise("none"))
+    return search.keyword_pairs(items.select("id", F.lit("m").alias("coder"), F.explode(words).alias("word")), items, S.seen_pairs(spark, sf_dir))
+
+
+@query(f"""WITH s AS ({SEEN} WHERE a.sequence % 4 = 1 OR b.sequence % 2 = 0), c AS (SELECT qid, count(DISTINCT id) AS n FROM s GROUP BY qid), k AS (SELECT i.id AS qid, CASE WHEN coalesce(c.n, 0) > 0.1::DOUBLE * (SELECT count(*) FROM items) THEN -1 ELSE i.sequence % 9 % 2 END AS tag_no FROM items i LEFT JOIN c ON c.qid = i.id),
+    l AS (SELECT list_no AS tag_no, qid, rank, id, value FROM numbered UNION ALL SELECT -1, qid, 59 - rank, id, value FROM lists),
+    o AS (SELECT l.*, row_number() OVER (PARTITION BY l.qid ORDER BY l.rank) AS n FROM l JOIN k ON k.qid = l.qid AND k.tag_no = l.tag_no WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = l.qid AND s.id = l.id))
+    SELECT qid, CAST(tag_no AS INTEGER) AS tag_no, id, value FROM o WHERE n = 1""", "numbered")
+def picture_replaced(spark, sf_dir):
+    items = S.items(spark, sf_dir)
+    seen = _seen(spark, sf_dir).where((F.substring_index("qid", "/", -1).cast("int") % 4 == 1) | (F.substring_index("id", "/", -1).cast("int") % 2 == 0))
+    tags = numbered(spark, sf_dir).withColumnRenamed("list_no", "tag_no")
+    scores = lists(spark, sf_dir).withColumn("rank", 59 - F.col("rank"))
+    clicks = items.select(F.col("id").alias("qid"), (F.col("sequence") % 9).alias("cell"))
+    return search.replaced(tags, scores, clicks, seen, items.count(), 0.1)
+
+
 @query()
 def stroke_circles(spark, sf_dir):
     """The circle through the points of each group; tested on circles and against a least-squares search."""
