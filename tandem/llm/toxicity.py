@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, text_digest
@@ -51,15 +51,20 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def digest_of(text: Column) -> Column:
+    return F.coalesce(text_digest(text), F.lit(b""))
+
+
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """``doc_id, text, toxic`` -> the cells with a weight, and the weights.
+    """``doc_id, text, toxic`` (and the text's ``digest``, if known) -> the cells with a weight, and the weights.
 
     At most ``max_train`` different rows are learnt from, a repeated one once;
     online learning is sequential, so they meet in one task, as features. Each
     epoch takes them in another order.
     """
     keys = ["doc_id", "digest", "toxic"]
-    rows = labelled.select("doc_id", F.coalesce(text_digest("text"), F.lit(b"")).alias("digest"), "toxic", "text")
+    digest = F.col("digest") if "digest" in labelled.columns else digest_of(F.col("text"))
+    rows = labelled.select("doc_id", digest.alias("digest"), "toxic", "text")
     chosen = rows.select(*keys).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(max_train)
     rows = rows.join(F.broadcast(chosen), keys, "left_semi").select(*keys, "text")  # max_train keys
 
@@ -114,6 +119,7 @@ def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     not looked at; an empty table gives an empty result.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    train = docs.where(~held_out("doc_id")).select("doc_id", "text").join(known, "doc_id")
+    # The digest is taken before the join, so that rows are chosen without moving texts.
+    train = docs.where(~held_out("doc_id")).select("doc_id", "text", digest_of(F.col("text")).alias("digest")).join(known, "doc_id")
     cells, weights = fit(train)
     return score(docs, cells, weights).select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
