@@ -18,8 +18,12 @@ def trusted_models(cells: DataFrame, low: float = 0.1, high: float = 0.98) -> Da
 
 
 def average_trusted(cells: DataFrame, low: float = 0.1, high: float = 0.98) -> DataFrame:
-    """Averages over trusted models only; Spark decides how the few models meet the cells."""
-    return average(cells.join(trusted_models(cells, low, high).select("model"), "model", "left_semi"))
+    """Averages over trusted models only.
+
+    Which models those are is one row a model, so it goes to the cells and not
+    the cells to it; the cells then move once, added up.
+    """
+    return average(cells.join(F.broadcast(trusted_models(cells, low, high).select("model")), "model", "left_semi"))  # one row a model
 
 
 def percent_over(cells: DataFrame, cut: float) -> DataFrame:

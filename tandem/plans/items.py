@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import colours as C
 from tandem.functions import text as T
 from tandem.functions import vectors as V
 from tandem.operators import knn, labels, pairs, topk
+from tandem.operators import views as views_op
 from tandem.sources import tables as S
 
 from .registry import query
@@ -201,9 +205,33 @@ def delta_e94(spark, sf_dir):
     return p.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), F.round(C.delta_e94(_lab(1), _lab(2)), 6).alias("d_e94"))
 
 
-@query()
+def _e2000(standard):
+    """The 2000 difference in SQL, in the steps of its definition."""
+    mean = "pow(mc, 7)" if standard else "mc"
+    tail = "sqrt(sq + dcs * dcs)" if standard else "sqrt(abs(sq))"
+    return f"""p0 AS (SELECT x.id AS id1, y.id AS id2, x.ll::DOUBLE AS l1, y.ll::DOUBLE AS l2, x.aa::DOUBLE AS ra1, y.aa::DOUBLE AS ra2, x.bb::DOUBLE AS b1, y.bb::DOUBLE AS b2 FROM items x JOIN items y ON x.orient = y.orient AND x.sequence < y.sequence),
+    p1 AS (SELECT *, (sqrt(ra1 * ra1 + b1 * b1) + sqrt(ra2 * ra2 + b2 * b2)) / 2 AS mc FROM p0), p2 AS (SELECT *, 1 + 0.5::DOUBLE * (1 - sqrt({mean} / (pow(mc, 7) + pow(25::DOUBLE, 7)))) AS g FROM p1),
+    p3 AS (SELECT *, g * ra1 AS a1, g * ra2 AS a2 FROM p2), p4 AS (SELECT *, sqrt(a1 * a1 + b1 * b1) AS c1, sqrt(a2 * a2 + b2 * b2) AS c2, {_hue_sql("a1", "b1")} AS h1, {_hue_sql("a2", "b2")} AS h2 FROM p3),
+    p5 AS (SELECT *, c1 * c2 > 0.001 AS col, h2 - h1 AS gap, (c1 + c2) / 2 AS ch FROM p4),
+    p6 AS (SELECT *, CASE WHEN NOT col THEN 0 WHEN abs(floor(gap + 0.5)) <= 180 THEN gap WHEN gap > 0 THEN gap - 360 ELSE gap + 360 END AS step,
+      CASE WHEN NOT col THEN h1 + h2 WHEN abs(floor(gap + 0.5)) > 180 THEN (CASE WHEN h1 + h2 < 360 THEN h1 + h2 + 360 ELSE h1 + h2 - 360 END) / 2 ELSE (h1 + h2) / 2 END AS mh FROM p5),
+    p7 AS (SELECT *, 1 - 0.17 * cos(radians(mh - 30)) + 0.24 * cos(radians(2 * mh)) + 0.32 * cos(radians(3 * mh + 6)) - 0.20 * cos(radians(4 * mh - 63)) AS t, pow((l1 + l2) / 2 - 50, 2) AS li FROM p6),
+    p8 AS (SELECT *, (l2 - l1) / (1 + 0.015 * li / sqrt(20 + li)) AS dls, (c2 - c1) / (1 + 0.045 * ch) AS dcs, 2 * sqrt(c1 * c2) * sin(radians(step / 2)) / (1 + 0.015 * ch * t) AS dhs,
+      -sin(radians(2 * 30 * exp(-pow((mh - 275) / 25, 2)))) * 2 * sqrt(pow(ch, 7) / (pow(ch, 7) + pow(25::DOUBLE, 7))) AS rot FROM p7),
+    p9 AS (SELECT id1, id2, dls * dls + dhs * dhs + rot * dcs * dhs AS sq, dcs FROM p8) SELECT id1, id2, round({tail}, 6) AS d FROM p9"""
+
+
+def _hue_sql(a, b):
+    return HUE_SQL.format(a=a, b=b)
+
+
+HUE_SQL = """CASE WHEN abs({b}) < 0.001 THEN CASE WHEN {a} >= 0 THEN 0 ELSE 180 END WHEN abs({a}) < 0.001 THEN CASE WHEN {b} > 0 THEN 90 ELSE 270 END
+    WHEN degrees(atan2({b}, {a})) < 0 THEN degrees(atan2({b}, {a})) + 360 ELSE degrees(atan2({b}, {a})) END"""
+
+
+@query(f"SELECT id1, id2, o.d AS d_e2000, s.d AS d_e2000_std FROM (WITH {_e2000(False)}) o JOIN (WITH {_e2000(True)}) s USING (id1, id2)", "items")
 def delta_e2000(spark, sf_dir):
-    """Both variants of the 2000 difference; tested against published values."""
+    """Both variants of the 2000 difference."""
     p = pairs.ordered_pairs(S.items(spark, sf_dir).select("id", "sequence", "orient", "ll", "aa", "bb"), "orient", "sequence")
     return p.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), F.round(C.delta_e2000(_lab(1), _lab(2)), 6).alias("d_e2000"), F.round(C.delta_e2000_std(_lab(1), _lab(2)), 6).alias("d_e2000_std"))
 
@@ -242,14 +270,15 @@ def unseen_items(spark, sf_dir):
     return S.items(spark, sf_dir).where("orient = 'v' and archive in (1, 2)").select("id").join(seen, "id", "left_anti")
 
 
-@query("""SELECT 'all' AS view, count(*) AS n FROM items UNION ALL SELECT 'arch 1 2', count(*) FROM items WHERE archive IN (1, 2) UNION ALL SELECT 'people', count(*) FROM items WHERE people
-    UNION ALL SELECT 'bad 10', (SELECT count(*) * 10 // 100 FROM items)""", "items")
+@query("""SELECT 'all' AS view, id FROM items UNION ALL SELECT 'arch 1 2', id FROM items WHERE archive IN (1, 2) UNION ALL SELECT 'kwd face people', id FROM items WHERE face OR people
+    UNION ALL SELECT 'bad 10', id FROM (SELECT id, row_number() OVER (PARTITION BY orient ORDER BY sum_d0, id) AS n, floor(count(*) OVER (PARTITION BY orient) * 10 / 100) AS most FROM items) WHERE n <= most""", "items")
 def view_resolve(spark, sf_dir):
-    """Named views as counts; each is an id set for semi-joins. ``bad 10``: the tenth with the lowest scores."""
-    views = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("archive").isin(1, 2), "arch 1 2"), F.when(F.col("people"), "people")))).alias("view")
-    rows = S.items(spark, sf_dir)
-    named = rows.select(views).groupBy("view").agg(F.count("*").alias("n"))
-    return named.unionByName(rows.agg(F.floor(F.count("*") * 10 / 100).alias("n")).select(F.lit("bad 10").alias("view"), "n"))
+    """Named views as sets of ids."""
+    items = S.items(spark, sf_dir)
+    marks = F.array_compact(F.array(F.when(F.col("face"), "face"), F.when(F.col("people"), "people")))
+    words = items.select("id", F.lit("m").alias("coder"), F.explode(marks).alias("word"))
+    views = [views_op.resolve(v, items, words).withColumn("view", F.lit(v)) for v in ("all", "arch 1 2", "kwd face people", "bad 10", "dummy")]
+    return reduce(DataFrame.unionByName, views).select("view", "id")
 
 
 @query("""SELECT id, value FROM (SELECT id, max(sum_d0) OVER () + min(sum_d0) OVER () + 1 - sum_d0 AS value FROM items WHERE archive IN (2, 4))""", "items")

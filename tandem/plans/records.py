@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tandem.functions import text as T
 from tandem.operators import activity, keywords, labels, pairs
 from tandem.sources import tables as S
 
@@ -279,9 +280,13 @@ def duration_buckets(spark, sf_dir):
     return activity.duration_buckets(S.interaction_log(spark, sf_dir))
 
 
-@query()
+@query("""WITH v AS (SELECT browser_id, CAST(user_time AS DOUBLE) AS v, row_number() OVER (PARTITION BY browser_id ORDER BY create_time, id) AS p, count(*) OVER (PARTITION BY browser_id) AS n FROM log),
+    k AS (SELECT browser_id, n, unnest(range(1, n // 3 + 1)) AS k FROM (SELECT DISTINCT browser_id, n FROM v WHERE n >= 10)),
+    l AS (SELECT k.browser_id, k.k, sum(abs(b.v - a.v) * (k.n - 1) / ((k.n - 1 - (a.p - 1) % k.k) // k.k) / k.k / k.k) / k.k AS length FROM k JOIN v a ON a.browser_id = k.browser_id JOIN v b ON b.browser_id = a.browser_id AND b.p = a.p + k.k GROUP BY k.browser_id, k.k),
+    f AS (SELECT browser_id, -regr_slope(ln(greatest(length, 1e-300)), ln(k)) AS d, regr_r2(ln(greatest(length, 1e-300)), ln(k)) AS r FROM l GROUP BY browser_id)
+    SELECT s.browser_id, s.n, round(coalesce(d, 0), 5) AS dimension, round(coalesce(r, 0), 5) AS r2 FROM (SELECT browser_id, count(*) AS n FROM log GROUP BY browser_id) s LEFT JOIN f USING (browser_id)""", "log")
 def higuchi_dim(spark, sf_dir):
-    """Fractal dimension of each user's times; tested against a direct computation."""
+    """Fractal dimension of each user's times."""
     return activity.higuchi(S.interaction_log(spark, sf_dir))
 
 
@@ -385,8 +390,19 @@ def munge_keywords(spark, sf_dir):
     return keywords.counts(keywords.munged(own.unionByName(by_hand)))
 
 
-@query("""SELECT browser_id, regexp_replace(sel_method, '^(view|click)$', 'look') AS method, count(*) AS n FROM log GROUP BY ALL""", "log")
+#: Codes by hand and what they mean.
+METHODS = {
+    "flip": "[flip]", "rand/bests": "[random]", "stk1cv4": "stroke: cos(VGG16.4)", "ends2dm16": "ends: L2(MobileNetV2.16)", "wig0pd1024x": "free: L2(DenseNet121.1024)", "stk9": "stroke [?]", "d0/7": "[avg/pair-ml]",
+    "-/a_d0": "[worst avg/pair-ml]", "cos.1.256": "[cos.hist.gss]", "poi.2.vgg16_4(ll)": "[poi.im_nn.vgg16_4]", "cos.3.12": "[cos.pr_nn.12]", "cos.9.x": " vector/cos.9.x", "gIN2.cos.3.pair5": "scale-in: [cos.pr_nn.pair5]",
+    "gLR1.poi.1.histo_ml": "gLR1.[poi.hist.gss_rgb]", "P/n17|3": "[pairml: n17]", "Px/n18": "[Px/n18]", "gld/6/in": "[golden angle 2D inwards]", "gld/11/out": "[>120 degrees, 32K D outwards]", "gld/5/x": "[golden angle]",
+    "pls/clr/2": "[color]", "app/1": "[curated]", "prk": "[curated]", "b9": "[RGB 32]", "clr/b2": "[close Lab E2k]", "copp/b5": "[far HueSat 24]", "minusv/c1": "[far Neural HS48]", "phi/zz": "[close zz]", "purchase": "purchase",
+}
+METHOD_ROWS = ", ".join(f"('{c}', '{t}')" for c, t in METHODS.items())
+
+
+@query(f"SELECT method, count(*) AS n FROM (SELECT sel_method AS method FROM log UNION ALL SELECT t FROM (VALUES {METHOD_ROWS}) v(c, t)) GROUP BY method", "log")
 def method_names(spark, sf_dir):
-    """Selection codes in readable words."""
-    named = F.when(F.col("sel_method").isin("view", "click"), "look").otherwise(F.col("sel_method"))
-    return S.interaction_log(spark, sf_dir).groupBy("browser_id", named.alias("method")).agg(F.count("*").alias("n"))
+    """Selection codes in readable words: those of the log and one of every kind."""
+    by_hand = spark.createDataFrame([(c,) for c in METHODS], "sel_method string")
+    codes = S.interaction_log(spark, sf_dir).select("sel_method").unionByName(by_hand)
+    return codes.groupBy(T.method_text(F.col("sel_method")).alias("method")).agg(F.count("*").alias("n"))

@@ -50,15 +50,30 @@ def recent_means(log: DataFrame, sizes: tuple[int, int] = (10, 50), idle: str =
     return log.select("browser_id", "create_time", "id", "user_time").groupBy("browser_id").applyInPandasWithState(update, schema, "values array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def screens(shown: DataFrame) -> DataFrame:
-    """Each user's current and previous pair after every batch, from ``browser_id, create_time, id, id1, id2``."""
+def screens(shown: DataFrame, idle: str = "1 day") -> DataFrame:
+    """Each user's current and previous pair after every batch, from ``browser_id, create_time, id, id1, id2``; forgotten when idle."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = tuple(state.get) if state.exists else (None, None, None, None)
         rows = pd.concat(list(frames)).sort_values(["create_time", "id"])
         for one, two in zip(rows["id1"], rows["id2"]):
             now = (one, two, now[0], now[1])
         state.update(now)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([[key[0], *now]], columns=["browser_id", "id1", "id2", "previous1", "previous2"])
 
     schema = "id1 string, id2 string, previous1 string, previous2 string"
-    return shown.select("browser_id", "create_time", "id", "id1", "id2").groupBy("browser_id").applyInPandasWithState(update, f"browser_id long, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
+    return shown.select("browser_id", "create_time", "id", "id1", "id2").groupBy("browser_id").applyInPandasWithState(update, f"browser_id long, {schema}", schema, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def latest_neighbours(lists: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The next neighbours computed last for each user, from ``browser_id, create_time, neighbours``: what a cache holds.
+
+    State older than the watermark by ``late`` goes, so an entry is evicted by age.
+    """
+    rows = lists.withWatermark("create_time", late).groupBy("browser_id", F.window("create_time", late).alias("w"))
+    return rows.agg(F.max(F.struct("create_time", "neighbours")).alias("m")).select("browser_id", F.col("m.create_time").alias("create_time"), F.col("m.neighbours").alias("neighbours"))
