@@ -40,10 +40,22 @@ def read_id_values(spark: SparkSession, path: str, kind: str = "long") -> DataFr
 
 def read_text_histograms(spark: SparkSession, path: str) -> DataFrame:
     """One file of numbers an item -> ``path, histo``; a file is one row, as its numbers are one array."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").cast("array<double>").alias("histo"))
 
 
+def read_binary_histograms(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """One file of big-endian float32 an item -> ``path, histo``; a length that is no multiple of 4 ends the query."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+
+    def decode(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(raw, ">f4").astype(float) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["path", "histo"])
+
+    return rows.mapInArrow(decode, "path string, histo array<double>")
+
+
 def read_pair_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines ``id1 id2 v12 v21`` of several models -> ``id1, id2, model, v12, v21``.
 

@@ -193,3 +193,136 @@ def test_circles(spark):
         assert (got[k]["x"], got[k]["y"], got[k]["radius"]) == pytest.approx(want, abs=1e-5) and got[k]["rms"] < 1e-4
     assert (got[2]["x"], got[2]["y"], got[2]["radius"]) == pytest.approx((0, 0, 20), abs=0.15) and got[2]["rms"] == pytest.approx(0.5, abs=0.1)
     assert got[7]["radius"] is None and got[8]["radius"] is None and 9 not in got
+
+
+def test_numbered_and_owed_walk_in_order(spark):
+    import random
+
+    from tandem.operators.shared import numbered, owed
+
+    rng = random.Random(4)
+    rows = [(i, "big" if i % 10 else "small", rng.randint(0, 50), rng.random() < 0.3, rng.random() < 0.25) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id int, g string, v int, owes boolean, pays boolean").repartition(6)
+    got = {r["id"]: r["place"] for r in numbered(frame, "g", F.desc("v"), "id").collect()}
+    paid = {r["id"]: r["paid"] for r in owed(frame, "g", F.col("owes"), F.col("pays"), F.desc("v"), "id").collect()}
+    for g in ("big", "small"):
+        own, debt = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])), 0
+        for n, r in enumerate(own):
+            debt += r[3]
+            settles = r[4] and debt > 0
+            debt -= settles
+            assert (got[r[0]], paid[r[0]]) == (n, settles)
+
+
+def test_greedy_choice_in_runs(spark, monkeypatch):
+    import random
+
+    from tandem.operators import topk
+
+    rng = random.Random(5)
+    rows = [(f"a{rng.randrange(40)}", f"b{rng.randrange(40)}", rng.randrange(1000)) for _ in range(900)]
+    used, want = set(), []
+    for v, a, b in sorted({(v, a, b) for a, b, v in rows}):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.append((a, b, v))
+    frame = spark.createDataFrame(rows, "id1 string, id2 string, value long").distinct()
+    for run in (70, 100_000):
+        monkeypatch.setattr(topk, "RUN", run)
+        for limit in (7, 1000):
+            assert [tuple(r) for r in topk.greedy_disjoint(frame, limit).collect()] == want[:limit]
+    assert topk.greedy_disjoint(frame.where("false")).count() == 0
+
+
+def test_uneven_list_is_refused(spark):
+    from tandem.operators import topk
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "id string, n int")
+    with pytest.raises(Exception, match="different numbers"):
+        topk.first_n_of_even(rows, "id", 1, "n").collect()
+
+
+def test_nearest_in_many_blocks(spark, monkeypatch):
+    from tandem.functions import vectors as V
+    from tandem.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 9)
+    rng = np.random.default_rng(6)
+    rows = [(f"{i:03d}", "x" if i % 3 else "y", (rng.integers(-2, 3, 4) / 8).tolist()) for i in range(70)]
+    frame = spark.createDataFrame(rows, "id string, g string, vec array<double>")
+    for metric in ("cosine_distance", "cartes", "poinca"):
+        met = frame.alias("a").join(frame.alias("b"), F.expr("a.g = b.g and a.id <> b.id")).select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), F.round(V.metric(metric, F.col("a.vec"), F.col("b.vec")), 6).alias("d"))
+        want = {}
+        for r in met.collect():
+            want.setdefault(r["id"], []).append((r["d"], r["match_id"]))
+        got = {}
+        for r in blocks.nearest(frame, frame, 5, metric, "g").orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append((r["distance"], r["match_id"]))
+        assert {k: [m for _, m in v] for k, v in got.items()} == {k: [m for _, m in sorted(v)[:5]] for k, v in want.items()}
+
+
+def test_vector_function_names():
+    from tandem.functions.vectors import vector_function
+
+    assert vector_function("") == {"metric": "cosine_distance", "kind": "imagenet", "width": 4}
+    assert vector_function("poinca.2.vgg16_8") == {"metric": "poinca", "kind": "imagenet", "width": 8}
+    assert vector_function("cartes.2.densenet121")["width"] == 1024 and vector_function("cartes.1.histo_ml")["width"] == 1984
+    assert vector_function("cartes.1.hist1728")["width"] == 1728 and vector_function("cosine.1.zzz")["width"] == 256
+    assert vector_function("cosine.3.pair12")["width"] == 12 and vector_function("cosine.3.9")["width"] == 3
+    with pytest.raises(ValueError):
+        vector_function("nope.2.vgg16")
+
+
+def test_colours_there_and_back(spark):
+    from tandem.functions import colours as C
+
+    rows = spark.createDataFrame([(r, g, b) for r in (0, 9, 128, 255) for g in (0, 77, 255) for b in (0, 200, 255)], "r int, g int, b int")
+    rgb = [F.col(c) for c in "rgb"]
+    back = C.xyz_to_rgb(*C.rgb_to_xyz(*rgb))
+    turned = C.hsv_to_rgb(*C.rgb_to_hsv(*rgb))
+    for r in rows.select(*rgb, F.array(*back).alias("x"), F.array(*[F.round(c * 255).cast("int") for c in turned]).alias("h")).collect():
+        assert [r["r"], r["g"], r["b"]] == r["h"] and all(abs(a - b) <= 1 for a, b in zip(r["x"], r["h"]))
+
+
+def test_small_text_functions(spark):
+    from tandem.functions import text as T
+
+    one = spark.range(1).select(
+        T.lossy_mult(F.lit(7.0), F.lit(1.3)).alias("a"), T.lossy_sqrt_divide(F.lit(10.0), F.lit(4.0)).alias("b"), T.lossy_sqrt_divide(F.lit(10.0), F.lit(0.0)).alias("c"),
+        T.normalised_dimension(F.lit("1.2345")).alias("d"), T.normalised_dimension(F.lit("x")).alias("e"), T.decode64(T.encode64(F.lit(123456789))).alias("f"), T.encode64(F.lit(0)).alias("g"),
+        T.is_face(F.lit("expr_sad")).alias("h"), T.is_warm(F.lit("owls"), []).alias("i"), T.is_warm(F.lit("scarf"), ["scarf"]).alias("j"), T.is_warm(F.lit("stone"), ["scarf"]).alias("k"),
+    ).first()
+    assert tuple(one) == (9, 5, 5, 1235, None, 123456789, "0", True, True, True, False) or tuple(one) == (9, 5, 5, 1234, None, 123456789, "0", True, True, True, False)
+
+
+def test_files_written_and_read(spark, tmp_path):
+    from tandem.sources import files
+
+    (tmp_path / "values.txt").write_text("1/2 17\n3/4 5\n\n")
+    (tmp_path / "words.txt").write_text("2 3\nriver 1 2 3\nhill 4 5 6\n")
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "1.txt").write_text("0.5 1.5\n2.5")
+    assert sorted(map(tuple, files.read_id_values(spark, str(tmp_path / "values.txt")).collect())) == [("1/2", 17), ("3/4", 5)]
+    assert {r["word"]: r["vec"] for r in files.read_word_vectors(spark, str(tmp_path / "words.txt")).collect()} == {"river": [1.0, 2.0, 3.0], "hill": [4.0, 5.0, 6.0]}
+    assert files.read_text_histograms(spark, str(tmp_path / "h")).first()["histo"] == [0.5, 1.5, 2.5]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "1.hist").write_bytes(np.array([0.25, 3.0], ">f4").tobytes())
+    assert files.read_binary_histograms(spark, str(tmp_path / "b")).first()["histo"] == [0.25, 3.0]
+    assert [r["name"] for r in files.discover_files(spark, str(tmp_path / "h"), "*.txt").collect()] == ["1.txt"]
+    pairs = spark.createDataFrame([("1/1", "1/3", "v", 5), ("1/2", "1/4", "h", 6)], "id1 string, id2 string, orient string, d012 long")
+    files.write_pairs(pairs, str(tmp_path / "pairs"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "pairs")).select(*pairs.columns).collect())) == sorted(map(tuple, pairs.collect()))
+    files.write_neighbours(pairs.withColumn("tag", F.lit("t")), str(tmp_path / "near"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "near" / "tags")).select("tag", "ct").collect()] == [("t", 2)]
+    files.write_csv(pairs, str(tmp_path / "csv"), ["d012"])
+    assert [r["d012"] for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == ["5", "6"]
+
+
+def test_screens_swap_and_histograms_widen(spark):
+    from tandem.operators import histograms, labels
+
+    shown = spark.createDataFrame([(0, "now"), (1, "before"), (-1, "old")], "depth int, id string")
+    assert {r["id"]: r["depth"] for r in labels.swap_screens(shown).collect()} == {"now": 1, "before": 0, "old": -1}
+    pixels = spark.createDataFrame([("p", 0, 0, 0), ("p", 255, 255, 255), ("p", 255, 0, 0)], "id string, r int, g int, b int")
+    wide = histograms.widened(histograms.colour_histograms(pixels), "grey", 128).first()["histo"]
+    assert len(wide) == 128 and sum(wide) == 3 and wide[0] == wide[127] == 1 and wide[42] == 1

@@ -40,3 +40,17 @@ def test_recent_means(spark, tmp_path):
     log, got = drained(spark, tmp_path, clicks.recent_means, "update", "means")
     last = activity.sliding(log).join(activity.last_n(log, 1).select("id"), "id").select("browser_id", "mean_10", "mean_50")
     assert sorted((r[0], round(r[1], 6), round(r[2], 6)) for r in got.collect()) == sorted(map(tuple, last.collect()))
+
+
+def test_screens(spark, tmp_path):
+    log, got = drained(spark, tmp_path, clicks.screens, "update", "screens")
+    last = activity.last_n(log, 2).select("browser_id", "rn", "id2").collect()
+    want = {(r["browser_id"], r["rn"]): r["id2"] for r in last}
+    assert sorted((r["browser_id"], r["id2"], r["previous2"]) for r in got.collect()) == [(b, want[b, 1], want[b, 2]) for b in range(3)]
+
+
+def test_latest_neighbours(spark, tmp_path):
+    make = lambda s: clicks.latest_neighbours(s.select("browser_id", "create_time", F.array("id1", "id2").alias("neighbours")))
+    log, got = drained(spark, tmp_path, make, "complete", "neighbours")
+    batch = clicks.latest_neighbours(log.select("browser_id", "create_time", F.array("id1", "id2").alias("neighbours")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())) and got.count() >= 3
