@@ -66,10 +66,10 @@ def score_collection(pairs: DataFrame, item_id: str, collection: DataFrame, inve
     return invert_list(found) if invert else found
 
 
-def two_hop_pairs(pairs: DataFrame, first: str, second: str) -> DataFrame:
+def two_hop_pairs(pairs: DataFrame, first: str, second: str, view: DataFrame | None = None) -> DataFrame:
     """Pairs that touch a neighbour of ``first`` or ``second`` but neither of the two, themselves once.
 
-    The pair itself makes no neighbours.
+    The pair itself makes no neighbours. With ``view(id)`` both ends of a pair must be in it.
     """
     anchors = [first, second]
     touching = pairs.where(F.col("id1").isin(anchors) | F.col("id2").isin(anchors))
@@ -78,7 +78,8 @@ def two_hop_pairs(pairs: DataFrame, first: str, second: str) -> DataFrame:
     away = pairs.where(~F.col("id1").isin(anchors) & ~F.col("id2").isin(anchors)).select("id1", "id2")
     one = away.join(near.withColumnRenamed("near", "id1"), "id1", "left_semi").select("id1", "id2")
     two = away.join(near.withColumnRenamed("near", "id2"), "id2", "left_semi").select("id1", "id2")
-    return one.unionByName(two).distinct()
+    found = one.unionByName(two).distinct()
+    return found if view is None else resolved(found, view)
 
 
 def bipartite_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import vectors as V
+from tandem.functions.colours import delta_rgb
 
 from . import blocks, knn, ranked, topk
 from .shared import numbered
@@ -145,6 +146,27 @@ def golden(pairs: DataFrame, option: int, low: int = 136, high: int = 139, angle
     return pairs.where((F.col(column) > low) & (F.col(column) < high)).select("id1", "id2", gap.alias("gap")).orderBy("gap", "id1", "id2")
 
 
+def colour_list(items: DataFrame, shown: DataFrame, k: int = 50) -> DataFrame:
+    """For each shown pair ``qid, id1, id2`` the ``k`` items of its orientation closest to the mean colour of both: ``qid, rank, id, value``.
+
+    ``shown`` is what browsers see now; items are compared with each of its rows,
+    and Spark cuts the candidates before they move.
+    """
+    ends = [items.select(F.col("id").alias(f"id{n}"), F.col("orient").alias(f"o{n}"), *[F.col(c).alias(f"{c}{n}") for c in "rgb"]) for n in (1, 2)]
+    mean = shown.join(ends[0], "id1").join(ends[1], "id2").select("qid", "id1", "id2", F.col("o1").alias("orient"), *[((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(f"m{c}") for c in "rgb"])
+    met = items.select("id", "orient", "r", "g", "b").join(mean, "orient").where("id <> id1 and id <> id2")
+    far = F.round(delta_rgb([F.col(c) for c in "rgb"], [F.col(f"m{c}") for c in "rgb"]) * 1000).cast("long")
+    return topk.best_per_key(met.select("qid", "id", far.alias("value")), "qid", k, "value", "id").select("qid", (F.col("rank") - 1).alias("rank"), "id", "value")
+
+
+def angle_tags(pairs: DataFrame, angle: int = 137, least: int | None = None) -> DataFrame:
+    """``id, other, val`` under a tag for each item: its pair nearest to ``angle``, or, with ``least``, its pair of the largest angle from there on."""
+    ends = F.explode(F.array(F.struct(F.col("id1").alias("id"), F.col("id2").alias("other")), F.struct(F.col("id2").alias("id"), F.col("id1").alias("other")))).alias("e")
+    rows = pairs.select(ends, "angle").select("e.*", "angle")
+    rows = rows.where(F.col("angle") >= least).withColumn("val", -F.col("angle")) if least is not None else rows.withColumn("val", F.abs(F.col("angle") - angle))
+    return rows.groupBy("id").agg(F.min(F.struct("val", "other")).alias("m")).select("id", "m.other", "m.val")
+
+
 def flipped(shown: DataFrame) -> DataFrame:
     """The current pair the other way round: ``qid, id1, id2``."""
     return shown.select("qid", F.col("id2").alias("id1"), F.col("id1").alias("id2"))

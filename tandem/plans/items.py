@@ -313,6 +313,25 @@ def expand_tags(spark, sf_dir):
     return rows.select("tag", F.when(F.col("ct") == 1, F.col("tag")).otherwise(F.concat_ws("|", "tag", "n")).alias("expanded"))
 
 
+@query("SELECT p_partkey AS id, p_brand AS brand, 3 AS n FROM part")
+def properties_as_map(spark, sf_dir):
+    """Each item's properties as one map."""
+    maps = S.item_props(spark, sf_dir).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p_name", "p_value"))).alias("m"))
+    return maps.select("id", F.element_at("m", "p_brand").alias("brand"), F.size("m").alias("n"))
+
+
+@query("SELECT to_json({'id': id, 'archive': archive, 'rgb': [r, g, b], 'people': people}) AS line FROM items", "items")
+def items_as_json(spark, sf_dir):
+    return S.items(spark, sf_dir).select(F.to_json(F.struct("id", "archive", F.array("r", "g", "b").alias("rgb"), "people")).alias("line"))
+
+
+@query("SELECT id, archive, sequence, orient, r, g, b FROM items WHERE id IN (SELECT id FROM items WHERE archive IN (2, 3) AND orient = 'h')", "items")
+def full_rows_in_order(spark, sf_dir):
+    items = S.items(spark, sf_dir)
+    wanted = items.where("archive in (2, 3) and orient = 'h'").select("id")
+    return items.join(wanted, "id", "left_semi").select("id", "archive", "sequence", "orient", "r", "g", "b").orderBy("archive", "sequence", F.length("id"), "id")
+
+
 @query()
 def lsh_recall(spark, sf_dir):
     """Of each item's ten exact cosine neighbours, how many the projection index finds."""

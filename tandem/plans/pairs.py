@@ -99,6 +99,18 @@ def flip_antijoin(spark, sf_dir):
     return pairs.unseen_flips(S.seen_pairs(spark, sf_dir), _approved(spark, sf_dir))
 
 
+@query(f"""WITH {APPROVED}, e AS (SELECT (SELECT id FROM items WHERE sequence = 1) AS a, (SELECT id FROM items WHERE sequence = 3) AS b), v AS (SELECT id FROM items WHERE people),
+    near AS (SELECT DISTINCT CASE WHEN id1 IN (a, b) THEN id2 ELSE id1 END AS n FROM approved, e WHERE (id1 IN (a, b)) <> (id2 IN (a, b)))
+    SELECT DISTINCT id1, id2 FROM approved, e WHERE id1 NOT IN (a, b) AND id2 NOT IN (a, b) AND (id1 IN (SELECT n FROM near) OR id2 IN (SELECT n FROM near)) AND id1 IN (SELECT id FROM v) AND id2 IN (SELECT id FROM v)""", "labels_")
+def two_hop_in_view(spark, sf_dir):
+    return pairs.two_hop_pairs(_approved(spark, sf_dir), _one(spark, sf_dir, 1), _one(spark, sf_dir, 3), S.items(spark, sf_dir).where("people"))
+
+
+@query("SELECT id, other, value FROM sides WHERE value NOT BETWEEN 700000 AND 1300000", "sides")
+def score_ring_neighbors(spark, sf_dir):
+    return pairs.band_neighbours(S.pairs(spark, sf_dir), 1_000_000, 300_000, outside=True)
+
+
 @query("SELECT id, other, value FROM sides WHERE value BETWEEN 990000 AND 1010000", "sides")
 def score_band_neighbors(spark, sf_dir):
     return pairs.band_neighbours(S.pairs(spark, sf_dir), 1_000_000, 10_000)
@@ -149,6 +161,12 @@ def pairs_by_score(spark, sf_dir):
     return topk.best_pairs(S.pairs(spark, sf_dir), 100, S.items(spark, sf_dir).where("archive = 1"))
 
 
+@query("""WITH a AS (SELECT id1 AS left_id, id2 AS right_id, d012 AS value FROM pairs ORDER BY value, left_id, right_id LIMIT 60), b AS (SELECT id2 AS left_id, id1 AS right_id, d021 AS value FROM pairs ORDER BY value, left_id, right_id LIMIT 60)
+    SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY value, left_id, right_id LIMIT 100""", "pairs")
+def pairs_by_low_score(spark, sf_dir):
+    return topk.best_pairs(S.pairs(spark, sf_dir), 100, S.items(spark, sf_dir).where("false"), descending=False)
+
+
 @query("SELECT id1, id2, score FROM (SELECT id1, id2, d012 // 1000 AS score, rank() OVER (ORDER BY d012 // 1000 DESC) AS n FROM pairs WHERE d021 < 1000000) WHERE n <= 100", "pairs")
 def topk_with_ties(spark, sf_dir):
     rows = S.pairs(spark, sf_dir).where("d021 < 1000000").select("id1", "id2", F.floor(F.col("d012") / 1000).alias("score"))

@@ -174,6 +174,12 @@ def percent_seen(spark, sf_dir):
     return activity.percent_seen(S.items(spark, sf_dir).where("archive <= 5"), S.interaction_log(spark, sf_dir).select("browser_id", F.col("id1").alias("id")))
 
 
+@query("SELECT id, create_time FROM log WHERE create_time >= TIMESTAMP '2024-01-10' AND create_time < TIMESTAMP '2024-01-20'", "log")
+def log_by_time(spark, sf_dir):
+    log = S.interaction_log(spark, sf_dir)
+    return log.where((F.col("create_time") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("create_time") < F.lit("2024-01-20").cast("timestamp_ntz"))).select("id", "create_time")
+
+
 @query("SELECT browser_id, max(id) AS id FROM log GROUP BY browser_id", "log")
 def max_id_per_browser(spark, sf_dir):
     return S.interaction_log(spark, sf_dir).groupBy("browser_id").agg(F.max("id").alias("id"))
@@ -368,6 +374,16 @@ def keyword_overlap(spark, sf_dir):
     return keywords.overlap(S.keyword_tokens(spark, sf_dir))
 
 
+@query("""WITH c AS (SELECT word, count(*) AS n FROM tokens GROUP BY word), f AS (SELECT min(id) AS id FROM tokens), o AS (SELECT b.id AS other, round(sum(n::DOUBLE ** -5), 9) AS score FROM f JOIN tokens a ON a.id = f.id JOIN tokens b ON b.word = a.word AND b.id <> a.id JOIN c ON c.word = a.word GROUP BY b.id)
+    SELECT other, score FROM o ORDER BY score DESC, other LIMIT 20""", "tokens")
+def keyword_closest(spark, sf_dir):
+    """The items closest to the first one by their words."""
+    tokens = S.keyword_tokens(spark, sf_dir)
+    first = tokens.agg(F.min("id").alias("first")).first()["first"]
+    found = keywords.overlap(tokens).where((F.col("id1") == first) | (F.col("id2") == first))
+    return found.select(F.when(F.col("id1") == first, F.col("id2")).otherwise(F.col("id1")).alias("other"), "score").orderBy(F.desc("score"), "other").limit(20)
+
+
 #: Words by hand and what each counts as, to meet every stage of the map.
 MUNGED = {
     "mop": "broom", "barges": "barge boat", "seaplane": "seaplane airplane", "mod_church": "mod_church church curve_surface", "skid_marks": "skid_mark tire_mark", "mt_tam": "mt_tam mountain",

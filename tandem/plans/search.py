@@ -119,6 +119,32 @@ def previous_flipped(spark, sf_dir):
     return search.flipped(search.previous(shown))
 
 
+@query("""WITH s AS (SELECT id AS qid, id AS id1, concat(archive2, '/', sequence + 2) AS id2, orient FROM (SELECT i.*, j.archive AS archive2 FROM items i JOIN items j ON j.sequence = i.sequence + 2) WHERE sequence <= 40),
+    m AS (SELECT s.qid, s.id1, s.id2, s.orient, (a.r + b.r) / 2.0::DOUBLE AS mr, (a.g + b.g) / 2.0::DOUBLE AS mg, (a.b + b.b) / 2.0::DOUBLE AS mb FROM s JOIN items a ON a.id = s.id1 JOIN items b ON b.id = s.id2),
+    d AS (SELECT m.qid, i.id, CAST(round(sqrt((i.r - mr) * (i.r - mr) + (i.g - mg) * (i.g - mg) + (i.b - mb) * (i.b - mb)) * 1000) AS BIGINT) AS value FROM m JOIN items i ON i.orient = m.orient AND i.id <> m.id1 AND i.id <> m.id2)
+    SELECT qid, CAST(n - 1 AS INTEGER) AS rank, id, value FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY value, id) AS n FROM d) WHERE n <= 50""", "items")
+def colour_list(spark, sf_dir):
+    """A stated set of 40 shown pairs."""
+    items = S.items(spark, sf_dir)
+    other = items.select((F.col("sequence") - 2).alias("sequence"), F.col("id").alias("id2"))
+    shown = items.where("sequence <= 40").select("sequence", F.col("id").alias("qid"), F.col("id").alias("id1")).join(other, "sequence").drop("sequence")
+    return search.colour_list(items, shown)
+
+
+ANGLES = "ang AS (SELECT a.id AS id1, b.id AS id2, abs(a.ll * 7 + b.aa * 3) % 180 AS angle FROM items a JOIN items b ON a.orient = b.orient AND a.sequence < b.sequence), e AS (SELECT id1 AS id, id2 AS other, angle FROM ang UNION ALL SELECT id2, id1, angle FROM ang)"
+
+
+@query(f"""WITH {ANGLES} SELECT 'golden' AS tag, id, other, val FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY val, other) AS n FROM (SELECT *, CAST(abs(angle - 137) AS INTEGER) AS val FROM e)) WHERE n = 1
+    UNION ALL SELECT 'wide', id, other, val FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY val, other) AS n FROM (SELECT *, CAST(-angle AS INTEGER) AS val FROM e WHERE angle >= 120)) WHERE n = 1""", "items")
+def angle_tags(spark, sf_dir):
+    from tandem.operators.pairs import ordered_pairs
+
+    p = ordered_pairs(S.items(spark, sf_dir).select("id", "sequence", "orient", "ll", "aa"), "orient", "sequence")
+    rows = p.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), (F.abs(F.col("ll_1") * 7 + F.col("aa_2") * 3) % 180).alias("angle"))
+    tags = [search.angle_tags(rows).withColumn("tag", F.lit("golden")), search.angle_tags(rows, least=120).withColumn("tag", F.lit("wide"))]
+    return tags[0].unionByName(tags[1]).select("tag", "id", "other", "val")
+
+
 WORDS = """w AS (SELECT id, orient, unnest([concat('a', archive), concat('m', sequence % 11), concat('n', sequence % 13), CASE WHEN people THEN 'people' ELSE 'none' END]) AS word FROM items)"""
 
 
