@@ -47,6 +47,23 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Keys that ``join_by_weight`` broadcasts.
+HOT = 2000
+
+
+def join_by_weight(rows: DataFrame, marks: DataFrame, keys: list[str], weight: str, hot: int | None = None) -> DataFrame:
+    """``rows`` inner-joined with ``marks``, a written table of one row a key that tells how many rows have it.
+
+    The ``hot`` keys of most rows meet their rows by a broadcast of so many
+    marks, the others by a join on the key. So no key of that join has more than
+    one in ``hot`` of all rows, and a key with a third of them stays where it lies.
+    """
+    most = marks.orderBy(F.desc(weight), *keys).limit(HOT if hot is None else hot)  # bounds both broadcasts
+    rest = rows.join(F.broadcast(most.select(*keys)), keys, "left_anti")
+    cold = marks.join(F.broadcast(most.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(most), keys).unionByName(rest.join(cold.hint("merge"), keys))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the third of the documents that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

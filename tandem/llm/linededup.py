@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import forget, join_by_weight, materialise
 
 #: A single line of more words than this is a passage of its own.
 LONG_WORDS = 50
-#: Chunks that are marked by a broadcast.
-HOT = 2000
 
 #: The first line and the number of lines in a code ``c``.
 START, COUNT = "cast(c div 4294967296 as int)", "cast(c % 4294967296 as int)"
@@ -51,20 +49,15 @@ def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFram
     """``doc_id, key, code`` of every chunk to remove.
 
     Counting moves hashes only, added up before the shuffle, so a passage in a
-    third of all documents is one row a task. To be marked, the occurrences of
-    the HOT most frequent chunks meet their counts by a broadcast of so many
-    rows; so no chunk that is joined by its key has more than one in HOT of all
-    occurrences. Then the bytes of the lines in repeated chunks are compared:
+    third of all documents is one row a task, and stays where it lies to be
+    marked. Then the bytes of the lines in repeated chunks are compared:
     distinct lines meet by hash, and a chunk with a hash of two different lines
     is not removed.
     """
     keys = ["n", "a", "b"]
     found = _occurrences(docs, long_words)
     counted = materialise(found.groupBy(*keys).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "at")).alias("first")).where("times > 1"), "line-counts")
-    hot = counted.orderBy(F.desc("times"), *keys).limit(HOT).select(*keys, "first")  # HOT rows
-    rest = found.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    cold = counted.drop("times").join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    marked = found.join(F.broadcast(hot), keys).unionByName(rest.join(cold.hint("merge"), keys))
+    marked = join_by_weight(found, counted, keys, "times")
     marked = marked.select("doc_id", "key", "at", *keys, (F.struct("doc_id", "key", "at") == F.col("first")).alias("kept"))
     marked = materialise(marked, "line-chunks")
     forget(counted)

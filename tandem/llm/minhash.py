@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, text_digest
-from .graph import connected_components
+from .common import forget, join_by_weight, materialise, text_digest
+from .graph import connected_components, contracted
 from .words import U64, in_chunks, mix, segment
 
 #: Words a shingle, bands and coordinates a band. At similarity 0.8, 25 bands of 5
@@ -138,7 +138,7 @@ def sign(docs: DataFrame, multiset: bool = True) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, multiset: bool) -> DataFrame:
-    """``node, text`` -> ``node, elements``: 32-bit names of the shingles, sorted; a repeat has a name of its own in a multiset."""
+    """``node, text`` -> ``node, elements``: 64-bit names of the shingles, sorted; a repeat has a name of its own in a multiset."""
 
     def run(batches):
         for batch in batches:
@@ -149,7 +149,7 @@ def shingle_sets(texts: DataFrame, multiset: bool) -> DataFrame:
                     if multiset:
                         turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                         elements = mix(np.repeat(elements, counts) + turn.astype(np.uint64))
-                    out.append(np.unique((elements >> U64(16)).astype(np.uint32)).tobytes())
+                    out.append(np.unique(elements).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, elements binary")
@@ -184,41 +184,43 @@ def _across(similarity: float):
     def run(key, pdf):
         asks, others = pdf[pdf["ask"]], pdf[~pdf["ask"]]
         if not len(asks) or not len(others):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        left, right = ([np.frombuffer(x, np.uint32) for x in side["elements"]] for side in (asks, others))
-        shared = shared_elements(left, right)
+            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
+        left, right = ([np.frombuffer(x, np.uint64) for x in side["elements"]] for side in (asks, others))
+        shared = shared_elements(left, right).astype(float)
         together = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - shared
-        near = shared >= (similarity - 0.01) * together
-        near &= asks["class"].to_numpy()[:, None] != others["class"].to_numpy()
-        a, b = asks["node"].to_numpy(), others["node"].to_numpy()
-        # Two askers would meet from both sides; the smaller one keeps the pair.
-        near &= ~others["minor"].to_numpy(bool) | (b > a[:, None])
-        i, j = np.nonzero(near)
-        return pd.DataFrame({"a": np.maximum(a[i], b[j]), "b": np.minimum(a[i], b[j])})
+        near = (shared > 0) & (shared >= similarity * together - 1e-9)
+        one, two = asks["class"].to_numpy(), others["class"].to_numpy()
+        i, j = np.nonzero(near & (one[:, None] != two))
+        # The classes that these links join, as a forest; the links themselves stay here.
+        src, dst = contracted(np.maximum(one[i], two[j]), np.minimum(one[i], two[j]))
+        return pd.DataFrame({"src": src, "dst": dst})
 
     return run
 
 
-def pairs_across(named: DataFrame, texts: DataFrame, similarity: float, multiset: bool = True) -> DataFrame:
-    """``a, b``: pairs of one bucket but different classes that are similar enough to verify, from ``named(bucket, node, class)``.
+def links_across(named: DataFrame, texts: DataFrame, similarity: float, multiset: bool = True) -> DataFrame:
+    """``src, dst``: classes to join, since a bucket has two texts of them with at least ``similarity``, from ``named(bucket, node, class)``.
 
     In each bucket the members outside its largest class ask, and meet all
     members; members of one class never meet, so a bucket of one class costs
     nothing. Both sides are dealt into blocks of about BLOCK, and every pair of
-    blocks is one group, so no group grows with its bucket. Sets of shingle
-    names are compared there, so that only near pairs leave a group.
+    blocks is one group, so no group grows with its bucket. The shingles of whole
+    texts are compared there, and only a forest of classes leaves a group.
     """
     counts = named.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = mixed.select("bucket", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("s"), F.expr(f"cast(ceil((size + main.n) / {BLOCK}) as int)").alias("t"), F.col("main.class").alias("main"))
-    open_ = materialise(named.join(mixed, "bucket").withColumn("minor", F.col("class") != F.col("main")), "minhash-mixed")
+    mixed = mixed.select("bucket", "size", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("s"), F.expr(f"cast(ceil((size + main.n) / {BLOCK}) as int)").alias("t"), F.col("main.class").alias("main"))
+    mixed = materialise(mixed, "minhash-open")
+    open_ = materialise(join_by_weight(named, mixed, ["bucket"], "size").withColumn("minor", F.col("class") != F.col("main")), "minhash-mixed")
     sets = shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), multiset)
-    open_ = open_.join(sets, "node")
-    columns = ["bucket", "node", "class", "minor", "elements"]
+    met = open_.join(sets, "node")
+    columns = ["bucket", "node", "class", "elements"]
     asks = F.when(F.col("minor"), F.expr("transform(sequence(0, s - 1), q -> struct(true as ask, cast(pmod(xxhash64(7, node), t) as int) as p, q as q))"))
     others = F.expr("transform(sequence(0, t - 1), p -> struct(false as ask, p as p, cast(pmod(xxhash64(node), s) as int) as q))")
-    dealt = open_.select(*columns, F.inline(F.concat(others, F.coalesce(asks, F.expr("array()").cast("array<struct<ask:boolean,p:int,q:int>>")))))
-    return dealt.groupBy("bucket", "p", "q").applyInPandas(_across(similarity), "a long, b long").distinct()
+    dealt = met.select(*columns, F.inline(F.concat(others, F.coalesce(asks, F.expr("array()").cast("array<struct<ask:boolean,p:int,q:int>>")))))
+    found = materialise(dealt.groupBy("bucket", "p", "q").applyInPandas(_across(similarity), "src long, dst long").distinct(), "minhash-links")
+    forget(mixed, open_)
+    return found
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, multiset: bool = True) -> DataFrame:
@@ -264,8 +266,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = True
     worded = signed.where("bands is not null")
     unique = materialise(worded.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "minhash-unique")
     entries = unique.select("node", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = materialise(entries.join(heads, "bucket"), "minhash-buckets")
+    heads = materialise(entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "minhash-heads")
+    members = materialise(join_by_weight(entries, heads, ["bucket"], "size"), "minhash-buckets")
     starred = materialise(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "minhash-pairs")
     wanted = members.select("node").distinct()
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min_by("text", text_digest("text")).alias("text"))
@@ -274,12 +276,12 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = True
     classes = connected_components(links, "minhash-classes")
 
     named = members.where("size > 2").join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
-    rest = pairs_across(named, texts, similarity, multiset).join(starred, ["a", "b"], "left_anti")
-    more = materialise(verified(rest, texts, similarity, multiset), "minhash-links")
+    more = links_across(named, texts, similarity, multiset)
     if more.limit(1).count():
+        # ``more`` names classes; a text that is alone names its class itself.
         known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
         classes = connected_components(known.unionByName(more), "minhash-classes")
-    forget(members, starred, texts, links, more)
+    forget(heads, members, starred, texts, links, more)
     named = unique.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     told = worded.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "digest")
     alone = signed.where("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), "digest")

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, embdedup, langid, linededup, minhash, packing, secrets, sharding, topk, toxicity
+from tandem.llm import bpe, common, embdedup, langid, linededup, minhash, packing, secrets, sharding, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -278,7 +278,7 @@ def brute_lines(texts, long_words=50):
 
 @pytest.mark.parametrize("hot", [2, 2000])
 def test_lines_by_brute_force(spark, docs, monkeypatch, hot):
-    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] is not None}
     notice = [sentence(700 + i, 6) for i in range(12)]
     for i in range(60):  # a passage in a quarter of all documents, and parts of it
