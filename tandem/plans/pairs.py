@@ -173,9 +173,13 @@ def topk_with_ties(spark, sf_dir):
     return topk.with_ties(rows, 100, "score")
 
 
-@query()
+@query("""WITH RECURSIVE low AS (SELECT id1, id2, least(d012, d021) AS value FROM pairs WHERE least(d012, d021) < 900000), o AS (SELECT *, row_number() OVER (ORDER BY value, id1, id2) AS place FROM low),
+    g AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS used, CAST(0 AS BIGINT) AS place, false AS taken UNION ALL
+      SELECT n + CASE WHEN free THEN 1 ELSE 0 END, CASE WHEN free THEN list_concat(used, [id1, id2]) ELSE used END, place, free FROM
+        (SELECT g.n, g.used, o.place, o.id1, o.id2, NOT list_contains(g.used, o.id1) AND NOT list_contains(g.used, o.id2) AS free FROM g JOIN o ON o.place = g.place + 1 WHERE g.n < 51))
+    SELECT id1, id2, value FROM g JOIN o USING (place) WHERE taken""", "pairs")
 def greedy_disjoint_pairs(spark, sf_dir):
-    """Low-scored pairs, each item once; tested against one pass in order."""
+    """Low-scored pairs, each item once."""
     low = S.pairs(spark, sf_dir).where("least(d012, d021) < 900000").select("id1", "id2", F.least("d012", "d021").alias("value"))
     return topk.greedy_disjoint(low)
 

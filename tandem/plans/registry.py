@@ -61,10 +61,11 @@ def with_inputs(names: str, sql: str) -> str:
 
     for name in names.split():
         add(name)
-    head = "WITH " + ", ".join(f"{n} AS MATERIALIZED ({INPUTS[n]})" for n in wanted) if wanted else ""
     sql = sql.strip()
+    recursive = "RECURSIVE " if sql.upper().startswith("WITH RECURSIVE ") else ""
+    head = f"WITH {recursive}" + ", ".join(f"{n} AS MATERIALIZED ({INPUTS[n]})" for n in wanted) if wanted else ""
     if head and sql.upper().startswith("WITH "):
-        return head + ", " + sql[5:]
+        return head + ", " + sql[5 + len(recursive) :]
     return f"{head} {sql}"
 
 

@@ -169,8 +169,16 @@ def picture_replaced(spark, sf_dir):
     return search.replaced(tags, scores, clicks, seen, items.count(), 0.1)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT archive, r::DOUBLE AS x, b::DOUBLE AS y FROM items), c AS (SELECT archive, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY archive),
+    u AS (SELECT archive, n, cx, cy, x - cx AS u, y - cy AS v, (x - cx) ** 2 + (y - cy) ** 2 AS z FROM p JOIN c USING (archive)),
+    m AS (SELECT archive, n, cx, cy, avg(u * u) AS xx, avg(v * v) AS yy, avg(u * v) AS xy, avg(u * z) AS xz, avg(v * z) AS yz, avg(z * z) AS zz, avg(z) AS z FROM u GROUP BY archive, n, cx, cy),
+    k AS (SELECT *, xx * yy - xy * xy AS cov, zz - z * z AS var FROM m),
+    a AS (SELECT *, 4 * z AS a3, -3 * z * z - zz AS a2, var * z + 4 * cov * z - xz * xz - yz * yz AS a1, xz * (xz * yy - yz * xy) + yz * (yz * xx - xz * xy) - var * cov AS a0 FROM k),
+    e AS (SELECT archive, 0 AS step, 0::DOUBLE AS x FROM a UNION ALL SELECT e.archive, step + 1, x - (a0 + x * (a1 + x * (a2 + x * a3))) / (a1 + x * (2 * a2 + 3 * a3 * x)) FROM e JOIN a USING (archive) WHERE step < 40),
+    f AS (SELECT a.*, e.x AS eta, e.x * e.x - e.x * z + cov AS det FROM a JOIN e ON e.archive = a.archive AND e.step = 40),
+    o AS (SELECT *, (xz * (yy - eta) - yz * xy) / det / 2 AS ox, (yz * (xx - eta) - xz * xy) / det / 2 AS oy FROM f)
+    SELECT archive, n, round(ox + cx, 6) AS x, round(oy + cy, 6) AS y, round(sqrt(ox * ox + oy * oy + z), 6) AS radius, round(sqrt(greatest(0, eta)), 6) AS rms FROM o""", "items")
 def stroke_circles(spark, sf_dir):
-    """The circle through the points of each group; tested on circles and against a least-squares search."""
+    """The circle through the points of each group; the SQL finds the same root by Newton's steps."""
     points = S.items(spark, sf_dir).select("archive", F.col("r").alias("x"), F.col("b").alias("y"))
     return search.fit_circles(points, "archive").select("archive", "n", *[F.round(c, 6).alias(c) for c in ("x", "y", "radius", "rms")])

@@ -55,8 +55,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``model, i, j, p``: three ordinary models, one constant at 0.5 and one at 0.99."""
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"))
-    cells = ids.crossJoin(ids.select(F.col("i").alias("j"))).select(F.explode(F.array(*[F.lit(m) for m in range(5)])).alias("model"), "i", "j")
+    ids = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("g"), F.col("vec_id").alias("i"))
+    both = F.inline(F.array(F.struct(F.col("i_1").alias("i"), F.col("i_2").alias("j")), F.struct(F.col("i_2").alias("i"), F.col("i_1").alias("j"))))
+    cells = ordered_pairs(ids, "g", "i").select(both).unionByName(ids.select("i", F.col("i").alias("j")))
+    cells = cells.select(F.explode(F.array(*[F.lit(m) for m in range(5)])).alias("model"), "i", "j")
     p = F.when(F.col("model") == 3, 0.5).when(F.col("model") == 4, 0.99)
     return cells.withColumn("p", p.otherwise((F.col("i") * 31 + F.col("j") * 17 + F.col("model") * 7) % 1000 / F.lit(999.0)))
 
