@@ -212,7 +212,7 @@ def links_across(named: DataFrame, texts: DataFrame, similarity: float, multiset
     mixed = mixed.select("bucket", "size", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("s"), F.expr(f"cast(ceil((size + main.n) / {BLOCK}) as int)").alias("t"), F.col("main.class").alias("main"))
     mixed = materialise(mixed, "minhash-open")
     open_ = materialise(join_by_weight(named, mixed, ["bucket"], "size").withColumn("minor", F.col("class") != F.col("main")), "minhash-mixed")
-    sets = shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), multiset)
+    sets = shingle_sets(texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi"), multiset)
     met = open_.join(sets, "node")
     columns = ["bucket", "node", "class", "elements"]
     asks = F.when(F.col("minor"), F.expr("transform(sequence(0, s - 1), q -> struct(true as ask, cast(pmod(xxhash64(7, node), t) as int) as p, q as q))"))
@@ -270,7 +270,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, multiset: bool = True
     members = materialise(join_by_weight(entries, heads, ["bucket"], "size"), "minhash-buckets")
     starred = materialise(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "minhash-pairs")
     wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min_by("text", text_digest("text")).alias("text"))
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min_by("text", text_digest("text")).alias("text"))
     texts = materialise(texts, "minhash-texts")
     links = materialise(verified(starred, texts, similarity, multiset), "minhash-links")
     classes = connected_components(links, "minhash-classes")
