@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.functions.text import base_id
+
 from .shared import numbered, owed
 
 APPROVED, REJECTED, OPEN, UNRESOLVED = 1, 2, 0, 5
@@ -52,6 +54,22 @@ def review(labels: DataFrame, text: str) -> DataFrame:
     return rows
 
 
+def review_in_order(labels: DataFrame, text: str, words: DataFrame | None = None) -> DataFrame:
+    """What ``review`` gives, with ``place`` from 0 in the order that the string asks for.
+
+    History goes by time, quality by ``d0``, a first side by its pair, each
+    forward or in reverse. With keywords, only pairs stay of which an end has one
+    of them in ``words(id, word)``.
+    """
+    ask, rows = parse_review(text), review(labels, text)
+    if ask["keywords"]:
+        hits = words.where(F.col("word").isin(ask["keywords"])).select("id").distinct()
+        ends = [rows.join(hits.withColumnRenamed("id", end), end, "left_semi").select("id1", "id2") for end in ("id1", "id2")]
+        rows = rows.join(ends[0].unionByName(ends[1]).distinct(), ["id1", "id2"], "left_semi")
+    order = [*{"h": ["create_time"], "q": ["d0"]}.get(ask["mode"], []), "id1", "id2"]
+    return numbered(rows.withColumn("__g", F.lit(0)), "__g", *[F.desc(c) if ask["reverse"] else F.asc(c) for c in order]).drop("__g")
+
+
 def apply_labels(current: DataFrame, changes: DataFrame) -> DataFrame:
     """The label table after one change a pair: ``id1, id2, status, create_time`` -> the same and ``action``.
 
@@ -145,10 +163,7 @@ def split_vertex_disjoint(rows: DataFrame, side1: Column, side2: Column) -> Data
 
 def emit_train_test(rows: DataFrame, every: int = 4) -> DataFrame:
     """Examples in order of score, one a pair of base ids; every ``every``-th positive and every 2nd negative is a test row."""
-    def base(c: str) -> Column:
-        return F.regexp_extract(c, r"^(\d+/\d+)", 1)
-
-    one = rows.withColumns({"b1": base("id1"), "b2": base("id2")})
+    one = rows.withColumns({"b1": base_id(F.col("id1")), "b2": base_id(F.col("id2"))})
     first = Window.partitionBy("label", "b1", "b2").orderBy(F.desc("value"), "id1", "id2")
     unique = one.withColumn("n", F.row_number().over(first)).where("n = 1")
     ranked = _ranked(unique, F.desc("value"), "id1", "id2")

@@ -25,6 +25,19 @@ def review_query(spark, sf_dir):
     return labels.review(rows.withColumn("match_people", F.col("people") == F.col("p2")), "vqf12 P").select("id1", "id2", "status")
 
 
+@query("""WITH l AS (SELECT l.id1, l.id2, l.create_time, l.status, l.curator, p.d012, p.orient, l.seq1 % 3 = 1 OR l.seq2 % 3 = 1 AS people, (l.seq1 - 1) % 7 = 0 OR (l.seq2 - 1) % 7 = 0 AS face FROM labels_ l JOIN pairs p USING (id1, id2))
+    SELECT 'quality' AS mode, id1, id2, row_number() OVER (ORDER BY d012 DESC, id1 DESC, id2 DESC) - 1 AS place FROM l WHERE orient = 'v' AND status = 1 AND curator = 'AB'
+    UNION ALL SELECT 'history', id1, id2, row_number() OVER (ORDER BY create_time, id1, id2) - 1 FROM l WHERE orient = 'h' AND status IN (0, 2) AND face
+    UNION ALL SELECT 'side', id1, id2, row_number() OVER (ORDER BY id1, id2) - 1 FROM l WHERE orient = 'v' AND status = 0 AND curator = 'ab'""", "labels_ pairs")
+def review_modes(spark, sf_dir):
+    """Three review strings: by quality in reverse, by time with a keyword, by side."""
+    scores = S.pairs(spark, sf_dir).select("id1", "id2", F.col("d012").alias("d0"))
+    rows = S.pair_labels(spark, sf_dir).join(scores, ["id1", "id2"])
+    words = S.items(spark, sf_dir).where("face").select("id", F.lit("face").alias("word"))
+    told = [labels.review_in_order(rows, text, words).select(F.lit(mode).alias("mode"), "id1", "id2", "place") for mode, text in (("quality", "vqr1 U"), ("history", "hhf02 face"), ("side", "v0f0 L"))]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 @query("SELECT status, vertical, count(*) AS n FROM labels_ GROUP BY status, vertical", "labels_")
 def label_report(spark, sf_dir):
     return S.pair_labels(spark, sf_dir).groupBy("status", "vertical").agg(F.count("*").alias("n")).orderBy("status", "vertical")
