@@ -123,11 +123,11 @@ def proportions(likely: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred, score, languages, fit``; only ``text`` is looked at.
+    """``keep`` columns with ``lang_pred, score, languages, fit, letters``; only ``text`` is looked at.
 
     ``score`` is the share of the predicted language, ``languages`` the chosen
-    set with its shares, ``fit`` the mean log-likelihood a letter. A null text,
-    or one without a letter: ``und``, 0, an empty map, 0. No shuffle; the model (``len(langs)`` x CELLS floats) is broadcast.
+    set with its shares, ``fit`` the mean log-likelihood a letter of ``letters``. A
+    null text, or one without a letter: ``und``, 0, an empty map, 0, 0. No shuffle; the model (``len(langs)`` x CELLS floats) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
     text_at = len(keep)
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[s
         names, table = shared.value
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            pred, score, sets, fits = ["und"] * len(texts), np.zeros(len(texts)), [{} for _ in texts], np.zeros(len(texts))
+            pred, score, sets, fits, letters = ["und"] * len(texts), np.zeros(len(texts)), [{} for _ in texts], np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for begin, end in in_chunks(texts) if names else ():
                 words = segment(texts[begin:end], "letters")
                 if not len(words.starts):
@@ -146,16 +146,17 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[s
                 worded = np.flatnonzero(np.diff(words.first))
                 first = np.append(words.first[worded], words.first[-1])
                 share, gain = proportions(likely, first)
-                fits[begin + worded] = gain * np.diff(first) / np.add.reduceat(words.lengths, first[:-1])
+                letters[begin + worded] = np.add.reduceat(words.lengths, first[:-1])
+                fits[begin + worded] = gain * np.diff(first) / letters[begin + worded]
                 for d, own in zip(worded, share):
                     best = int(own.argmax())
                     pred[begin + d], score[begin + d] = names[best], min(1.0, float(own[best]))
                     sets[begin + d] = {names[i]: float(own[i]) for i in np.flatnonzero(own > 0)}
             kept = [batch.column(i) for i in range(text_at)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score), pa.array([list(x.items()) for x in sets], pa.map_(pa.string(), pa.float64())), pa.array(fits)], names=[*keep, "lang_pred", "score", "languages", "fit"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score), pa.array([list(x.items()) for x in sets], pa.map_(pa.string(), pa.float64())), pa.array(fits), pa.array(letters)], names=[*keep, "lang_pred", "score", "languages", "fit", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double, languages map<string,double>, fit double")
+    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double, languages map<string,double>, fit double, letters long")
 
 
 def predict_languages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -175,18 +176,30 @@ def language_query(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.4, low: float = 0.01) -> DataFrame:
     """Drop the documents that no language explains.
 
-    These are ``und``, a largest share under ``least``, or a fit that lies under
-    the ``low`` quantile of the language's own training documents by more than
-    that quantile lies under their median; so clean documents in the tail stay.
-    All columns stay as they are, extra ones too.
+    These are ``und``, a largest share under ``least``, or a text whose fit is too
+    low in two ways: it lies under the ``low`` quantile of the language's own
+    training documents by more than that quantile lies under their median, and
+    its distance from the median, times the root of its letters, is more than
+    twice what all but ``low`` of those documents have. So neither clean
+    documents in the tail go, nor short ones, whose fit says little. All columns
+    stay as they are, extra ones too.
     """
     names = docs.columns
     langs, model = fit(docs.where(~held_out("doc_id")))
     told = identify(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names])), langs, model, keep=("__row",))
     told = materialise(told.drop("languages"), "identified")
     own = told.where(~held_out(F.col("__row.doc_id")) & (F.col("__row.lang") == F.col("lang_pred")))
-    marks = own.groupBy("lang_pred").agg(F.percentile_approx("fit", [low, 0.5], 10_000).alias("at")).collect()
-    bound = F.lit(float("-inf"))
-    for r in marks:
-        bound = F.when(F.col("lang_pred") == r["lang_pred"], 2 * r["at"][0] - r["at"][1]).otherwise(bound)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= bound)).select("__row.*")
+
+    def by_language(values: dict, other: float):
+        chosen = F.lit(other)
+        for lang, value in values.items():
+            chosen = F.when(F.col("lang_pred") == lang, F.lit(value)).otherwise(chosen)
+        return chosen
+
+    # One row a language each.
+    marks = {r["lang_pred"]: r["at"] for r in own.groupBy("lang_pred").agg(F.percentile_approx("fit", [low, 0.5], 10_000).alias("at")).collect()}
+    bound = by_language({lang: 2 * at[0] - at[1] for lang, at in marks.items()}, float("-inf"))
+    away = (by_language({lang: at[1] for lang, at in marks.items()}, float("-inf")) - F.col("fit")) * F.sqrt("letters")
+    far = {r["lang_pred"]: 2 * r["far"] for r in own.groupBy("lang_pred").agg(F.percentile_approx(away, 1 - low, 10_000).alias("far")).collect()}
+    fits = (F.col("fit") >= bound) | (away <= by_language(far, float("inf")))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & fits).select("__row.*")
