@@ -78,11 +78,13 @@ def dart_signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int, boost: fl
     strip = mix(element + mix(unit.astype(np.uint64) + U64(77)))
     reach = boost * (k * np.log(k) + 2 * k) / np.array([w.sum() for _, w in sets])
     slot, rank, name = [], [], []
+    live, ends = np.arange(len(doc)), reach[doc]  # units whose strips reach this far; they only become fewer
     region = 0
     while True:
         low = float(RANKS[region]) if region < len(RANKS) else float(region - len(RANKS) + 2)
         high = float(RANKS[region + 1]) if region + 1 < len(RANKS) else low + 1
-        live = np.flatnonzero(reach[doc] > low)
+        if not (further := ends > low).all():
+            live, ends = live[further], ends[further]
         if not len(live):
             break
         cell = mix(strip[live] + mix(np.array([region], np.uint64)))
