@@ -69,14 +69,20 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np
     rows = rows.join(F.broadcast(chosen), keys, "left_semi").select(*keys, "text")  # max_train keys
 
     def extract(batches):
+        told = set()  # at most max_train keys
         for batch in batches:
+            own = list(zip(*[c.to_pylist() for c in batch.columns[:3]]))
+            batch = batch.filter(pa.array([k not in told and not told.add(k) for k in own], pa.bool_()))
             found = [x.astype("<i4").tobytes() for x in features(batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=[*keys, "cells"])
 
     def learn(batches):
-        model, seen = Ftrl(), []
+        model, seen, last = Ftrl(), [], None
         for batch in batches:
-            seen += zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:3] != last:  # rows come sorted, so repeats from several tasks stand together
+                    seen.append(row[2:])
+                last = row[:3]
         for epoch in range(EPOCHS):
             for i in np.random.default_rng(epoch).permutation(len(seen)):
                 model.learn(np.frombuffer(seen[i][1], "<i4"), seen[i][0])
@@ -84,8 +90,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["cell", "weight"])
 
-    # Repeats go as features, so that no text moves for them.
-    found = rows.mapInArrow(extract, "doc_id long, digest binary, toxic int, cells binary").dropDuplicates(keys)
+    found = rows.mapInArrow(extract, "doc_id long, digest binary, toxic int, cells binary")
     # At most max_train rows meet here; sorted, so that the weights do not depend on the partitioning.
     one = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *keys)
     table = one.mapInArrow(learn, "cell long, weight double").toPandas()

@@ -521,6 +521,16 @@ def test_toxicity_held_out(spark):
     assert none.count() == 9 and none.where("score <> 0.5").count() == 0
 
 
+def test_toxicity_learns_each_row_once(spark):
+    rows = [(i, sentence(i, 30) + (" grumble" if i % 2 else ""), i % 2) for i in range(40)]
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string, toxic int")
+    once = toxicity.fit(frame(rows))
+    many = toxicity.fit(frame(rows + rows[:10] * 20).repartition(5))
+    assert len(once[0]) and (once[0] == many[0]).all() and np.allclose(once[1], many[1])
+    few = toxicity.fit(frame(rows * 3), max_train=0)
+    assert len(few[0]) == 0
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
