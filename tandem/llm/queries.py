@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embdedup, langid, linededup, minhash, packing, secrets, sharding, topk, toxicity
+from . import bpe, decontam, divergence, embdedup, langid, linededup, minhash, packing, secrets, sharding, topk, toxicity, turns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,20 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_bpe, op3_minhash, op4_topk, op5_lines, op6_vectors, op7_secrets, op8_language, op9_toxicity, op10_packing)}
+def op11_decontamination(spark, sf_dir):
+    return decontam.decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark, sf_dir):
+    return divergence.divergence_query(table(spark, sf_dir, "documents"))
+
+
+def op13_turns(spark, sf_dir):
+    return turns.repair_query(table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (op1_shard, op2_bpe, op3_minhash, op4_topk, op5_lines, op6_vectors, op7_secrets, op8_language, op9_toxicity, op10_packing, op11_decontamination, op12_divergence, op13_turns)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLES = {
     "op4_topk": """
@@ -83,4 +96,50 @@ ORACLES = {
         SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
         FROM v JOIN (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id) c USING (vec_id)
     """,
+    "op11_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+        ), i AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM benchmark
+        ), m AS (
+            SELECT *, least(10, len(w)) AS n FROM i WHERE len(w) > 0
+        ), b AS (
+            SELECT DISTINCT n, item, array_to_string(w[a : a + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS a FROM m)
+        ), h AS (
+            SELECT r, n, a, win FROM (SELECT r, n, a, array_to_string(w[a : a + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM d, (SELECT DISTINCT n FROM m))) x
+            WHERE EXISTS (SELECT 1 FROM b WHERE b.n = x.n AND b.win = x.win)
+        ), hit AS (
+            SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS p FROM h) GROUP BY r
+        ), items AS (
+            SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM h JOIN b USING (n, win)) GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+    """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+        ), t AS (
+            SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+        ), k AS (
+            SELECT lang, term, sum(n) AS total FROM t GROUP BY lang, term HAVING count(*) >= 10
+        ), v AS (
+            SELECT lang, count(*) AS v, CAST(sum(total) AS HUGEINT) AS big FROM k GROUP BY lang
+        ), c AS (
+            SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term
+        ), g AS (
+            SELECT lang, source, coalesce(sum(n), 0) AS nn FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.nn + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 2)) // (v.big + 2 * v.v) AS q
+            FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), s AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ), terms AS (
+            SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q
+        )
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        QUALIFY part = 'pair' OR rank <= 10
+    """,
 }

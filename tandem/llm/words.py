@@ -67,3 +67,15 @@ def in_chunks(texts: list, limit: int = 400_000, most: int = 100_000):
         size += n
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def in_ranges(sizes: list[int], limit: int):
+    """Ranges of rows of about ``limit`` together; a larger row stands alone."""
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > limit:
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
