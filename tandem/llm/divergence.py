@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,7 @@ def _share(count: str, all_counts: str) -> Column:
     return F.expr(f"1 + (cast(1000000000 as decimal(10)) * cast({count} + 2 as decimal(20))) div cast({all_counts} + 2 * v as decimal(20))")
 
 
-def source_groups(found: DataFrame, kept: DataFrame) -> DataFrame:
+def source_groups(found: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFrame:
     """``lang, source, nn, v, big, code, blocks, rows``: every source of every language, with its counts over kept terms.
 
     One row a source, numbered by name in its language; the pairs of sources that
@@ -155,10 +156,10 @@ def source_groups(found: DataFrame, kept: DataFrame) -> DataFrame:
     langs = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("big"))
     named = every.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["nn", "rows", "v", "big"])
     by_lang = Window.partitionBy("lang")
-    return named.withColumns({"code": F.row_number().over(by_lang.orderBy("source")) - 1, "blocks": F.expr(f"cast((count(*) over (partition by lang) + {BLOCK - 1}) div {BLOCK} as int)")})
+    return named.withColumns({"code": F.row_number().over(by_lang.orderBy("source")) - 1, "blocks": F.expr(f"cast((count(*) over (partition by lang) + {block - 1}) div {block} as int)")})
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_sums(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Sums over terms of what each two sources of a cell differ by; rows come by cell, those of no term first, then by term."""
     cell = None
     for batch in batches:
@@ -169,10 +170,10 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if begin == end:
                 continue
             if cell is None or cell.key != keys[begin]:
-                yield from [cell.sums()] if cell else []
+                yield from [cell.sums(block)] if cell else []
                 cell = Cell(keys[begin])
             cell.take(batch.slice(begin, end - begin))
-    yield from [cell.sums()] if cell else []
+    yield from [cell.sums(block)] if cell else []
 
 
 class Cell:
@@ -181,12 +182,14 @@ class Cell:
     def __init__(self, key: tuple):
         self.key, self.codes, self.zero, self.total = key, np.zeros(0, np.int64), np.zeros(0, np.int64), None
         self.rest = None  # the rows of the last term, which the next batch may go on with
+        self.terms = self.seen = 0  # terms of the range, and those that some source here has
 
     def take(self, batch: pa.RecordBatch) -> None:
         codes, share = batch.column("code").to_numpy().astype(np.int64), batch.column("share").fill_null(0).to_numpy()
         plain = batch.column("term").is_null().to_numpy(zero_copy_only=False)
         if plain.any():
             self.codes, self.zero = np.concatenate([self.codes, codes[plain]]), np.concatenate([self.zero, share[plain]])
+            self.terms = int(batch.column("terms").to_numpy()[0])
             order = np.argsort(self.codes)
             self.codes, self.zero = self.codes[order], self.zero[order]
         rows = pa.table({"term": batch.column("term"), "code": codes, "share": share}).filter(pa.array(~plain))
@@ -202,27 +205,33 @@ class Cell:
         """``number`` counts the terms of ``rows`` from 0 on."""
         if self.total is None:
             self.total = np.zeros((len(self.codes), len(self.codes)), np.int64)
-        if not len(number):
-            return
-        shares = np.repeat(self.zero[:, None], int(number[-1]) + 1, axis=1)
-        shares[np.searchsorted(self.codes, rows.column("code").to_numpy()), number] = rows.column("share").to_numpy()
+        if len(number):
+            terms = int(number[-1]) + 1
+            shares = np.repeat(self.zero[:, None], terms, axis=1)
+            shares[np.searchsorted(self.codes, rows.column("code").to_numpy()), number] = rows.column("share").to_numpy()
+            self.count(shares)
+            self.seen += terms
+
+    def count(self, shares: np.ndarray, times: int = 1) -> None:
         for a in range(len(self.codes) - 1):
             apart = shares[a] - shares[a + 1 :]
-            self.total[a, a + 1 :] += (apart * apart // (shares[a] + shares[a + 1 :])).sum(axis=1)
+            self.total[a, a + 1 :] += times * (apart * apart // (shares[a] + shares[a + 1 :])).sum(axis=1)
 
-    def sums(self) -> pa.RecordBatch:
+    def sums(self, block: int) -> pa.RecordBatch:
         if self.rest is not None:
             self.add(np.zeros(self.rest.num_rows, np.int64), self.rest)
         self.add(np.zeros(0, np.int64), pa.table({}))
+        if self.terms > self.seen:  # only sources of other blocks have these
+            self.count(self.zero[:, None], self.terms - self.seen)
         lang, i, j, _ = self.key
         a, b = np.triu_indices(len(self.codes), 1)
         # A cell of two blocks leaves the pairs inside a block to the cell of that block.
-        asked = (self.codes[a] // BLOCK == i) & (self.codes[b] // BLOCK == j)
+        asked = (self.codes[a] // block == i) & (self.codes[b] // block == j)
         a, b = a[asked], b[asked]
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(self.codes[a]), pa.array(self.codes[b]), pa.array(self.total[a, b])], names=["lang", "a", "b", "value"])
 
 
-def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def source_pairs(kept: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """``lang, source, item, value`` of each two sources of a language, in both directions.
 
     A term meets the sources in blocks: its rows are copied once per other block,
@@ -230,14 +239,14 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     without a term of the range has the share of no occurrence there.
     """
     numbered = join_by_weight(kept.select("lang", "part", "term", "source", "n"), groups.select("lang", "source", "code", "blocks", "nn", "v", "rows"), ["lang", "source"], "rows")
-    rows = numbered.select("lang", "part", "term", "code", "blocks", _share("n", "nn").alias("share"))
-    ranges = kept.select("lang", "part").distinct().unionByName(groups.select("lang", F.lit(-1).alias("part")).distinct())
+    rows = numbered.select("lang", "part", "term", "code", "blocks", _share("n", "nn").alias("share"), F.lit(0).cast("long").alias("terms"))
+    ranges = kept.groupBy("lang", "part").agg(F.count_if("first").alias("terms")).unionByName(groups.select("lang", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("terms")).distinct())
     none = groups.withColumn("none", F.lit(0)).select("lang", F.lit(None).cast("string").alias("term"), "code", "blocks", F.when(F.col("v") > 0, _share("none", "nn")).alias("share")).join(ranges, "lang")
-    block = F.expr(f"cast(code div {BLOCK} as int)")
+    own = F.expr(f"cast(code div {block} as int)")
     cells = rows.unionByName(none).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = cells.select("lang", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"), "part", "term", "code", "share")
+    cells = cells.select("lang", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "part", "term", "code", "share", "terms")
     keys = ["lang", "i", "j", "part"]
-    sums = cells.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("term")).mapInArrow(_pair_sums, "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sums = cells.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("term")).mapInArrow(partial(_pair_sums, block=block), "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = sums.select("lang", F.explode(F.expr("array(struct(a as code, b as other), struct(b as code, a as other))")).alias("p"), "value").select("lang", "p.code", "p.other", "value")
     names = groups.select("lang", "code", "source")
     return both.join(names, ["lang", "code"]).join(names.select("lang", F.col("code").alias("other"), F.col("source").alias("item")), ["lang", "other"]).select("lang", "source", "item", "value")
@@ -250,7 +259,7 @@ def source_terms(kept: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("lang", "source", "item", F.expr("((p - q) * (p - q)) div (p + q)").alias("value"))
 
 
-def divergence_query(docs: DataFrame, min_docs: int = MIN_DOCS, listed: int = LISTED) -> DataFrame:
+def divergence_query(docs: DataFrame, min_docs: int = MIN_DOCS, listed: int = LISTED, block: int = BLOCK) -> DataFrame:
     """``lang, source, part, item, value, rank``: each source's other sources (``pair``) and its ``listed`` most telling terms (``term``).
 
     Null text, lang and source read as ''; only these three columns are read, and
@@ -259,9 +268,9 @@ def divergence_query(docs: DataFrame, min_docs: int = MIN_DOCS, listed: int = LI
     """
     found = materialise(leaves(docs), "divergence-leaves")
     kept = materialise(merged_terms(found, min_docs), "divergence-terms")
-    groups = materialise(source_groups(found, kept), "divergence-sources")
+    groups = materialise(source_groups(found, kept, block), "divergence-sources")
     forget(found)
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     terms = source_terms(kept, groups).withColumn("rank", rank).where(F.col("rank") <= listed)
-    pairs = source_pairs(kept, groups).withColumn("rank", rank)
+    pairs = source_pairs(kept, groups, block).withColumn("rank", rank)
     return pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term"))).select("lang", "source", "part", "item", "value", "rank")

@@ -1,6 +1,6 @@
 """The queries of the corpus operators, with SQL where SQL can state them.
 
-No SQL is given where it cannot: checksums (1, 10), tokenizers (2, 10), rolling
+No SQL is given where it cannot: checksums of texts (1, 10), tokenizers (2, 10), rolling
 and band hashes (3, 5), and learnt models (7, 8, 9). Those are tested against
 brute force, exact round trips or held-out accuracy.
 """
@@ -142,4 +142,50 @@ ORACLES = {
         SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
         QUALIFY part = 'pair' OR rank <= 10
     """,
+    "op13_turns": r"""
+        WITH RECURSIVE o AS (
+            SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))) AS crc
+            FROM conversations
+        ), d AS (
+            SELECT c, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM (SELECT *, xor(crc, 4294967295) % 20 AS h FROM o), (SELECT unnest([1, 2]) AS copy) WHERE h <> 0 AND (copy = 1 OR h = 3)
+        ), m AS (
+            SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+                right(regexp_replace(text, '[ \t\n\x0b\x0c\r]+$', ''), 1) AS stop FROM d
+        ), f AS (
+            SELECT *, CASE WHEN stop = '' THEN 'blank' WHEN pos > min(pos) OVER (PARTITION BY c, role, text) THEN 'duplicate' WHEN stop NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY pos) || left(role, 1) AS two FROM m
+        ), counts AS (
+            SELECT c, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c
+        ), solved AS (
+            SELECT c, n + 1 AS pos, {'k': 0::BIGINT, 'e': ''} AS v0, {'k': 4::BIGINT, 'e': 'II'} AS v1, {'k': 2::BIGINT, 'e': 'I'} AS v2, {'k': 0::BIGINT, 'e': ''} AS v3 FROM counts
+            UNION ALL
+            SELECT c, pos, list_min([b0, {'k': 2 + b2.k, 'e': 'I' || b2.e}, {'k': 4 + b3.k, 'e': 'II' || b3.e}]), list_min([b1, {'k': 2 + b2.k, 'e': 'I' || b2.e}, {'k': 4 + b3.k, 'e': 'II' || b3.e}]),
+                list_min([b2, {'k': 2 + b3.k, 'e': 'I' || b3.e}]), list_min([b3, {'k': 2 + b2.k, 'e': 'I' || b2.e}])
+            FROM (
+                SELECT s.c, f.pos,
+                    list_min([{'k': 3 + v0.k, 'e': 'D' || v0.e}, {'k': CASE WHEN gone OR i <> 's' THEN 1000000000000 ELSE cut + v1.k END, 'e': 'K' || v1.e}, {'k': CASE WHEN gone OR i <> 'u' THEN 1000000000000 ELSE cut + v2.k END, 'e': 'K' || v2.e}, {'k': CASE WHEN gone THEN 1000000000000 ELSE 2 + cut + v2.k END, 'e': 'R' || v2.e}]) AS b0,
+                    list_min([{'k': 3 + v1.k, 'e': 'D' || v1.e}, {'k': CASE WHEN gone OR i <> 'u' THEN 1000000000000 ELSE cut + v2.k END, 'e': 'K' || v2.e}, {'k': CASE WHEN gone THEN 1000000000000 ELSE 2 + cut + v2.k END, 'e': 'R' || v2.e}]) AS b1,
+                    list_min([{'k': 3 + v2.k, 'e': 'D' || v2.e}, {'k': CASE WHEN gone OR i <> 'a' THEN 1000000000000 ELSE cut + v3.k END, 'e': 'K' || v3.e}, {'k': CASE WHEN gone THEN 1000000000000 ELSE 2 + cut + v3.k END, 'e': 'R' || v3.e}]) AS b2,
+                    list_min([{'k': 3 + v3.k, 'e': 'D' || v3.e}, {'k': CASE WHEN gone OR i <> 'u' THEN 1000000000000 ELSE cut + v2.k END, 'e': 'K' || v2.e}, {'k': CASE WHEN gone THEN 1000000000000 ELSE 2 + cut + v2.k END, 'e': 'R' || v2.e}]) AS b3
+                FROM solved s JOIN (SELECT *, fault IN ('blank', 'duplicate') AS gone, CAST(fault = 'truncated' AS INTEGER) AS cut FROM f) f ON f.c = s.c AND f.pos = s.pos - 1
+            )
+        ), audit AS (
+            SELECT c, v0.k AS cost, v0.e AS audit FROM solved WHERE pos = 1
+        ), steps AS (
+            SELECT c, pos, edit, sum(CAST(edit <> 'I' AS INTEGER)) OVER (PARTITION BY c ORDER BY pos) AS row_pos, sum(CAST(edit <> 'D' AS INTEGER)) OVER (PARTITION BY c ORDER BY pos) - 1 AS place
+            FROM (SELECT c, unnest(range(1, len(audit) + 1)) AS pos, unnest(string_split(audit, '')) AS edit FROM audit WHERE audit <> '')
+        ), made AS (
+            SELECT steps.c, steps.pos, edit, place, f.role, CASE edit WHEN 'I' THEN '' ELSE f.text END AS text, max(CAST(edit = 'K' AND place = 0 AND f.i = 's' AS INTEGER)) OVER (PARTITION BY steps.c) AS led
+            FROM steps LEFT JOIN f ON f.c = steps.c AND f.pos = steps.row_pos WHERE edit <> 'D'
+        ), hashed AS (
+            SELECT c, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos)) AS repaired_sha256 FROM made GROUP BY c
+        )
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT c, conv_id FROM o) LEFT JOIN counts USING (c) LEFT JOIN audit USING (c) LEFT JOIN hashed USING (c)
+    """,
 }

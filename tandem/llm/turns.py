@@ -137,8 +137,8 @@ def signatures(rows: DataFrame) -> DataFrame:
     end = F.right(F.expr(f"trim(TRAILING '{SPACES}' FROM text)"), F.lit(1))
     marked = rows.select("conv_id", "turn", "role", "digest", (end == "").alias("blank"), (~end.isin(*STOPS)).alias("cut"), F.left("role", F.lit(1)).alias("initial"))
     along = Window.partitionBy("conv_id").orderBy(*order)
-    again = F.row_number().over(Window.partitionBy("conv_id", "role", "digest").orderBy(*order)) > 1
-    marked = marked.repartition("conv_id").withColumn("again", again).withColumns({"place": F.row_number().over(along), "before": F.lag("initial").over(along)})
+    marked = marked.repartition("conv_id").withColumns({"place": F.row_number().over(along), "before": F.lag("initial").over(along)})
+    marked = marked.withColumn("again", F.col("place") > F.min("place").over(Window.partitionBy("conv_id", "role", "digest")))
     marked = marked.withColumn("fault", F.when(F.col("blank"), "blank").when(F.col("again"), "duplicate").when(F.col("cut"), "truncated").otherwise(""))
     role = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("x")
     letter = F.when(F.col("fault").isin("blank", "duplicate"), GONE).when(F.col("fault") == "truncated", F.upper(role)).otherwise(role)
