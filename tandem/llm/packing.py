@@ -37,7 +37,7 @@ SCHEMA_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long
 
 
 class WordTokenizer:
-    """Token ids of whole texts; equal words are tokenised once.
+    """Token ids of whole texts, special tokens included where a text spells them; equal words are tokenised once.
 
     Splitting at ASCII white space is safe: the vocabulary drops white space and
     no piece reaches over it. Only ASCII letters are lower-cased here, and none that
@@ -49,6 +49,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in special.values()):
+            raise ValueError("special tokens are only known as they are written")
+        self.special = {text: np.array([i], "<u4").tobytes() for text, (i, _) in special.items()}
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        # Texts are parted at these before words are lower-cased, which may make new ones of what was none.
         self.tokenizer.encode_special_tokens = True
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.words: dict[bytes, bytes] = {}
@@ -81,14 +87,16 @@ class WordTokenizer:
             yield from zip(some, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(t or "") for t in texts]
+        """Ids of each text as little-endian unsigned 32-bit integers; special tokens stand at the odd places of its parts."""
+        parts = [self.parts.split(t) if t and self.parts else [t or ""] for t in texts]
+        split = [self.split(p) for own in parts for p in own[::2]]
         if new := set().union(*split).difference(self.words):
             self.learn(list(new))
             if missing := set().union(*split).difference(self.words):
                 self.learn(list(missing))  # the memo was emptied meanwhile
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        plain = iter(split)
+        for own in parts:
+            yield b"".join(self.special[p] if i % 2 else b"".join(map(self.words.__getitem__, next(plain))) for i, p in enumerate(own))
 
     @staticmethod
     def split(text: str) -> list[bytes]:

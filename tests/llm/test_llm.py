@@ -535,9 +535,9 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    for rows in (docs.select("doc_id", "text"), edge_docs(spark, [(80, "x|y || z"), (81, "J̌ ÉTÉ İI")]).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")):
+    tok = Tokenizer.from_file(path)  # as it comes
+    special = ["hello <|endoftext|> world", "a<|startoftext|><|endoftext|><|endoftext|>b", "<|ENDOFTEXT|> <|endoftext", "<<|endoftext|>>e<|endoftext|>\u0301", "<|endoftext|>", "don't<|endoftext|>'s <|startof\u212Aext|>"]
+    for rows in (docs.select("doc_id", "text"), edge_docs(spark, [(80, "x|y || z"), (81, "J̌ ÉTÉ İI"), *enumerate(special, 82)]).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")):
         got = packing.pack_documents(rows, path).toPandas()
         assert (got["length"] <= 2048).all() and (got.groupby("sequence_id")["length"].sum() <= 2048).all()
         for _, part in got.sort_values("offset").groupby("sequence_id"):
