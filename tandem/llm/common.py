@@ -64,6 +64,27 @@ def join_by_weight(rows: DataFrame, marks: DataFrame, keys: list[str], weight: s
     return rows.join(F.broadcast(most), keys).unionByName(rest.join(cold.hint("merge"), keys))
 
 
+#: Bits of the filter that ``key_filter`` broadcasts, as a row for each 64 that has any.
+FILTER_BITS = 1 << 23
+
+
+def key_filter(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` (long) may be among ``keys(filter_key)``, and those whose key is surely not.
+
+    At most FILTER_BITS / 64 rows are broadcast, whatever ``keys`` holds, so what
+    need not meet them by a shuffle stays where it lies. With more keys than bits
+    nearly all rows pass, which is only slower. Both parts keep the columns of ``rows``.
+    """
+    place = F.pmod("filter_key", F.lit(FILTER_BITS))
+    cells = keys.select(F.floor(place / 64).cast("int").alias("filter_cell"), (place % 64).cast("int").alias("bit"))
+    cells = cells.groupBy("filter_cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("filter_mask"))
+    own = F.pmod(key, F.lit(FILTER_BITS))
+    here = rows.withColumns({"filter_own": F.floor(own / 64).cast("int"), "filter_bit": (own % 64).cast("int")})
+    met = (F.col("filter_own") == F.col("filter_cell")) & F.expr("(shiftright(filter_mask, filter_bit) & 1) = 1")
+    passing, others = (here.join(F.broadcast(cells), met, how).drop("filter_own", "filter_bit") for how in ("left_semi", "left_anti"))
+    return passing, others
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the third of the documents that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tandem.llm import bpe, common, embdedup, langid, linededup, minhash, packing, secrets, sharding, topk, toxicity
@@ -239,7 +241,7 @@ def test_lines(spark):
 
 def test_lines_removed_stay_elsewhere(spark):
     rng = random.Random(8)
-    stock = [f"line {n}" for n in range(60)] + [""]
+    stock = [f"line {n} {sentence(n, 6)}" for n in range(60)] + [""]
     texts = {}
     for i in range(150):
         parts = [f"own {i} {j}" for j in range(rng.randint(0, 6))]
@@ -259,21 +261,49 @@ def test_lines_removed_stay_elsewhere(spark):
         assert [x for x in lines if x.startswith("own")] == [x for x in rest if x.startswith("own")]
 
 
+def line_hash(seed, value):
+    """The JVM's 64-bit hash of a string, or of a rule's number and a hash."""
+    raw = value.encode() if isinstance(value, str) else (value % 2**64).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(raw, seed=42 if seed is None else xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42))
+
+
 def brute_lines(texts, long_words=50):
-    """What stays of each text: every pair of lines, and every long line, stands once, at its first place."""
+    """What stays of each text, rule by rule: whole chunks between boundaries, runs of them by where they stand first."""
+    everywhere, chunks = 2**64 - 1, {}
     lines = {i: t.split("\n") for i, t in sorted(texts.items())}
-    chunks = {}
+    letters = {line: len(regex.sub(r"[^\p{L}\p{N}]+", "", line)) for own in lines.values() for line in own}
+    hashes = {line: line_hash(None, line) for line in letters}
     for i, own in lines.items():
-        for at, line in enumerate(own):
-            if at + 1 < len(own):
-                chunks.setdefault((line, own[at + 1]), []).append((i, at))
-            if len(line.split()) > long_words:
-                chunks.setdefault((line,), []).append((i, at))
-    gone = {i: set() for i in lines}
+        gaps = [everywhere, *[line_hash(1, hashes[a]) | line_hash(2, hashes[b]) for a, b in zip(own, own[1:])], everywhere]
+        found = {(at, at + 1) for at, line in enumerate(own) if len(line.split()) > long_words}
+        for bit in range(64):
+            cuts = [at for at, gap in enumerate(gaps) if gap >> bit & 1]
+            for a, b in zip(cuts, cuts[1:]):
+                if 2 <= b - a <= linededup.LINES and letters[own[a]] and letters[own[b - 1]] and sum(letters[x] for x in own[a:b]) >= linededup.LETTERS:
+                    found.add((a, b))
+        for a, b in found:
+            chunks.setdefault(tuple(own[a:b]), []).append((i, a))
+    ranges = {i: {} for i in lines}
     for chunk, places in chunks.items():
-        for i, at in places[1:]:
-            gone[i] |= set(range(at, at + len(chunk)))
-    return {i: "\n".join(line for at, line in enumerate(own) if at not in gone[i]) for i, own in lines.items()}
+        source, first = min(places)
+        for i, at in places:
+            if (i, at) != (source, first):
+                ranges[i].setdefault((source, first - at), []).append((at, at + len(chunk)))
+    out = {}
+    for i, own in lines.items():
+        runs = set()
+        for some in ranges[i].values():
+            here = []
+            for a, b in sorted(some):
+                if here and a <= here[-1][1]:
+                    here[-1] = (here[-1][0], max(b, here[-1][1]))
+                else:
+                    here.append((a, b))
+            runs |= set(here)
+        runs = [r for r in runs if not any(q != r and q[1] - q[0] >= r[1] - r[0] and q[0] < r[1] and r[0] < q[1] for q in runs)]
+        gone = {at for a, b in runs for at in range(a, b)}
+        out[i] = "\n".join(line for at, line in enumerate(own) if at not in gone)
+    return out
 
 
 @pytest.mark.parametrize("hot", [2, 2000])
@@ -285,11 +315,50 @@ def test_lines_by_brute_force(spark, docs, monkeypatch, hot):
         texts[10_000 + i] = "\n".join([f"own {i}", *notice[i % 5 : 12 - i % 3], sentence(40 + i % 4, 70), f"own {i} b", ""])
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.line_query(rows).collect()}
-    assert got == brute_lines(texts)
+    want = brute_lines(texts)
+    assert got == want and sum(t != want[i] for i, t in texts.items()) > 60
+
+
+def test_lines_leave_what_is_no_passage(spark):
+    one, two, three = (sentence(2000 + i, 12) for i in range(3))
+    rows = [
+        (1, "import os\n\n\ndef f():\n    return 1\n\n\ndef g():\n    pass\n}\n\n}\n"), (2, "import sys\n\n\ndef g():\n    pass\n\n\ndef h():\n    return 1\n}\n\n}\n"),
+        (3, "- a\n- b\n\n- c\n---\n\n===\n"), (4, "- a\n- b\n\n- d\n---\n\n===\n"),
+        # all three together stand nowhere else
+        (5, f"{one}\n{two}"), (6, f"{two}\n{three}"), (7, f"{one}\n{two}\n{three}"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows)
+
+
+def test_planted_passages_are_found(spark):
+    rng, texts, planted = random.Random(6), {}, {}
+    for n in range(2, 13):
+        for k in range(20):
+            passage = [sentence(f"{n} {k} {i}", rng.randint(60 // n, 30)) for i in range(n)]
+            for copy in range(2):
+                own = [sentence(f"own {n} {k} {copy} {i}", 9) for i in range(6)]
+                at = rng.randint(0, 6)
+                i = 1000 * n + 10 * k + copy
+                texts[i], planted[i] = own[:at] + passage + own[at:], n * copy
+    rows = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    removed = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(rows).collect()}
+    for n in range(2, 13):
+        own = [i for i in texts if i // 1000 == n and planted[i]]
+        assert sum(removed[i] for i in own) >= 0.9 * n * len(own), n
+    assert not any(removed[i] for i in texts if not planted[i]) and all(removed[i] <= planted[i] for i in texts)
+
+
+def test_columns_of_the_user_keep_their_names(spark):
+    names = ["row", "doc", "key", "gone", "own_doc", "own_key", "places", "filter_own", "filter_bit", "filter_cell", "__gone", "removed", "at", "n", "h"]
+    text = "\n".join(sentence(i, 12) for i in range(4))
+    rows = spark.createDataFrame([(i, text, *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = linededup.dedup_lines(rows).orderBy("doc_id").collect()
+    assert [r["removed_lines"] for r in got] == [0, 4, 4] and all([r[n] for n in names] == list(range(len(names))) for r in got)
 
 
 def test_lines_passages_of_any_length(spark):
-    notices = {n: [sentence(3000 + 10 * n + k, 60 if n == 1 else 8) for k in range(n)] for n in range(1, 6)}
+    notices = {n: [sentence(3000 + 10 * n + k, 60 if n == 1 else 14) for k in range(n)] for n in range(1, 6)}
     texts = {}
     for n, notice in notices.items():
         for copy in range(6):
