@@ -25,7 +25,7 @@ from .common import forget, join_by_weight, materialise
 #: Documents of a language that a term must be in, and terms listed of a source.
 MIN_DOCS, LISTED = 10, 10
 #: Counters that a task holds before it gives its tries out; results never depend on it.
-COUNTERS = 400_000
+COUNTERS = 1_200_000
 #: Sources on each side of a matrix of pairs.
 BLOCK = 64
 #: Bytes of terms in lower case; every other byte parts them.
@@ -37,21 +37,25 @@ class RadixTrie:
     """Byte strings as paths, equal beginnings shared; each has a number, in the order of coming."""
 
     def __init__(self):
-        self.root = [b"", -1, {}]  # edge, number of the string that ends here, nodes below by first byte
+        self.root = [b"", -1, {}]  # edge, number of the string that ends here, nodes below by first byte (None: none)
         self.size = 0
 
     def add(self, term: bytes) -> int:
-        node, at = self.root, 0
-        while at < len(term):
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            if node[2] is None:
+                node[2] = {}
             below = node[2].get(term[at])
-            if below is None:
-                below = node[2][term[at]] = [term[at:], -1, {}]
+            if below is None:  # a new leaf
+                node[2][term[at]] = [term[at:], self.size, None]
+                self.size += 1
+                return self.size - 1
             edge = below[0]
-            if not term.startswith(edge, at):
-                same = next(i for i in range(len(edge)) if term[at + i : at + i + 1] != edge[i : i + 1])
-                rest = [edge[same:], below[1], below[2]]
-                below[:] = [edge[:same], -1, {rest[0][0]: rest}]
-            node, at = below, at + len(below[0])
+            size = len(edge)
+            if size > 1 and term[at : at + size] != edge:
+                size = next(i for i in range(1, size) if term[at + i : at + i + 1] != edge[i : i + 1])
+                below[:] = [edge[:size], -1, {edge[size]: [edge[size:], below[1], below[2]]}]
+            node, at = below, at + size
         if node[1] < 0:
             node[1] = self.size
             self.size += 1
@@ -65,7 +69,8 @@ class RadixTrie:
             path = start + node[0]
             if node[1] >= 0:
                 yield path, node[1]
-            stack += [(path, node[2][b]) for b in sorted(node[2], reverse=True)]
+            if node[2]:
+                stack += [(path, node[2][b]) for b in sorted(node[2], reverse=True)]
 
 
 class Counts:
