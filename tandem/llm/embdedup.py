@@ -10,20 +10,22 @@ for both its ends, from whichever side it is found.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from .common import forget, materialise
 from .graph import connected_components
 
-#: Vectors the codebooks are fitted on, at most: those of the smallest hash. All are indexed.
+#: Vectors of a length that its codebooks are fitted on, at most: those of the smallest hash. All are indexed.
 SAMPLE = 20_000
-#: A length with fewer vectors in the sample has one cell, where all its vectors meet.
-LEAST_SAMPLE = 16
+#: A length of fewer vectors has one cell, where they all meet.
+LEAST_ROWS = 256
 #: Codewords a half: at least, and at most, which bounds the cells a driver or task holds.
 MIN_CODEWORDS, MAX_CODEWORDS = 8, 256
 #: Homes of a cell, and visitors of it, that meet in one group; visitors compared at once there.
@@ -31,8 +33,8 @@ BLOCK, TILE = 4096, 1024
 
 
 def codewords_for(n: int) -> int:
-    """Codewords a half for ``n`` vectors; they grow slowly, since more cells need more visits."""
-    return int(np.clip((n / 16) ** 0.25, MIN_CODEWORDS, MAX_CODEWORDS))
+    """Codewords a half for ``n`` vectors: cells grow nearly as the rows, so that homes of a cell grow little; with more cells a vector visits more."""
+    return int(np.clip((n / 64) ** 0.4, MIN_CODEWORDS, MAX_CODEWORDS))
 
 
 class MultiIndex:
@@ -130,14 +132,21 @@ def _units(raw: list[bytes], kind: str) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, cosine: float, recall: float, codewords: int | None = None) -> dict[int, MultiIndex]:
-    """An index for each vector length that has LEAST_SAMPLE vectors in a sample of SAMPLE; so there are few."""
-    sample = vectors.orderBy("tag", "node").limit(SAMPLE).select("v").toPandas()["v"]
-    own: dict[int, list] = {}
-    for v in sample:
-        own.setdefault(len(v), []).append(v)
-    kept = {n: np.stack(rows).astype(float) for n, rows in own.items() if len(rows) >= LEAST_SAMPLE}
-    sizes = vectors.where(F.size("v").isin(list(kept))).groupBy(F.size("v").alias("n")).count().collect()  # one row a kept length
-    return {r["n"]: MultiIndex(_unit(kept[r["n"]]), codewords or codewords_for(r["count"]), cosine, recall) for r in sizes}
+    """An index for each vector length of LEAST_ROWS vectors, each from its own bounded sample.
+
+    A task fits one length; what reaches the driver are the codebooks.
+    """
+
+    def run(key, pdf):
+        n, rows = map(int, key)
+        index = MultiIndex(_unit(np.stack(pdf["v"]).astype(float)), codewords or codewords_for(rows), cosine, recall)
+        return pd.DataFrame({"n": [n], "index": [pickle.dumps(index)]})
+
+    sized = vectors.withColumn("n", F.size("v"))
+    rows = sized.groupBy("n").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS)
+    sample = sized.withColumn("at", F.row_number().over(Window.partitionBy("n").orderBy("tag", "node"))).where(F.col("at") <= SAMPLE)
+    fitted = sample.join(rows, "n").groupBy("n", "rows").applyInPandas(run, "n int, index binary").collect()
+    return {r["n"]: pickle.loads(r["index"]) for r in fitted}
 
 
 def place(vectors: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
