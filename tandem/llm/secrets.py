@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, judged by a random forest. Native functions only.
 
-Candidates are long unbroken runs of key characters. The forest sees a
+Candidates are long unbroken runs of key characters, whatever is assigned to a
+name that tells of a secret, and passwords in addresses. The forest sees a
 candidate's length, its character classes and the changes between them, how
 much of it dictionary words cover, whether it stands in a path or address, and
 the words next to it; it removes the findings that are no secrets.
@@ -18,8 +19,13 @@ from .common import materialise, text_digest
 
 #: What a candidate looks like, and words that announce one.
 HINTS = r"(?i)(api[_-]?key|access[_-]?key|secret|token|passw(or)?d|pwd|credential|bearer|private[_-]?key|auth)"
-#: Long runs anywhere, and runs of 8 or more right after a hint and an assignment; what follows '=' counts like any other.
-CANDIDATE = r"(?<![\p{L}\p{N}_+/-])(?:[A-Za-z0-9_+/-]{20,}+|(?<=(?i:key|secret|token|passwd|password|pwd|credential|credentials|auth)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{8,}+)={0,2}(?![\p{L}\p{N}_])"
+#: What follows a hint and an assignment, in any characters up to a blank or quote, but for the stops that end it;
+#: passwords in addresses; and long runs of key characters anywhere. The short look-behinds spare the long ones.
+CANDIDATE = (
+    r"(?<=[=:][\s\"']{0,3})(?<=(?i:key|secret|token|passwd|password|pwd|credential|credentials|auth)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'=:][^\s\"']{6,}[^\s\"'.,;:)\]}>]"
+    r"|(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/:@]{8,128}(?=@)"
+    r"|(?<![\p{L}\p{N}_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![\p{L}\p{N}_])"
+)
 CHECKSUM_HINTS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|revision|hash|uuid|etag)"
 PLACEHOLDER = r"(?i)(example|placeholder|your|xxxx|changeme|dummy|0000000|1234567)"
 #: Characters of context on either side; occurrences that make a corpus word a dictionary word.
@@ -28,7 +34,7 @@ CONTEXT, MIN_COUNT = 40, 5
 TRAIN_ROWS, TREES, DEPTH = 6_000, 24, 7
 #: Corpus words that training findings are made of, at most; the probability from which a finding is a secret.
 TRAIN_WORDS, LEAST = 300, 0.5
-FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_distinct", "f_changes", "f_symbols", "f_words", "f_path", "f_hint", "f_assigned", "f_quoted", "f_checksum", "f_placeholder"]
+FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_distinct", "f_changes", "f_symbols", "f_words", "f_path", "f_hint", "f_assigned", "f_quoted", "f_checksum", "f_placeholder", "f_address", "f_hint_right"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def features(rows: DataFrame, dictionary: DataFrame | None) -> DataFrame:
         covered = runs.where("false").groupBy("id").agg(F.sum(F.length("word")).alias("covered"))
     else:
         covered = runs.join(dictionary, "word", "left_semi").groupBy("id").agg(F.sum(F.length("word")).alias("covered"))
-    kinds = "translate(candidate, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-=', concat(repeat('a', 26), repeat('A', 26), repeat('0', 10), '_____'))"
+    kinds = "regexp_replace(translate(candidate, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', concat(repeat('a', 26), repeat('A', 26), repeat('0', 10))), '[^aA0]', '_')"
     changes = f"length(regexp_replace(regexp_replace(regexp_replace({kinds}, 'a+', 'a'), 'A+', 'A'), '0+', '0'))"
     return rows.join(covered, "id", "left").select(
         *[F.col(f"`{c}`") for c in rows.columns],
@@ -95,14 +101,16 @@ def features(rows: DataFrame, dictionary: DataFrame | None) -> DataFrame:
         F.col("left").rlike(r"[\"']$").cast("double").alias("f_quoted"),
         F.col("left").rlike(CHECKSUM_HINTS).cast("double").alias("f_checksum"),
         F.col("candidate").rlike(PLACEHOLDER).cast("double").alias("f_placeholder"),
+        (F.col("left").rlike(r"://[^\s/:@]*:$") & F.col("right").startswith("@")).cast("double").alias("f_address"),
+        F.col("right").rlike(HINTS).cast("double").alias("f_hint_right"),
     )
 
 
 def labelled_findings(spark: SparkSession, words: list[str], rows: int = TRAIN_ROWS, first: int = 0) -> DataFrame:
     """Labelled findings by rule: ``id, candidate, left, right, label`` with ``id`` from ``first`` on.
 
-    Secrets are random keys of the usual shapes, mostly announced by a word;
-    the others are words (of ``words`` and unknown ones), checksums, addresses,
+    Secrets are random keys of the usual shapes, mostly announced by a word, and
+    passwords with signs, also in addresses; the others are words (of ``words`` and unknown ones), checksums, addresses,
     placeholders and repeated characters in the places where those occur.
     """
     base = spark.range(first, first + rows).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"), F.pmod(F.xxhash64("id"), F.lit(997)).alias("r"))
@@ -112,9 +120,14 @@ def labelled_findings(spark: SparkSession, words: list[str], rows: int = TRAIN_R
     else:
         base = base.withColumn("phrase", F.lit(None).cast("string"))
     b64 = "translate(base64(unhex(h)), '=', 'A')"
-    kind = "id % 12"
+    kind = "id % 16"
     unknown = "substring(translate(h, '0123456789', 'nthersiolu'), 1, 20 + r % 25)"
+    # Passwords with signs in them, of 10 to 24 characters, and words with a sign, as people write about passwords.
+    signs = f"translate(substring({b64}, 1 + r % 8, 10 + r % 15), element_at(array('/+abcde', 'xyzABC', '/+0123', 'mnopqr'), 1 + cast(r % 4 as int)), element_at(array('!#$%&*?', '@^~!#%', '-_.!@#', '$*?&^~'), 1 + cast(r % 4 as int)))"
+    word = f"substring(coalesce(element_at(split(phrase, '[_-]'), 1), {unknown}), 1, 16)"
     candidate = f"""case {kind}
+      when 12 then {signs} when 13 then if(r % 2 = 0, {signs}, substring({b64}, 1 + r % 8, 10 + r % 15)) when 14 then concat(rpad({word}, 8, 'ing'), if(r % 3 = 0, '!', ''))
+      when 15 then element_at(array('password', 'your_password', 'changeme', 'examplepass', 'placeholder'), 1 + cast(r % 5 as int))
       when 0 then substring(h, 1, 40) when 1 then substring(h, 1, 32 + 8 * (r % 5)) when 2 then substring({b64}, 1, 40)
       when 3 then concat('AKIA', upper(substring(translate(h, '01', 'XY'), 1, 16))) when 4 then concat('ghp_', translate(substring({b64}, 1, 36), '/+', 'ab'))
       when 5 then upper(substring(h, 1, 40))
@@ -123,7 +136,9 @@ def labelled_findings(spark: SparkSession, words: list[str], rows: int = TRAIN_R
       when 9 then concat('docs/', translate(substring(h, 1, 6), '0123456789', 'nthersiolu'), '/', translate(substring(h, 7, 8), '0123456789', 'nthersiolu'), '/', substring(h, 20, 4))
       when 10 then element_at(array('your_api_key_goes_here', 'EXAMPLE_EXAMPLE_EXAMPLE', 'xxxxxxxxxxxxxxxxxxxxxxxx', 'changeme_changeme_changeme', 'placeholder_token_value'), 1 + cast(r % 5 as int))
       else element_at(array('--------------------------', '========================', '____________________________', '00000000000000000000000000'), 1 + cast(r % 4 as int)) end"""
-    left = f"""case when {kind} <= 5 then concat(element_at(array('the ', 'with ', 'in ', ''), 1 + cast(r % 4 as int)),
+    left = f"""case when {kind} in (13, 15) then element_at(array('connect to postgres://admin:', 'see ftp://user:', 'url = "mysql://root:', 'amqp://svc:'), 1 + cast(r % 4 as int))
+      when {kind} in (12, 14) then element_at(array('password = "', 'the password: ', 'pwd=', 'secret: ', "passwd: '", 'token = '), 1 + cast(r % 6 as int))
+      when {kind} <= 5 then concat(element_at(array('the ', 'with ', 'in ', ''), 1 + cast(r % 4 as int)),
         element_at(array('token = "', 'api_key: ', 'secret="', 'password = "', 'Authorization: Bearer ', 'TOKEN = "', 'export ACCESS_KEY=', 'key = "'), 1 + cast(r % 8 as int)))
       when {kind} = 7 then element_at(array('commit ', 'sha1: ', 'md5 = ', 'revision ', 'checksum: '), 1 + cast(r % 5 as int))
       when {kind} = 8 then element_at(array('uuid ', 'request id: ', 'etag "'), 1 + cast(r % 3 as int))
@@ -132,7 +147,8 @@ def labelled_findings(spark: SparkSession, words: list[str], rows: int = TRAIN_R
       else element_at(array('and the ', 'wer ', 'est. ', 'los '), 1 + cast(r % 4 as int)) end"""
     return base.select(
         "id", F.expr(candidate).alias("candidate"), F.expr(left).alias("left"),
-        F.expr(f"case when {kind} <= 5 and r % 2 = 0 then '\" and' else ' of the' end").alias("right"), F.expr(f"cast({kind} <= 5 as double)").alias("label"),
+        F.expr(f"case when {kind} in (13, 15) then '@db.example.org/main' when {kind} in (0, 1, 2, 3, 4, 5, 12) and r % 2 = 0 then '\" and' else ' of the' end").alias("right"),
+        F.expr(f"cast({kind} <= 5 or {kind} in (12, 13) as double)").alias("label"),
     )
 
 

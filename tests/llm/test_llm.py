@@ -495,6 +495,21 @@ def test_secrets_assigned(spark):
     assert "q7Rt9xZ2" not in masked[73] and masked[74] == "page = international and so on"
 
 
+def test_secrets_of_other_forms(spark):
+    """Signs in passwords, passwords in addresses, and forms that no training finding has."""
+    hidden = {
+        80: ('password = "', "p@ssw0rd!2024xyz", '" here'), 81: ("use postgres://admin:", "S3cr3tPassw0rd99", "@db.host/x"), 82: ("redis_auth: '", "Zq8#rT_v2~Lw", "'"), 83: ("PGPASSWORD=", "x9%Kd!2mQ^7b", " psql -h db"),
+        84: ("(mongodb+srv://svc-app:", "hT5$gW9z-Q2k", "@c0.example.net)"), 85: ("client_secret: ", "8f~Q2.kd_71-Zw0Xy", ", next"),
+    }
+    plain = {90: "the password: required and the token: optional.", 91: "see https://example.org:8080/a@b and mailto:someone@example.org", 92: "key = international and secret: everything!", 93: "ftp://user:password@host.example.org/x"}
+    rows = spark.createDataFrame([(i, "".join(t)) for i, t in hidden.items()] + list(plain.items()) + [(100 + i, sentence(i)) for i in range(20)], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(rows).collect()}
+    for i, (before, _, after) in hidden.items():
+        assert masked[i] == before + "[SECRET]" + after
+    for i, text in plain.items():
+        assert masked[i] == text
+
+
 def test_secrets_each_occurrence(spark):
     key = hashlib.sha256(b"k").hexdigest()[:40]
     text = f"in commit {key} of the tree " + sentence(5, 20) + f' and with api_key: {key} of the'
