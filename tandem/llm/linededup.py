@@ -6,8 +6,8 @@ bits, and each bit is a rule of its own with its own boundaries, so that a
 passage of two or more lines is cut out whole by some of them wherever it
 stands: its edges follow from its own lines. A chunk is what lies between two
 successive boundaries of a rule: of 2 to LINES lines, with words on the first and
-the last, and LETTERS letters or digits at least; or one line of over LONG_WORDS
-words. A chunk that occurs more than once in the corpus is kept at its first
+the last, and CHARS characters at least on lines with words; or one line of over
+LONG_WORDS words. A chunk that occurs more than once in the corpus is kept at its first
 occurrence (by doc_id, then place) and removed elsewhere, once its bytes are
 compared. Blank lines, brackets, separators and other short lines make no chunk.
 """
@@ -21,17 +21,17 @@ from .common import forget, join_by_weight, key_filter, materialise
 
 #: A single line of more words than this is a passage of its own.
 LONG_WORDS = 50
-#: Lines of a chunk at most (what a rule cuts longer, others cut shorter), letters and digits at least.
-LINES, LETTERS = 16, 64
+#: Lines of a chunk at most (what a rule cuts longer, others cut shorter), characters at least on its lines with letters or digits.
+LINES, CHARS = 16, 80
 KEYS = ["h", "n"]
 
 
-def _occurrences(docs: DataFrame, long_words: int, letters: int) -> DataFrame:
+def _occurrences(docs: DataFrame, long_words: int, chars: int) -> DataFrame:
     """``doc_id, key, at, n, h`` of each chunk of ``n`` lines from line ``at`` on (from 0), with its hash; no text."""
     rows = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     # Each word but the last takes two characters at least, so short lines need no pattern; without the anchor it is tried at every character.
     long = f"length(line) > {2 * long_words} and line rlike '^\\\\s*+(?:\\\\S++\\\\s++){{{long_words}}}\\\\S'"
-    lines = f"transform(split(text, '\n', -1), line -> struct(xxhash64(line) as h, length(regexp_replace(line, '[^\\\\p{{L}}\\\\p{{N}}]++', '')) as w, {long} as long))"
+    lines = f"transform(split(text, '\n', -1), line -> struct(xxhash64(line) as h, if(line rlike '[\\\\p{{L}}\\\\p{{N}}]', length(line), 0) as w, {long} as long))"
     # A bit of gap i is set if its rule cuts there.
     gaps = "concat(array(-1L), transform(slice(e, 2, size(e)), (y, i) -> xxhash64(1, e[i].h) | xxhash64(2, y.h)), array(-1L))"
     # Bits of c[a]: rules that cut before line a and nowhere in the next k lines; those that cut then make a chunk.
@@ -39,7 +39,7 @@ def _occurrences(docs: DataFrame, long_words: int, letters: int) -> DataFrame:
     ended = "filter(transform(c, (x, a) -> if((x & m[a + k]) <> 0, struct(a as at, k as n), null)), x -> x is not null)"
     cut = f"""aggregate(if(size(e) < 2, cast(array() as array<int>), sequence(2, least({LINES}, size(e)))), named_struct('c', slice(m, 1, size(e)), 'f', cast(array() as array<struct<at:int,n:int>>)),
         (s, k) -> transform(array({further}), c -> named_struct('c', c, 'f', concat(s.f, {ended})))[0], s -> s.f)"""
-    worded = f"filter({cut}, x -> e[x.at].w > 0 and e[x.at + x.n - 1].w > 0 and aggregate(slice(e, x.at + 1, x.n), 0, (s, y) -> s + y.w) >= {letters})"
+    worded = f"filter({cut}, x -> e[x.at].w > 0 and e[x.at + x.n - 1].w > 0 and aggregate(slice(e, x.at + 1, x.n), 0, (s, y) -> s + y.w) >= {chars})"
     chunks = f"transform({worded}, x -> struct(x.at as at, x.n as n, xxhash64(transform(slice(e, x.at + 1, x.n), y -> y.h)) as h))"
     single = "filter(transform(e, (x, i) -> if(x.long, struct(i as at, 1 as n, x.h as h), null)), x -> x is not null)"
     # Lines and gaps are bound to a lambda's name, or they would be made again for each use.
@@ -69,7 +69,7 @@ def _unlike(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return chunks.distinct().groupBy(*KEYS).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*KEYS)
 
 
-def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS, letters: int = LETTERS) -> DataFrame:
+def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS, chars: int = CHARS) -> DataFrame:
     """``doc_id, key, gone``: the runs of lines to remove from each text, as sorted ``at, n`` that do not overlap.
 
     Counting moves hashes only, added up before the shuffle, so a passage in a
@@ -79,11 +79,11 @@ def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS, letters: in
     goes and what is left of the others stays, since they may never have stood
     together; if none is longest, all stay.
     """
-    found = _occurrences(docs, long_words, letters)
+    found = materialise(_occurrences(docs, long_words, chars), "line-found")
     here = F.struct("doc_id", "key", "at")
     counted = materialise(found.groupBy(*KEYS).agg(F.count("*").alias("times"), F.min(here).alias("first")).where("times > 1"), "line-counts")
     marked = materialise(join_by_weight(found, counted, KEYS, "times").select("doc_id", "key", "at", *KEYS, "first"), "line-chunks")
-    forget(counted)
+    forget(found, counted)
     unlike = materialise(_unlike(docs, marked), "line-unlike")
     gone = marked.where(here != F.col("first")).join(unlike, KEYS, "left_anti").withColumns({"end": F.expr("at + n"), "shift": F.expr("first.at - at")})
 
@@ -98,7 +98,7 @@ def repeated_passages(docs: DataFrame, long_words: int = LONG_WORDS, letters: in
     return runs.select(*text, F.expr(f"filter(runs, r -> not {weaker})").alias("gone")).where("size(gone) > 0")
 
 
-def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, letters: int = LETTERS) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, chars: int = CHARS) -> DataFrame:
     """``docs`` with ``text`` cleaned, plus ``removed_chunks`` (unbroken runs of removed lines) and ``removed_lines``.
 
     All columns and rows stay, but for columns of these two names, which are
@@ -107,7 +107,7 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, letters: int = LE
     in doc_id and text count as one document, so they get the same result; rows
     without a doc_id keep their text.
     """
-    rows = _held(docs, materialise(repeated_passages(docs, long_words, letters), "line-gone"), "left")
+    rows = _held(docs, materialise(repeated_passages(docs, long_words, chars), "line-gone"), "left")
     # What stays lies between neighbouring runs.
     end = "coalesce(get(gone, i - 1).at + get(gone, i - 1).n, 0)"
     left = f"flatten(transform(array(split(row.text, '\n', -1)), e -> transform(sequence(0, size(gone)), i -> slice(e, {end} + 1, coalesce(get(gone, i).at, size(e)) - {end})))[0])"

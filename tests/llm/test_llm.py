@@ -271,15 +271,15 @@ def brute_lines(texts, long_words=50):
     """What stays of each text, rule by rule: whole chunks between boundaries, runs of them by where they stand first."""
     everywhere, chunks = 2**64 - 1, {}
     lines = {i: t.split("\n") for i, t in sorted(texts.items())}
-    letters = {line: len(regex.sub(r"[^\p{L}\p{N}]+", "", line)) for own in lines.values() for line in own}
-    hashes = {line: line_hash(None, line) for line in letters}
+    chars = {line: len(line) * bool(regex.search(r"[\p{L}\p{N}]", line)) for own in lines.values() for line in own}
+    hashes = {line: line_hash(None, line) for line in chars}
     for i, own in lines.items():
         gaps = [everywhere, *[line_hash(1, hashes[a]) | line_hash(2, hashes[b]) for a, b in zip(own, own[1:])], everywhere]
         found = {(at, at + 1) for at, line in enumerate(own) if len(line.split()) > long_words}
         for bit in range(64):
             cuts = [at for at, gap in enumerate(gaps) if gap >> bit & 1]
             for a, b in zip(cuts, cuts[1:]):
-                if 2 <= b - a <= linededup.LINES and letters[own[a]] and letters[own[b - 1]] and sum(letters[x] for x in own[a:b]) >= linededup.LETTERS:
+                if 2 <= b - a <= linededup.LINES and chars[own[a]] and chars[own[b - 1]] and sum(chars[x] for x in own[a:b]) >= linededup.CHARS:
                     found.add((a, b))
         for a, b in found:
             chunks.setdefault(tuple(own[a:b]), []).append((i, a))
