@@ -96,9 +96,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine_dis
 
     a, b = dealt(left, "p", "q", sizes[0], sizes[1]), dealt(right, "q", "p", sizes[1], sizes[0])
 
+    empty = pd.DataFrame({"id": pd.Series([], dtype=object), "match_id": pd.Series([], dtype=object), "distance": pd.Series([], dtype=float)})
+
     def run(one, two):
         if not len(one) or not len(two):
-            return pd.DataFrame({"id": [], "match_id": [], "distance": []})
+            return empty
         two = two.sort_values("id", ignore_index=True)
         ids, match = one["id"].to_numpy(), two["id"].to_numpy()
         far = _distances(metric, np.stack(one["vec"].to_list()).astype(float), np.stack(two["vec"].to_list()).astype(float)).round(6) + 0.0
@@ -109,6 +111,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine_dis
         i, j = i[order], j[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
         i, j = i[place < k], j[place < k]
+        if not len(i):
+            return empty
         return pd.DataFrame({"id": ids[i], "match_id": match[j], "distance": far[i, j]})
 
     kind = left.schema["id"].dataType.simpleString()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tandem.functions import colours as C
 from tandem.functions import text as T
 from tandem.functions import vectors as V
-from tandem.operators import knn, labels, pairs, topk
+from tandem.operators import knn, labels, pairs
 from tandem.operators import views as views_op
 from tandem.sources import tables as S
 
@@ -330,13 +330,3 @@ def full_rows_in_order(spark, sf_dir):
     items = S.items(spark, sf_dir)
     wanted = items.where("archive in (2, 3) and orient = 'h'").select("id")
     return items.join(wanted, "id", "left_semi").select("id", "archive", "sequence", "orient", "r", "g", "b").orderBy("archive", "sequence", F.length("id"), "id")
-
-
-@query()
-def lsh_recall(spark, sf_dir):
-    """Of each item's ten exact cosine neighbours, how many the projection index finds."""
-    rows = S.items(spark, sf_dir).select("id", "sequence", "orient", "vec")
-    both = pairs.ordered_pairs(rows.withColumn("orient", F.lit("all")), "orient", "sequence")
-    exact = topk.best_per_key(pairs.both_directions(both.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), V.cartesian(F.col("vec_1"), F.col("vec_2")).alias("d012"), V.cartesian(F.col("vec_1"), F.col("vec_2")).alias("d021"))), "id", 10, "value", "other")
-    near = knn.lsh_neighbours(rows, k=10)
-    return topk.overlap(exact, near).agg(F.round(F.avg(F.col("common") / 10.0), 4).alias("recall"))

@@ -10,11 +10,20 @@ from tandem.sources import tables as S
 from .pairs import lists, lists2, numbered
 from .registry import query
 
-#: What each item's searcher has seen already: every third item.
-SEEN = "SELECT a.id AS qid, b.id FROM items a JOIN items b ON a.orient = b.orient AND b.sequence % 3 = 0"
+#: What each item's searcher has seen already: the next twenty of its orientation.
+SEEN = "SELECT a.id AS qid, b.id FROM items a JOIN items b ON a.orient = b.orient AND b.sequence > a.sequence AND b.sequence <= a.sequence + 40"
+#: Where the view is nearly seen through: every third item.
+THIRDS = "SELECT a.id AS qid, b.id FROM items a JOIN items b ON a.orient = b.orient AND b.sequence % 3 = 0"
 
 
 def _seen(spark, sf_dir):
+    """As many rows as twenty times the items."""
+    rows = S.items(spark, sf_dir).select("id", "sequence")
+    later = rows.select(F.col("id").alias("qid"), F.explode(F.expr("sequence(sequence + 2, sequence + 40, 2)")).alias("sequence"))
+    return later.join(rows, "sequence").select("qid", "id")
+
+
+def _thirds(spark, sf_dir):
     rows = S.items(spark, sf_dir).select("id", "orient", "sequence")
     shown = rows.where("sequence % 3 = 0").select("id", "orient")
     return rows.select(F.col("id").alias("qid"), "orient").join(shown, "orient").select("qid", "id")
@@ -156,13 +165,13 @@ def keyword_screens(spark, sf_dir):
     return search.keyword_pairs(items.select("id", F.lit("m").alias("coder"), F.explode(words).alias("word")), items, S.seen_pairs(spark, sf_dir))
 
 
-@query(f"""WITH s AS ({SEEN} WHERE a.sequence % 4 = 1 OR b.sequence % 2 = 0), c AS (SELECT qid, count(DISTINCT id) AS n FROM s GROUP BY qid), k AS (SELECT i.id AS qid, CASE WHEN coalesce(c.n, 0) > 0.1::DOUBLE * (SELECT count(*) FROM items) THEN -1 ELSE i.sequence % 9 % 2 END AS tag_no FROM items i LEFT JOIN c ON c.qid = i.id),
+@query(f"""WITH s AS ({THIRDS} WHERE a.sequence % 4 = 1 OR b.sequence % 2 = 0), c AS (SELECT qid, count(DISTINCT id) AS n FROM s GROUP BY qid), k AS (SELECT i.id AS qid, CASE WHEN coalesce(c.n, 0) > 0.1::DOUBLE * (SELECT count(*) FROM items) THEN -1 ELSE i.sequence % 9 % 2 END AS tag_no FROM items i LEFT JOIN c ON c.qid = i.id),
     l AS (SELECT list_no AS tag_no, qid, rank, id, value FROM numbered UNION ALL SELECT -1, qid, 59 - rank, id, value FROM lists),
     o AS (SELECT l.*, row_number() OVER (PARTITION BY l.qid ORDER BY l.rank) AS n FROM l JOIN k ON k.qid = l.qid AND k.tag_no = l.tag_no WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = l.qid AND s.id = l.id))
     SELECT qid, CAST(tag_no AS INTEGER) AS tag_no, id, value FROM o WHERE n = 1""", "numbered")
 def picture_replaced(spark, sf_dir):
     items = S.items(spark, sf_dir)
-    seen = _seen(spark, sf_dir).where((F.substring_index("qid", "/", -1).cast("int") % 4 == 1) | (F.substring_index("id", "/", -1).cast("int") % 2 == 0))
+    seen = _thirds(spark, sf_dir).where((F.substring_index("qid", "/", -1).cast("int") % 4 == 1) | (F.substring_index("id", "/", -1).cast("int") % 2 == 0))
     tags = numbered(spark, sf_dir).withColumnRenamed("list_no", "tag_no")
     scores = lists(spark, sf_dir).withColumn("rank", 59 - F.col("rank"))
     clicks = items.select(F.col("id").alias("qid"), (F.col("sequence") % 9).alias("cell"))
