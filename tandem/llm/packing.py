@@ -88,7 +88,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; special tokens stand at the odd places of its parts."""
-        parts = [self.parts.split(t) if t and self.parts else [t or ""] for t in texts]
+        parts = [self.parts.split(t) if t and any(s in t for s in self.special) else [t or ""] for t in texts]
         split = [self.split(p) for own in parts for p in own[::2]]
         if new := set().union(*split).difference(self.words):
             self.learn(list(new))
