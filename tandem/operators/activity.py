@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 #: Dwell ratio thresholds, with the colour columns for longer and for shorter dwells.
 RATIO_LADDER = (
     (0.8, "b9", "b2"), (0.7, "b8", "b2"), (0.6, "b8", "b4"), (0.5, "b7", "b4"), (0.4, "b7", "b6"), (0.35, "b9", "b7"),
@@ -160,23 +164,52 @@ def duration_buckets(log: DataFrame, column: str = "user_time") -> DataFrame:
     return log.groupBy(kind.alias("bucket")).agg(F.count("*").alias("n"), F.sum(v.cast("long")).alias("total"), F.floor(F.sum(v) / F.count("*")).alias("average"))
 
 
-def higuchi(log: DataFrame, column: str = "user_time", least: int = 10) -> DataFrame:
+#: Values of a series in a block, and values of short series that one group takes up.
+SERIES_BLOCK, SERIES_ROWS = 2048, 100_000
+
+
+def _curve_lengths(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``browser_id, k, length``: what the pairs of one block with another add to a series' length at each step ``k``."""
+    out = []
+    for (user, n), own in pdf.groupby(["browser_id", "n"], sort=False):
+        left, right = (own[own["side"] == side].sort_values("place") for side in (0, 1))
+        if not len(left) or not len(right):
+            continue
+        p, v, w = left["place"].to_numpy(), left["v"].to_numpy(), right["v"].to_numpy()
+        gap = int(right["place"].iloc[0] - p[0])  # places of a block follow one another
+        steps = np.arange(max(1, gap - len(p) + 1), min(n // 3, gap + len(w) - 1) + 1)
+        sums = np.zeros(len(steps))
+        for at, k in enumerate(steps):
+            # Left place x meets right place x + k - gap.
+            begin, end = max(0, gap - k), min(len(p), len(w) + gap - k)
+            each = (n - 1) / ((n - 1 - p[begin:end] % k) // k) / k / k / k
+            sums[at] = (np.abs(w[begin + k - gap : end + k - gap] - v[begin:end]) * each).sum()
+        out.append(pd.DataFrame({"browser_id": user, "k": steps, "length": sums}))
+    return pd.concat(out) if out else pd.DataFrame({"browser_id": pd.Series([], dtype="int64"), "k": pd.Series([], dtype="int64"), "length": pd.Series([], dtype=float)})
+
+
+def higuchi(log: DataFrame, column: str = "user_time", least: int = 10, block: int = SERIES_BLOCK) -> DataFrame:
     """Fractal dimension of each user's series: minus the slope of log curve length over log step, and its r squared.
 
     For each step k the mean over the k starts of the normalised length. Series
-    of fewer than ``least`` values get 0. A user's series is one array; all work
-    on it stays inside the row.
+    of fewer than ``least`` values get 0. The work is the square of a series'
+    length, so a series is cut into blocks, and pairs of blocks are measured
+    apart: no row, group or window holds a series. Short ones share a group.
     """
-    lists = log.groupBy("browser_id").agg(F.array_sort(F.collect_list(F.struct("create_time", "id", F.col(column).cast("double").alias("v")))).alias("h"))
-    rows = lists.select("browser_id", F.transform("h", lambda x: x["v"]).alias("v"), F.size("h").alias("n"))
-    steps = rows.where(F.col("n") >= least).select("browser_id", "v", "n", F.explode(F.expr("sequence(1, cast(floor(n / 3) as int))")).alias("k"))
-    length = F.expr(
-        """aggregate(sequence(1, k), 0D, (total, m) -> total + (n - 1) / floor((n - m) / k) / k / k *
-             aggregate(sequence(1, cast(floor((n - m) / k) as int)), 0D, (s, i) -> s + abs(get(v, m - 1 + i * k) - get(v, m - 1 + (i - 1) * k)))) / k"""
-    )
-    points = steps.select("browser_id", F.log(F.col("k").cast("double")).alias("x"), F.log(F.greatest(length, F.lit(1e-300))).alias("y"))
+    values = log.select("browser_id", "create_time", "id", F.col(column).cast("double").alias("v"))
+    sizes = values.groupBy("browser_id").agg(F.count("*").alias("n"))
+    placed = numbered(values.where("browser_id is not null"), "browser_id", "create_time", "id").join(sizes.where(F.col("n") >= least), "browser_id")
+    groups = max(1, -(-placed.count() // SERIES_ROWS))
+    short = F.concat(F.lit("short "), F.pmod(F.xxhash64("browser_id"), F.lit(groups)).cast("string"))
+    key = F.when(F.col("n") <= block, short).otherwise(F.col("browser_id").cast("string"))
+    own = placed.select("browser_id", "n", "v", F.col("place").cast("long").alias("place"), key.alias("key"), F.expr(f"cast(place div {block} as int)").alias("own"), F.expr(f"cast(n div 3 div {block} + 1 as int)").alias("far"), F.expr(f"cast((n - 1) div {block} as int)").alias("last"))
+    lefts = own.select("*", F.lit(0).alias("side"), F.col("own").alias("a"), F.explode(F.expr("sequence(own, least(last, own + far))")).alias("b"))
+    rights = own.select("*", F.lit(1).alias("side"), F.explode(F.expr("sequence(greatest(0, own - far), own)")).alias("a"), F.col("own").alias("b"))
+    cells = lefts.unionByName(rights).select("key", "a", "b", "browser_id", "n", "place", "v", "side")
+    sums = cells.groupBy("key", "a", "b").applyInPandas(_curve_lengths, "browser_id long, k long, length double").groupBy("browser_id", "k").agg(F.sum("length").alias("length"))
+    points = sums.select("browser_id", F.log(F.col("k").cast("double")).alias("x"), F.log(F.greatest("length", F.lit(1e-300))).alias("y"))
     fits = points.groupBy("browser_id").agg((-F.regr_slope("y", "x")).alias("dimension"), F.regr_r2("y", "x").alias("r2"))
-    return rows.select("browser_id", "n").join(fits, "browser_id", "left").select("browser_id", "n", F.round(F.coalesce("dimension", F.lit(0.0)), 5).alias("dimension"), F.round(F.coalesce("r2", F.lit(0.0)), 5).alias("r2"))
+    return sizes.join(fits, "browser_id", "left").select("browser_id", "n", F.round(F.coalesce("dimension", F.lit(0.0)), 5).alias("dimension"), F.round(F.coalesce("r2", F.lit(0.0)), 5).alias("r2"))
 
 
 def tumbling_counts(log: DataFrame, width: str = "1 hour") -> DataFrame:

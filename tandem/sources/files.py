@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells of a binary matrix in one Arrow batch.
-BATCH_CELLS = 262_144
+from .matrix import MatrixSource, matrix_cells
 
 
 def read_side_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -71,27 +70,10 @@ def read_pair_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return checked.select("id1", "id2", F.inline("values"))
 
 
-def read_score_matrix(spark: SparkSession, path: str, n: int, row_block: int = 64) -> DataFrame:
-    """A dense n x n matrix of big-endian float32 in [0, 1] -> ``i, j, p`` and ``scaled = (1 - p) * 1e7``.
-
-    The file is read as fixed-length records of one row each where Spark can
-    split it (``n`` floats a record); a wrong size or value ends the query.
-    """
-    sc = spark.sparkContext
-    # binaryRecords splits the file at record borders, which no DataFrame reader does.
-    rows = sc.binaryRecords(path, 4 * n).zipWithIndex().toDF("record binary, i long")
-    if (found := rows.agg(F.count("*").alias("n")).first()["n"]) != n:
-        raise ValueError(f"{path}: {found} rows of {n}")
-
-    def cells(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for record, i in zip(batch.column(0), batch.column(1).to_pylist()):
-                p = np.frombuffer(record.as_py(), ">f4").astype(float)
-                if not ((p >= 0) & (p <= 1)).all():
-                    raise ValueError(f"row {i}: a score outside [0, 1]")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.arange(n)), pa.array(p)], names=["i", "j", "p"])
-
-    return rows.mapInArrow(cells, "i long, j long, p double").withColumn("scaled", ((1 - F.col("p")) * 1e7).cast("long"))
+def read_score_matrix(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """A dense n x n matrix of big-endian float32 in [0, 1] -> ``i, j, p`` and ``scaled = (1 - p) * 1e7``; see ``matrix``."""
+    spark.dataSource.register(MatrixSource)
+    return matrix_cells(spark.read.format("f32matrix").option("n", n).load(path)).drop("model")
 
 
 def discover_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
