@@ -102,7 +102,8 @@ class WordTokenizer:
     def split(text: str) -> list[bytes]:
         """Words in ASCII lower case; where a text has combining marks, only its ASCII words are."""
         raw = text.encode()
-        if raw.isascii() or not COMBINING(text):
+        # All of those marks begin with one of two bytes, which are sought much faster.
+        if raw.isascii() or (b"\xcc" not in raw and b"\xcd" not in raw) or not COMBINING(text):
             return raw.lower().split()
         return [w.lower() if w.isascii() else w for w in raw.split()]
 
