@@ -257,3 +257,28 @@ def fit_circles(points: DataFrame, key: str) -> DataFrame:
 
     kind = points.schema[key].dataType.simpleString()
     return moments.mapInPandas(solve, f"`{key}` {kind}, n long, x double, y double, radius double, rms double")
+
+
+def from_rings(rings: DataFrame, marks: DataFrame, asks: DataFrame, seen: DataFrame, spare: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers from stored lists of candidates, refilled where they run dry: ``(answers, rings, marks)`` after all asks.
+
+    ``rings`` and ``spare`` have ``qid, place, id, value``, ``marks`` has ``qid,
+    used``: places below it were given out. An ask gets the first unseen id
+    (``seen(qid, id)``) from its mark on; what is passed over is used up too. A
+    ring without such an id is dropped for the spare list of its ``qid``, which
+    starts from its beginning. ``answers`` has ``qid, id, value, source`` (``ring``
+    or ``refill``) and no row for an ask that neither list answers.
+    """
+    open_ = seen.select("qid", "id")
+    asked = asks.select("qid").distinct()
+    first = F.min(F.struct("place", "id", "value")).alias("s")
+    own = rings.join(asked, "qid", "left_semi").join(marks.select("qid", "used"), "qid", "left").where(F.col("place") >= F.coalesce("used", F.lit(0)))
+    hits = own.join(open_, ["qid", "id"], "left_anti").groupBy("qid").agg(first).withColumn("source", F.lit("ring"))
+    dry = asked.join(hits, "qid", "left_anti")
+    more = spare.join(dry, "qid", "left_semi")
+    refills = more.join(open_, ["qid", "id"], "left_anti").groupBy("qid").agg(first).withColumn("source", F.lit("refill"))
+    met = hits.unionByName(refills)
+    answers = met.select("qid", "s.id", "s.value", "source")
+    kept = rings.select("qid", "place", "id", "value").join(dry, "qid", "left_anti").unionByName(more.select("qid", "place", "id", "value"))
+    used = marks.select("qid", "used").join(asked, "qid", "left_anti").unionByName(met.select("qid", (F.col("s.place") + 1).alias("used")))
+    return answers, kept, used

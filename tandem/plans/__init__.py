@@ -1,7 +1,7 @@
 """Registered queries: compositions of the operators over the driver's tables."""
 
-from . import commands, edits, items, pairs, records, search, vectors
+from . import catalog, commands, edits, items, pairs, records, search, vectors
 from .items import knn_cosine
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "commands", "edits", "items", "knn_cosine", "pairs", "records", "search", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "commands", "edits", "items", "knn_cosine", "pairs", "records", "search", "vectors"]

@@ -12,11 +12,11 @@ from tandem.sources import tables as S
 
 from .registry import query
 
-CHANGES = """SELECT id1, id2, CASE seq2 % 5 WHEN 0 THEN 'zz' WHEN 1 THEN 'op1' ELSE 'ab' END AS "by", CAST(seq1 % 3 AS INTEGER) AS "to", seq1 % 7 < 3 AS bulk FROM hashed WHERE (h <= 6 AND (seq1 + seq2) % 3 = 0) OR h = 9"""
-CHANGED = f"""ch AS ({CHANGES}), m AS (SELECT c.*, l.curator, l.status FROM ch c LEFT JOIN labels_ l ON l.id1 = c.id1 AND l.id2 = c.id2),
+CHANGES = """SELECT id1, id2, seq1, seq2, CASE seq2 % 5 WHEN 0 THEN 'zz' WHEN 1 THEN 'op1' ELSE 'ab' END AS "by", CAST(seq1 % 3 AS INTEGER) AS "to", seq1 % 7 < 3 AS bulk FROM hashed WHERE (h <= 6 AND (seq1 + seq2) % 3 = 0) OR h = 9"""
+CHANGED = f"""ch AS ({CHANGES}), m AS (SELECT c.*, l.curator, l.status FROM ch c LEFT JOIN labels_ l ON l.seq1 = c.seq1 AND l.seq2 = c.seq2),
     o AS (SELECT *, CASE WHEN status IS NULL THEN 'missing' WHEN lower(curator) <> lower("by") AND NOT starts_with("by", 'op') AND "by" <> 'ripplay' THEN 'owned'
       WHEN "to" = status AND (bulk OR curator = lower(curator)) THEN 'unchanged' ELSE 'updated' END AS outcome FROM m),
-    told AS (SELECT id1, id2, outcome, CASE WHEN outcome = 'updated' THEN "to" ELSE status END AS status,
+    told AS (SELECT id1, id2, seq1, seq2, outcome, CASE WHEN outcome = 'updated' THEN "to" ELSE status END AS status,
       CASE WHEN outcome = 'updated' AND bulk THEN upper(curator) WHEN outcome = 'updated' AND "to" = status THEN lower(curator) ELSE curator END AS curator FROM o)"""
 
 
@@ -26,13 +26,13 @@ def changes(spark, sf_dir):
     return rows.select("id1", "id2", by.alias("by"), (F.col("seq1") % 3).alias("to"), (F.col("seq1") % 7 < 3).alias("bulk"))
 
 
-@query(f"WITH {CHANGED} SELECT * FROM told", "labels_")
+@query(f"WITH {CHANGED} SELECT * EXCLUDE (seq1, seq2) FROM told", "labels_")
 def status_changes(spark, sf_dir):
     return edits.set_status(S.pair_labels(spark, sf_dir), changes(spark, sf_dir), "op")
 
 
-@query(f"""WITH {CHANGED} SELECT id2 AS id1, id1 AS id2, 8 AS status FROM told t WHERE outcome = 'updated' AND status = 1
-    AND NOT EXISTS (SELECT 1 FROM labels_ l WHERE l.id1 = t.id2 AND l.id2 = t.id1) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.id1 = t.id2 AND s.id2 = t.id1)""", "labels_ seen")
+@query(f"""WITH {CHANGED} SELECT t.id2 AS id1, t.id1 AS id2, 8 AS status FROM told t LEFT JOIN (SELECT DISTINCT seq1, seq2 FROM labels_) l ON l.seq1 = t.seq2 AND l.seq2 = t.seq1
+    LEFT JOIN (SELECT DISTINCT seq1, seq2 FROM hashed WHERE h = 8) s ON s.seq1 = t.seq1 AND s.seq2 = t.seq2 WHERE outcome = 'updated' AND status = 1 AND l.seq1 IS NULL AND s.seq1 IS NULL""", "labels_")
 def status_flips(spark, sf_dir):
     return edits.flips_to_add(status_changes(spark, sf_dir), S.pair_labels(spark, sf_dir), S.seen_pairs(spark, sf_dir))
 
@@ -123,8 +123,9 @@ def import_merged(spark, sf_dir):
 # Tests of existence and counts of ends
 
 
-@query("""SELECT c.id1, c.id2, EXISTS (SELECT 1 FROM labels_ l WHERE l.id1 = c.id1 AND l.id2 = c.id2 AND l.status = 1) AS approved, EXISTS (SELECT 1 FROM seen s WHERE s.id1 = c.id1 AND s.id2 = c.id2) AS seen,
-    EXISTS (SELECT 1 FROM seen s WHERE s.id1 = c.id2 AND s.id2 = c.id1) AS seen_flipped FROM canon c""", "labels_ seen")
+@query("""SELECT c.id1, c.id2, l.seq1 IS NOT NULL AS approved, s.seq1 IS NOT NULL AS seen, f.seq1 IS NOT NULL AS seen_flipped FROM canon c
+    LEFT JOIN (SELECT DISTINCT seq1, seq2 FROM labels_ WHERE status = 1) l ON l.seq1 = c.seq1 AND l.seq2 = c.seq2 LEFT JOIN (SELECT seq1, seq2 FROM hashed WHERE h <= 7) s ON s.seq1 = c.seq1 AND s.seq2 = c.seq2
+    LEFT JOIN (SELECT seq1, seq2 FROM hashed WHERE h = 8) f ON f.seq1 = c.seq1 AND f.seq2 = c.seq2""", "labels_")
 def existence_flags(spark, sf_dir):
     seen = S.seen_pairs(spark, sf_dir)
     tables = {"approved": S.pair_labels(spark, sf_dir).where("status = 1"), "seen": seen, "seen_flipped": seen.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"))}

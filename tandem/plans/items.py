@@ -130,20 +130,20 @@ def rerank_list(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT a.id, b.id AS match_id, (1 - list_inner_product(a.v, a.v)) AS x, (1 - list_inner_product(b.v, b.v)) AS y, list_distance(a.v, b.v) AS e
-      FROM (SELECT id, orient, list_transform(vec_l, lambda x: x / 2) AS v FROM items) a JOIN (SELECT id, orient, list_transform(vec_r, lambda x: x / 2) AS v FROM items) b ON a.id <> b.id AND a.orient = 'v' AND b.orient = 'v'),
+      FROM (SELECT id, orient, list_transform(vec_l, lambda x: x / 2) AS v FROM items) a JOIN (SELECT id, orient, list_transform(vec_r, lambda x: x / 2) AS v FROM items) b ON a.id <> b.id),
     p AS (SELECT id, match_id, round(acosh(greatest(1.0, 1 + 2 * e * e / (greatest(1e-6, x) * greatest(1e-6, y)))), 6) AS distance FROM d)
     SELECT id, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match_id) AS n FROM p) WHERE n = 1""", "items")
 def min_vector_match(spark, sf_dir):
-    rows = S.items(spark, sf_dir).where("orient = 'v'")
+    rows = S.items(spark, sf_dir)
     half = lambda c: F.transform(c, lambda x: x / 2)
     return knn.best_match(rows.select("id", half("vec_l").alias("vec")), rows.select("id", half("vec_r").alias("vec")))
 
 
-@query("""SELECT id, round(list_sum(list_transform(range(8), lambda i: folded[i + 1] * (i + 1))), 6) AS weighted, round(folded[1], 6) AS first_value FROM
+@query("""SELECT id, round(list_sum(list_transform(range(16), lambda i: folded[i + 1] * (i + 1))), 6) AS weighted, round(folded[1], 6) AS first_value FROM
     (SELECT id, list_transform(range(16), lambda i: (vec[i + 1] + vec[i + 17] + vec[i + 33] + vec[i + 49]) / 4) AS folded FROM items)""", "items")
 def vector_fold(spark, sf_dir):
     f = S.items(spark, sf_dir).select("id", V.fold(F.col("vec"), 4).alias("f"))
-    weighted = F.aggregate(F.transform(F.slice("f", 1, 8), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform("f", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return f.select("id", F.round(weighted, 6).alias("weighted"), F.round(F.get("f", F.lit(0)), 6).alias("first_value"))
 
 
@@ -205,11 +205,12 @@ def delta_e94(spark, sf_dir):
     return p.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), F.round(C.delta_e94(_lab(1), _lab(2)), 6).alias("d_e94"))
 
 
-def _e2000(standard):
-    """The 2000 difference in SQL, in the steps of its definition."""
+def _e2000(standard, between=None):
+    """The 2000 difference in SQL, in the steps of its definition; ``between`` gives ``id1, id2`` and both colours."""
     mean = "pow(mc, 7)" if standard else "mc"
     tail = "sqrt(sq + dcs * dcs)" if standard else "sqrt(abs(sq))"
-    return f"""p0 AS (SELECT x.id AS id1, y.id AS id2, x.ll::DOUBLE AS l1, y.ll::DOUBLE AS l2, x.aa::DOUBLE AS ra1, y.aa::DOUBLE AS ra2, x.bb::DOUBLE AS b1, y.bb::DOUBLE AS b2 FROM items x JOIN items y ON x.orient = y.orient AND x.sequence < y.sequence),
+    between = between or "SELECT x.id AS id1, y.id AS id2, x.ll::DOUBLE AS l1, y.ll::DOUBLE AS l2, x.aa::DOUBLE AS ra1, y.aa::DOUBLE AS ra2, x.bb::DOUBLE AS b1, y.bb::DOUBLE AS b2 FROM items x JOIN items y ON x.orient = y.orient AND x.sequence < y.sequence"
+    return f"""p0 AS ({between}),
     p1 AS (SELECT *, (sqrt(ra1 * ra1 + b1 * b1) + sqrt(ra2 * ra2 + b2 * b2)) / 2 AS mc FROM p0), p2 AS (SELECT *, 1 + 0.5::DOUBLE * (1 - sqrt({mean} / (pow(mc, 7) + pow(25::DOUBLE, 7)))) AS g FROM p1),
     p3 AS (SELECT *, g * ra1 AS a1, g * ra2 AS a2 FROM p2), p4 AS (SELECT *, sqrt(a1 * a1 + b1 * b1) AS c1, sqrt(a2 * a2 + b2 * b2) AS c2, {_hue_sql("a1", "b1")} AS h1, {_hue_sql("a2", "b2")} AS h2 FROM p3),
     p5 AS (SELECT *, c1 * c2 > 0.001 AS col, h2 - h1 AS gap, (c1 + c2) / 2 AS ch FROM p4),

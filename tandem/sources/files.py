@@ -82,6 +82,42 @@ def discover_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, name`` of the files that a list file names, one a line; blank lines and comments (``#``) are passed over."""
+    rows = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> '' and path not like '#%'")
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name")).distinct()
+
+
+def pictures(files: DataFrame, sides: DataFrame | None = None, orient: str | None = None) -> DataFrame:
+    """``id, archive, sequence, path, name`` (and ``orient``) of ``files(path, name)`` that are pictures of an archive.
+
+    A picture lies in a folder that is its archive's number, and the digits at
+    the start of its name, or after a first word, are its sequence; its id is
+    both, with a slash. Other files give no row. ``sides(id, width, height)``
+    tells which are upright (``v``); with ``orient`` only those are kept, and
+    pictures without sides go.
+    """
+    archive = F.regexp_extract("path", r"/(\d+)/[^/]+$", 1)
+    sequence = F.regexp_extract("name", r"^(?:[A-Za-z]+[_-]?)?0*(\d+)[^/]*\.(?i:jpe?g)$", 1)
+    named = files.select("path", "name", archive.alias("archive"), sequence.alias("sequence")).where("archive <> '' and sequence <> ''")
+    rows = named.select(F.concat_ws("/", F.col("archive").cast("int"), "sequence").alias("id"), F.col("archive").cast("int").alias("archive"), F.col("sequence").cast("int").alias("sequence"), "path", "name")
+    if sides is None:
+        return rows
+    turned = rows.join(sides.select("id", F.when(F.col("height") > F.col("width"), "v").otherwise("h").alias("orient")), "id", "left" if orient is None else "inner")
+    return turned if orient is None else turned.where(F.col("orient") == orient)
+
+
+def import_directory(spark: SparkSession, path: str, known: DataFrame, archive: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pictures below a folder that ``known(id)`` lacks, and ids that two of its files claim; contents are not read.
+
+    Of several files with one id none is imported. ``archive`` limits the import to one.
+    """
+    found = pictures(discover_files(spark, path))
+    found = found if archive is None else found.where(F.col("archive") == archive)
+    twice = found.groupBy("id").agg(F.count("*").alias("files")).where("files > 1")
+    return found.join(twice, "id", "left_anti").join(known.select("id"), "id", "left_anti"), twice
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """The pair table, one folder an orientation; written rows carry no order."""
     pairs.write.partitionBy("orient").mode("errorifexists").parquet(path)
