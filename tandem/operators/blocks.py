@@ -79,11 +79,11 @@ def _distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     raise ValueError(f"no block kernel for {metric}")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine_distance", group: str | None = None, vector: str = "vec") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine_distance", group: str | None = None, vector: str = "vec", places: int = 6) -> DataFrame:
     """``id, rank, match_id, distance``: for each row of ``left(id, vec)`` its ``k`` nearest of ``right(id, vec)``, never itself.
 
     With ``group`` only rows of one group meet. Exact; distances are rounded to
-    6 places and ties go to the smaller id. Both sides are dealt into blocks of
+    ``places`` and ties go to the smaller id. Both sides are dealt into blocks of
     about BLOCK_ROWS, and each pair of blocks returns k rows for each of its left
     rows; so a group never grows with the tables, and Spark cuts the candidates
     once more before the last shuffle. Vectors hold no nulls and have one length.
@@ -103,7 +103,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine_dis
             return empty
         two = two.sort_values("id", ignore_index=True)
         ids, match = one["id"].to_numpy(), two["id"].to_numpy()
-        far = _distances(metric, np.stack(one["vec"].to_list()).astype(float), np.stack(two["vec"].to_list()).astype(float)).round(6) + 0.0
+        far = _distances(metric, np.stack(one["vec"].to_list()).astype(float), np.stack(two["vec"].to_list()).astype(float)).round(places) + 0.0
         far[ids[:, None] == match] = np.inf
         edge = np.partition(far, min(k, len(match)) - 1, axis=1)[:, min(k, len(match)) - 1]
         i, j = np.nonzero((far <= edge[:, None]) & np.isfinite(far))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import vectors as V
-from tandem.functions.colours import delta_rgb
 
 from . import blocks, knn, ranked, topk
 from .shared import numbered
@@ -149,14 +148,16 @@ def golden(pairs: DataFrame, option: int, low: int = 136, high: int = 139, angle
 def colour_list(items: DataFrame, shown: DataFrame, k: int = 50) -> DataFrame:
     """For each shown pair ``qid, id1, id2`` the ``k`` items of its orientation closest to the mean colour of both: ``qid, rank, id, value``.
 
-    ``shown`` is what browsers see now; items are compared with each of its rows,
-    and Spark cuts the candidates before they move.
+    ``qid`` is a string. Shown pairs and items meet as products of blocks, for
+    any number of either; two more are looked up, as both ends may be among them.
     """
     ends = [items.select(F.col("id").alias(f"id{n}"), F.col("orient").alias(f"o{n}"), *[F.col(c).alias(f"{c}{n}") for c in "rgb"]) for n in (1, 2)]
-    mean = shown.join(ends[0], "id1").join(ends[1], "id2").select("qid", "id1", "id2", F.col("o1").alias("orient"), *[((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(f"m{c}") for c in "rgb"])
-    met = items.select("id", "orient", "r", "g", "b").join(mean, "orient").where("id <> id1 and id <> id2")
-    far = F.round(delta_rgb([F.col(c) for c in "rgb"], [F.col(f"m{c}") for c in "rgb"]) * 1000).cast("long")
-    return topk.best_per_key(met.select("qid", "id", far.alias("value")), "qid", k, "value", "id").select("qid", (F.col("rank") - 1).alias("rank"), "id", "value")
+    mean = shown.join(ends[0], "id1").join(ends[1], "id2").select("qid", "id1", "id2", F.col("o1").alias("orient"), F.array(*[(F.col(f"{c}1") + F.col(f"{c}2")) / 2 for c in "rgb"]).alias("vec"))
+    asks = mean.select(F.concat(F.lit("\n"), "qid").alias("id"), "orient", "vec")
+    near = blocks.nearest(asks, items.select("id", "orient", F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("vec")), k + 2, "cartes", "orient", places=3)
+    found = near.select(F.substring("id", 2, 1 << 30).alias("qid"), F.col("match_id").alias("id"), F.round(F.col("distance") * 1000).cast("long").alias("value"))
+    others = found.join(mean.select("qid", "id1", "id2"), "qid").where("id <> id1 and id <> id2")
+    return topk.best_per_key(others, "qid", k, "value", "id").select("qid", (F.col("rank") - 1).alias("rank"), "id", "value")
 
 
 def angle_tags(pairs: DataFrame, angle: int = 137, least: int | None = None) -> DataFrame:

@@ -128,15 +128,15 @@ def previous_flipped(spark, sf_dir):
     return search.flipped(search.previous(shown))
 
 
-@query("""WITH s AS (SELECT id AS qid, id AS id1, concat(archive2, '/', sequence + 2) AS id2, orient FROM (SELECT i.*, j.archive AS archive2 FROM items i JOIN items j ON j.sequence = i.sequence + 2) WHERE sequence <= 40),
+@query("""WITH s AS (SELECT id AS qid, id AS id1, concat(archive2, '/', sequence + 2) AS id2, orient FROM (SELECT i.*, j.archive AS archive2 FROM items i JOIN items j ON j.sequence = i.sequence + 2)),
     m AS (SELECT s.qid, s.id1, s.id2, s.orient, (a.r + b.r) / 2.0::DOUBLE AS mr, (a.g + b.g) / 2.0::DOUBLE AS mg, (a.b + b.b) / 2.0::DOUBLE AS mb FROM s JOIN items a ON a.id = s.id1 JOIN items b ON b.id = s.id2),
     d AS (SELECT m.qid, i.id, CAST(round(sqrt((i.r - mr) * (i.r - mr) + (i.g - mg) * (i.g - mg) + (i.b - mb) * (i.b - mb)) * 1000) AS BIGINT) AS value FROM m JOIN items i ON i.orient = m.orient AND i.id <> m.id1 AND i.id <> m.id2)
     SELECT qid, CAST(n - 1 AS INTEGER) AS rank, id, value FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY value, id) AS n FROM d) WHERE n <= 50""", "items")
 def colour_list(spark, sf_dir):
-    """A stated set of 40 shown pairs."""
+    """Each item and the next of its orientation as a shown pair."""
     items = S.items(spark, sf_dir)
     other = items.select((F.col("sequence") - 2).alias("sequence"), F.col("id").alias("id2"))
-    shown = items.where("sequence <= 40").select("sequence", F.col("id").alias("qid"), F.col("id").alias("id1")).join(other, "sequence").drop("sequence")
+    shown = items.select("sequence", F.col("id").alias("qid"), F.col("id").alias("id1")).join(other, "sequence").drop("sequence")
     return search.colour_list(items, shown)
 
 
