@@ -115,8 +115,10 @@ def labelled_findings(spark: SparkSession, words: list[str], rows: int = TRAIN_R
     """
     base = spark.range(first, first + rows).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"), F.pmod(F.xxhash64("id"), F.lit(997)).alias("r"))
     if words:
-        picked = [F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(words))) + 1).cast("int")) for k in range(6)]
-        base = base.withColumn("phrase", F.when(F.col("r") % 3 == 0, F.concat_ws("_", *picked)).when(F.col("r") % 3 == 1, F.concat_ws("-", *picked)).otherwise(F.concat(*picked)))
+        known, many = F.array(*[F.lit(w) for w in words]), F.lit(len(words))  # the words stand in the plan once
+        picked = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.element_at(known, (F.pmod(F.xxhash64(k, "id"), many) + 1).cast("int")))
+        base = base.withColumn("picked", picked)
+        base = base.withColumn("phrase", F.when(F.col("r") % 3 == 0, F.array_join("picked", "_")).when(F.col("r") % 3 == 1, F.array_join("picked", "-")).otherwise(F.array_join("picked", "")))
     else:
         base = base.withColumn("phrase", F.lit(None).cast("string"))
     b64 = "translate(base64(unhex(h)), '=', 'A')"
