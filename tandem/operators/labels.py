@@ -184,6 +184,24 @@ def emit_with_debt(rows: DataFrame, target: Column, every: int = 4) -> DataFrame
     return positives.unionByName(negatives).select("id1", "id2", "label", "rn", F.when(F.col("test"), "test").otherwise("train").alias("split"))
 
 
+def emit_two_targets(rows: DataFrame, first: Column, every: int = 4, seed: int = 0) -> DataFrame:
+    """``target, appended, id1, id2, label, rn, split``: examples for two targets, one orientation each.
+
+    The first target gets the rows for which ``first`` holds, the second all
+    others and, after them, those of the first in an order drawn by ``seed``,
+    which are train rows there. ``rn`` counts by target, label and ``appended``;
+    drawn rows are counted together.
+    """
+    told = rows.withColumn("__first", first)
+    parts = []
+    for target, own in ((1, told.where("__first")), (2, told.where("not __first"))):
+        parts.append(emit_with_debt(own.drop("__first"), F.lit(True), every).select(F.lit(target).alias("target"), F.lit(False).alias("appended"), "id1", "id2", "label", F.col("rn").cast("long").alias("rn"), "split"))
+    drawn = told.where("__first").select("id1", "id2", "label", F.lit(0).alias("g"), F.md5(F.concat_ws("|", F.lit(seed), "id1", "id2")).alias("h"))
+    drawn = numbered(drawn, "g", "h", "id1", "id2")
+    parts.append(drawn.select(F.lit(2).alias("target"), F.lit(True).alias("appended"), "id1", "id2", "label", (F.col("place") + 1).cast("long").alias("rn"), F.lit("train").alias("split")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 #: Positives a negative that the two plans aim at, and how far below counts as even.
 RATIO_F, RATIO_G, EVEN = 2 / 3, 1.0, 0.001
 

@@ -179,6 +179,16 @@ def emit_with_debt(spark, sf_dir):
     return labels.emit_with_debt(training(spark, sf_dir).join(scored, ["id1", "id2"]), target)
 
 
+@query("""WITH v AS (SELECT t.id1, t.id2, t.label, s.value, CAST(string_split(t.id1, '/')[2] AS INTEGER) % 2 = 1 AS one FROM training t JOIN sides s ON s.id = t.id1 AND s.other = t.id2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY one, label ORDER BY value DESC, id1, id2) AS rn FROM v)
+    SELECT CASE WHEN one THEN 1 ELSE 2 END AS target, false AS appended, id1, id2, label, rn, CASE WHEN rn % (CASE WHEN label = 1 THEN 4 ELSE 2 END) = 0 THEN 'test' ELSE 'train' END AS split FROM r
+    UNION ALL SELECT 2, true, id1, id2, label, row_number() OVER (ORDER BY md5(concat('5|', id1, '|', id2)), id1, id2), 'train' FROM v WHERE one""", "training sides")
+def emit_two_targets(spark, sf_dir):
+    """The vertical orientation first; the other one is trained with its shuffled pairs too."""
+    scored = pairs.both_directions(S.pairs(spark, sf_dir)).select(F.col("id").alias("id1"), F.col("other").alias("id2"), "value")
+    return labels.emit_two_targets(training(spark, sf_dir).join(scored, ["id1", "id2"]), F.substring_index("id1", "/", -1).cast("int") % 2 == 1, seed=5)
+
+
 # Interaction log
 
 

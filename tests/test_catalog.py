@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import text as T
 from tandem.functions import vectors as V
-from tandem.operators import catalog, histograms, keywords, search
+from tandem.operators import catalog, histograms, keywords, ranked, search
 from tandem.sources import files
 
 
@@ -117,3 +117,27 @@ def test_word_vectors_are_composed(spark):
     words = spark.createDataFrame([(w,) for w in ("red", "RED", "red_ring", "red_gone", "gone", "big_ring", "Paris", "Red_Ring")], "word string")
     got = {r["word"]: r["vec"] for r in keywords.word_vector(words, vectors).collect()}
     assert got == {"red": [1.0, 2.0], "RED": [1.0, 2.0], "red_ring": [11.0, 22.0], "red_gone": [1.0, 2.0], "big_ring": [7.0, 7.0], "Paris": [5.0, 5.0], "Red_Ring": [11.0, 22.0]}
+
+
+def test_value_lists(spark):
+    rows = spark.createDataFrame([("a", 3), ("b", 9), ("c", None), ("d", 4), ("e", 4), ("f", 1)], "id string, v int")
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), ("e",), ("d",), ("b",), ("z",)], "id string")
+    assert [tuple(r) for r in catalog.value_list(rows, ids, "v").collect()] == [("a", 3), ("d", 4), ("e", 4), ("b", 9)]
+    assert [tuple(r) for r in catalog.value_list(rows, ids, "v", invert=True).collect()] == [("b", 3), ("d", 8), ("e", 8), ("a", 9)]
+
+
+def test_maps_sorted_by_value(spark):
+    rows = spark.createDataFrame([("q", "b", 2), ("q", "a", 2), ("q", "c", 1), ("r", "x", 5)], "qid string, id string, value int")
+    got = sorted((r["qid"], r["rank"], r["id"]) for r in ranked.to_list(rows, "value").collect())
+    assert got == [("q", 0, "c"), ("q", 1, "a"), ("q", 2, "b"), ("r", 0, "x")]
+    assert sorted((r["qid"], r["id"]) for r in ranked.to_list(rows, F.desc("value"), limit=1).collect()) == [("q", "a"), ("r", "x")]
+
+
+def test_neighbour_tables_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b", "t1", 5), ("a", "c", "t1", 4), ("b", "c", "t2", 3)], "id1 string, id2 string, tag string, val int")
+    files.write_neighbours(rows, f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out/pairtop")
+    assert sorted(map(tuple, back.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert {(r["tag"], r["ct"]) for r in spark.read.parquet(f"file://{tmp_path}/out/tags").collect()} == {("t1", 2), ("t2", 1)}
+    with pytest.raises(Exception, match="already exists"):
+        files.write_neighbours(rows, f"file://{tmp_path}/out")
