@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, join_by_weight, materialise, text_digest
 from .graph import connected_components, contracted
-from .words import U64, in_chunks, mix, segment
+from .words import U64, mix, segment, text_chunks
 
 #: Words a shingle, bands and coordinates a band. At similarity 0.8, 25 bands of 5
 #: miss a pair with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
@@ -125,9 +125,9 @@ def sign(docs: DataFrame, multiset: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, bands = batch.column(2).to_pylist(), []
-            for begin, end in in_chunks(texts, most=256):
-                found = shingles(texts[begin:end])
+            bands = []
+            for texts in text_chunks(batch.column(2)):
+                found = shingles(texts)
                 some = [i for i, x in enumerate(found) if len(x)]
                 keys = band_keys(dart_signatures([weighted(found[i], multiset) for i in some], BANDS * ROWS))
                 own = [None] * len(found)
@@ -144,9 +144,9 @@ def shingle_sets(texts: DataFrame, multiset: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names, out = batch.column(1).to_pylist(), []
-            for begin, end in in_chunks(names, most=256):
-                for found in shingles(names[begin:end]):
+            out = []
+            for names in text_chunks(batch.column(1)):
+                for found in shingles(names):
                     elements, counts = np.unique(found, return_counts=True)
                     if multiset:
                         turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -69,13 +71,21 @@ def in_chunks(texts: list, limit: int = 400_000, most: int = 100_000):
         yield begin, len(texts)
 
 
-def in_ranges(sizes: list[int], limit: int):
-    """Ranges of rows of about ``limit`` together; a larger row stands alone."""
+def in_ranges(sizes: list[int], limit: int, most: int = 100_000):
+    """Ranges of at most ``most`` rows, of about ``limit`` together; a larger row stands alone."""
     begin = total = 0
     for i, size in enumerate(sizes):
-        if i > begin and total + size > limit:
+        if i > begin and (total + size > limit or i - begin >= most):
             yield begin, i
             begin, total = i, 0
         total += size
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def text_chunks(column: pa.Array, limit: int = 400_000, most: int = 256):
+    """The texts of an Arrow column a few at a time, so a worker never holds a whole batch as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for begin, end in in_ranges(sizes, limit, most):
+        yield column.slice(begin, end - begin).to_pylist()
+    pa.default_memory_pool().release_unused()
