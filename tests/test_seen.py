@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries over lists less what was seen, with their columns of unseen ids.
 UNSEEN = {
     "unseen_list": ["id"],
+    "first_of_best": ["id"],
 }
 
 
