@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 UNSEEN = {
     "unseen_list": ["id"],
     "first_of_best": ["id"],
+    "weighted_unseen": ["id"],
 }
 
 
