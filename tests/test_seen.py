@@ -13,6 +13,7 @@ UNSEEN = {
     "unseen_list": ["id"],
     "first_of_best": ["id"],
     "weighted_unseen": ["id"],
+    "second_ok": ["id"],
 }
 
 
