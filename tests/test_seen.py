@@ -14,6 +14,7 @@ UNSEEN = {
     "first_of_best": ["id"],
     "weighted_unseen": ["id"],
     "second_ok": ["id"],
+    "random_unseen": ["id"],
 }
 
 
