@@ -15,6 +15,7 @@ UNSEEN = {
     "weighted_unseen": ["id"],
     "second_ok": ["id"],
     "random_unseen": ["id"],
+    "two_stage_match": ["left_id", "right_id"],
 }
 
 
