@@ -16,6 +16,8 @@ CELLS = 1 << 22
 MAX_TRAIN = 30_000
 #: L1 is large enough that a cell of few rows never gets a weight.
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 3.0, 1.0
+#: What names a row to learn from.
+KEYS = ["doc_id", "digest", "toxic"]
 
 
 def features(texts: list) -> list[np.ndarray]:
@@ -55,26 +57,33 @@ def digest_of(text: Column) -> Column:
     return F.coalesce(text_digest(text), F.lit(b""))
 
 
+def chosen_rows(marked: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """At most ``max_train`` different rows of ``doc_id, digest, toxic``."""
+    return marked.where("toxic is not null").select(*KEYS).distinct().orderBy(F.xxhash64("doc_id"), *KEYS).limit(max_train)
+
+
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """``doc_id, text, toxic`` (and the text's ``digest``, if known) -> the cells with a weight, and the weights.
+    """``doc_id, text, toxic`` -> the cells with a weight, and the weights."""
+    return fit_chosen(labelled, chosen_rows(labelled.withColumn("digest", digest_of(F.col("text"))), max_train))
+
+
+def fit_chosen(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Learn from the rows of ``docs(doc_id, text)`` that ``chosen(doc_id, digest, toxic)`` names, each row of it once.
 
-    At most ``max_train`` different rows are learnt from, a repeated one once;
-    online learning is sequential, so they meet in one task, as features. Each
-    epoch takes them in another order.
+    ``chosen`` is broadcast, so texts stay where they lie. Online learning is
+    sequential, so its rows meet in one task, as features. Each epoch takes
+    them in another order.
     """
-    keys = ["doc_id", "digest", "toxic"]
-    digest = F.col("digest") if "digest" in labelled.columns else digest_of(F.col("text"))
-    rows = labelled.select("doc_id", digest.alias("digest"), "toxic", "text")
-    chosen = rows.select(*keys).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(max_train)
-    rows = rows.join(F.broadcast(chosen), keys, "left_semi").select(*keys, "text")  # max_train keys
+    rows = docs.select("doc_id", digest_of(F.col("text")).alias("digest"), "text")
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "digest"]).select(*KEYS, "text")  # as many keys as are learnt from
 
     def extract(batches):
-        told = set()  # at most max_train keys
+        told = set()  # at most the keys chosen
         for batch in batches:
             own = list(zip(*[c.to_pylist() for c in batch.columns[:3]]))
             batch = batch.filter(pa.array([k not in told and not told.add(k) for k in own], pa.bool_()))
             found = [x.astype("<i4").tobytes() for x in features(batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=[*keys, "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=[*KEYS, "cells"])
 
     def learn(batches):
         model, seen, last = Ftrl(), [], None
@@ -91,8 +100,8 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["cell", "weight"])
 
     found = rows.mapInArrow(extract, "doc_id long, digest binary, toxic int, cells binary")
-    # At most max_train rows meet here; sorted, so that the weights do not depend on the partitioning.
-    one = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *keys)
+    # The chosen rows meet here; sorted, so that the weights do not depend on the partitioning.
+    one = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *KEYS)
     table = one.mapInArrow(learn, "cell long, weight double").toPandas()
     return table["cell"].to_numpy(np.int64), table["weight"].to_numpy(float)
 
@@ -124,7 +133,8 @@ def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     not looked at; an empty table gives an empty result.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # The digest is taken before the join, so that rows are chosen without moving texts.
-    train = docs.where(~held_out("doc_id")).select("doc_id", "text", digest_of(F.col("text")).alias("digest")).join(known, "doc_id")
-    cells, weights = fit(train)
+    # Rows are chosen by their keys alone: no text is moved to meet its label.
+    train = docs.where(~held_out("doc_id")).select("doc_id", "text")
+    chosen = chosen_rows(train.select("doc_id", digest_of(F.col("text")).alias("digest")).join(known, "doc_id"))
+    cells, weights = fit_chosen(train, chosen)
     return score(docs, cells, weights).select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
