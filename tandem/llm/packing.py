@@ -9,9 +9,12 @@ or a round saves nothing.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,19 @@ from .common import materialise
 CAPACITY = 2048
 #: Pieces a partition packs at once; the memory of a packing task is bounded by it.
 GROUP_PIECES = 20_000
-#: Fixed value: how the vocabulary's pre-tokeniser splits words.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+#: Fixed value: lower-case letters that canonical composition and the vocabulary's lower-casing leave as they are, in UTF-8.
+LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
+LETTERS = re.compile(LETTER + rb"+").fullmatch
+#: Words of those and of ASCII without capitals.
+PLAIN = re.compile(rb"(?:[\x00-\x40\x5b-\x7f]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Fixed value: how the vocabulary's pre-tokeniser splits such words.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|" + LETTER + rb"+|[0-9]|[^a-z0-9\xc3]+").findall
 #: Fixed value: the marks that canonical composition joins to ASCII letters.
 COMBINING = regex.compile("[\u0300-\u036f]").search
 #: Words and pieces a worker remembers before it starts afresh; results never depend on it.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 450_000
 #: What stands between pieces that are tokenised together, and how many those are.
-MARK, JOINED = "|", 256
+MARK, JOINED = b"|", 32
 SCHEMA_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,7 +54,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -56,47 +64,57 @@ class WordTokenizer:
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # Texts are parted at these before words are lower-cased, which may make new ones of what was none.
         self.tokenizer.encode_special_tokens = True
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        # The vocabulary's normaliser and pattern leave a piece of a plain word as it is; the model is shared.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.words) + len(words) > MEMO_ENTRIES:
             self.words.clear()
-        if len(self.pieces) + len(words) > MEMO_ENTRIES:
-            self.pieces.clear()
-        # An ASCII word falls into pieces exactly as the vocabulary splits it; any other is one piece here.
-        split = [PIECES(w.decode()) if w.isascii() else [w.decode()] for w in words]
-        new = {p for parts in split for p in parts if p not in self.pieces}
-        self.pieces.update(self.tokenise([p for p in new if MARK not in p]))
-        for p in new:
-            if MARK in p:
-                self.pieces[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        for word, parts in zip(words, split):
-            self.words[word] = b"".join([self.pieces[p] for p in parts])
-
-    def tokenise(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        # A plain word falls into pieces exactly as the vocabulary splits it, letters alone into one; any other is one piece here.
+        pieces = {w for w in words if LETTERS(w)}
+        rest = [w for w in words if w not in pieces]
+        split = {w: PIECES(w) for w in rest if PLAIN(w)}
+        pieces.update(p for parts in split.values() for p in parts if p not in self.words)
+        self.tokenise(list(pieces), self.plain)
+        self.tokenise([w for w in rest if w not in split], self.tokenizer)
+        for word, parts in split.items():
+            self.words[word] = b"".join([self.words[p] for p in parts])
+
+    def tokenise(self, pieces: list[bytes], tokenizer) -> None:
         """Many pieces in one string, with a mark between them whose single id parts the ids again."""
-        joined = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
-        found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(some) for some in joined], add_special_tokens=False)
-        for some, encoding in zip(joined, found):
-            ids = np.array(encoding.ids, "<u4")
-            raw, ends = ids.tobytes(), (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
-            if len(ends) != len(some):
-                raise ValueError("the mark is not one token of its own")
-            yield from zip(some, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)])
+        plain = [p for p in pieces if MARK not in p]
+        joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        found = tokenizer.encode_batch_fast([b" | ".join(some).decode() for some in joined], add_special_tokens=False)
+        flat: list[int] = []
+        for encoding in found:
+            flat += encoding.ids
+            flat.append(self.mark)
+        ids = np.array(flat, "<u4")
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+        if len(ends) != len(plain):
+            raise ValueError("the mark is not one token of its own")
+        self.words.update(zip(plain, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
+        for p in pieces:
+            if MARK in p:
+                self.words[p] = np.array(tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; special tokens stand at the odd places of its parts."""
         parts = [self.parts.split(t) if t and any(s in t for s in self.special) else [t or ""] for t in texts]
         split = [self.split(p) for own in parts for p in own[::2]]
-        if new := set().union(*split).difference(self.words):
+        found = [list(map(self.words.get, words)) for words in split]
+        lacking = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in found]
+        if new := {words[i] for words, places in zip(split, lacking) for i in places}:
             self.learn(list(new))
-            if missing := set().union(*split).difference(self.words):
-                self.learn(list(missing))  # the memo was emptied meanwhile
-        plain = iter(split)
+            for words, ids, places in zip(split, found, lacking):
+                for i in places:
+                    ids[i] = self.words[words[i]]
+        plain = iter(found)
         for own in parts:
-            yield b"".join(self.special[p] if i % 2 else b"".join(map(self.words.__getitem__, next(plain))) for i, p in enumerate(own))
+            yield b"".join(self.special[p] if i % 2 else b"".join(next(plain)) for i, p in enumerate(own))
 
     @staticmethod
     def split(text: str) -> list[bytes]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tandem.llm import toxicity
+from tandem.llm import packing, toxicity
 
 
 def nodes(plan):
@@ -30,3 +32,19 @@ def test_toxicity_moves_no_texts(spark, monkeypatch):
             spark.conf.set(k, v)
     moved = [x.output().toString() for plan in plans for x in nodes(plan) if x.nodeName() == "Exchange"]
     assert moved and not [x for x in moved if "text#" in x]
+
+
+def test_packing_remembers_words_and_pieces_in_one_memo(monkeypatch):
+    """Results stay those of the library, also where the memo is emptied between two batches."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "MEMO_ENTRIES", 3000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library, most = packing.WordTokenizer(path), Tokenizer.from_file(path), 0
+    special = set(coder.special)
+    for batch in range(12):
+        texts = [" ".join(f"stra\u00dfe{chr(97 + batch)}{chr(97 + i % 26)}{chr(97 + j)}{'abc'[i // 26]}{'!' if j % 2 else '\u0301' if j == 4 else ''}" for j in range(10)) + " \u00c9T\u00c9 d'\u00e9t\u00e9's 12|3" for i in range(64)]
+        for text, ids in zip(texts, coder.encode(texts)):
+            assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        most = max(most, sum(len(x) for x in vars(coder).values() if isinstance(x, dict) and set(x) != special))
+    assert 1000 < most <= 3000 + 700  # a batch has fewer than 700 pieces
