@@ -14,6 +14,7 @@ ITEMS, PAIRS = 500, 62_250
 #: Rows that may leave Python in a query; there are 62,250 pairs.
 ROWS = {
     "center_out_order": 60 * ITEMS,
+    "alternate_merge": 120 * ITEMS,
 }
 
 
