@@ -16,6 +16,7 @@ ROWS = {
     "center_out_order": (60 * ITEMS, 1),
     "alternate_merge": (120 * ITEMS, 2),
     "directional_topk": (12 * ITEMS, 1),
+    "golden_angle": (1000, 1),
 }
 
 
