@@ -17,6 +17,7 @@ ROWS = {
     "alternate_merge": (120 * ITEMS, 2),
     "directional_topk": (12 * ITEMS, 1),
     "golden_angle": (1000, 1),
+    "pairtop_symm": (10 * ITEMS, 1),
 }
 
 
