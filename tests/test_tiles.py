@@ -18,6 +18,7 @@ ROWS = {
     "directional_topk": (12 * ITEMS, 1),
     "golden_angle": (1000, 1),
     "pairtop_symm": (10 * ITEMS, 1),
+    "tagged_sides": (160, 2),
 }
 
 
