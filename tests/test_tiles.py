@@ -19,6 +19,7 @@ ROWS = {
     "golden_angle": (1000, 1),
     "pairtop_symm": (10 * ITEMS, 1),
     "tagged_sides": (160, 2),
+    "score_collection": (ITEMS, 1),
 }
 
 
