@@ -20,6 +20,7 @@ ROWS = {
     "pairtop_symm": (10 * ITEMS, 1),
     "tagged_sides": (160, 2),
     "score_collection": (ITEMS, 1),
+    "pairs_by_low_score": (240, 2),
 }
 
 
