@@ -21,6 +21,7 @@ ROWS = {
     "tagged_sides": (160, 2),
     "score_collection": (ITEMS, 1),
     "pairs_by_low_score": (240, 2),
+    "both_score_sums": (ITEMS, 1),
 }
 
 
