@@ -22,6 +22,7 @@ ROWS = {
     "score_collection": (ITEMS, 1),
     "pairs_by_low_score": (240, 2),
     "both_score_sums": (ITEMS, 1),
+    "angle_histogram": (400, 1),
 }
 
 
