@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import vectors as V
 
-from . import blocks
+from . import blocks, tiles
 from .shared import checkpointed
 
 #: Fixed values. Directions in degrees (0 to the right, down positive): a stroke within FLAT of either horizontal is
@@ -63,8 +63,7 @@ def stroke_search(strokes: DataFrame, items: DataFrame, seen: DataFrame, k: int
     the nearest there is the first answer, and is projected from the second
     picture in turn. Strokes to the right go by cosine, others by Poincare
     distance. A stroke that starts and ends on one side, or lacks a picture,
-    gives no row. All strokes of a direction are compared at once, as products of
-    blocks.
+    gives no row. All strokes of a direction are compared at once, tile by tile.
     """
     kind, one, two = pushes(*[F.col(c) for c in ("angle", "distance", "centers", "dots", "dots1", "dots2")])
     told = strokes.where("from_side <> to_side").select("ask", "id1", "id2", (F.col("from_side") == 1).alias("right"), kind.alias("kind"), one.alias("push1"), two.alias("push2"))
@@ -97,11 +96,13 @@ def _open_neighbours(asks: DataFrame, column: str, items: DataFrame, seen: DataF
     found = None
     for need, right in sorted(map(tuple, sized.select("need", "right").distinct().collect())):  # a logarithm of row counts, and a direction: few
         own = sized.where((F.col("need") == need) & (F.col("right") == right)).select(F.concat(F.lit("\n"), F.col("ask").cast("string")).alias("id"), "orient", F.col(column).alias(vector))
-        near = blocks.nearest(own, items.select("id", "orient", vector), 1 << need, "cosine_distance" if right else "poinca", "orient", vector)
+        # An ask is none of the items: keys of either sign.
+        sides = [rows.withColumn("key", sign * (F.pmod(F.xxhash64("id"), F.lit(1 << 62)) + 1)) for rows, sign in ((own, 1), (items.select("id", "orient", vector), -1))]
+        near = tiles.best(*sides, "orient", "key", 1 << need, blocks.near_scores("cosine_distance" if right else "poinca", vector), descending=False, kind="double")
         found = near if found is None else found.unionByName(near)
     if found is None:
         return asks.where("false").select("ask", F.lit(1).alias("rank"), F.lit("").alias("id"), F.lit(0.0).alias("distance"))
-    flat = found.select(F.substring("id", 2, 1 << 30).cast(asks.schema["ask"].dataType).alias("ask"), F.col("match_id").alias("id"), "distance").join(seen.select("ask", "id"), ["ask", "id"], "left_anti")
+    flat = found.select(F.substring("id", 2, 1 << 30).cast(asks.schema["ask"].dataType).alias("ask"), F.col("other").alias("id"), F.col("value").alias("distance")).join(seen.select("ask", "id"), ["ask", "id"], "left_anti")
     w = Window.partitionBy("ask").orderBy("distance", "id")
     return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("ask", "rank", "id", "distance")
 

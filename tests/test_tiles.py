@@ -22,7 +22,8 @@ ROWS = {
     "score_collection": (ITEMS, 1),
     "pairs_by_low_score": (240, 2),
     "both_score_sums": (ITEMS, 1),
-    "angle_histogram": (400, 1),
+    "angle_histogram": (4 * ITEMS, 1),
+    "angle_tags": (4 * ITEMS, 1),
 }
 
 
@@ -99,3 +100,20 @@ def test_no_rows_give_no_rows(crowd):
     none = crowd.where("false")
     assert tiles.best(none, none, "g", "n", 4, lambda a, b: a["v"] @ b["v"].T).count() == 0
     assert tiles.best(crowd, none, "g", "n", 4, lambda a, b: a["v"] @ b["v"].T).select(F.col("id")).count() == 0
+
+
+def test_strokes_keep_their_nearest_inside_the_task(spark, monkeypatch):
+    """However many blocks the items would be dealt into."""
+    from tandem.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 50)
+    assert rows_made(QUERIES["stroke_search"](spark, SF)) <= 140 * ITEMS
+
+
+def test_shown_to_a_group_is_one_row(spark):
+    from tandem.operators import search
+
+    items = spark.createDataFrame([("a", "v"), ("b", "v"), ("c", "h"), ("d", "v")], "id string, orient string")
+    lists = spark.createDataFrame([("a", "b", 0), ("a", "d", 1), ("c", "b", 0), ("d", "b", 0)], "qid string, id string, rank int")
+    shown = items.where("id = 'b'")
+    assert sorted(map(tuple, search.not_shown(lists, items, shown).select("qid", "id", "rank").collect())) == [("a", "d", 1), ("c", "b", 0)]
