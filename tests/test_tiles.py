@@ -24,6 +24,7 @@ ROWS = {
     "both_score_sums": (ITEMS, 1),
     "angle_histogram": (4 * ITEMS, 1),
     "angle_tags": (4 * ITEMS, 1),
+    "approved_block": (38 * ITEMS, 1),
 }
 
 
