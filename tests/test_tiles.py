@@ -25,6 +25,7 @@ ROWS = {
     "angle_histogram": (4 * ITEMS, 1),
     "angle_tags": (4 * ITEMS, 1),
     "approved_block": (38 * ITEMS, 1),
+    "approved_by_score": (ITEMS, 1),
 }
 
 
