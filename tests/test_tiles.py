@@ -26,6 +26,7 @@ ROWS = {
     "angle_tags": (4 * ITEMS, 1),
     "approved_block": (38 * ITEMS, 1),
     "approved_by_score": (ITEMS, 1),
+    "best_by_model": (9 * ITEMS, 1),
 }
 
 
