@@ -27,6 +27,7 @@ ROWS = {
     "approved_block": (38 * ITEMS, 1),
     "approved_by_score": (ITEMS, 1),
     "best_by_model": (9 * ITEMS, 1),
+    "first_of_best": (232 * ITEMS, 2),
 }
 
 
