@@ -28,6 +28,7 @@ ROWS = {
     "approved_by_score": (ITEMS, 1),
     "best_by_model": (9 * ITEMS, 1),
     "first_of_best": (232 * ITEMS, 2),
+    "topk_with_ties": (ITEMS, 1),
 }
 
 
