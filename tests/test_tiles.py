@@ -29,6 +29,7 @@ ROWS = {
     "best_by_model": (9 * ITEMS, 1),
     "first_of_best": (232 * ITEMS, 2),
     "topk_with_ties": (ITEMS, 1),
+    "hist_mask_weights": (60 * ITEMS, 1),
 }
 
 
