@@ -30,6 +30,7 @@ ROWS = {
     "first_of_best": (232 * ITEMS, 2),
     "topk_with_ties": (ITEMS, 1),
     "hist_mask_weights": (60 * ITEMS, 1),
+    "first_n_even": (130 * ITEMS, 2),
 }
 
 
