@@ -31,6 +31,7 @@ ROWS = {
     "topk_with_ties": (ITEMS, 1),
     "hist_mask_weights": (60 * ITEMS, 1),
     "first_n_even": (130 * ITEMS, 2),
+    "combo_intersect": (190 * ITEMS, 2),
 }
 
 
