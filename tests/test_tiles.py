@@ -32,6 +32,7 @@ ROWS = {
     "hist_mask_weights": (60 * ITEMS, 1),
     "first_n_even": (130 * ITEMS, 2),
     "combo_intersect": (190 * ITEMS, 2),
+    "biased_choice": (110 * ITEMS, 2),
 }
 
 
