@@ -33,6 +33,7 @@ ROWS = {
     "first_n_even": (130 * ITEMS, 2),
     "combo_intersect": (190 * ITEMS, 2),
     "biased_choice": (110 * ITEMS, 2),
+    "cached_scores": (420 * ITEMS, 5),
 }
 
 
