@@ -34,6 +34,7 @@ ROWS = {
     "combo_intersect": (190 * ITEMS, 2),
     "biased_choice": (110 * ITEMS, 2),
     "cached_scores": (420 * ITEMS, 5),
+    "review_query": (9 * ITEMS, 1),
 }
 
 
