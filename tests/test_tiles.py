@@ -35,6 +35,7 @@ ROWS = {
     "biased_choice": (110 * ITEMS, 2),
     "cached_scores": (420 * ITEMS, 5),
     "review_query": (9 * ITEMS, 1),
+    "score_band_neighbors": (23 * ITEMS, 1),
 }
 
 
