@@ -36,6 +36,7 @@ ROWS = {
     "cached_scores": (420 * ITEMS, 5),
     "review_query": (9 * ITEMS, 1),
     "score_band_neighbors": (23 * ITEMS, 1),
+    "pairs_at_angle": (10 * ITEMS, 2),
 }
 
 
